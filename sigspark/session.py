@@ -23,6 +23,7 @@ def local_session(cpus: str | int = "*", app: str = "sigspark", **conf: str) ->
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
     )
     for key, value in {**_DEFAULTS, **conf}.items():
