@@ -66,8 +66,8 @@ def local_spread(df: DataFrame, keys, order, value="residual", points: int = 100
     sized = null_safe_join(df, sizes, keys, "left")
 
     def frame(w):
-        by_width = F.when(F.col("__w") < 1, F.lit(0.0))
-        for k in range(1, 11):
+        by_width = F.when(F.col("__w") < 2, F.lit(None))
+        for k in range(2, 11):
             by_width = by_width.when(F.col("__w") == k, F.stddev_pop(value).over(w.rowsBetween(-k, k - 1)))
         return {"spread": by_width}
 

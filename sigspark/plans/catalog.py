@@ -4,7 +4,7 @@ import importlib
 
 from sigspark.plans.registry import ORACLES, QUERIES
 
-FAMILIES = ("filtering", "windowing")
+FAMILIES = ("filtering", "windowing", "health")
 for _family in FAMILIES:
     importlib.import_module(f"sigspark.plans.{_family}")
 

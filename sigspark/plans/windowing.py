@@ -78,7 +78,7 @@ def e07_days(spark, sf):
 
 @query("e08_local_spread", f"""WITH {SMOOTH}, c AS (SELECT *, value - y AS r, row_number() OVER ({W}) - 1 AS i, least(10, count(*) OVER (PARTITION BY dev) // 10) AS w FROM m),
 k AS (SELECT id, i, w, list(r) OVER ({W} ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) AS l, least(i, 10) AS back FROM c)
-SELECT id, round(CASE WHEN w < 1 THEN 0.0 ELSE list_var_pop(l[greatest(back - w, 0) + 1 : back + w]) END, 4) + 0.0 AS spread2 FROM k WHERE i < 100""".replace(
+SELECT id, round(CASE WHEN w < 2 THEN NULL ELSE list_var_pop(l[greatest(back - w, 0) + 1 : back + w]) END, 4) + 0.0 AS spread2 FROM k WHERE i < 100""".replace(
     "list_var_pop(l[greatest(back - w, 0) + 1 : back + w])", "list_aggregate(l[greatest(back - w, 0) + 1 : back + w], 'var_pop')"))
 def e08(spark, sf):
     out = windows.local_spread(smoothed(spark, sf), KEYS, ORDER)
