@@ -290,9 +290,9 @@ th AS (SELECT dev, avg(change) + 2 * stddev_pop(change) AS threshold FROM ch GRO
 br AS (SELECT ch.*, i - w + 1 + w // 2 AS at FROM ch JOIN th ON th.dev = ch.dev WHERE change > threshold)"""
 
 
-@query("g23_trend_breaks", f"WITH {SIGNAL}, {_TREND} SELECT dev, "at" FROM br")
+@query("g23_trend_breaks", f"WITH {SIGNAL}, {_TREND} SELECT dev, br.at AS position FROM br")
 def g23(spark, sf):
-    return detect.trend_breaks(signal(spark, sf), KEYS, ORDER).select("dev", "at")
+    return detect.trend_breaks(signal(spark, sf), KEYS, ORDER).select("dev", F.col("at").alias("position"))
 
 
 _CENTRED = "s AS (SELECT user_id AS dev, epoch_us(ts) AS us, event_id AS id, value - 60.0 AS value FROM events)"
