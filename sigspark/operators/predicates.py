@@ -37,7 +37,7 @@ def find_in_set(value: Column, cell: Column) -> Column:
 def rule_op(op: str, source: Column, param: Column) -> Column:
     """Scene-rule comparison of text values; order comparisons are numeric when all sides are numbers."""
     src, one = source.cast("string"), param.cast("string")
-    items = F.transform(F.split(one, ","), F.trim)
+    items = F.transform(F.split(one, ","), lambda x: F.trim(x))
     num, nums = src.try_cast("double"), F.transform(items, lambda x: x.try_cast("double"))
     numeric = num.isNotNull() & F.forall(nums, lambda x: x.isNotNull())
 
