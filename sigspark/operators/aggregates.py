@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.operators.series import null_safe_join, positions
+from sigspark.operators.series import Layout, null_safe_join, positions
 
 _NAMED = {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min, "avg": F.avg, "length": lambda c: F.sum(F.length(c))}
 
@@ -37,9 +37,11 @@ def population_stats(df: DataFrame, keys: Sequence[str], value: str = "value") -
     )
 
 
-def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, percent: float, tie: Sequence[str] = ()) -> DataFrame:
+def exact_percentile(
+    df: DataFrame, keys: Sequence[str], value: str, percent: float, tie: Sequence[str] = (), layout: Layout | None = None,
+) -> DataFrame:
     """Percentile at position ``p (n + 1) / 100`` with linear interpolation; exact at any size."""
-    placed = positions(df.select(*dict.fromkeys([*keys, value, *tie])), keys, [value, *tie], "__p")
+    placed = positions(df.select(*dict.fromkeys([*keys, value, *tie])), keys, [value, *tie], "__p", layout)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     at = F.lit(percent) * (F.col("__n") + 1) / 100.0
     low = F.greatest(F.lit(1), F.least(F.floor(at), F.col("__n")))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigspark.operators.series import Layout, measure, null_safe_join, with_rows
+from sigspark.operators.series import Layout, null_safe_join, relayout, with_rows
 
 
 # ---- array expressions ----------------------------------------------------------------------
@@ -132,7 +132,7 @@ def burst_features(
     ``index`` is the 0-based sample number (see ``series.positions``).
     """
     v, mag = F.col(value), F.abs(F.col(value))
-    lay = layout or measure(df, keys, order)
+    lay = relayout(df, layout, keys, order)
     base = df.groupBy(*keys).agg(
         F.max(mag).alias("__amp"), F.avg(v).alias("__mean"), F.min_by(F.col(index), F.struct(-mag, F.col(index))).alias("__peak"),
     )

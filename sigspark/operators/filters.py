@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from sigspark.operators import design
 from sigspark.operators.scan import AffineMaps, ClipMaps, Fold, Scan, run_block, run_scan
-from sigspark.operators.series import Layout, measure, with_rows
+from sigspark.operators.series import Layout, relayout, with_rows
 
 # Filter taps and biquad coefficients.
 FIR_TAPS = (0.05, 0.1, 0.2, 0.3, 0.2, 0.1, 0.05)
@@ -400,7 +400,8 @@ def log_nlms(order: int = 8, mu: float = 0.001, eps: float = 0.01) -> Fold:
 def particle(count: int = 50, process: float = 0.1, measure_noise: float = 0.5, seed: int = 7) -> Fold:
     """Bootstrap filter with systematic resampling; draws depend on the key and position only."""
     def initial(key):
-        return [float(zlib.crc32(repr(key[:1]).encode()))]
+        text = ":".join(str(int(k)) if isinstance(k, float) and k.is_integer() else str(k) for k in key)
+        return [float(zlib.crc32(text.encode()))]
 
     def step(state, row, pos):
         value = row[0]
@@ -467,7 +468,7 @@ def apply_filter(
             return df.withColumn("filtered", F.col(value)).withColumn("residual", F.lit(0.0))
         name = unknown.upper()
     chosen = REGISTRY[name](**params)
-    lay = layout or measure(df, keys, order)
+    lay = relayout(df, layout, keys, order)
     if isinstance(chosen, FrameFilter):
         out = with_rows(
             df, keys, order, lambda w: {"filtered": chosen.column(value, w)}, chosen.before, chosen.after, lay,

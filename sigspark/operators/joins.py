@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigspark.functions.dates import range_key
-from sigspark.operators.series import null_safe_join, running, with_rows
+from sigspark.operators.series import measure, running, with_rows
 
 BROADCAST_ROWS = 100_000
 
@@ -99,9 +99,10 @@ def tier_match(df: DataFrame, value: str, tiers: DataFrame, threshold: str, labe
 
 def conflicts(df: DataFrame, keys: Sequence[str], start: str, end: str, tie: str) -> DataFrame:
     """Whether each interval overlaps another of its key, without forming pairs."""
-    seen = running(df, keys, [start, tie], __top=("max", end))
+    lay = measure(df, keys, [start, tie])
+    seen = running(df, keys, [start, tie], __top=("max", end), layout=lay)
     near = with_rows(seen, keys, [start, tie], lambda w: {
-        "__before": F.lag("__top").over(w), "__next": F.lead(start).over(w)}, before=1, after=1)
+        "__before": F.lag("__top").over(w), "__next": F.lead(start).over(w)}, before=1, after=1, layout=lay)
     hit = (F.col("__before") > F.col(start)) | (F.col("__next") < F.col(end))
     return near.withColumn("conflict", F.coalesce(hit, F.lit(False))).drop("__top", "__before", "__next")
 

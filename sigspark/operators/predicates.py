@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigspark.operators.features import let
+
 _COMPARE: dict[str, Callable[[Column, Any], Column]] = {
     "eq": lambda c, v: c == v, "ne": lambda c, v: c != v, "gt": lambda c, v: c > v, "ge": lambda c, v: c >= v,
     "lt": lambda c, v: c < v, "le": lambda c, v: c <= v,
@@ -34,38 +36,49 @@ def find_in_set(value: Column, cell: Column) -> Column:
     return F.array_contains(F.split(cell, ","), value.cast("string"))
 
 
-def rule_op(op: str, source: Column, param: Column) -> Column:
-    """Scene-rule comparison of text values; order comparisons are numeric when all sides are numbers."""
+RULE_OPS = ("=", "!=", ">", ">=", "<", "<=", "in", "not in", "between", "not between", "like", "not null")
+
+
+def _operands(source: Column, param: Column) -> Column:
+    """Both sides as text, items and numbers, worked out once per comparison."""
     src, one = source.cast("string"), param.cast("string")
     items = F.transform(F.split(one, ","), lambda x: F.trim(x))
-    num, nums = src.try_cast("double"), F.transform(items, lambda x: x.try_cast("double"))
-    numeric = num.isNotNull() & F.forall(nums, lambda x: x.isNotNull())
-
-    def ordered(text: Column, number: Column) -> Column:
-        return F.when(numeric, number).otherwise(text)
-
-    value = one.try_cast("double")
-    inside = ordered(
-        (src >= F.get(items, F.lit(0))) & (src <= F.get(items, F.lit(1))),
-        (num >= F.get(nums, F.lit(0))) & (num <= F.get(nums, F.lit(1))),
-    )
-    result = {
-        "=": src == one, "!=": src != one,
-        ">": ordered(src > one, num > value), ">=": ordered(src >= one, num >= value),
-        "<": ordered(src < one, num < value), "<=": ordered(src <= one, num <= value),
-        "in": F.array_contains(items, src), "not in": ~F.array_contains(items, src),
-        "between": inside, "not between": ~inside,
-        "like": src.contains(one), "not null": src.isNotNull(),
-    }[op]
-    return F.coalesce(result, F.lit(False))
+    return let(
+        F.struct(src.alias("src"), one.alias("one"), items.alias("items"), F.transform(items, lambda x: x.try_cast("double")).alias("nums"),
+                 src.try_cast("double").alias("num"), one.try_cast("double").alias("value")),
+        lambda b: F.struct(b["src"], b["one"], b["items"], b["nums"], b["num"], b["value"],
+                           (b["num"].isNotNull() & F.forall(b["nums"], lambda x: x.isNotNull())).alias("numeric")))
 
 
-RULE_OPS = ("=", "!=", ">", ">=", "<", "<=", "in", "not in", "between", "not between", "like", "not null")
+def _decide(op: str, b: Column) -> Column:
+    def ordered(compare: Callable[[Column, Column], Column]) -> Column:
+        return F.when(b["numeric"], compare(b["num"], b["value"])).otherwise(compare(b["src"], b["one"]))
+
+    def within(x: Column, bounds: Column) -> Column:
+        return (x >= F.get(bounds, F.lit(0))) & (x <= F.get(bounds, F.lit(1)))
+
+    inside = lambda: F.when(b["numeric"], within(b["num"], b["nums"])).otherwise(within(b["src"], b["items"]))
+    return {
+        "=": lambda: b["src"] == b["one"], "!=": lambda: b["src"] != b["one"],
+        ">": lambda: ordered(lambda x, y: x > y), ">=": lambda: ordered(lambda x, y: x >= y),
+        "<": lambda: ordered(lambda x, y: x < y), "<=": lambda: ordered(lambda x, y: x <= y),
+        "in": lambda: F.array_contains(b["items"], b["src"]), "not in": lambda: ~F.array_contains(b["items"], b["src"]),
+        "between": inside, "not between": lambda: ~inside(),
+        "like": lambda: b["src"].contains(b["one"]), "not null": lambda: b["src"].isNotNull(),
+    }[op]()
+
+
+def rule_op(op: str, source: Column, param: Column) -> Column:
+    """Scene-rule comparison of text values; order comparisons are numeric when all sides are numbers."""
+    return F.coalesce(let(_operands(source, param), lambda b: _decide(op, b)), F.lit(False))
 
 
 def rule_op_by(op: Column, source: Column, param: Column) -> Column:
     """``rule_op`` with the operation in a column."""
-    return reduce(lambda acc, o: acc.when(op == o, rule_op(o, source, param)), RULE_OPS, F.when(F.lit(False), F.lit(False))).otherwise(False)
+    def choose(b: Column) -> Column:
+        return reduce(lambda acc, o: acc.when(op == o, _decide(o, b)), RULE_OPS, F.when(F.lit(False), F.lit(False))).otherwise(False)
+
+    return F.coalesce(let(_operands(source, param), choose), F.lit(False))
 
 
 def time_op(op: str, now: Column, param: str) -> Column:

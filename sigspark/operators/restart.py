@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigspark.operators.scan import _fresh, _sorted_tasks
-from sigspark.operators.series import HOT, SLICE, Layout, assign, measure, null_safe_join
+from sigspark.operators.series import HOT, SLICE, Layout, assign, null_safe_join, relayout
 
 
 def _next_open(ts: np.ndarray, start: int, width: int, closed: bool) -> int:
@@ -90,7 +90,7 @@ def restart_windows(
     must be an integer; rows with equal values share a window.
     """
     keys, order = list(keys), list(order)
-    lay = layout or measure(df, keys, order)
+    lay = relayout(df, layout, keys, order)
     t = order[0]
     base = T.StructType([*df.schema.fields, T.StructField("window_start", T.LongType())])
     if not lay.hot:

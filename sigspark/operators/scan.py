@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigspark.operators.series import HOT, SLICE, Layout, assign, measure, null_safe_join
+from sigspark.operators.series import HOT, SLICE, Layout, assign, null_safe_join, relayout
 from sigspark.session import cut_lineage
 
 Cols = dict[str, np.ndarray]
@@ -295,6 +295,7 @@ def _relay(fold: Fold, by: Sequence[str], drop: Sequence[str]):
     """Batch iterator for folds; the last row of each slice also carries the state onward."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state, pos = None, [], 0
+        named = len(by) - (by[-1] == SLICE)
         held = None
         for pdf in batches:
             if not len(pdf):
@@ -313,7 +314,7 @@ def _relay(fold: Fold, by: Sequence[str], drop: Sequence[str]):
                     if i:
                         states[i - 1] = state
                     resumed = pdf["__s0"].iat[i] if at[i] > 0 else None
-                    state = list(resumed) if resumed is not None else fold.initial(keys[i])
+                    state = list(resumed) if resumed is not None else fold.initial(keys[i][:named])
                 state, out = fold.step(state, row, int(at[i]))
                 results.append(out)
             last, pos = keys[-1], int(at[-1]) + 1
@@ -332,7 +333,7 @@ def run_scan(
     df: DataFrame, scan: Scan | Fold, keys: Sequence[str], order: Sequence[str], layout: Layout | None = None,
 ) -> DataFrame:
     """Add the outputs of a recursive filter to every row of the series."""
-    lay = layout or measure(df, keys, order)
+    lay = relayout(df, layout, keys, order)
     if isinstance(scan, Fold):
         return _run_fold(df, scan, lay)
     if not lay.hot:

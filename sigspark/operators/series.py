@@ -79,6 +79,20 @@ def measure(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows:
     return Layout(keys, order, table, max(per_key.values()).bit_length() + 1, {"slices": max(per_key.values()) + 1})
 
 
+def relayout(df: DataFrame, known: Layout | None, keys: Sequence[str], order: Sequence[str]) -> Layout:
+    """Reuse a layout measured earlier on the same rows (or more), else measure.
+
+    The same keys and order fit as they are; when no key was long, no finer key is long either.
+    """
+    keys, order = tuple(keys), tuple(order)
+    if known is not None:
+        if known.keys == keys and known.order[: len(order)] == order:
+            return known
+        if not known.hot and set(known.keys) <= set(keys):
+            return Layout(keys, order)
+    return measure(df, keys, order)
+
+
 def _slice_of(point: Column, steps: int) -> Column:
     """Number of cut points at or before ``point`` by binary search in the key's cut array."""
     def probe(acc: Column, _: Column) -> Column:
@@ -144,7 +158,7 @@ def with_rows(
 
     ``frame`` gets the window (partitioned and ordered) and returns the new columns.
     """
-    lay = layout or measure(df, keys, order)
+    lay = relayout(df, layout, keys, order)
     if not lay.hot:
         return df.select("*", *[c.alias(n) for n, c in frame(_plain(lay)).items()])
     cut = assign(df, lay).withColumn(HALO, F.lit(False))
@@ -165,7 +179,7 @@ def with_range(
     df: DataFrame, keys: Sequence[str], order: str, width: int, frame: Frame, layout: Layout | None = None,
 ) -> DataFrame:
     """Add columns over the value frame ``[order - width, order]``; ``order`` is an integer column."""
-    lay = layout or measure(df, keys, [order])
+    lay = relayout(df, layout, keys, [order])
     if not lay.hot:
         w = Window.partitionBy(*lay.keys).orderBy(order).rangeBetween(-width, 0)
         return df.select("*", *[c.alias(n) for n, c in frame(w).items()])
@@ -201,7 +215,7 @@ def running(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], **aggs: tuple[str, Column | str],
 ) -> DataFrame:
     """Running aggregates from the start of the series: ``name=("sum" | "count" | "max" | "min", column)``."""
-    lay = aggs.pop("layout", None) or measure(df, keys, order)
+    lay = relayout(df, aggs.pop("layout", None), keys, order)
     exprs = {n: (f, c if isinstance(c, Column) else F.col(c)) for n, (f, c) in aggs.items()}
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
     if not lay.hot:

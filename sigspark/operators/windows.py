@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.operators.restart import restart_windows
-from sigspark.operators.series import null_safe_join, positions, running, with_range, with_rows
+from sigspark.operators.series import Layout, measure, null_safe_join, positions, relayout, running, with_range, with_rows
 
 
-def trailing_power(df: DataFrame, keys, order: str, width: int, raw="value", filtered="filtered") -> DataFrame:
+def trailing_power(df: DataFrame, keys, order: str, width: int, raw="value", filtered="filtered", layout: Layout | None = None) -> DataFrame:
     """Mean power of raw, filtered and residual over ``[t - width, t]`` plus the row count."""
     sq = lambda c: c * c
     return with_range(df, keys, order, width, lambda w: {
@@ -19,7 +19,7 @@ def trailing_power(df: DataFrame, keys, order: str, width: int, raw="value", fil
         "filtered_power": F.avg(sq(F.col(filtered))).over(w),
         "residual_power": F.avg(sq(F.col(raw) - F.col(filtered))).over(w),
         "n": F.count(F.lit(1)).over(w),
-    })
+    }, layout)
 
 
 def successive_difference(df: DataFrame, keys, order, value="value") -> DataFrame:
@@ -31,20 +31,22 @@ def last_n(df: DataFrame, keys, order, n: int, **aggs: Column) -> DataFrame:
     return with_rows(df, keys, order, lambda w: {k: c.over(w.rowsBetween(1 - n, 0)) for k, c in aggs.items()}, before=n - 1)
 
 
-def resetting_energy(df: DataFrame, keys, order, width: int, value="residual") -> DataFrame:
+def resetting_energy(df: DataFrame, keys, order, width: int, value="residual", layout: Layout | None = None) -> DataFrame:
     """Energy accumulated since the window opened; the window restarts when it is older than ``width``."""
-    marked = restart_windows(df, keys, order, width)
-    return running(marked, [*keys, "window_start"], order, energy=("sum", F.col(value) * F.col(value)))
+    lay = relayout(df, layout, keys, order)
+    marked = restart_windows(df, keys, order, width, layout=lay)
+    return running(marked, [*keys, "window_start"], order, energy=("sum", F.col(value) * F.col(value)), layout=lay)
 
 
 def running_counters(df: DataFrame, keys, order, flag: Column) -> DataFrame:
     return running(df, keys, order, processed=("count", F.lit(1)), anomalies=("sum", F.when(flag, 1).otherwise(0)))
 
 
-def streak(df: DataFrame, keys, order, flag: Column) -> DataFrame:
+def streak(df: DataFrame, keys, order, flag: Column, layout: Layout | None = None) -> DataFrame:
     """Length of the run of flagged rows ending at each row (0 when not flagged)."""
-    placed = positions(df.withColumn("__flag", flag), keys, order, "__pos")
-    held = running(placed, keys, order, __gap=("max", F.when(~F.col("__flag"), F.col("__pos"))))
+    lay = relayout(df, layout, keys, order)
+    placed = positions(df.withColumn("__flag", flag), keys, order, "__pos", lay)
+    held = running(placed, keys, order, __gap=("max", F.when(~F.col("__flag"), F.col("__pos"))), layout=lay)
     return held.withColumn("streak", F.col("__pos") - F.coalesce("__gap", F.lit(-1))).drop("__flag", "__pos", "__gap")
 
 
@@ -63,6 +65,7 @@ def runs(df: DataFrame, keys, day: str) -> DataFrame:
 def local_spread(df: DataFrame, keys, order, value="residual", points: int = 100) -> DataFrame:
     """Standard deviation of ``[i - w, i + w)`` with w = min(10, n / 10), for the first ``points`` rows."""
     sizes = df.groupBy(*keys).agg(F.least(F.lit(10), F.floor(F.count(F.lit(1)) / 10)).cast("int").alias("__w"))
+    lay = measure(df, keys, order)
     sized = null_safe_join(df, sizes, keys, "left")
 
     def frame(w):
@@ -71,7 +74,7 @@ def local_spread(df: DataFrame, keys, order, value="residual", points: int = 100
             by_width = by_width.when(F.col("__w") == k, F.stddev_pop(value).over(w.rowsBetween(-k, k - 1)))
         return {"spread": by_width}
 
-    placed = positions(with_rows(sized, keys, order, frame, before=10, after=9), keys, order, "i")
+    placed = positions(with_rows(sized, keys, order, frame, 10, 9, lay), keys, order, "i", lay)
     return placed.filter(F.col("i") < points).drop("__w")
 
 
@@ -92,10 +95,10 @@ def latest(df: DataFrame, keys, order: Sequence[str]) -> DataFrame:
     return top.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest])
 
 
-def decimate(df: DataFrame, keys, order, max_points: int = 50000, keep: Column | None = None) -> DataFrame:
+def decimate(df: DataFrame, keys, order, max_points: int = 50000, keep: Column | None = None, layout: Layout | None = None) -> DataFrame:
     """Every k-th row with k = max(1, n / max_points), plus all rows where ``keep`` holds."""
     stride = df.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / max_points)).alias("__k"))
-    placed = null_safe_join(positions(df, keys, order, "__pos"), stride, keys, "left")
+    placed = null_safe_join(positions(df, keys, order, "__pos", layout), stride, keys, "left")
     wanted = F.col("__pos") % F.col("__k") == 0
     return placed.filter(wanted if keep is None else wanted | keep).drop("__pos", "__k")
 
@@ -115,17 +118,19 @@ def rolling_stats(df: DataFrame, keys, order, value: str, size: int = 50, least:
 
 def average_jump(df: DataFrame, keys, order, value: str, size: int = 50) -> DataFrame:
     """Mean absolute step between neighbours inside the newest ``size`` rows (1 for a single row)."""
-    stepped = with_rows(df, keys, order, lambda w: {"jump": F.abs(F.col(value) - F.lag(value).over(w))}, before=1)
+    lay = measure(df, keys, order)
+    stepped = with_rows(df, keys, order, lambda w: {"jump": F.abs(F.col(value) - F.lag(value).over(w))}, before=1, layout=lay)
     return with_rows(
         stepped, keys, order,
-        lambda w: {"avg_jump": F.coalesce(F.avg("jump").over(w.rowsBetween(2 - size, 0)), F.lit(1.0))}, before=size - 2,
+        lambda w: {"avg_jump": F.coalesce(F.avg("jump").over(w.rowsBetween(2 - size, 0)), F.lit(1.0))}, before=size - 2, layout=lay,
     )
 
 
 def sequence_report(df: DataFrame, keys, arrival, seq: str) -> DataFrame:
     """Per key: repeats, late arrivals and missing sequence numbers."""
-    seen = running(df, keys, arrival, __top=("max", F.col(seq)))
-    late = with_rows(seen, keys, arrival, lambda w: {"__before": F.lag("__top").over(w)}, before=1)
+    lay = measure(df, keys, arrival)
+    seen = running(df, keys, arrival, __top=("max", F.col(seq)), layout=lay)
+    late = with_rows(seen, keys, arrival, lambda w: {"__before": F.lag("__top").over(w)}, before=1, layout=lay)
     return late.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("received"),
         F.sum(F.when(F.col(seq) < F.col("__before"), 1).otherwise(0)).alias("out_of_order"),

@@ -160,8 +160,12 @@ class Reorder:
         return out
 
 
-def reorder_stream(df: DataFrame, keys: Sequence[str], seq: str, body: str, wait_ms: int = 100, most: int = 1000) -> DataFrame:
-    """Rows of each key in sequence order; a processing-time timer skips gaps that stay open."""
+def reorder_stream(df: DataFrame, keys: Sequence[str], seq: str, body: str, wait_ms: int = 100, most: int = 1000, timer: bool = True) -> DataFrame:
+    """Rows of each key in sequence order; a processing-time timer skips gaps that stay open.
+
+    Spark keeps running empty batches while timers are in use, so a run that should end by itself
+    (``availableNow``) needs ``timer=False``: gaps are then judged when the key's next row arrives.
+    """
     fields = [df.schema[k] for k in keys]
     out = T.StructType([*fields, T.StructField(seq, T.LongType()), T.StructField(body, T.StringType()), T.StructField("skipped", T.LongType())])
     state = "expected long, seqs array<long>, bodies array<string>, last_ms long, received long, skipped long, early long"
@@ -182,7 +186,7 @@ def reorder_stream(df: DataFrame, keys: Sequence[str], seq: str, body: str, wait
                     done += line.add(int(s), b, now)
         seqs = list(line.held)
         held.update((line.expected, seqs, [line.held[s] for s in seqs], line.last_ms or now, line.received, line.skipped, line.out_of_order))
-        if line.held:
+        if timer and line.held:
             held.setTimeoutDuration(wait_ms + 1)
         if done:
             rows = pd.DataFrame(done, columns=[seq, body])
@@ -190,7 +194,8 @@ def reorder_stream(df: DataFrame, keys: Sequence[str], seq: str, body: str, wait
                 rows[k] = v
             yield rows.assign(skipped=line.skipped)[[*keys, seq, body, "skipped"]]
 
-    return df.groupBy(*keys).applyInPandasWithState(advance, out, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if timer else GroupStateTimeout.NoTimeout
+    return df.groupBy(*keys).applyInPandasWithState(advance, out, state, "append", timeout)
 
 
 def throttle_stream(df: DataFrame, keys: Sequence[str], order: str, width: int) -> DataFrame:
