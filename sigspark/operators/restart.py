@@ -12,11 +12,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigspark.operators.scan import _fresh, _sorted_tasks
+from sigspark.operators.scan import fresh_rows, key_at, sorted_tasks, with_columns
 from sigspark.operators.series import HOT, SLICE, Layout, assign, null_safe_join, relayout
 
 
@@ -41,23 +42,23 @@ def _mark(ts: np.ndarray, start: int | None, width: int, closed: bool) -> np.nda
 
 
 def _marker(by: Sequence[str], order: str, width: int, closed: bool, drop: Sequence[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, start = None, None
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
                 continue
-            fresh = _fresh(pdf, by, last)
-            ts = pdf[order].to_numpy(dtype=np.int64)
-            out = np.empty(len(pdf), dtype=np.int64)
-            edges = [0, *[i for i in np.flatnonzero(fresh) if i], len(pdf)]
+            fresh = fresh_rows(batch, by, last)
+            ts = batch.column(order).to_numpy(zero_copy_only=False).astype(np.int64)
+            out = np.empty(n, dtype=np.int64)
+            edges = [0, *[int(i) for i in np.flatnonzero(fresh) if i], n]
             for a, b in zip(edges, edges[1:]):
                 if fresh[a]:
-                    known = pdf["__s0"].iat[a]
-                    start = None if pd.isna(known) else int(known)
+                    start = batch.column("__s0")[a].as_py()
                 out[a:b] = _mark(ts[a:b], start, width, closed)
                 start = int(out[b - 1])
-            last = tuple(pdf.iloc[-1][list(by)])
-            yield pdf.drop(columns=list(drop)).assign(window_start=out)
+            last = key_at(batch, by, n - 1)
+            yield with_columns(batch, drop, {"window_start": pa.array(out, pa.int64())})
 
     return run
 
@@ -95,7 +96,7 @@ def restart_windows(
     base = T.StructType([*df.schema.fields, T.StructField("window_start", T.LongType())])
     if not lay.hot:
         ready = df.withColumn("__s0", F.lit(None).cast("long"))
-        return _sorted_tasks(ready, keys, order).mapInPandas(_marker(keys, t, width, closed, ["__s0"]), base)
+        return sorted_tasks(ready, keys, order).mapInArrow(_marker(keys, t, width, closed, ["__s0"]), base)
     cut = assign(df, lay)
     by = [*keys, SLICE]
     key_fields = [cut.schema[k] for k in by]
@@ -123,4 +124,4 @@ def restart_windows(
     ready = null_safe_join(cut, F.broadcast(starts), by, "left")
     extra = [SLICE, HOT, "__s0"]
     kept = T.StructType([f for f in ready.schema.fields if f.name not in extra] + [T.StructField("window_start", T.LongType())])
-    return _sorted_tasks(ready, by, order).mapInPandas(_marker(by, t, width, closed, extra), kept)
+    return sorted_tasks(ready, by, order).mapInArrow(_marker(by, t, width, closed, extra), kept)

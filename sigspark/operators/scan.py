@@ -17,9 +17,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sigspark.operators.series import HOT, SLICE, Layout, assign, null_safe_join, relayout
 from sigspark.session import cut_lineage
@@ -164,19 +167,23 @@ def run_block(scan: Scan, cols: Cols, first: np.ndarray, start: np.ndarray) -> t
     return prev, cur, whole
 
 
-def _fresh(pdf: pd.DataFrame, by: Sequence[str], last: tuple | None) -> np.ndarray:
+def fresh_rows(batch: pa.RecordBatch, by: Sequence[str], last: tuple | None) -> np.ndarray:
     """True where a new series (or slice) begins, given the key of the row before the batch."""
-    fresh = np.zeros(len(pdf), dtype=bool)
+    n = batch.num_rows
+    fresh = np.zeros(n, dtype=bool)
     for c in by:
-        v = pdf[c]
-        prev = v.shift(1)
-        fresh |= ~((v == prev) | (v.isna() & prev.isna())).to_numpy()
-    fresh[0] = last is None or any(
-        not (a == b or (pd.isna(a) and pd.isna(b))) for a, b in zip(last, pdf.iloc[0][list(by)])
-    )
+        v = batch.column(c)
+        here, before = v.slice(1), v.slice(0, n - 1)
+        moved = pc.fill_null(pc.not_equal(here, before), False)
+        fresh[1:] |= pc.or_(moved, pc.xor(pc.is_null(here), pc.is_null(before))).to_numpy(zero_copy_only=False)
+    fresh[0] = last is None or last != key_at(batch, by, 0)
     return fresh
 
 
+def key_at(batch: pa.RecordBatch, by: Sequence[str], i: int) -> tuple:
+    return tuple(batch.column(c)[i].as_py() for c in by)
+
+
 def _positions(fresh: np.ndarray, offsets: np.ndarray, carried: int) -> np.ndarray:
     idx = np.arange(len(fresh))
     begun = np.maximum.accumulate(np.where(fresh, idx, -1))
@@ -184,12 +191,22 @@ def _positions(fresh: np.ndarray, offsets: np.ndarray, carried: int) -> np.ndarr
     return base + idx
 
 
-def _inputs(pdf: pd.DataFrame, names: Sequence[str]) -> Cols:
-    cols = {}
-    for c in names:
-        v = pdf[c]
-        cols[c] = np.array(v.tolist(), dtype=float) if v.dtype == object else v.to_numpy(dtype=float)
-    return cols
+def numbers(col: pa.Array) -> np.ndarray:
+    """A numeric column, or a column of equally long lists as a matrix."""
+    if pa.types.is_list(col.type):
+        return col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(col), -1)
+    return col.to_numpy(zero_copy_only=False).astype(float)
+
+
+def _whole(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def with_columns(batch: pa.RecordBatch, drop: Sequence[str], added: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The batch without some columns and with new ones; the other columns stay as they are in Arrow."""
+    kept = [f for f in batch.schema if f.name not in drop]
+    arrays = [batch.column(f.name) for f in kept] + list(added.values())
+    return pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + list(added))
 
 
 def _schema(df: DataFrame, drop: Sequence[str], outputs: Sequence[str]) -> T.StructType:
@@ -199,64 +216,66 @@ def _schema(df: DataFrame, drop: Sequence[str], outputs: Sequence[str]) -> T.Str
 
 def _replay(scan: Scan, by: Sequence[str], drop: Sequence[str]):
     """Batch iterator: scan the rows of a sorted task from their start states."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state, pos = None, np.zeros(scan.maps.dim), 0
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
                 continue
-            fresh = _fresh(pdf, by, last)
-            at = _positions(fresh, pdf["__pos0"].to_numpy(), pos)
-            cols = {**_inputs(pdf, scan.inputs), "pos": at}
+            fresh = fresh_rows(batch, by, last)
+            at = _positions(fresh, _whole(batch, "__pos0"), pos)
+            cols = {**{c: numbers(batch.column(c)) for c in scan.inputs}, "pos": at}
             resumed = fresh & (at > 0)
-            prev, cur = np.empty((len(pdf), scan.maps.dim)), np.empty((len(pdf), scan.maps.dim))
-            edges = [0, *[i for i in np.flatnonzero(resumed) if i], len(pdf)]
+            prev, cur = np.empty((n, scan.maps.dim)), np.empty((n, scan.maps.dim))
+            edges = [0, *[i for i in np.flatnonzero(resumed) if i], n]
             for a, b in zip(edges, edges[1:]):
                 if resumed[a]:
-                    state = np.array(pdf["__s0"].iat[a], dtype=float)
+                    state = np.array(batch.column("__s0")[int(a)].as_py(), dtype=float)
                 part = {k: v[a:b] for k, v in cols.items()}
                 prev[a:b], cur[a:b], _ = run_block(scan, part, fresh[a:b] & (at[a:b] == 0), state)
                 state = cur[b - 1]
-            last, pos = tuple(pdf.iloc[-1][list(by)]), int(at[-1]) + 1
-            out = pdf.drop(columns=list(drop))
-            yield out.assign(**scan.emit(prev, cur, cols))
+            last, pos = key_at(batch, by, n - 1), int(at[-1]) + 1
+            out = scan.emit(prev, cur, cols)
+            yield with_columns(batch, [*drop, *scan.outputs], {c: pa.array(out[c], pa.float64()) for c in scan.outputs})
 
     return run
 
 
-def _compose(scan: Scan, keys: Sequence[str]):
+def _compose(scan: Scan, keys: Sequence[str], schema: pa.Schema):
     """Batch iterator: one composed map per slice of a sorted task."""
     by = [*keys, SLICE]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def row(key: tuple, total) -> pa.RecordBatch:
+        values = [pa.array([k], schema.field(c).type) for k, c in zip(key, by)]
+        return pa.RecordBatch.from_arrays([*values, pa.array([scan.maps.pack(total)], pa.list_(pa.float64()))], names=[*by, "__map"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, total, pos = None, None, 0
-        done: list[tuple] = []
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
                 continue
-            fresh = _fresh(pdf, by, last)
-            at = _positions(fresh, pdf["__pos0"].to_numpy(), pos)
-            cols = {**_inputs(pdf, scan.inputs), "pos": at}
-            edges = [0, *[i for i in np.flatnonzero(fresh) if i], len(pdf)]
+            fresh = fresh_rows(batch, by, last)
+            at = _positions(fresh, _whole(batch, "__pos0"), pos)
+            cols = {**{c: numbers(batch.column(c)) for c in scan.inputs}, "pos": at}
+            edges = [0, *[int(i) for i in np.flatnonzero(fresh) if i], n]
             for a, b in zip(edges, edges[1:]):
                 if fresh[a]:
                     if total is not None:
-                        done.append((*last, scan.maps.pack(total)))
+                        yield row(last, total)
                     total = scan.maps.identity(1)
                 part = {k: v[a:b] for k, v in cols.items()}
                 _, _, piece = run_block(scan, part, at[a:b] == 0, np.zeros(scan.maps.dim))
                 total = scan.maps.then(total, piece)
-                last = tuple(pdf.iloc[b - 1][by])
+                last = key_at(batch, by, b - 1)
             pos = int(at[-1]) + 1
-            if done:
-                yield pd.DataFrame(done, columns=[*by, "__map"])
-                done = []
         if total is not None:
-            yield pd.DataFrame([(*last, scan.maps.pack(total))], columns=[*by, "__map"])
+            yield row(last, total)
 
     return run
 
 
-def _sorted_tasks(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+def sorted_tasks(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     return df.repartition(*by).sortWithinPartitions(*by, *order)
 
 
@@ -276,7 +295,7 @@ def _starts(scan: Scan, cut: DataFrame, lay: Layout) -> DataFrame:
     key_fields = sorted(key_fields, key=lambda f: by.index(f.name))
     map_schema = T.StructType(key_fields + [T.StructField("__map", T.ArrayType(T.DoubleType()))])
     narrow = placed.select(*dict.fromkeys([*by, *lay.order, *scan.inputs, "__pos0"]))
-    composed = _sorted_tasks(narrow, by, lay.order).mapInPandas(_compose(scan, lay.keys), map_schema)
+    composed = sorted_tasks(narrow, by, lay.order).mapInArrow(_compose(scan, lay.keys, to_arrow_schema(map_schema)), map_schema)
 
     def carry(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(SLICE)
@@ -293,38 +312,39 @@ def _starts(scan: Scan, cut: DataFrame, lay: Layout) -> DataFrame:
 
 def _relay(fold: Fold, by: Sequence[str], drop: Sequence[str]):
     """Batch iterator for folds; the last row of each slice also carries the state onward."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state, pos = None, [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, pos, held = None, [], 0, None
         named = len(by) - (by[-1] == SLICE)
-        held = None
-        for pdf in batches:
-            if not len(pdf):
+
+        def done(final: bool) -> pa.RecordBatch:
+            batch, results, states = held
+            if final:
+                states[-1] = state
+            added = {o: pa.array([float(r[j]) for r in results], pa.float64()) for j, o in enumerate(fold.outputs)}
+            return with_columns(batch, [*drop, *fold.outputs], {**added, "__state": pa.array(states, pa.list_(pa.float64()))})
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
                 continue
-            fresh = _fresh(pdf, by, last)
-            at = _positions(fresh, pdf["__pos0"].to_numpy(), pos)
-            rows = list(zip(*[pdf[c].tolist() for c in fold.inputs]))
-            keys = list(zip(*[pdf[c].tolist() for c in by]))
-            results, states = [], [None] * len(pdf)
+            fresh = fresh_rows(batch, by, last)
+            at = _positions(fresh, _whole(batch, "__pos0"), pos)
             if held is not None:
-                if fresh[0]:
-                    held.at[held.index[-1], "__state"] = state
-                yield held
+                yield done(bool(fresh[0]))
+            rows = list(zip(*[numbers(batch.column(c)).tolist() for c in fold.inputs]))
+            results, states = [], [None] * n
             for i, row in enumerate(rows):
                 if fresh[i]:
                     if i:
                         states[i - 1] = state
-                    resumed = pdf["__s0"].iat[i] if at[i] > 0 else None
-                    state = list(resumed) if resumed is not None else fold.initial(keys[i][:named])
+                    resumed = batch.column("__s0")[i].as_py() if at[i] > 0 else None
+                    state = resumed if resumed is not None else fold.initial(key_at(batch, by[:named], i))
                 state, out = fold.step(state, row, int(at[i]))
                 results.append(out)
-            last, pos = keys[-1], int(at[-1]) + 1
-            held = pdf.drop(columns=list(drop)).reset_index(drop=True)
-            for j, name in enumerate(fold.outputs):
-                held[name] = [float(r[j]) for r in results]
-            held["__state"] = pd.Series(states, dtype=object)
+            last, pos = key_at(batch, by, n - 1), int(at[-1]) + 1
+            held = (batch, results, states)
         if held is not None:
-            held.at[held.index[-1], "__state"] = state
-            yield held
+            yield done(True)
 
     return run
 
@@ -339,13 +359,13 @@ def run_scan(
     if not lay.hot:
         ready = df.withColumn("__pos0", F.lit(0).cast("long"))
         schema = _schema(ready, ["__pos0"], scan.outputs)
-        return _sorted_tasks(ready, lay.keys, lay.order).mapInPandas(_replay(scan, lay.keys, ["__pos0"]), schema)
+        return sorted_tasks(ready, lay.keys, lay.order).mapInArrow(_replay(scan, lay.keys, ["__pos0"]), schema)
     cut = assign(df, lay)
     by, extra = [*lay.keys, SLICE], [SLICE, HOT, "__pos0", "__s0"]
     ready = null_safe_join(cut, F.broadcast(_starts(scan, cut, lay)), by, "left")
     ready = ready.withColumn("__pos0", F.coalesce("__pos0", F.lit(0)))
     schema = _schema(ready, extra, scan.outputs)
-    return _sorted_tasks(ready, by, lay.order).mapInPandas(_replay(scan, by, extra), schema)
+    return sorted_tasks(ready, by, lay.order).mapInArrow(_replay(scan, by, extra), schema)
 
 
 def _run_fold(df: DataFrame, fold: Fold, lay: Layout) -> DataFrame:
@@ -353,7 +373,7 @@ def _run_fold(df: DataFrame, fold: Fold, lay: Layout) -> DataFrame:
 
     def stage(part: DataFrame, by: Sequence[str]) -> DataFrame:
         schema = _schema(part, extra, fold.outputs).add("__state", T.ArrayType(T.DoubleType()))
-        return _sorted_tasks(part, by, lay.order).mapInPandas(_relay(fold, by, extra), schema)
+        return sorted_tasks(part, by, lay.order).mapInArrow(_relay(fold, by, extra), schema)
 
     nothing = F.lit(None).cast("array<double>")
     if not lay.hot:

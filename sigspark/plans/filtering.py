@@ -13,7 +13,7 @@ W = "PARTITION BY dev ORDER BY us, id"
 
 def _filtered(name: str, digits: int = 6, scale: float = 1.0, extra: dict | None = None, **params):
     def run(spark, sf):
-        df = signal(spark, sf).withColumn("value", F.col("value") * scale)
+        df = signal(spark, sf).drop("ch").withColumn("value", F.col("value") * scale)
         out = filters.apply_filter(df, name, KEYS, ORDER, **params)
         more = [rnd(c, digits).alias(a) for c, a in (extra or {}).items()]
         return out.select("id", rnd("filtered", digits).alias("filtered"), rnd("residual", digits).alias("residual"), *more)
