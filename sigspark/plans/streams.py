@@ -6,10 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sigspark.plans.registry import NUMBERED, SIGNAL, query, rnd, table
+from sigspark.operators import features as fx
+from sigspark.plans.registry import FRAGMENTS, NUMBERED, SIGNAL, fragments, query, rnd, table
 from sigspark.plans.windowing import DAY
 from sigspark.session import shared_dir
-from sigspark.sources.streams import read_fragments_stream
+from sigspark.sources import fragments as fr
+from sigspark.sources import sinks
+from sigspark.sources.streams import read_fragments_stream, write_fragments_stream
 from sigspark.streaming import jobs, stateful
 
 
@@ -97,3 +100,72 @@ def k12(spark, sf):
     each = jobs.with_parameters(f"{base}/config", "event_type", lambda b, i: write(b.select("event_id", (F.col("value") > F.col("threshold")).alias("anomaly")), i))
     jobs.start(event_stream(spark, sf), f"{base}/checkpoint", each, None).awaitTermination()
     return spark.read.parquet(f"{base}/out").select("event_id", "anomaly")
+
+
+@query("a03_read_stream", "SELECT event_id, user_id, value FROM events")
+def a03(spark, sf):
+    return jobs.drain(spark, event_stream(spark, sf).select("event_id", "user_id", "value"), folder(spark))
+
+
+@query("a04_keyed_messages", "SELECT CASE WHEN user_id % 10 = 0 THEN 'unknown' ELSE user_id::VARCHAR END AS key, event_id, value FROM events")
+def a04(spark, sf):
+    base = folder(spark)
+    e = event_stream(spark, sf).select(F.when(F.col("user_id") % 10 != 0, F.col("user_id")).alias("device"), "event_id", "value")
+    write_fragments_stream(e, "device", "json", f"{base}/out", f"{base}/checkpoint", interval=None).start().awaitTermination()
+    back = spark.read.schema("key string, value string").json(f"{base}/out")
+    return back.select("key", F.from_json("value", "event_id long, value double").alias("m")).select("key", "m.*")
+
+
+def _stored(spark, sf):
+    """Fragments with the tags of the sample tables."""
+    f = fragments(spark, sf)
+    return f.select(F.concat(F.lit("dev-"), "label").alias("device_id"), (F.col("frag") % 2 + 1).cast("int").alias("channel_id"), F.col("frag").cast("int").alias("seq"),
+                    (F.lit(1681105991850321920) + F.col("frag") * 1000000).alias("ts_ns"), "samples")
+
+
+@query("a06_sample_tables", f"""WITH {FRAGMENTS} SELECT 'raw' AS kind, 'dev-' || label AS device_id, x.frag % 2 + 1 AS channel_id, count(*) AS n, min(1681105991850321920 + x.frag * 1000000 + i * 500) AS first_ns, round(sum(v), 5) + 0.0 AS total FROM x JOIN e ON e.frag = x.frag GROUP BY 2, 3
+UNION ALL SELECT 'filtered', 'dev-' || label, x.frag % 2 + 1, count(*), min(1681105991850321920 + x.frag * 1000000 + i * 500), round(sum(v), 5) + 0.0 FROM x JOIN e ON e.frag = x.frag GROUP BY 2, 3""")
+def a06(spark, sf):
+    base = folder(spark)
+    rows = fr.explode_samples(_stored(spark, sf), 2e6)
+    sinks.write_raw(rows.withColumn("sampling", F.lit(2000000)), f"{base}/raw")
+    sinks.write_filtered(rows, f"{base}/filtered", batch_id=0)
+    sinks.write_filtered(rows, f"{base}/filtered", batch_id=0)
+    total = lambda k: spark.read.parquet(f"{base}/{k}").groupBy(F.lit(k).alias("kind"), "device_id", "channel_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts_ns").alias("first_ns"), rnd(F.sum(F.col("voltage").cast("double")), 5).alias("total"))
+    return total("raw").unionByName(total("filtered"))
+
+
+@query("a07_feature_table", f"""WITH {FRAGMENTS} SELECT 'dev-' || e.label AS device_id, x.frag % 2 + 1 AS channel_id, x.frag AS seq, round(max(abs(v)), 6) AS amplitude, 0.0 AS loc_x, CASE WHEN max(abs(v)) >= 0.3 THEN 1 ELSE 0 END AS is_error FROM x JOIN e ON e.frag = x.frag GROUP BY 1, 2, 3""")
+def a07(spark, sf):
+    base = folder(spark)
+    feats = fx.burst_alarm(fx.burst_features_array(_stored(spark, sf)), amplitude=0.3, energy=1e9, counts=1e9)
+    sinks.write_features(feats, f"{base}/features")
+    back = spark.read.parquet(f"{base}/features")
+    return back.select("device_id", "channel_id", "seq", rnd(F.col("amplitude").cast("double")).alias("amplitude"), F.col("loc_x").cast("double").alias("loc_x"), "is_error")
+
+
+@query("k01_watermark", """SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM events GROUP BY 1
+HAVING min(time_bucket(INTERVAL 6 HOUR, ts)) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def k01(spark, sf):
+    marked = stateful.with_event_time(event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour")
+    done = jobs.drain(spark, jobs.window_stats(marked, "ts", "6 hours"), folder(spark))
+    return done.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n")
+
+
+@query("k09_micro_batches", "SELECT event_id, value FROM events")
+def k09(spark, sf):
+    base = folder(spark)
+    q = jobs.start(event_stream(spark, sf).select("event_id", "value"), f"{base}/checkpoint", jobs.to_parquet(f"{base}/out"), "500 milliseconds")
+    q.processAllAvailable()
+    q.stop()
+    return spark.read.parquet(f"{base}/out").select("event_id", "value")
+
+
+@query("k10_checkpoint_restart", "SELECT event_id, value FROM events")
+def k10(spark, sf):
+    base = folder(spark)
+    df = event_stream(spark, sf).select("event_id", "value")
+    for _ in range(2):                                   # the second run finds nothing new
+        jobs.start(df, f"{base}/checkpoint", jobs.to_parquet(f"{base}/out"), None).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("event_id", "value")

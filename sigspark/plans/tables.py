@@ -392,7 +392,7 @@ def j01(spark, sf):
         F.date_format(dates.end_of("year", t), f).alias("year_end"), F.quarter(t).alias("quarter"), F.datediff(t, F.lit("2024-01-01").cast("date")).alias("days"))
 
 
-_SPAN = "p AS (SELECT o_custkey AS k, date_trunc('day', min(o_orderdate)) AS a, max(o_orderdate) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND AS b FROM orders GROUP BY 1)"
+_SPAN = "p AS (SELECT o_orderpriority AS k, date_trunc('day', min(o_orderdate)) AS a, max(o_orderdate) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND AS b FROM orders GROUP BY 1)"
 
 
 def _ranges_sql(unit: str, step: str) -> str:
@@ -402,7 +402,7 @@ SELECT k, strftime(greatest(s, a), {_F6}) AS range_start, strftime(least(s + INT
 
 def _ranges(unit: str):
     def run(spark, sf):
-        p = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
+        p = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("k")).agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
         f = "yyyy-MM-dd HH:mm:ss.SSSSSS"
         return dates.date_ranges(p, "a", "b", unit).select("k", F.date_format("range_start", f).alias("range_start"), F.date_format("range_end", f).alias("range_end"))
 

@@ -13,13 +13,14 @@ from sigspark.operators.joins import hinted
 TAGS = ("device_id", "channel_id")
 
 
-def append_partitioned(df: DataFrame, path: str, keys: Sequence[str] = TAGS, batch_id: int | None = None) -> None:
+def append_partitioned(df: DataFrame, path: str, keys: Sequence[str] = TAGS, time: str = "ts_ns", batch_id: int | None = None) -> None:
     """Append rows to a Parquet table partitioned by its tags.
 
-    Rows are spread by tag *and* time before the write, so one busy device is written by several
-    tasks. With ``batch_id`` (streams) a replayed batch overwrites its own folder.
+    Rows are range-partitioned by tags *and* time, so a busy device is written by as many tasks as
+    its share of the rows, in time-sorted files. With ``batch_id`` (streams) a replayed batch
+    overwrites its own folder.
     """
-    spread = df.repartition(*[F.col(k) for k in keys], F.pmod(F.xxhash64(*df.columns), F.lit(16)))
+    spread = df.repartitionByRange(*keys, time).sortWithinPartitions(*keys, time)
     writer = spread.write.partitionBy(*keys)
     if batch_id is None:
         writer.mode("append").parquet(path)
