@@ -1,4 +1,4 @@
-"""Stream jobs: windowed statistics, side outputs, live parameters, and the fragment pipeline."""
+"""Stream jobs: windowed statistics, side outputs, live parameters, and the fragment job."""
 
 from __future__ import annotations
 
@@ -63,7 +63,7 @@ def with_parameters(config_path: str, key: str, each: Callable[[DataFrame, int],
     return run
 
 
-def fragment_pipeline(
+def fragment_job(
     lines: DataFrame, text: str, out: str, rate: float = 2e6, filter_name: str = "KALMAN_LEVEL", thresholds: Mapping[str, float] | None = None,
 ) -> Writer:
     """Parse, filter, describe and judge fragments; raw, filtered, feature, anomaly and error tables under ``out``.
@@ -86,7 +86,7 @@ def fragment_pipeline(
             sinks.write_features(feats, f"{out}/feature_data", batch_id)
             found = feats.filter("is_error = 1").select("device_id", "channel_id", "seq", "ts_ns", "error_type", "alert_level")
             to_parquet(f"{out}/anomalies")(found, batch_id)
-            bad = fr.to_dead_letter(parsed.filter("NOT is_valid"), text, "fragment_pipeline", F.col("error"), F.col("error"))
+            bad = fr.to_dead_letter(parsed.filter("NOT is_valid"), text, "fragment_job", F.col("error"), F.col("error"))
             to_parquet(f"{out}/errors")(bad, batch_id)
         finally:
             parsed.unpersist()
