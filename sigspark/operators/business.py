@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.functions.dates import range_key, spine
+from sigspark.functions.dates import spine
 from sigspark.operators.joins import ancestor_of_type, bucket_join, enrich, hinted
 from sigspark.operators.series import running
 

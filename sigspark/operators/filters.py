@@ -270,14 +270,14 @@ def linear(space: design.StateSpace, steady_start: bool = False) -> Scan:
     settled = space.steady() if steady_start else np.zeros(len(space.b))
 
     def step(cols):
-        return space.a[None], cols["value"][:, None] * space.b
+        n = len(cols["value"])
+        return np.broadcast_to(space.a, (n, *space.a.shape)), cols["value"][:, None] * space.b
 
     def before(cols):
         return cols["value"][:, None] * settled
 
     return Scan(
-        AffineMaps(len(space.b)), lambda cols: (np.broadcast_to(space.a, (len(cols["value"]), *space.a.shape)), step(cols)[1]),
-        lambda cols: before(cols) @ space.a.T + step(cols)[1],
+        AffineMaps(len(space.b)), step, lambda cols: before(cols) @ space.a.T + cols["value"][:, None] * space.b,
         lambda prev, cur, cols: {"filtered": prev @ space.c + space.d * cols["value"]},
         before_first=before,
     )
@@ -485,7 +485,7 @@ def apply_filter(
 
 # ---- fragments ------------------------------------------------------------------------------
 
-def _fragment_runner(scan: Scan, samples: str, rate_ms: float | None):
+def _fragment_runner(scan: Scan, samples: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             arrays = [np.asarray(a, dtype=float) if a is not None else np.zeros(0) for a in pdf[samples]]
@@ -523,7 +523,7 @@ def filter_fragments(df: DataFrame, name: str, samples: str = "samples", **param
     if not isinstance(chosen, Scan):
         raise ValueError(f"{name} has no fragment form")
     schema = T.StructType([*df.schema.fields, T.StructField("filtered", T.ArrayType(T.DoubleType())), T.StructField("status", T.StringType())])
-    return df.mapInPandas(_fragment_runner(chosen, samples, None), schema)
+    return df.mapInPandas(_fragment_runner(chosen, samples), schema)
 
 
 def zero_phase_fragments(df: DataFrame, samples: str = "samples", order: int = 4, cutoff: float = 0.1) -> DataFrame:

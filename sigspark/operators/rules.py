@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.operators.joins import hinted
-from sigspark.operators.predicates import match_dnf, rule_op, rule_op_by
+from sigspark.operators.predicates import match_dnf, rule_op_by
 from sigspark.operators.series import running
 
 RULES = (

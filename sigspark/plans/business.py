@@ -13,7 +13,7 @@ from sigspark.functions.money import to_cents
 from sigspark.operators import aggregates, business as biz
 from sigspark.operators.joins import enrich
 from sigspark.plans.registry import query, rnd, table
-from sigspark.plans.tables import AREA, area_tree
+from sigspark.plans.tables import area_tree
 
 _DAY = "yyyy-MM-dd"
 

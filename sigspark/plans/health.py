@@ -8,7 +8,7 @@ from sigspark.operators import detect, filters, windows
 from sigspark.operators import features as fx
 from sigspark.operators.series import positions
 from sigspark.plans.registry import FRAGMENTS, NUMBERED, SIGNAL, fragments, query, rnd, signal, table
-from sigspark.plans.windowing import DAY, SMOOTH, W, _R, restart_sql, smoothed
+from sigspark.plans.windowing import DAY, SMOOTH, W, _R, smoothed
 
 KEYS, ORDER = ["dev"], ["us", "id"]
 BURST = ["amplitude", "energy", "area", "skewness", "rise_time", "hit_duration", "counts", "ra", "af"]

@@ -64,7 +64,7 @@ def with_parameters(config_path: str, key: str, each: Callable[[DataFrame, int],
 
 
 def fragment_job(
-    lines: DataFrame, text: str, out: str, rate: float = 2e6, filter_name: str = "KALMAN_LEVEL", thresholds: Mapping[str, float] | None = None,
+    text: str, out: str, rate: float = 2e6, filter_name: str = "KALMAN_LEVEL", thresholds: Mapping[str, float] | None = None,
 ) -> Writer:
     """Parse, filter, describe and judge fragments; raw, filtered, feature, anomaly and error tables under ``out``.
 

@@ -12,7 +12,6 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -40,7 +39,7 @@ def _fresh_rows(pdf: pd.DataFrame, order: str, last: int | None) -> tuple[pd.Dat
 
 
 def filter_stream(
-    df: DataFrame, name: str, keys: Sequence[str], order: str, value: str = "value", max_state_taps: int = 64, **params,
+    df: DataFrame, name: str, keys: Sequence[str], order: str, value: str = "value", **params,
 ) -> DataFrame:
     """Run a registered filter with one state per key that survives micro-batches.
 

@@ -88,7 +88,7 @@ def test_fragment_job_and_messages(spark, tmp_path):
     good = [f"DATA-10-LEFT:{c}:{s}:{1681105991850321920 + s * 2000000}," + ",".join(str(np.sin(i / 5) * 0.02) for i in range(40)) for c in (1, 2) for s in range(3)]
     bad = ["no separator", "DEV:1:2,0.5", "DEV:1:2:3,0.5,x"]
     spark.createDataFrame([(x,) for x in good + bad], "value string").coalesce(1).write.text(src)
-    each = jobs.fragment_job(None, "value", out, thresholds={"amplitude": 0.009})
+    each = jobs.fragment_job("value", out, thresholds={"amplitude": 0.009})
     jobs.start(spark.readStream.format("text").load(src), str(tmp_path / "ck"), each, None).awaitTermination()
     read = lambda t: spark.read.parquet(f"{out}/{t}")
     assert read("raw_data").count() == 240 and read("filtered_data").count() == 240
