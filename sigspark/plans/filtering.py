@@ -46,7 +46,7 @@ def _when_full(n: int, expr: str) -> str:
     return f"CASE WHEN count(*) {_last(n)} < {n} THEN value ELSE {expr} END"
 
 
-query("f00_unknown_passes_through", f"WITH {SIGNAL} SELECT id, round(value, 6) AS filtered, 0.0 AS residual FROM s")(
+query("f00_unknown_passes_through", f"WITH {SIGNAL} SELECT id, round(value, 6) AS filtered, 0.0::DOUBLE AS residual FROM s")(
     _filtered("NO_SUCH_FILTER"))
 query("f00_unknown_uses_moving_average", _frame_sql(f"sum(value) OVER ({W} ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) / 20"))(
     _filtered("NO_SUCH_FILTER", unknown="MOVING_AVERAGE"))
@@ -204,7 +204,7 @@ def f24(spark, sf):
     return out.select("dev", rnd("level").alias("level"), rnd("trend").alias("trend"))
 
 
-@query("f24_level_fit", f"WITH {SIGNAL} SELECT dev, round(sum(value) / (count(*) + 0.5), 6) AS level, 0.0 AS trend FROM s GROUP BY dev")
+@query("f24_level_fit", f"WITH {SIGNAL} SELECT dev, round(sum(value) / (count(*) + 0.5), 6) AS level, 0.0::DOUBLE AS trend FROM s GROUP BY dev")
 def f24_level(spark, sf):
     out = filters.fit_line(signal(spark, sf), ["dev"], "us", "value", "level", ridge=0.5)
     return out.select("dev", rnd("level").alias("level"), "trend")

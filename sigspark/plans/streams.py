@@ -136,7 +136,7 @@ def a06(spark, sf):
     return total("raw").unionByName(total("filtered"))
 
 
-@query("a07_feature_table", f"""WITH {FRAGMENTS} SELECT 'dev-' || e.label AS device_id, x.frag % 2 + 1 AS channel_id, x.frag AS seq, round(max(abs(v)), 6) AS amplitude, 0.0 AS loc_x, CASE WHEN max(abs(v)) >= 0.3 THEN 1 ELSE 0 END AS is_error FROM x JOIN e ON e.frag = x.frag GROUP BY 1, 2, 3""")
+@query("a07_feature_table", f"""WITH {FRAGMENTS} SELECT 'dev-' || e.label AS device_id, x.frag % 2 + 1 AS channel_id, x.frag AS seq, round(max(abs(v)), 6) AS amplitude, 0.0::DOUBLE AS loc_x, CASE WHEN max(abs(v)) >= 0.3 THEN 1 ELSE 0 END AS is_error FROM x JOIN e ON e.frag = x.frag GROUP BY 1, 2, 3""")
 def a07(spark, sf):
     base = folder(spark)
     feats = fx.burst_alarm(fx.burst_features_array(_stored(spark, sf)), amplitude=0.3, energy=1e9, counts=1e9)
