@@ -292,7 +292,7 @@ SELECT x.frag, x.i, CASE WHEN b.frag IS NULL THEN 'ok' ELSE 'error' END AS statu
   CASE WHEN b.frag IS NOT NULL AND x.i = 0 THEN NULL ELSE round(CASE WHEN b.frag IS NULL THEN f.y ELSE x.v END, 6) + 0.0 END AS filtered
 FROM x JOIN f ON f.frag = x.frag AND f.i = x.i LEFT JOIN b ON b.frag = x.frag""")
 def f37(spark, sf):
-    bad = F.when(F.get("samples", F.lit(0)) < -0.1, F.concat(F.array(F.lit(float("nan"))), F.slice("samples", 2, 100000))).otherwise(F.col("samples"))
+    bad = F.when(F.get("samples", F.lit(0)) < -0.1, F.concat(F.array(F.lit(float("nan"))), F.slice("samples", F.lit(2), F.size("samples")))).otherwise(F.col("samples"))
     out = filters.filter_fragments(fragments(spark, sf).withColumn("samples", bad), "IIR")
     out = out.select("frag", "status", F.posexplode("filtered").alias("i", "y"))
     return out.select("frag", "i", "status", rnd(F.when(~F.isnan("y"), F.col("y"))).alias("filtered"))
