@@ -129,3 +129,22 @@ def test_sheet_files_and_routing(spark, tmp_path):
     seen = {}
     sinks.write_routed(routed, {"db": lambda d: seen.update(db=d.count()), "http": lambda d: seen.update(http=d.count())})
     assert seen == {"db": 2, "http": 1}
+
+
+def test_reorder_timer_skips_an_open_gap(spark, tmp_path):
+    import time
+
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    rows = [(1, 2, "c"), (1, 0, "a"), (2, 0, "x"), (2, 1, "y")]
+    spark.createDataFrame(rows, "dev int, seq long, body string").coalesce(1).write.parquet(src)
+    df = stateful.reorder_stream(spark.readStream.schema("dev int, seq long, body string").parquet(src), KEYS, "seq", "body", wait_ms=200)
+    q = jobs.start(df, str(tmp_path / "ck"), jobs.to_parquet(out), "200 milliseconds")
+    try:
+        got, until = [], time.time() + 40
+        while len(got) < 4 and time.time() < until:
+            time.sleep(1)
+            got = spark.read.parquet(out).collect() if q.lastProgress else []
+    finally:
+        q.stop()
+    assert sorted((r.dev, r.seq, r.body) for r in got) == [(1, 0, "a"), (1, 2, "c"), (2, 0, "x"), (2, 1, "y")]
+    assert max(r.skipped for r in got if r.dev == 1) == 1
