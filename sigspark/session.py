@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
+import os
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_GROUP_ROWS = "sigspark.maxGroupRows"
+_SHIPPED: set[str] = set()                                     # applications whose workers have the package
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -40,11 +44,33 @@ def max_group_rows(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a fresh local one only when unset."""
+    """The folder the cluster names for checkpoints, else one beside the tables of the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    return tempfile.mkdtemp(prefix="sigspark-ckpt-")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_sigspark"
+
+
+def fresh_dir(spark: SparkSession, label: str) -> str:
+    """A new folder name in the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, so that jobs run from any working folder."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root, buffer = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as out:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.writestr(os.path.relpath(path, os.path.dirname(root)), open(path).read())
+    at = sc._jvm.org.apache.hadoop.fs.Path(f"{fresh_dir(spark, 'code')}/sigspark.zip")
+    stream = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at)
+    stream.write(buffer.getvalue())
+    stream.close()
+    sc.addPyFile(at.toString())
+    _SHIPPED.add(sc.applicationId)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
