@@ -77,3 +77,10 @@ def field(name: str, kind: str) -> T.StructField:
 def words(data: bytes) -> list[bytes]:
     """Runs of bytes other than space and the five ASCII controls from tab to carriage return."""
     return data.split()
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int = 16) -> DataFrame:
+    """Left join on ``on`` (one row of ``right`` per value) with each value of ``left`` dealt to ``salts`` tasks."""
+    dealt = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [on, "__salt"], "left").drop("__salt")

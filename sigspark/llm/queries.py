@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import bpe, classifier, packing, quality_rules, simhash
+from sigspark.llm import bpe, chat, classifier, line_dedup, packing, quality_rules, simhash, span_hash, warc
 from sigspark.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,12 +33,45 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "text")
 
 
+@query("op1_event_chat", chat.SQL)
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    probe = "\\### Assistant: </turn> ok"
+    schema = "conv_id long, turn long, role string, text string"
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], schema)
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    message = ("turn", "copy")
+    back = chat.parse(chat.render(chat.fold(chat.events_of(turns), message=message), message=message))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    learnt = F.array_join("learnt", "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query("op2_warc_index", warc.SQL)
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    records = warc.read(warc.write(table(spark, sf, "pages")), payloads=False)
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_line_winnowing", line_dedup.SQL)
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.strip_repeats(documents(spark, sf))
+
+
 @query("op5_simhash_components")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.components(documents(spark, sf))
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op6_span_hashes")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return span_hash.fingerprint_edits(documents(spark, sf))
+
+
 @query("op7_curve_packing")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     pieces = packing.pack(documents(spark, sf), WORD_TOKENIZER)
