@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import bpe, chat, classifier, line_dedup, packing, quality_rules, simhash, span_hash, warc
+from sigspark.llm import bpe, chat, classifier, line_dedup, lm_scoring, packing, quality_rules, simhash, span_hash, warc
 from sigspark.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,11 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op3_bloom_lm")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf), remainder("doc_id", 7) == 2)
+
+
 @query("op4_line_winnowing", line_dedup.SQL)
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.strip_repeats(documents(spark, sf))
