@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import os
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,31 +25,67 @@ from pyspark.sql import types as T
 
 from sigspark.llm.common import arrow_map, field, present, stored
 
-BLANKS = str.maketrans("\n\t\r", "   ")
 DIMS, BITS, BUCKETS = 4, 15, 256
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter by which a byte-level vocabulary writes each byte: printable ones as they are, the others from 256 up."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b if b in shown else 256 + hidden.index(b) for b in range(256)}
+
+
 class WordTokenizer:
-    """Ids of texts by a tokenizer that drops white space and never joins across it; words are remembered."""
+    """Ids of texts by a tokenizer that drops white space, folds case and never joins across white space or between
+    letters and other signs; words are remembered.
+
+    Words of plain letters go straight to the tokenizer's model, all others through the whole tokenizer.
+    """
 
     def __init__(self, path: str, cache: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.cache, self.known = Tokenizer.from_file(path), cache, {"": b""}
-
-    def ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        self.model, self.letters = self.tokenizer.model.tokenize, byte_letters()
+
+    def whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def plain(self, word: str) -> bytes:
+        """A word of letters below U+0250, which are composed already."""
+        if word.isascii():
+            form = word.lower()
+        else:
+            form = word.lower().encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model(form)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, words: set[str]) -> None:
+        known, other, ended = self.known, [], []
+        for w in words:
+            if w.isalpha() and (w.isascii() or max(w) < "\u0250" and "\u0130" not in w):
+                known[w] = self.plain(w)
+            elif w[-1] in ".,;:!?" and w[:-1].isascii() and w[:-1].isalpha():
+                ended.append(w)
+            else:
+                other.append(w)
+        known.update(zip(other, self.whole(other), strict=True))
+        for w in ended:
+            known[w] = (known.get(w[:-1]) or self.plain(w[:-1])) + (known.get(w[-1]) or self.whole([w[-1]])[0])
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        parted = [t.translate(BLANKS).split(" ") for t in texts]
+        parted = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) >= self.cache:
             self.known = {"": b""}
-        unknown = list({w for words in parted for w in words}.difference(self.known))
-        new = dict(zip(unknown, self.ids(unknown), strict=True))
-        known = self.known
-        known.update((w, i) for w, i in new.items() if len(w) <= 64)
-        return [b"".join([known[w] if w in known else new[w] for w in words]) + end for words in parted]
+        unknown = set().union(*parted).difference(self.known)
+        self.learn(unknown)
+        get = self.known.__getitem__
+        out = [b"".join(map(get, words)) + end for words in parted]
+        for w in unknown:
+            if len(w) > 64:
+                del self.known[w]
+        return out
 
 
 @functools.lru_cache(maxsize=2)
