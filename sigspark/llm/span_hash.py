@@ -119,42 +119,40 @@ def fingerprints(docs: DataFrame, text: Column | str = "text", carry: list[str]
     return arrow_map(docs, [present(text)], [field("fingerprint", "string")], make, carry)
 
 
-def with_next(rows: DataFrame, key: str, columns: list[str], tie: Column) -> DataFrame:
-    """``rows`` with ``next_<column>`` of the row after it in descending key order, round the end.
+def dealt(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``bucket``, a stretch of neighbouring keys (of ``ids``), and ``ahead``: the first rows of a bucket
+    are also sent to the bucket before it in descending order, and those of the first bucket to the last.
 
-    Rows are dealt into buckets of neighbouring keys; the first rows of a bucket are also sent to the bucket before it.
-    The cut points steer the dealing only; the result does not depend on them."""
-    spark = rows.sparkSession
+    The cut points steer the dealing only; no result depends on them."""
+    spark = ids.sparkSession
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     double = F.col(key).cast("double")
-    cuts = rows.select(double.alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.1 / n)
-    inner = sorted(set(cuts))
-    if inner:
-        bucketizer = Bucketizer(splits=[-np.inf, *inner, np.inf], inputCol="__double", outputCol="__bucket", handleInvalid="keep")
-        dealt = bucketizer.transform(rows.withColumn("__double", F.coalesce(double, F.lit(float("nan"))))).drop("__double")
-        dealt = dealt.withColumn("__bucket", F.when(F.col(key).isNull(), -1).otherwise(F.col("__bucket")).cast("int"))
-    else:
-        dealt = rows.withColumn("__bucket", F.when(F.col(key).isNull(), -1).otherwise(0).cast("int"))
-    heads = dealt.groupBy("__bucket").agg(F.max(key).alias("__head")).collect()     # at most n + 1 rows
-    order = sorted(heads, key=lambda r: -r["__bucket"])
-    before = [(r["__bucket"], r["__head"], order[i - 1]["__bucket"]) for i, r in enumerate(order)]
-    schema = f"__bucket int, __head {rows.schema[key].dataType.simpleString()}, __before int"
+    cuts = ids.select(double.alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.1 / n)
+    splits = [-np.inf, *(sorted(set(cuts)) or [0.0]), np.inf]
+    by = Bucketizer(splits=splits, inputCol="double", outputCol="at", handleInvalid="keep")
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        placed = by.transform(df.withColumn("double", F.coalesce(double, F.lit(0.0)))).drop("double")
+        return placed.withColumn("at", F.when(F.col(key).isNull(), -1).otherwise(F.col("at")).cast("int"))
+
+    heads = bucketed(ids).groupBy("at").agg(F.max(key).alias("head")).collect()      # at most n + 1 rows
+    order = sorted(heads, key=lambda r: -r["at"])
+    before = [(r["at"], r["head"], order[i - 1]["at"]) for i, r in enumerate(order)]
+    schema = f"at int, head {rows.schema[key].dataType.simpleString()}, before int"
     known = F.broadcast(spark.createDataFrame(before, schema))
-    own = F.struct(F.col("__bucket").alias("b"), F.lit(False).alias("ahead"))
-    ahead = F.struct(F.col("__before").alias("b"), F.lit(True).alias("ahead"))
-    both = F.when(F.col(key).eqNullSafe(F.col("__head")), F.array(own, ahead)).otherwise(F.array(own))
-    sent = dealt.join(known, "__bucket").withColumn("__to", F.explode(both))
-    window = Window.partitionBy("__to.b").orderBy("__to.ahead", F.col(key).desc_nulls_last(), tie)
-    for c in columns:
-        sent = sent.withColumn(f"next_{c}", F.lead(c).over(window))
-    return sent.filter("not __to.ahead").select(*rows.columns, *[f"next_{c}" for c in columns])
+    own = F.struct(F.col("at").alias("bucket"), F.lit(False).alias("ahead"))
+    also = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("ahead"))
+    to = F.explode(F.when(F.col(key).eqNullSafe(F.col("head")), F.array(own, also)).otherwise(F.array(own)))
+    return bucketed(rows).join(known, "at").withColumn("to", to).select(*rows.columns, "to.bucket", "to.ahead")
 
 
 def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: Column | str = "text") -> DataFrame:
     """Per document: ``n_chars``, its edited text's digest, both fingerprints, their likeness, that to the next document,
     and ``common``, the longest common prefix of text and edited text."""
     rows = fingerprints(docs.select(key, present(text).alias("text")))
-    paired = with_next(rows, key, ["text", "fingerprint"], F.xxhash64("text"))
+    window = Window.partitionBy("bucket").orderBy("ahead", F.col(key).desc_nulls_last(), F.xxhash64("text"))
+    following = [F.lead(c).over(window).alias(f"next_{c}") for c in ("text", "fingerprint")]
+    paired = dealt(docs.select(key), rows, key).select("*", *following).filter("not ahead")
     n = F.length("text")
     kept, tail = F.substr("text", F.lit(1), n - F.floor(n / 3)), F.substr("next_text", F.lit(1), F.floor(n / 3).cast("int"))
     edited = paired.select(
