@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,17 +42,25 @@ MADE = [
 class Settings:
     """``block``: bytes of text in a block; ``filter_bits``: size of the broadcast filter; ``hashes``: bits per level;
     ``base``: step between levels; ``power``: growth of a word's distinct successors with its count; ``shard_words``
-    and ``shard_bigrams``: bytes and entries that one task adds up."""
+    and ``shard_bigrams``: compressed bytes and entries that one task adds up."""
 
     block: int = 4 << 20
     filter_bits: int = 1 << 29
     hashes: int = 4
     base: float = 1.5
     power: float = 0.8
-    shard_words: int = 8 << 20
+    shard_words: int = 4 << 20
     shard_bigrams: int = 2_000_000
 
 
+def squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def expand(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def word_hashes(vocabulary: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, vocabulary), np.uint64, len(vocabulary))
 
@@ -86,7 +95,7 @@ def in_blocks(docs: DataFrame, key: str, text: Column | str, held: Column, s: Se
             lists = [pa.ListArray.from_arrays(offsets, c) for c in (
                 whole.column(0).combine_chunks(), whole.column(1).combine_chunks(), pa.array(sizes))]
             one = [
-                all_ids.tobytes(), b" ".join(number), np.bincount(train, minlength=len(number)).astype("<i4").tobytes(),
+                squeeze(all_ids.tobytes()), squeeze(b" ".join(number)), np.bincount(train, minlength=len(number)).astype("<i4").tobytes(),
             ]
             return pa.RecordBatch.from_arrays(
                 [pa.array([part << 32 | n], pa.int64()), *lists, *[pa.array([x], pa.binary()) for x in one]], names=names
@@ -123,13 +132,13 @@ def word_totals(blocks: DataFrame, shards: int, s: Settings) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, vocabulary, trained in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                tokens = np.array(vocabulary.split(b" "), object)
+                tokens = np.array(expand(vocabulary).split(b" "), object)
                 counts = np.frombuffer(trained, "<i4")
                 shard = (word_hashes(tokens.tolist()) % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
                 cuts = np.flatnonzero(np.diff(shard[order])) + 1
                 rows = [
-                    (int(shard[p[0]]), block, p.astype("<i4").tobytes(), b" ".join(tokens[p]), counts[p].tobytes())
+                    (int(shard[p[0]]), block, p.astype("<i4").tobytes(), squeeze(b" ".join(tokens[p])), counts[p].tobytes())
                     for p in np.split(order, cuts)
                 ]
                 yield pa.RecordBatch.from_arrays(
@@ -139,7 +148,7 @@ def word_totals(blocks: DataFrame, shards: int, s: Settings) -> DataFrame:
 
     def add(rows: pa.Table) -> pa.Table:
         total: dict[bytes, int] = {}
-        lists = [w.split(b" ") for w in rows.column("words").to_pylist()]
+        lists = [expand(w).split(b" ") for w in rows.column("words").to_pylist()]
         for tokens, counts in zip(lists, rows.column("counts").to_pylist(), strict=True):
             for w, c in zip(tokens, np.frombuffer(counts, "<i4").tolist(), strict=True):
                 total[w] = total.get(w, 0) + c
@@ -195,7 +204,7 @@ def bigram_slices(blocks: DataFrame, shards: int, s: Settings) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, vocabulary, held, sizes in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                keys = bigram_keys(word_hashes(vocabulary.split(b" ")), np.frombuffer(ids, "<i4"))
+                keys = bigram_keys(word_hashes(expand(vocabulary).split(b" ")), np.frombuffer(expand(ids), "<i4"))
                 keys, counts = np.unique(keys[np.repeat(~np.array(held, bool), sizes)], return_counts=True)
                 cuts = np.searchsorted(keys, np.arange(1, shards, dtype=np.uint64) * np.uint64(-(-(1 << 64) // shards)))
                 rows = [
@@ -276,7 +285,7 @@ def score(
         for b in batches:
             for i in range(b.num_rows):
                 keys, held, sizes = (b.column(c)[i].values for c in range(3))
-                ids, vocabulary = np.frombuffer(b.column(3)[i].as_py(), "<i4"), b.column(4)[i].as_py().split(b" ")
+                ids, vocabulary = np.frombuffer(expand(b.column(3)[i].as_py()), "<i4"), expand(b.column(4)[i].as_py()).split(b" ")
                 count = np.zeros(len(vocabulary), np.int64)
                 for at, part in zip(b.column(5)[i].as_py(), b.column(6)[i].as_py(), strict=True):
                     count[np.frombuffer(at, "<i4")] = np.frombuffer(part, "<i8")
