@@ -61,16 +61,39 @@ def expand(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending 48-bit keys as differences, byte by byte of their planes."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return squeeze(steps[:, :6].T.tobytes())
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(expand(data), np.uint8).reshape(6, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :6] = planes.T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def width_of(shards: int) -> int:
+    """Keys that share a slice."""
+    return -(-(1 << 48) // shards)
+
+
+def prime_under(n: int) -> int:
+    """Largest prime up to ``n``: then no step between places has a short cycle."""
+    return next(p for p in range(n, 1, -1) if all(p % d for d in range(2, math.isqrt(p) + 1)))
+
+
 def word_hashes(vocabulary: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, vocabulary), np.uint64, len(vocabulary))
 
 
 def bigram_keys(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each token and the one before it; before a text stands the end token, number 0."""
+    """A 48-bit key for each token and the one before it; before a text stands the end token, number 0."""
     before = np.concatenate([np.zeros(1, ids.dtype), ids[:-1]])
     key = hashes[before] * np.uint64(0x9E3779B97F4A7C15) + hashes[ids]
     key = (key ^ (key >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return key ^ (key >> np.uint64(32))
+    return (key ^ (key >> np.uint64(32))) >> np.uint64(16)
 
 
 def in_blocks(docs: DataFrame, key: str, text: Column | str, held: Column, s: Settings) -> DataFrame:
@@ -169,15 +192,15 @@ def word_totals(blocks: DataFrame, shards: int, s: Settings) -> DataFrame:
     ]))
 
 
-def probes(keys: np.ndarray, slice_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def probes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First place and step of each key's places in its slice."""
     first = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    step = (keys ^ (keys >> np.uint64(27))) * np.uint64(0x94D049BB133111EB) | np.uint64(1)
-    return first >> np.uint64(8), step >> np.uint64(8)
+    step = (keys ^ (keys >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return first >> np.uint64(8), step >> np.uint64(8) | np.uint64(1)
 
 
-def place(first: np.ndarray, step: np.ndarray, nth: int, slice_bits: int) -> np.ndarray:
-    return (first + np.uint64(nth) * step) % np.uint64(slice_bits)
+def place(first: np.ndarray, step: np.ndarray, nth: int, places: int) -> np.ndarray:
+    return (first + np.uint64(nth) * step) % np.uint64(places)
 
 
 def build_slice(keys: np.ndarray, counts: np.ndarray, slice_bits: int, s: Settings) -> np.ndarray:
@@ -188,12 +211,12 @@ def build_slice(keys: np.ndarray, counts: np.ndarray, slice_bits: int, s: Settin
     fits = np.flatnonzero(load <= slice_bits * math.log(2))
     least = int(fits[0]) if len(fits) else len(each)
     chosen = level >= max(1, least)
-    (first, step), level = probes(keys[chosen], slice_bits), level[chosen]
-    bits = np.zeros(slice_bits, bool)
+    (first, step), level = probes(keys[chosen]), level[chosen]
+    bits, places = np.zeros(slice_bits, bool), prime_under(slice_bits)
     for q in range(1, int(level.max(initial=0)) + 1):
         on = level >= q
         for h in range(s.hashes):
-            bits[place(first[on], step[on], (q - 1) * s.hashes + h, slice_bits)] = True
+            bits[place(first[on], step[on], (q - 1) * s.hashes + h, places)] = True
     return np.packbits(bits, bitorder="little")
 
 
@@ -206,9 +229,9 @@ def bigram_slices(blocks: DataFrame, shards: int, s: Settings) -> DataFrame:
             for ids, vocabulary, held, sizes in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 keys = bigram_keys(word_hashes(expand(vocabulary).split(b" ")), np.frombuffer(expand(ids), "<i4"))
                 keys, counts = np.unique(keys[np.repeat(~np.array(held, bool), sizes)], return_counts=True)
-                cuts = np.searchsorted(keys, np.arange(1, shards, dtype=np.uint64) * np.uint64(-(-(1 << 64) // shards)))
+                cuts = np.searchsorted(keys, np.arange(1, shards, dtype=np.uint64) * np.uint64(width_of(shards)))
                 rows = [
-                    (i, k.tobytes(), c.astype("<u4").tobytes())
+                    (i, pack_keys(k), c.astype("<u4").tobytes())
                     for i, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)) if len(k)
                 ]
                 if rows:
@@ -218,7 +241,7 @@ def bigram_slices(blocks: DataFrame, shards: int, s: Settings) -> DataFrame:
                     )
 
     def add(rows: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.uint64)
+        keys = np.concatenate([unpack_keys(k) for k in rows.column("keys").to_pylist()])
         counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<u4")
         order = np.argsort(keys)
         keys = keys[order]
@@ -240,18 +263,20 @@ def bigram_slices(blocks: DataFrame, shards: int, s: Settings) -> DataFrame:
 class Filter:
     bits: np.ndarray
     shards: int
+    levels: int
     settings: Settings
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Lower edge of the highest level found for each key, 0 if it is not there."""
         s = self.settings
         slice_bits = s.filter_bits // self.shards // 64 * 64
-        base = (keys // np.uint64(-(-(1 << 64) // self.shards))) * np.uint64(slice_bits)
-        first, step = probes(keys, slice_bits)
+        base = (keys // np.uint64(width_of(self.shards))) * np.uint64(slice_bits)
+        places = prime_under(slice_bits)
+        first, step = probes(keys)
         out, live, q = np.zeros(len(keys)), np.arange(len(keys)), 0
-        while len(live):
+        while len(live) and q < self.levels:
             for h in range(s.hashes):
-                bit = base[live] + place(first[live], step[live], q * s.hashes + h, slice_bits)
+                bit = base[live] + place(first[live], step[live], q * s.hashes + h, places)
                 live = live[self.bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1]
             out[live] = math.ceil(s.base ** q - 1e-9)
             q += 1
@@ -277,11 +302,11 @@ def score(
         bits[row["shard"] * slice_bytes:(row["shard"] + 1) * slice_bytes] = np.frombuffer(row["bits"], np.uint8)
         distinct += row["distinct"]
     shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
-    rate = distinct / max(spread, 1.0)
+    rate, levels = distinct / max(spread, 1.0), 1 + int(math.log(max(tokens, 1)) / math.log(s.base))
     gathered = totals.groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("totals").alias("totals"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Filter(np.frombuffer(shared.value, np.uint8), shards, s)
+        model = Filter(np.frombuffer(shared.value, np.uint8), shards, levels, s)
         for b in batches:
             for i in range(b.num_rows):
                 keys, held, sizes = (b.column(c)[i].values for c in range(3))
