@@ -189,7 +189,7 @@ def pack(
     """Pieces of all texts: key, ``start`` in the document, ``length``, ``ids`` (packed), ``doc_tokens``,
     ``sequence_id`` and ``offset`` in the sequence. ``tokenizer`` is a path that every worker reads."""
     rows = stored(tokenized(docs, tokenizer, text, key, end_id), "tokens")
-    placed = rows.join(starts(rows, key), "uid").select(key, "ids", "at")
+    placed = rows.join(starts(rows, key).hint("merge"), "uid").select(key, "ids", "at")     # a row per text: not to be broadcast
     kept = placed.schema[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
