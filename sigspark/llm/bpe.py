@@ -40,7 +40,7 @@ class PrefixTable:
         self.token = {rank: data for data, rank in ranks.items()}
         self.size = {rank: len(data) for data, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.ends: dict[bytes, tuple[list[bytes], list[bytes]]] = {}
         self.recent: tuple[bytes, list[int]] = (b"", [])
 
@@ -70,7 +70,7 @@ class PrefixTable:
         Both sides grow in order of rank; they are apart if no merge across the border is ever due first. Of equal
         ranks the leftmost merge is due first.
         """
-        got = self.pairs.get((left, right))
+        got = self.pairs.get(left << 24 | right)
         if got is not None:
             return got
         ranks, never = self.ranks, 1 << 62
@@ -90,7 +90,7 @@ class PrefixTable:
                 i += 1
             else:
                 j += 1
-        self.pairs[left, right] = got
+        self.pairs[left << 24 | right] = got
         return got
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
@@ -104,7 +104,7 @@ class PrefixTable:
                     if not start:
                         break
                     before = last[start - 1]
-                    ok = pair((before, token))
+                    ok = pair(before << 24 | token)
                     if ok or ok is None and self.compatible(before, token):
                         break
                 start -= 1
@@ -159,7 +159,7 @@ class Encoder:
     space meets the cut. Such texts are split whole.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 400_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 200_000) -> None:
         self.table, self.split, self.cache = PrefixTable(ranks), regex.compile(pattern).findall, cache
         self.known: dict[str, bytes] = {}
 
@@ -175,6 +175,8 @@ class Encoder:
         known, piece = self.known, self.table.piece
         if len(known) >= self.cache:
             known.clear()
+        if len(self.table.pairs) >= 2 * self.cache:
+            self.table.pairs.clear()
         mixed = []
         for word in sorted(words):
             data = word.encode()
@@ -247,13 +249,30 @@ def decode(df: DataFrame, ranks: str, ids: str = "ids", carry: Iterable[str] | N
     return arrow_map(df, [F.col(ids)], [field("decoded", "binary")], make, carry)
 
 
-def digests(encoded: DataFrame, ranks: str, key: str = "doc_id") -> DataFrame:
-    """Number and digest of the ids, and the digest of what they decode to."""
-    both = decode(encoded, ranks, carry=[key, "ids"])
+def round_trip(
+    df: DataFrame, ranks: str, pattern: str, text: Column | str = "text", carry: Iterable[str] | None = None,
+) -> DataFrame:
+    """``df`` with ``ids`` and ``decoded``, what the ids decode to, in one pass."""
+
+    def make():
+        encoder = encoder_of(ranks, pattern)
+
+        def step(texts: pa.Array):
+            ids = [i for n in range(0, len(texts), 400) for i in encoder.encode(texts.slice(n, 400).to_pylist())]
+            back = [encoder.table.decode(np.frombuffer(i, "<u4").tolist()) for i in ids]
+            return [pa.array(ids, pa.binary()), pa.array(back, pa.binary())]
+
+        return step
+
+    return arrow_map(df, [present(text)], [field("ids", "binary"), field("decoded", "binary")], make, carry)
+
+
+def digests(both: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Number and digest of the ``ids``, and the digest of what they decode to."""
     return both.select(
         key, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
 
 
-__all__ = ["Encoder", "PrefixTable", "decode", "digests", "encode", "read_ranks"]
+__all__ = ["Encoder", "PrefixTable", "decode", "digests", "encode", "read_ranks", "round_trip"]

@@ -87,8 +87,7 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op8_prefix_bpe")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
-    encoded = bpe.encode(documents(spark, sf), BYTE_RANKS, public_tokenizers.PATTERN, carry=["doc_id"])
-    return bpe.digests(encoded, BYTE_RANKS)
+    return bpe.digests(bpe.round_trip(documents(spark, sf), BYTE_RANKS, public_tokenizers.PATTERN, carry=["doc_id"]))
 
 
 @query("op9_neighbour_votes")
