@@ -159,7 +159,7 @@ class Encoder:
     space meets the cut. Such texts are split whole.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 200_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 300_000) -> None:
         self.table, self.split, self.cache = PrefixTable(ranks), regex.compile(pattern).findall, cache
         self.known: dict[str, bytes] = {}
 
