@@ -113,85 +113,51 @@ def trailing_stream(df: DataFrame, keys: Sequence[str], order: str, width: int,
     return df.groupBy(*keys).applyInPandasWithState(advance, out, state, "append", GroupStateTimeout.NoTimeout)
 
 
-class Reorder:
-    """Release rows in sequence order: hold early ones, skip a gap after a wait, drop late ones."""
-
-    def __init__(self, expected: int = 0, held: dict[int, str] | None = None, last_ms: int | None = None,
-                 received: int = 0, skipped: int = 0, out_of_order: int = 0, most: int = 1000, wait_ms: int = 100):
-        self.expected, self.held, self.last_ms = expected, held or {}, last_ms
-        self.received, self.skipped, self.out_of_order = received, skipped, out_of_order
-        self.most, self.wait_ms = most, wait_ms
-
-    def add(self, seq: int, body: str, now_ms: int) -> list[tuple[int, str]]:
-        self.received += 1
-        if self.last_ms is None:
-            self.last_ms = now_ms
-        if seq < self.expected:
-            self.skipped += 1
-            return []
-        if seq != self.expected:
-            self.out_of_order += 1
-        self.held[seq] = body
-        return self.flush(now_ms)
-
-    def flush(self, now_ms: int) -> list[tuple[int, str]]:
-        out = []
-        waited = now_ms - (self.last_ms if self.last_ms is not None else now_ms)
-        while self.held:
-            if self.expected not in self.held:
-                if waited <= self.wait_ms:
-                    break
-                first = min(self.held)
-                self.skipped += first - self.expected
-                self.expected = first
-            out.append((self.expected, self.held.pop(self.expected)))
-            self.expected += 1
-            self.last_ms = now_ms
-        if len(self.held) > self.most:
-            for seq in sorted(self.held)[: len(self.held) - self.most // 2]:
-                out.append((seq, self.held.pop(seq)))
-                self.expected = max(self.expected, seq + 1)
-        return out
-
-    def drain(self) -> list[tuple[int, str]]:
-        out = sorted(self.held.items())
-        self.held = {}
-        return out
-
-
-def reorder_stream(df: DataFrame, keys: Sequence[str], seq: str, body: str, wait_ms: int = 100, most: int = 1000, timer: bool = True) -> DataFrame:
+def releasable(seqs: np.ndarray, due: int, overdue: bool, most: int | None = None) -> int:
+    """How many of the ascending, distinct numbers may go out: the run from ``due`` on; all once the wait is over; and,
+    with ``most``, so many that half of ``most`` stay when more are held."""
+    if overdue:
+        return len(seqs)
+    run = int(np.logical_and.accumulate(seqs == due + np.arange(len(seqs))).sum())
+    return run if most is None or len(seqs) - run <= most else len(seqs) - most // 2
+
+
+def reorder_stream(
+    df: DataFrame, keys: Sequence[str], seq: str, body: str, wait_ms: int = 100, most: int | None = None, timer: bool = True,
+) -> DataFrame:
     """Rows of each key in sequence order; a processing-time timer skips gaps that stay open.
 
+    A batch is sorted together with the rows held back and its run without gaps is released; of equal numbers the
+    newest row stays. Numbers that went by are not released any more; ``skipped`` counts them and the missing ones.
+    Nothing is let out early unless ``most`` is given.
+
     Spark keeps running empty batches while timers are in use, so a run that should end by itself
     (``availableNow``) needs ``timer=False``: gaps are then judged when the key's next row arrives.
     """
     fields = [df.schema[k] for k in keys]
     out = T.StructType([*fields, T.StructField(seq, T.LongType()), T.StructField(body, T.StringType()), T.StructField("skipped", T.LongType())])
-    state = "expected long, seqs array<long>, bodies array<string>, last_ms long, received long, skipped long, early long"
+    state = "due long, seqs array<long>, bodies array<string>, moved_ms long, skipped long"
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         now = held.getCurrentProcessingTimeMs()
-        if held.exists:
-            e, seqs, bodies, last, received, skipped, early = held.get
-            line = Reorder(e, dict(zip(seqs, bodies)), last, received, skipped, early, most, wait_ms)
-        else:
-            line = Reorder(most=most, wait_ms=wait_ms)
-        done: list[tuple[int, str]] = []
-        if held.hasTimedOut:
-            done = line.flush(now)
-        else:
-            for pdf in frames:
-                for s, b in zip(pdf[seq].tolist(), pdf[body].tolist()):
-                    done += line.add(int(s), b, now)
-        seqs = list(line.held)
-        held.update((line.expected, seqs, [line.held[s] for s in seqs], line.last_ms or now, line.received, line.skipped, line.out_of_order))
-        if timer and line.held:
+        due, seqs, bodies, moved, skipped = held.get if held.exists else (0, [], [], now, 0)
+        rows = [pd.DataFrame({seq: np.array(seqs, np.int64), body: np.array(bodies, object)})]
+        if not held.hasTimedOut:
+            rows += [f[[seq, body]] for f in frames]
+        rows = pd.concat(rows, ignore_index=True).astype({seq: np.int64})
+        late = int((rows[seq] < due).sum())
+        rows = rows[rows[seq] >= due].drop_duplicates(seq, keep="last").sort_values(seq, ignore_index=True)
+        n = releasable(rows[seq].to_numpy(), due, now - moved > wait_ms, most)
+        done, rest = rows[:n], rows[n:]
+        skipped += late
+        if n:
+            after = int(done[seq].iloc[-1]) + 1
+            skipped, due, moved = skipped + after - due - n, after, now
+        held.update((due, rest[seq].tolist(), rest[body].tolist(), moved, skipped))
+        if timer and len(rest):
             held.setTimeoutDuration(wait_ms + 1)
-        if done:
-            rows = pd.DataFrame(done, columns=[seq, body])
-            for k, v in zip(keys, key):
-                rows[k] = v
-            yield rows.assign(skipped=line.skipped)[[*keys, seq, body, "skipped"]]
+        if n:
+            yield done.assign(**dict(zip(keys, key)), skipped=skipped)[[*keys, seq, body, "skipped"]]
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if timer else GroupStateTimeout.NoTimeout
     return df.groupBy(*keys).applyInPandasWithState(advance, out, state, "append", timeout)

@@ -72,15 +72,13 @@ def test_restart_continues_from_checkpoint(spark, tmp_path):
 
 
 def test_reorder_rules():
-    line = stateful.Reorder(wait_ms=100, most=4)
-    assert line.add(1, "b", 0) == [] and line.add(0, "a", 10) == [(0, "a"), (1, "b")]
-    assert line.add(0, "again", 20) == [] and line.skipped == 1
-    assert line.add(5, "f", 30) == [] and line.flush(60) == []
-    assert line.flush(200) == [(5, "f")] and line.skipped == 4
-    for s in (10, 11, 12, 13):
-        assert line.add(s, str(s), 201) == []
-    assert [s for s, _ in line.add(14, "14", 201)] == [10, 11, 12]
-    assert line.drain() == [(13, "13"), (14, "14")]
+    held = lambda *n: np.array(n, np.int64)
+    assert stateful.releasable(held(0, 1, 2, 5), 0, False) == 3
+    assert stateful.releasable(held(3, 4), 2, False) == 0
+    assert stateful.releasable(held(3, 4, 9), 2, True) == 3
+    assert stateful.releasable(held(), 2, False) == 0
+    assert stateful.releasable(held(3, 5, 7, 9, 11), 2, False, most=4) == 3
+    assert stateful.releasable(held(3, 5, 7, 9), 2, False, most=4) == 0
 
 
 def test_fragment_job_and_messages(spark, tmp_path):
