@@ -124,30 +124,52 @@ def moving_average(size: int = 20) -> FrameFilter:
 
 # ---- gain filters: y += k(position) * (x - y) -----------------------------------------------
 
-def _settled(step: Callable[[float], tuple[float, float]], p: float, limit: int = 20000) -> list[float]:
-    """Gain sequence until it stops changing; the last gain holds from there on."""
-    gains: list[float] = []
-    for _ in range(limit):
-        k, p = step(p)
-        gains.append(k)
-        if len(gains) > 2 and gains[-1] == gains[-2] == gains[-3]:
-            break
-    return gains
+Gains = Callable[[np.ndarray], np.ndarray]                    # positions from 0 to gains
 
 
-def _kalman_gains(q: float, r: float, p0: float) -> list[float]:
-    def step(p: float) -> tuple[float, float]:
-        k = (p + q) / (p + q + r)
-        return k, (1 - k) * (p + q)
+def _kalman_gains(q: float, r: float, p0: float) -> Gains:
+    """Gain at any position in closed form. Without noise the precision grows by 1 / r a step; with noise the variance
+    p -> r (p + q) / (p + q + r) nears its positive fixed point by a constant factor of (p - high) / (p - low)."""
+    root = np.sqrt(q * q + 4 * q * r)
+    high, low = (root - q) / 2, (-root - q) / 2
 
-    return _settled(step, p0)
+    def at(n: np.ndarray) -> np.ndarray:
+        n = n.astype(float)
+        if q == 0:
+            return p0 / (p0 * (n + 1) + r)
+        near = (p0 - high) / (p0 - low) * ((r - high) / (r - low)) ** n
+        ahead = (high - near * low) / (1 - near) + q
+        return ahead / (ahead + r)
 
+    return at
 
-def gain_scan(gains: Sequence[float]) -> Scan:
-    table = np.asarray(gains, dtype=float)
 
+def _forgetting_gains(forget: float, p0: float) -> Gains:
+    """Gain of scalar least squares: the inverse of the covariance is a geometric sum."""
+
+    def at(n: np.ndarray) -> np.ndarray:
+        n = n.astype(float)
+        kept = forget ** n
+        total = n if forget == 1 else -np.expm1(n * np.log(forget)) / (1 - forget)
+        return 1 / (forget * (kept / p0 + total) + 1)
+
+    return at
+
+
+def _after(first: Sequence[float], then: Gains) -> Gains:
+    """Given gains at the first positions, then those of ``then`` from its start."""
+    head = np.asarray(first, dtype=float)
+
+    def at(n: np.ndarray) -> np.ndarray:
+        late = then(np.maximum(n - len(head), 0))
+        return np.where(n < len(head), head[np.minimum(n, len(head) - 1)], late)
+
+    return at
+
+
+def gain_scan(gains: Gains) -> Scan:
     def at(cols):
-        return table[np.minimum(cols["pos"], len(table) - 1)]
+        return gains(np.asarray(cols["pos"]))
 
     def step(cols):
         k = at(cols)
@@ -164,7 +186,7 @@ def iir(alpha: float = 0.1) -> Scan:
 
 
 def kalman(q: float = 1e-5, r: float = 0.1, p0: float = 1.0) -> Scan:
-    return gain_scan([1.0, *_kalman_gains(q, r, p0)])
+    return gain_scan(_after([1.0], _kalman_gains(q, r, p0)))
 
 
 def kalman_zero_start(q: float = 0.001, r: float = 0.1, p0: float = 1.0) -> Scan:
@@ -172,20 +194,16 @@ def kalman_zero_start(q: float = 0.001, r: float = 0.1, p0: float = 1.0) -> Scan
 
 
 def kalman_mean_start(q: float = 1e-5, r: float = 0.1, p0: float = 1.0, warmup: int = 10) -> Scan:
-    return gain_scan([1.0 / (i + 1) for i in range(max(1, warmup))] + _kalman_gains(q, r, p0))
+    return gain_scan(_after([1.0 / (i + 1) for i in range(max(1, warmup))], _kalman_gains(q, r, p0)))
 
 
 def kalman_level(q: float = 1e-3, r: float = 1e-2) -> Scan:
     """Level model of the gateway contract: first output is the first sample, unit start variance."""
-    return gain_scan([1.0, *_kalman_gains(q, r, 1.0)])
+    return gain_scan(_after([1.0], _kalman_gains(q, r, 1.0)))
 
 
 def rls_scalar(forget: float = 0.99, p0: float = 100.0) -> Scan:
-    def step(p: float) -> tuple[float, float]:
-        k = p / (forget + p)
-        return k, (p - k * p) / forget
-
-    return gain_scan(_settled(step, p0))
+    return gain_scan(_forgetting_gains(forget, p0))
 
 
 # ---- matrix scans ---------------------------------------------------------------------------
@@ -194,31 +212,38 @@ def kalman_velocity(q: float = 0.01, r: float = 0.1, predict: bool = True) -> Sc
     """Level and velocity; adds velocity, innovation, uncertainty and gain."""
     move = np.array([[1.0, 1.0], [0.0, 1.0]]) if predict else np.eye(2)
     noise = np.eye(2) * (q if predict else 0.0)
-    p, gains, spread = np.eye(2), [np.array([1.0, 0.0])], [1.0]
-    for _ in range(20000):
-        p = move @ p @ move.T + noise
-        k = p[:, 0] / (p[0, 0] + r)
-        p = p - np.outer(k, p[0])
-        gains.append(k)
-        spread.append(p[0, 0])
-        if np.array_equal(gains[-1], gains[-2]):
-            break
-    table, variance = np.array(gains), np.array(spread)
-    index = lambda cols: np.minimum(cols["pos"], len(table) - 1)
+    p, gains, spread = [np.eye(2)], [np.array([1.0, 0.0])], [1.0]
+
+    def at(cols) -> tuple[np.ndarray, np.ndarray]:
+        """Gains and level variance by position: closed form without prediction, else the recursion until it settles."""
+        n = np.asarray(cols["pos"])
+        if not predict:
+            before = r / (r + np.maximum(n - 1, 0))
+            k = np.where(n > 0, before / (before + r), 1.0)
+            return np.stack([k, 0 * k], axis=1), np.where(n > 0, r / (r + n), 1.0)
+        while len(gains) <= n.max(initial=0) and not (len(gains) > 2 and np.array_equal(gains[-1], gains[-2])):
+            ahead = move @ p[0] @ move.T + noise
+            k = ahead[:, 0] / (ahead[0, 0] + r)
+            p[0] = ahead - np.outer(k, ahead[0])
+            gains.append(k)
+            spread.append(p[0][0, 0])
+        n = np.minimum(n, len(gains) - 1)
+        return np.array(gains)[n], np.array(spread)[n]
 
     def step(cols):
-        k = table[index(cols)]
+        k, _ = at(cols)
         keep = np.eye(2) - np.stack([k, np.zeros_like(k)], axis=2)
         return keep @ move, k * cols["value"][:, None]
 
     def emit(prev, cur, cols):
         ahead = prev @ move.T
         first = cols["pos"] == 0
+        k, variance = at(cols)
         return {
             "filtered": cur[:, 0], "velocity": cur[:, 1],
             "innovation": np.where(first, 0.0, cols["value"] - ahead[:, 0]),
-            "uncertainty": np.sqrt(variance[index(cols)]),
-            "gain": np.where(first, np.nan, table[index(cols), 0]),
+            "uncertainty": np.sqrt(variance),
+            "gain": np.where(first, np.nan, k[:, 0]),
         }
 
     return Scan(
@@ -230,22 +255,31 @@ def kalman_velocity(q: float = 0.01, r: float = 0.1, predict: bool = True) -> Sc
 def rls_trend(forget: float = 0.99, delta: float = 1000.0) -> Scan:
     """Recursive least squares on (1, position); the covariance is a function of the position.
 
-    With age sums ``Sk = sum(age**k * forget**age)`` the normal matrix needs no data, so the gains
-    come from a table of the first positions and from the limits of the sums after that.
+    With age sums ``Sk = sum(age**k * forget**age)`` the normal matrix needs no data. The sums of long series are put
+    together from blocks of positions: those of an older block are shifted and damped, all terms are positive.
     """
-    rows, (a, b, c) = [], (0.0, 0.0, 0.0)
-    for _ in range(8192):
+    block, rows, (a, b, c) = 4096, [(0.0, 0.0, 0.0)], (0.0, 0.0, 0.0)
+    for _ in range(block):
         a, b, c = 1 + forget * a, forget * (b + a), forget * (c + 2 * b + a)
         rows.append((a, b, c))
-    sums, limits = np.array(rows), rows[-1]
+    near, whole = np.array(rows), [np.zeros(3)]
+
+    def older(s: np.ndarray, age: np.ndarray) -> np.ndarray:
+        s0, s1, s2 = np.moveaxis(s, -1, 0)
+        damped = forget ** age
+        return np.stack([damped * s0, damped * (s1 + age * s0), damped * (s2 + 2 * age * s1 + age * age * s0)], axis=-1)
+
+    def sums(n: np.ndarray) -> np.ndarray:
+        blocks, rest = np.divmod(n, block)
+        while len(whole) <= blocks.max(initial=0):
+            whole.append(whole[-1] + older(near[block], np.float64(block * (len(whole) - 1))))
+        return np.array(whole)[blocks] + older(near[rest], (blocks * block).astype(float))
 
     def gains(cols):
         t = cols["pos"].astype(float)
         lam = forget
         z = lam ** (t + 1)
-        near = sums[np.minimum(cols["pos"], len(sums) - 1)]
-        far = cols["pos"] >= len(sums)
-        s0, s1, s2 = (np.where(far, f, near[:, i]) for i, f in enumerate(limits))
+        s0, s1, s2 = sums(np.asarray(cols["pos"]).astype(np.int64) + 1).T
         rho = z / delta
         det = s0 * s2 - s1 * s1 + rho * (s0 + t * t * s0 - 2 * t * s1 + s2) + rho * rho
         k = np.stack([(s2 - t * s1 + rho) / det, (s1 + t * rho) / det], axis=1)
