@@ -53,8 +53,8 @@ def exact_percentile(
     return near.groupBy(*keys).agg((lower + F.max("__f") * (upper - lower)).alias("percentile"))
 
 
-def multi_map(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], page: int = 10_000) -> DataFrame:
-    """Values per key as ordered lists of at most ``page`` items; a long key gives several pages."""
+def multi_map(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], page: int) -> DataFrame:
+    """Values per key as ordered lists of ``page`` items, one row per page; all values are kept."""
     placed = positions(df, keys, order, "__p").withColumn("page", F.floor(F.col("__p") / page))
     packed = placed.groupBy(*keys, "page").agg(F.array_sort(F.collect_list(F.struct("__p", F.col(value).alias("v")))).alias("__l"))
     return packed.select(*keys, "page", F.transform("__l", lambda x: x["v"]).alias("values"))

@@ -215,9 +215,9 @@ def automatic_threshold(df: DataFrame, keys, value="value", factor: float = 5.0)
 
 def history_analysis(
     df: DataFrame, keys, order: Sequence[str], width: int, factor: float = 1.5, percent: float = 95.0,
-    max_points: int = 50000, filter_name: str = "KALMAN_MEAN",
+    max_points: int | None = None, filter_name: str = "KALMAN_MEAN",
 ) -> DataFrame:
-    """Filter, energy in restarting windows, percentile threshold, thinned output with all anomalies."""
+    """Filter, energy in restarting windows, percentile threshold; with ``max_points`` thinned but for the anomalies."""
     lay = measure(df, keys, order)
     smooth = filters.apply_filter(df, filter_name, keys, order, layout=lay)
     energy = windows.resetting_energy(smooth, keys, order, width, layout=lay)
@@ -227,7 +227,9 @@ def history_analysis(
     judged = judged.withColumn("anomaly", F.col("energy") > F.col("threshold"))
     judged = judged.withColumn("seconds", (F.col(order[0]) - F.col("__t0")) / 1e6)
     judged = judged.withColumn("anomaly_type", F.when(F.col("anomaly"), "energy_spike"))
-    return windows.decimate(judged, keys, order, max_points, F.col("anomaly"), lay).drop("__t0", "window_start")
+    if max_points is not None:
+        judged = windows.decimate(judged, keys, order, max_points, F.col("anomaly"), lay)
+    return judged.drop("__t0", "window_start")
 
 
 def residual_zscore(df: DataFrame, keys, order, size: int = 50, least: int = 20, sigmas: float = 3.0, reset: bool = False) -> DataFrame:
@@ -266,7 +268,7 @@ def residual_zscore(df: DataFrame, keys, order, size: int = 50, least: int = 20,
     return judged.filter(F.col("type").isNotNull()).withColumn("level", level).drop("__n", "__m", "__s", "__j")
 
 
-def capped(df: DataFrame, keys, order: Sequence[Column], cap: int = 10_000) -> DataFrame:
+def capped(df: DataFrame, keys, order: Sequence[Column], cap: int) -> DataFrame:
     """At most ``cap`` findings per run (newest rule of ``order`` first), with the full count of the run."""
     top = Window.partitionBy(*keys).orderBy(*order)
     kept = df.withColumn("__k", F.row_number().over(top)).filter(F.col("__k") <= cap).drop("__k")

@@ -294,15 +294,16 @@ def throughput(df: DataFrame, keys, time="us", now_us: int | None = None, sample
     return df.groupBy(*keys).agg(*cols)
 
 
-def fragment_report(df: DataFrame, samples: str = "samples", filtered: str = "filtered") -> DataFrame:
-    """Trimmed arrays, statistics and error of a filtered fragment as nested columns."""
+def fragment_report(df: DataFrame, samples: str = "samples", filtered: str = "filtered", points: int | None = None, gaps: int | None = None) -> DataFrame:
+    """Arrays, statistics and error of a filtered fragment; ``points`` and ``gaps`` trim signals and residuals."""
     o, f = F.col(samples), F.col(filtered)
+    trim = lambda arr, n: arr if n is None else F.slice(arr, 1, n)
     gap = minus(o, f)
     noise, power = array_mean(gap, lambda x: x * x), array_mean(f, lambda x: x * x)
     after = F.when(noise < 1e-10, 60.0).otherwise(clipped_db(power, noise, -20.0, 60.0))
     return df.filter(F.size(o) > 0).select(
         *[c for c in df.columns if c not in (samples, filtered)],
-        F.slice(o, 1, 500).alias("original"), F.slice(f, 1, 500).alias("filtered"), F.slice(gap, 1, 100).alias("residuals"),
+        trim(o, points).alias("original"), trim(f, points).alias("filtered"), trim(gap, gaps).alias("residuals"),
         F.struct(
             F.array_min(o).alias("min"), F.array_max(o).alias("max"), array_mean(o).alias("avg"),
             rms(o).alias("rms"), rms(f).alias("filtered_rms"), F.size(o).alias("samples"),

@@ -182,7 +182,7 @@ def gain_scan(gains: Gains) -> Scan:
 
 
 def iir(alpha: float = 0.1) -> Scan:
-    return gain_scan([1.0, alpha])
+    return gain_scan(_after([1.0], lambda n: np.full(n.shape, alpha)))
 
 
 def kalman(q: float = 1e-5, r: float = 0.1, p0: float = 1.0) -> Scan:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sigspark.functions.dates import range_key
 from sigspark.operators.series import measure, running, with_rows
+from sigspark.session import cut_lineage
 
 BROADCAST_ROWS = 100_000
 
@@ -35,38 +37,64 @@ def enrich(df: DataFrame, key: str, dim: DataFrame, dim_key: str, **columns: str
     return df.join(hinted(narrow), df[key] == F.col("__k"), "left").drop("__k")
 
 
-def closure(tree: DataFrame, node: str, parent: str, max_depth: int = 64) -> DataFrame:
-    """(ancestor, descendant, depth) pairs of a tree, self included, level by level."""
-    edges = tree.select(F.col(node).alias("__n"), F.col(parent).alias("__p"))
-    level = edges.select(F.col("__n").alias("descendant"), F.col("__n").alias("ancestor"), F.lit(0).alias("depth"))
-    out = level
-    up = edges.select(F.col("__n").alias("ancestor"), F.col("__p").alias("__up")).filter(F.col("__up").isNotNull())
-    for d in range(1, max_depth):
-        level = level.join(up, "ancestor").select("descendant", F.col("__up").alias("ancestor"), F.lit(d).alias("depth"))
-        if level.isEmpty():
+def _step(df: DataFrame) -> DataFrame | None:
+    """The rows of one level, written to the shared folder; None when there are none."""
+    held = cut_lineage(df)
+    return None if held.isEmpty() else held
+
+
+def closure(tree: DataFrame, node: str, parent: str) -> DataFrame:
+    """(ancestor, descendant, depth) pairs of a tree of any depth, self included, level by level.
+
+    On a cycle every pair is given once, with its smallest depth. Null nodes and parents are no nodes.
+    """
+    edges = tree.select(F.col(node).alias("__n"), F.col(parent).alias("__p")).dropna(subset=["__n"])
+    up = edges.dropna()
+    level = edges.select(F.col("__n").alias("descendant"), F.col("__n").alias("ancestor"), F.lit(0).alias("depth")).distinct()
+    out, depth = level, 0
+    while True:
+        depth += 1
+        above = level.join(up, F.col("ancestor") == F.col("__n")).select("descendant", F.col("__p").alias("ancestor"), F.lit(depth).alias("depth"))
+        level = _step(above.distinct().join(out, ["descendant", "ancestor"], "left_anti").select("descendant", "ancestor", "depth"))
+        if level is None:
             return out
         out = out.unionByName(level)
-    raise ValueError("tree deeper than max_depth, or cyclic")
 
 
 def descendants(tree: DataFrame, root, node: str = "id", parent: str = "parent_id") -> DataFrame:
-    """Nodes under ``root`` (root excluded), walking down level by level."""
-    edges = tree.select(F.col(node).alias("__n"), F.col(parent).alias("__p"))
-    level = edges.filter(F.col("__p") == root).select(F.col("__n").alias("id"))
-    out = level
+    """Nodes under ``root`` (root excluded), each once, walking down level by level; cycles end where they close."""
+    edges = tree.select(F.col(node).alias("__n"), F.col(parent).alias("__p")).filter(F.col("__n") != root)
+    found = level = edges.filter(F.col("__p") == root).select(F.col("__n").alias("id")).distinct()
     while True:
-        level = edges.join(level, F.col("__p") == F.col("id"), "inner").select(F.col("__n").alias("id"))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
+        below = edges.join(level, F.col("__p") == F.col("id")).select(F.col("__n").alias("id")).distinct()
+        level = _step(below.join(found, "id", "left_anti"))
+        if level is None:
+            return found
+        found = found.unionByName(level)
 
 
 def ancestor_of_type(df: DataFrame, key: str, tree: DataFrame, kind, node="id", parent="parent_id", type_col="type") -> DataFrame:
-    """The nearest ancestor (or self) of a type; none gives null."""
-    pairs = closure(tree, node, parent)
-    typed = pairs.join(tree.select(F.col(node).alias("ancestor"), F.col(type_col).alias("__t")), "ancestor").filter(F.col("__t") == kind)
-    nearest = typed.groupBy("descendant").agg(F.min_by("ancestor", "depth").alias("ancestor_id"))
-    return df.join(hinted(nearest), df[key] == F.col("descendant"), "left").drop("descendant")
+    """The nearest ancestor (or self) of a type; none gives null.
+
+    Only keys that occur climb. A node has one parent; a climb that meets its own mark (set at every step that is a
+    power of two) goes round a cycle and ends without a result.
+    """
+    up = tree.select(F.col(node).alias("__at"), F.col(parent).alias("__p"), F.col(type_col).eqNullSafe(kind).alias("__hit"))
+    climb = df.select(F.col(key).alias("__k")).dropna().distinct().select("__k", F.col("__k").alias("__at"), F.lit(None).cast(df.schema[key].dataType).alias("__mark"))
+    done, step = [], 0
+    while True:
+        step += 1
+        seen = _step(climb.join(up, "__at"))
+        if seen is None:
+            break
+        done.append(seen.filter("__hit").select("__k", F.col("__at").alias("ancestor_id")))
+        mark = F.col("__at") if step & (step - 1) == 0 else F.col("__mark")
+        climb = seen.filter(~F.col("__hit") & F.col("__p").isNotNull()).select("__k", F.col("__p").alias("__at"), mark.alias("__mark"))
+        climb = climb.filter(~F.col("__at").eqNullSafe(F.col("__mark")))
+    if not done:
+        return df.withColumn("ancestor_id", F.lit(None).cast(tree.schema[node].dataType))
+    nearest = reduce(DataFrame.unionByName, done)
+    return df.join(nearest, df[key] == F.col("__k"), "left").drop("__k")
 
 
 def bucket_join(facts: DataFrame, ranges: DataFrame, time: str, unit: str, start: str, **aggs: Column) -> DataFrame:
@@ -77,19 +105,16 @@ def bucket_join(facts: DataFrame, ranges: DataFrame, time: str, unit: str, start
     return out.fillna(0, list(aggs))
 
 
-def tier_match(df: DataFrame, value: str, tiers: DataFrame, threshold: str, label: str, most: int = 1000) -> DataFrame:
-    """Highest tier whose threshold is at most the value.
+def tier_match(df: DataFrame, value: str, tiers: DataFrame, threshold: str, label: str, tie: str | None = None) -> DataFrame:
+    """Highest tier whose threshold is at most the value; of equal thresholds that with the greatest ``tie``, then label.
 
-    Up to ``most`` tiers become a sorted literal array; more are matched by a running maximum over
-    the merged order of tiers and values.
+    Tiers and values are merged into one order and the newest tier is carried forward, whatever the number of tiers.
+    Null values and values under every threshold get null; null thresholds are no tiers.
     """
-    rows = tiers.select(F.col(threshold).cast("double"), F.col(label).cast("string")).orderBy(threshold).limit(most + 1).collect()
-    if len(rows) <= most:
-        table = F.array(*[F.struct(F.lit(r[0]).alias("t"), F.lit(r[1]).alias("l")) for r in rows])
-        return df.withColumn("tier", F.get(F.filter(table, lambda x: x["t"] <= F.col(value)), F.size(F.filter(table, lambda x: x["t"] <= F.col(value))) - 1)["l"])
+    known = tiers.filter(F.col(threshold).isNotNull())
+    parts = [F.col(threshold).cast("double").alias("t"), *([F.col(tie).alias("tie")] if tie else []), F.col(label).cast("string").alias("l")]
+    steps = known.select(F.col(threshold).cast("double").alias("__v"), F.lit(0).alias("__side"), F.lit(-1).cast("long").alias("__id"), F.struct(*parts).alias("__tier"))
     marked = df.withColumn("__v", F.col(value).cast("double")).withColumn("__id", F.monotonically_increasing_id()).withColumn("__side", F.lit(1))
-    steps = tiers.select(F.col(threshold).cast("double").alias("__v"), F.lit(0).alias("__side"), F.lit(-1).cast("long").alias("__id"),
-                         F.struct(F.col(threshold).cast("double").alias("t"), F.col(label).cast("string").alias("l")).alias("__tier"))
     merged = marked.unionByName(steps, allowMissingColumns=True).withColumn("__all", F.lit(1))
     placed = running(merged, ["__all"], ["__v", "__side", "__id"], __best=("max", "__tier"))
     return placed.filter(F.col("__side") == 1).withColumn("tier", F.col("__best.l")).select(*df.columns, "tier")
@@ -165,49 +190,48 @@ def pair_channels(df: DataFrame, keys: Sequence[str], channel: str, value: str,
 
 def vector_topk(
     queries: DataFrame, segments: DataFrame, k: int, least: float = -1.0, match: str | None = None,
-    factor: int = 1, second=None, max_queries: int = 10_000,
+    factor: int = 1, second: Callable[[DataFrame], DataFrame] | None = None, block: int = 20_000,
 ) -> DataFrame:
-    """Top-k segments per query by cosine.
+    """Top-k segments per query by cosine; ties go to the smaller segment id.
 
-    ``queries``: query_id, vector (and ``match``, an equality on metadata); ``segments``: segment_id,
-    vector. The query table must fit its row bound; each task keeps its own best k x factor, so
-    what is shuffled grows with tasks, not with segments. ``second`` rescores the kept candidates.
+    ``queries``: query_id, vector (and ``match``, an equality on metadata); ``segments``: segment_id, vector. Both
+    tables are cut into blocks of about ``block`` rows by a hash of the id, and each pair of blocks is one task that
+    keeps the best k x factor of its segments per query, so neither side needs to fit one machine. Rows without a
+    vector are left out. ``second`` rescores the kept candidates (query_id, segment_id, score, place).
     """
-    rows = queries.limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError("more queries than max_queries; run them in batches")
     keep = k * factor
-    ids = np.array([r["query_id"] for r in rows])
-    q = np.array([r["vector"] for r in rows], dtype=float)
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    wanted = np.array([r[match] for r in rows], dtype=object) if match else None
-    shared = segments.sparkSession.sparkContext.broadcast((ids, q, wanted))
-
-    def best(batches):
-        ids, q, wanted = shared.value
-        held = pd.DataFrame({"query_id": [], "segment_id": [], "score": []})
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.array(pdf["vector"].tolist(), dtype=float)
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            s = q @ x.T
-            if wanted is not None:
-                s = np.where(wanted[:, None] == pdf[match].to_numpy(dtype=object)[None, :], s, -np.inf)
+    more = [match] if match else []
+    asked, known = queries.dropna(subset=["vector"]), segments.dropna(subset=["vector"])
+    n_q, n_s = (max(1, -(-d.count() // block)) for d in (asked, known))
+
+    def dealt(df: DataFrame, key: str, own: int, other: int, names: tuple[str, str]) -> DataFrame:
+        mine, theirs = F.pmod(F.xxhash64(key), F.lit(own)).alias(names[0]), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(names[1])
+        return df.select(key, "vector", *more, mine, theirs)
+
+    def unit(pdf: pd.DataFrame) -> np.ndarray:
+        x = np.array(pdf["vector"].tolist(), dtype=float)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def best(ask: pd.DataFrame, seg: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": np.array([], np.int64), "segment_id": np.array([], np.int64), "score": np.array([], float)})
+        if not len(ask) or not len(seg):
+            return empty
+        seg = seg.sort_values("segment_id")
+        q, x, ids, parts = unit(ask), unit(seg), seg["segment_id"].to_numpy(), [empty]
+        for a in range(0, len(q), 256):                        # bounds the score matrix of a task
+            s = q[a:a + 256] @ x.T
+            if match:
+                s = np.where(ask[match].to_numpy(object)[a:a + 256, None] == seg[match].to_numpy(object)[None, :], s, -np.inf)
             top = np.argsort(-s, axis=1, kind="stable")[:, :keep]
-            part = pd.DataFrame({
-                "query_id": np.repeat(ids, top.shape[1]),
-                "segment_id": pdf["segment_id"].to_numpy()[top.ravel()],
-                "score": np.take_along_axis(s, top, axis=1).ravel(),
-            })
-            part = part[part["score"] >= least]
-            held = pd.concat([held, part]) if len(held) else part
-            held = held.sort_values(["query_id", "score", "segment_id"], ascending=[True, False, True]).groupby("query_id").head(keep)
-        if len(held):
-            yield held.astype({"query_id": "int64", "segment_id": "int64", "score": "float64"})
-
-    cols = ["segment_id", "vector"] + ([match] if match else [])
-    partial = segments.select(*cols).mapInPandas(best, "query_id long, segment_id long, score double")
+            score = np.take_along_axis(s, top, axis=1).ravel()
+            part = pd.DataFrame({"query_id": np.repeat(ask["query_id"].to_numpy()[a:a + 256], top.shape[1]), "segment_id": ids[top.ravel()], "score": score})
+            parts.append(part[score >= least])
+        return pd.concat(parts, ignore_index=True)
+
+    pair = ["__q", "__s"]
+    left = dealt(asked, "query_id", n_q, n_s, ("__q", "__s")).groupBy(*pair)
+    right = dealt(known, "segment_id", n_s, n_q, ("__s", "__q")).groupBy(*pair)
+    partial = left.cogroup(right).applyInPandas(best, "query_id long, segment_id long, score double")
     rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "segment_id")
     out = partial.withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= keep)
     if second is not None:

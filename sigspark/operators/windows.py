@@ -62,11 +62,13 @@ def runs(df: DataFrame, keys, day: str) -> DataFrame:
     )
 
 
-def local_spread(df: DataFrame, keys, order, value="residual", points: int = 100) -> DataFrame:
-    """Standard deviation of ``[i - w, i + w)`` with w = min(10, n / 10), for the first ``points`` rows."""
+def local_spread(df: DataFrame, keys, order, value="residual", points: int | None = None) -> DataFrame:
+    """Standard deviation of ``[i - w, i + w)`` with w = min(10, n / 10); with ``points`` for that many first rows only."""
     sizes = df.groupBy(*keys).agg(F.least(F.lit(10), F.floor(F.count(F.lit(1)) / 10)).cast("int").alias("__w"))
     lay = measure(df, keys, order)
-    sized = null_safe_join(df, sizes, keys, "left")
+    placed = positions(null_safe_join(df, sizes, keys, "left"), keys, order, "i", lay)
+    if points is not None:
+        placed = placed.filter(F.col("i") < points + 9)        # nine rows ahead are in reach
 
     def frame(w):
         by_width = F.when(F.col("__w") < 2, F.lit(None))
@@ -74,8 +76,8 @@ def local_spread(df: DataFrame, keys, order, value="residual", points: int = 100
             by_width = by_width.when(F.col("__w") == k, F.stddev_pop(value).over(w.rowsBetween(-k, k - 1)))
         return {"spread": by_width}
 
-    placed = positions(with_rows(sized, keys, order, frame, 10, 9, lay), keys, order, "i", lay)
-    return placed.filter(F.col("i") < points).drop("__w")
+    spread = with_rows(placed, keys, order, frame, 10, 9, lay).drop("__w")
+    return spread if points is None else spread.filter(F.col("i") < points)
 
 
 def rank_by(df: DataFrame, metric: str, tie: Sequence[str], name: str = "rank", method: str = "row_number") -> DataFrame:
@@ -95,7 +97,7 @@ def latest(df: DataFrame, keys, order: Sequence[str]) -> DataFrame:
     return top.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest])
 
 
-def decimate(df: DataFrame, keys, order, max_points: int = 50000, keep: Column | None = None, layout: Layout | None = None) -> DataFrame:
+def decimate(df: DataFrame, keys, order, max_points: int, keep: Column | None = None, layout: Layout | None = None) -> DataFrame:
     """Every k-th row with k = max(1, n / max_points), plus all rows where ``keep`` holds."""
     stride = df.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / max_points)).alias("__k"))
     placed = null_safe_join(positions(df, keys, order, "__pos", layout), stride, keys, "left")

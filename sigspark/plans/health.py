@@ -358,7 +358,7 @@ query("g27_residual_zscore_reset", _zscore_sql(True))(_zscore(True))
 SELECT frag, round(lo, 6) + 0.0 AS low, round(hi, 6) + 0.0 AS high, round(mu, 6) + 0.0 AS mean, round(r, 6) AS rms, round(fr, 6) AS filtered_rms, n AS kept, least(n, 100) AS residuals,
  round({_AFTER}, 2) + 0.0 AS snr_after, round(err, 6) AS current_error FROM p""")
 def g28(spark, sf):
-    out = fx.fragment_report(filters.filter_fragments(fragments(spark, sf), "IIR"))
+    out = fx.fragment_report(filters.filter_fragments(fragments(spark, sf), "IIR"), points=500, gaps=100)
     s = lambda c: rnd(F.col(f"statistics.{c}"))
     return out.select("frag", s("min").alias("low"), s("max").alias("high"), s("avg").alias("mean"), s("rms").alias("rms"), s("filtered_rms").alias("filtered_rms"),
                       F.size("original").alias("kept"), F.size("residuals").alias("residuals"), rnd("snr_after", 2).alias("snr_after"), rnd("current_error").alias("current_error"))

@@ -88,7 +88,7 @@ def a11(spark, sf):
  md5(string_split(CASE WHEN instr(text, ',') > 1 THEN split_part(text, ',', 1) ELSE text END, ':')[1]) AS device FROM documents""")
 def a12(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    out = fr.to_dead_letter(d, "text", "parse", F.lit("bad"), F.col("doc_id").cast("string"))
+    out = fr.to_dead_letter(d, "text", "parse", F.lit("bad"), F.col("doc_id").cast("string"), limit=fr.MESSAGE_LIMIT)
     return out.select(F.col("error_msg").cast("long").alias("doc_id"), "job", "error_type", F.length("original_msg").alias("kept"), F.md5("original_msg").alias("digest"), F.md5("device_id").alias("device"))
 
 

@@ -171,7 +171,7 @@ def c07(spark, sf):
 def c07_large(spark, sf):
     tiers = table(spark, sf, "part").select(F.col("p_retailprice").alias("t"), F.col("p_retailprice").cast("string").alias("l")).distinct()
     o = table(spark, sf, "orders").withColumn("v", F.col("o_totalprice") / 100)
-    out = joins.tier_match(o, "v", tiers, "t", "l", most=10)
+    out = joins.tier_match(o, "v", tiers, "t", "l")
     return out.select("o_orderkey", F.lit(True).alias("known"), F.col("tier").cast("double").alias("tier_price"))
 
 

@@ -81,7 +81,7 @@ k AS (SELECT id, i, w, list(r) OVER ({W} ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWI
 SELECT id, round(CASE WHEN w < 2 THEN NULL ELSE list_var_pop(l[greatest(back - w, 0) + 1 : back + w]) END, 4) + 0.0 AS spread2 FROM k WHERE i < 100""".replace(
     "list_var_pop(l[greatest(back - w, 0) + 1 : back + w])", "list_aggregate(l[greatest(back - w, 0) + 1 : back + w], 'var_pop')"))
 def e08(spark, sf):
-    out = windows.local_spread(smoothed(spark, sf), KEYS, ORDER)
+    out = windows.local_spread(smoothed(spark, sf), KEYS, ORDER, points=100)
     return out.select("id", rnd(F.col("spread") * F.col("spread"), 4).alias("spread2"))
 
 

@@ -91,12 +91,15 @@ def fragment_series(
     return out if keep_tail else out.filter(F.size("samples") == size)
 
 
-def to_dead_letter(df: DataFrame, text: str, job: str, kind: Column, message: Column) -> DataFrame:
-    """Error rows with whatever the bad text still says about its origin; long text is cut with a mark."""
+def to_dead_letter(df: DataFrame, text: str, job: str, kind: Column, message: Column, limit: int | None = None) -> DataFrame:
+    """Error rows with whatever the bad text still says about its origin; with ``limit`` long text is cut with a mark.
+
+    A cut message cannot be replayed, so the whole text is kept by default.
+    """
     raw = F.coalesce(F.col(text), F.lit(""))
     head = F.split(F.when(F.instr(raw, ",") > 1, F.substring_index(raw, ",", 1)).otherwise(raw), ":")
     part = lambda i: F.coalesce(F.get(head, F.lit(i)), F.lit(""))
-    cut = F.when(F.length(raw) <= MESSAGE_LIMIT, raw).otherwise(F.concat(F.left(raw, F.lit(MESSAGE_LIMIT)), F.lit("...[truncated]")))
+    cut = raw if limit is None else F.when(F.length(raw) <= limit, raw).otherwise(F.concat(F.left(raw, F.lit(limit)), F.lit("...[truncated]")))
     return df.select(
         F.lit(job).alias("job"), kind.alias("error_type"), message.alias("error_msg"), cut.alias("original_msg"),
         part(0).alias("device_id"), part(1).try_cast("int").alias("channel_id"), part(2).try_cast("int").alias("seq"))
