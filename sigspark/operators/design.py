@@ -63,11 +63,11 @@ def butterworth(order: int, cutoff: float | tuple[float, float]) -> list[Section
     real = sorted(z_poles[abs(z_poles.imag) <= 1e-12].real)
     dens = [np.array([1.0, -2 * p.real, abs(p) ** 2]) for p in upper]
     dens += [np.array([1.0, -(a + b), a * b]) for a, b in zip(real[::2], real[1::2])]
-    num = np.array([1.0, 2.0, 1.0]) if n_zero == 0 else np.array([1.0, 0.0, -1.0])
-    if len(real) % 2:
-        raise ValueError("odd orders are not needed here")
+    nums = [np.array([1.0, 2.0, 1.0]) if n_zero == 0 else np.array([1.0, 0.0, -1.0])] * len(dens)
+    if len(real) % 2:                                          # odd low-pass: one section of first order
+        dens, nums = [*dens, np.array([1.0, -real[-1], 0.0])], [*nums, np.array([1.0, 1.0, 0.0])]
     each = abs(gain) ** (1 / len(dens))
-    sections = [(num * each, den) for den in dens]
+    sections = [(num * each, den) for num, den in zip(nums, dens)]
     if gain < 0:
         sections[0] = (-sections[0][0], sections[0][1])
     return sections

@@ -48,14 +48,14 @@ def c05(spark, sf):
     return rules.match_rules(messages(spark, sf), rule_table(spark)).select("message_id", "rule_id")
 
 
-@query("l01_trigger_match", f"WITH {HITS} SELECT rule_id, count(*) AS n FROM h WHERE rule_id <= 2 GROUP BY 1")
+@query("l01_trigger_match", f"WITH {HITS} SELECT rule_id, count(*) AS n FROM h GROUP BY 1")
 def l01(spark, sf):
-    return rules.match_rules(messages(spark, sf), rule_table(spark).filter("rule_id <= 2")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return rules.match_rules(messages(spark, sf), rule_table(spark)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("l02_conditions", f"WITH {HITS} SELECT rule_id, count(*) AS n, min(message_id) AS first FROM h WHERE rule_id > 2 GROUP BY 1")
+@query("l02_conditions", f"WITH {HITS} SELECT rule_id, count(*) AS n, min(message_id) AS first FROM h GROUP BY 1")
 def l02(spark, sf):
-    return rules.match_rules(messages(spark, sf), rule_table(spark).filter("rule_id > 2")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.min("message_id").alias("first"))
+    return rules.match_rules(messages(spark, sf), rule_table(spark)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.min("message_id").alias("first"))
 
 
 @query("l03_scene_actions", f"WITH {HITS}, a AS (SELECT * FROM (VALUES (1, 'alert', 11), (1, 'device', 12), (2, 'alert', 21), (3, 'notify', 31), (4, 'notify', 41)) t(rule_id, kind, target)) SELECT message_id, rule_id, kind, target FROM h JOIN a USING (rule_id)")
@@ -120,16 +120,14 @@ def lines(spark, sf):
 def _apportion_sql(ctes: str, weight: str, amount: str, name: str, chosen: str = "true") -> str:
     """``ctes`` must define li and a per-order table am(l_orderkey, amount)."""
     return f"""{ctes}, tt AS (SELECT l_orderkey, sum({weight}) AS total FROM li WHERE {chosen} GROUP BY 1),
-pp AS (SELECT li.*, am.amount, row_number() OVER (PARTITION BY li.l_orderkey, {chosen} ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, price DESC) AS rk, floor(am.amount * ({weight}::DOUBLE / tt.total))::BIGINT AS part FROM li JOIN tt USING (l_orderkey) JOIN am USING (l_orderkey)),
+pp AS (SELECT li.*, am.amount, row_number() OVER (PARTITION BY li.l_orderkey, {chosen} ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, price DESC) AS rk, floor(am.amount * ({weight}::DOUBLE / tt.total))::BIGINT AS part FROM li LEFT JOIN tt USING (l_orderkey) JOIN am USING (l_orderkey)),
 qq AS (SELECT *, CASE WHEN NOT ({chosen}) THEN 0 WHEN rk = 1 THEN amount - coalesce(sum(CASE WHEN ({chosen}) AND rk > 1 THEN part END) OVER (PARTITION BY l_orderkey), 0) ELSE part END::BIGINT AS {name} FROM pp)"""
 
 
 @query("l08_apportion", "WITH " + _apportion_sql(f"{LINES}, am AS (SELECT o_orderkey AS l_orderkey, floor(round(o_totalprice * 100) / 10)::BIGINT AS amount FROM orders)", "price", "amount", "share", "chosen") + " SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, share FROM qq")
 def l08(spark, sf):
     amounts = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.floor(to_cents(F.col("o_totalprice")) / 10).cast("long").alias("amount"))
-    li = lines(spark, sf)
-    with_choice = li.join(li.filter("chosen").select("l_orderkey").distinct(), "l_orderkey", "left_semi")
-    out = lifecycle.apportion(with_choice, "l_orderkey", ORDER, "price", amounts, "amount", "share", "chosen")
+    out = lifecycle.apportion(lines(spark, sf), "l_orderkey", ORDER, "price", amounts, "amount", "share", "chosen")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "share")
 
 

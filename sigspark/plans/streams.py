@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from sigspark.operators import features as fx
-from sigspark.plans.registry import FRAGMENTS, NUMBERED, SIGNAL, fragments, query, rnd, table
+from sigspark.plans.registry import FRAGMENTS, NUMBERED, SIGNAL, fragments, query, rnd, signal, table
 from sigspark.plans.windowing import DAY
 from sigspark.session import shared_dir
 from sigspark.sources import fragments as fr
@@ -30,11 +30,28 @@ def folder(spark) -> str:
     return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
+def arriving(spark, df, parts):
+    """A stream of one file group per condition of ``parts``, in that order, a file per micro-batch."""
+    path = f"{folder(spark)}/in"
+    for part in parts:
+        df.filter(part).coalesce(1).write.mode("append").parquet(path)
+    return read_fragments_stream(spark, "parquet", path, df.schema, {"maxFilesPerTrigger": "1"})
+
+
+def by_time(spark, sf):
+    """The signal in three files of rising time."""
+    s = signal(spark, sf)
+    low, high = s.agg(F.min("us"), F.max("us")).first()
+    a, b = low + (high - low) // 3, low + 2 * (high - low) // 3
+    us = F.col("us")
+    return arriving(spark, s, [us <= a, (us > a) & (us <= b), us > b])
+
+
 @query("k02_keyed_filter", f"""WITH RECURSIVE {NUMBERED}, f AS (SELECT dev, i, id, value, value AS y, 1.0::DOUBLE AS p FROM n WHERE i = 0
  UNION ALL SELECT n.dev, n.i, n.id, n.value, f.y + (f.p + 1e-5) / (f.p + 1e-5 + 0.1) * (n.value - f.y), (1 - (f.p + 1e-5) / (f.p + 1e-5 + 0.1)) * (f.p + 1e-5) FROM f JOIN n ON n.dev = f.dev AND n.i = f.i + 1)
 SELECT id, round(y, 6) + 0.0 AS filtered FROM f""")
 def k02(spark, sf):
-    out = stateful.filter_stream(signal_stream(spark, sf), "KALMAN", ["dev"], "us")
+    out = stateful.filter_stream(by_time(spark, sf), "KALMAN", ["dev"], ["us", "id"])
     return jobs.drain(spark, out, folder(spark)).select("id", rnd("filtered").alias("filtered"))
 
 
@@ -54,23 +71,23 @@ def k04(spark, sf):
 
 @query("k05_trailing_window", f"""WITH {SIGNAL} SELECT id, round(avg(value * value) OVER w + 1.3e-6, 4) AS raw_power, count(*) OVER w AS n, row_number() OVER (PARTITION BY dev ORDER BY us) AS processed FROM s WINDOW w AS (PARTITION BY dev ORDER BY us RANGE BETWEEN {3 * DAY} PRECEDING AND CURRENT ROW)""")
 def k05(spark, sf):
-    df = signal_stream(spark, sf).withColumn("filtered", F.col("value"))
+    df = by_time(spark, sf).withColumn("filtered", F.col("value"))
     done = jobs.drain(spark, stateful.trailing_stream(df, ["dev"], "us", 3 * DAY), folder(spark))
     return done.select("id", rnd(F.col("raw_power") + 1.3e-6, 4).alias("raw_power"), "n", "processed")
 
 
-@query("k06_reorder", "SELECT conv_id, turn AS seq, md5(text) AS digest FROM conversations")
+@query("k06_reorder", "SELECT conv_id, turn AS seq, md5(text) AS digest, 0::BIGINT AS skipped FROM conversations")
 def k06(spark, sf):
-    schema = table(spark, sf, "conversations").schema
-    c = read_fragments_stream(spark, "parquet", f"{sf}/conversations.parquet*", schema).select("conv_id", F.col("turn").alias("seq"), F.col("text").alias("body"))
-    done = jobs.drain(spark, stateful.reorder_stream(c, ["conv_id"], "seq", "body", timer=False), folder(spark))
-    return done.select("conv_id", "seq", F.md5("body").alias("digest"))
+    c = table(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("seq"), F.col("text").alias("body"))
+    mixed = arriving(spark, c, ["seq % 2 = 1", "seq % 4 = 2", "seq % 4 = 0"])
+    done = jobs.drain(spark, stateful.reorder_stream(mixed, ["conv_id"], "seq", "body", wait_ms=3_600_000, timer=False), folder(spark))
+    return done.select("conv_id", "seq", F.md5("body").alias("digest"), "skipped")
 
 
-@query("k07_late_rows", f"WITH {SIGNAL} SELECT id FROM s")
+@query("k07_late_rows", f"WITH {SIGNAL}, t AS (SELECT dev, max((us, id)) AS newest FROM s WHERE id % 10 <> 0 GROUP BY dev) SELECT id FROM s LEFT JOIN t USING (dev) WHERE id % 10 <> 0 OR newest IS NULL OR (us, id) > newest")
 def k07(spark, sf):
-    out = stateful.filter_stream(signal_stream(spark, sf), "IIR", ["dev"], "us")
-    return jobs.drain(spark, out, folder(spark)).filter("dropped = 0").select("id")
+    late = arriving(spark, signal(spark, sf), ["id % 10 <> 0", "id % 10 = 0"])
+    return jobs.drain(spark, stateful.filter_stream(late, "IIR", ["dev"], ["us", "id"]), folder(spark)).select("id")
 
 
 @query("k08_side_outputs", "SELECT event_id, 'main' AS sink FROM events UNION ALL SELECT event_id, 'anomaly' FROM events WHERE value > 150 UNION ALL SELECT event_id, 'error' FROM events WHERE event_type = 'error'")
@@ -88,17 +105,20 @@ f AS (SELECT dev, ch, i, id, us, us AS st FROM n WHERE i = 0
   UNION ALL SELECT n.dev, n.ch, n.i, n.id, n.us, CASE WHEN n.us - f.st >= {3 * DAY} THEN n.us ELSE f.st END FROM f JOIN n ON n.dev = f.dev AND n.ch = f.ch AND n.i = f.i + 1)
 SELECT id, dev, ch FROM f WHERE st = us""")
 def k11(spark, sf):
-    done = jobs.drain(spark, stateful.throttle_stream(signal_stream(spark, sf), ["dev", "ch"], "us", 3 * DAY), folder(spark))
+    done = jobs.drain(spark, stateful.throttle_stream(by_time(spark, sf), ["dev", "ch"], "us", 3 * DAY), folder(spark))
     return done.select("id", "dev", "ch")
 
 
-@query("k12_live_parameters", "SELECT event_id, value > CASE event_type WHEN 'error' THEN 50 WHEN 'click' THEN 100 END AS anomaly FROM events")
+@query("k12_live_parameters", "SELECT event_id, value > CASE event_type WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 50 ELSE 20 END WHEN 'click' THEN 100 END AS anomaly FROM events")
 def k12(spark, sf):
     base = folder(spark)
-    spark.createDataFrame([("error", 50.0), ("click", 100.0)], "event_type string, threshold double").write.parquet(f"{base}/config/version=1")
+    e = table(spark, sf, "events")
     write = jobs.to_parquet(f"{base}/out")
     each = jobs.with_parameters(f"{base}/config", "event_type", lambda b, i: write(b.select("event_id", (F.col("value") > F.col("threshold")).alias("anomaly")), i))
-    jobs.start(event_stream(spark, sf), f"{base}/checkpoint", each, None).awaitTermination()
+    for version, (limit, part) in enumerate([(50.0, "event_id % 2 = 0"), (20.0, "event_id % 2 = 1")], 1):      # the limit changes between the runs
+        spark.createDataFrame([("error", limit), ("click", 100.0)], "event_type string, threshold double").write.parquet(f"{base}/config/version={version}")
+        e.filter(part).write.mode("append").parquet(f"{base}/in")
+        jobs.start(read_fragments_stream(spark, "parquet", f"{base}/in", e.schema), f"{base}/checkpoint", each, None).awaitTermination()
     return spark.read.parquet(f"{base}/out").select("event_id", "anomaly")
 
 
@@ -165,7 +185,9 @@ def k09(spark, sf):
 @query("k10_checkpoint_restart", "SELECT event_id, value FROM events")
 def k10(spark, sf):
     base = folder(spark)
-    df = event_stream(spark, sf).select("event_id", "value")
-    for _ in range(2):                                   # the second run finds nothing new
+    e = table(spark, sf, "events").select("event_id", "value")
+    for part in ("event_id % 2 = 0", "event_id % 2 = 1"):      # the second run must take the new files only
+        e.filter(part).write.mode("append").parquet(f"{base}/in")
+        df = read_fragments_stream(spark, "parquet", f"{base}/in", e.schema)
         jobs.start(df, f"{base}/checkpoint", jobs.to_parquet(f"{base}/out"), None).awaitTermination()
     return spark.read.parquet(f"{base}/out").select("event_id", "value")

@@ -345,7 +345,8 @@ def h03_key(spark, sf):
 @query("h04_merge_series", """WITH a AS (SELECT user_id, ts, event_id, value, event_type AS src FROM events) SELECT user_id, event_id, value, arg_min(src, (ts, event_id)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS src FROM a""".replace("arg_min(src, (ts, event_id)) OVER", "first_value(src) OVER"))
 def h04(spark, sf):
     e = table(spark, sf, "events")
-    parts = [e.filter(F.col("event_type") == t).select("user_id", "ts", "event_id", "value", F.col("event_type").alias("src")) for t in ("click", "error", "purchase", "signup", "view")]
+    click = F.col("event_type").eqNullSafe("click")
+    parts = [e.filter(t).select("user_id", "ts", "event_id", "value", F.col("event_type").alias("src")) for t in (click, ~click)]
     return ordering.merge_series(parts, ["user_id"], ["ts", "event_id"], ["src"]).select("user_id", "event_id", "value", "src")
 
 

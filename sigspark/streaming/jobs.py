@@ -95,7 +95,13 @@ def fragment_job(
 
 
 def drain(spark: SparkSession, df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all available input into Parquet under ``folder`` and read the result."""
+    """Run a stream over all available input into Parquet under ``folder`` and read the result.
+
+    In complete mode every batch holds the whole result, so only the newest one is read.
+    """
     path = f"{folder}/out"
     start(df, f"{folder}/checkpoint", to_parquet(path), None, mode).awaitTermination()
-    return spark.read.parquet(path).drop("batch_id")
+    out = spark.read.parquet(path)
+    if mode == "complete":
+        out = out.filter(F.col("batch_id") == F.lit(out.agg(F.max("batch_id")).first()[0]))
+    return out.drop("batch_id")

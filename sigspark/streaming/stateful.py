@@ -1,7 +1,8 @@
 """Keyed state on streams: the same filters and windows as in batch, kept alive between micro-batches.
 
 Rows of one key inside a micro-batch are put in order before they are used; rows at or before the
-last order value already processed are dropped and counted. How many rows a key can bring per
+last order already processed are dropped and counted. An order may be several columns, so that samples
+of one instant stay apart. How many rows a key can bring per
 batch is bounded by the source options (``maxOffsetsPerTrigger``, ``maxFilesPerTrigger``).
 """
 
@@ -24,34 +25,37 @@ def with_event_time(df: DataFrame, time: str, delay: str | None = "0 seconds") -
     return df if delay is None else df.withWatermark(time, delay)
 
 
-def _gather(frames: Iterable[pd.DataFrame], order: str) -> pd.DataFrame:
-    return pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable")
+def _gather(frames: Iterable[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
+    return pd.concat(list(frames), ignore_index=True).sort_values(list(order), kind="stable")
 
 
-def _fresh_rows(pdf: pd.DataFrame, order: str, last: int | None) -> tuple[pd.DataFrame, int]:
-    """Rows after ``last`` with strictly rising order values, and how many were dropped."""
-    v = pdf[order].to_numpy(dtype=np.int64)
-    prev = np.concatenate([[np.iinfo(np.int64).min if last is None else last], np.maximum.accumulate(v)[:-1]])
-    keep = v > prev
-    if last is None and len(keep):
-        keep[0] = True
+def _fresh_rows(pdf: pd.DataFrame, order: Sequence[str], last: Sequence[int] | None) -> tuple[pd.DataFrame, int]:
+    """Of sorted rows those after ``last``, the first of each order, and how many were dropped."""
+    after = np.full(len(pdf), last is None)
+    level = ~after                                             # equal to ``last`` so far
+    for c, bound in zip(order, last or []):
+        v = pdf[c].to_numpy(dtype=np.int64)
+        after |= level & (v > bound)
+        level &= v == bound
+    keep = after & ~pdf.duplicated(list(order)).to_numpy()
     return pdf[keep], int((~keep).sum())
 
 
 def filter_stream(
-    df: DataFrame, name: str, keys: Sequence[str], order: str, value: str = "value", **params,
+    df: DataFrame, name: str, keys: Sequence[str], order: str | Sequence[str], value: str = "value", **params,
 ) -> DataFrame:
     """Run a registered filter with one state per key that survives micro-batches.
 
-    Adds ``filtered``, ``residual`` and ``dropped`` (late rows of the key so far). ``order`` is an
-    integer column that rises within a key.
+    Adds ``filtered``, ``residual`` and ``dropped`` (late rows of the key so far). ``order`` is one
+    integer column, or several, that together rise within a key.
     """
+    order = [order] if isinstance(order, str) else list(order)
     chosen = REGISTRY[name.upper()](**params)
     if not isinstance(chosen, (Scan, Fold)):
         raise ValueError(f"{name} is a window filter; run it with trailing_stream or in batch")
     taps = params.get("order", 8) if "taps" in chosen.inputs else 0
     out = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("filtered", "residual")], T.StructField("dropped", T.LongType())])
-    state = "s array<double>, tail array<double>, pos long, last long, dropped long"
+    state = "s array<double>, tail array<double>, pos long, last array<long>, dropped long"
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         s, tail, pos, last, dropped = held.get if held.exists else ([], [], 0, None, 0)
@@ -78,7 +82,7 @@ def filter_stream(
                 for i, row in enumerate(zip(*[cols[c] for c in chosen.inputs])):
                     s, result = chosen.step(s, row, pos + i)
                     y[i] = result[0]
-            pos, last = pos + len(v), int(pdf[order].iloc[-1])
+            pos, last = pos + len(v), [int(x) for x in pdf[order].iloc[-1]]
             yield pdf.assign(filtered=y, residual=v - y, dropped=dropped)
         held.update((s, tail, pos, last, dropped))
 
@@ -86,29 +90,41 @@ def filter_stream(
 
 
 def trailing_stream(df: DataFrame, keys: Sequence[str], order: str, width: int, value: str = "value", filtered: str = "filtered") -> DataFrame:
-    """Mean powers over ``[t - width, t]`` and the running row count, from a buffer of the window's rows."""
+    """Mean powers over ``[t - width, t]`` and the running row count, from a buffer of the window's rows.
+
+    Rows older than the newest one of an earlier batch are dropped and counted (``dropped``, of the key so far).
+    Sums are differences of running sums over the buffer, so the work does not grow with the width.
+    """
     out = T.StructType([
         *df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("raw_power", "filtered_power", "residual_power")],
-        T.StructField("n", T.LongType()), T.StructField("processed", T.LongType())])
-    state = "ts array<long>, raw array<double>, smooth array<double>, processed long"
+        T.StructField("n", T.LongType()), T.StructField("processed", T.LongType()), T.StructField("dropped", T.LongType())])
+    state = "ts array<long>, raw array<double>, smooth array<double>, processed long, dropped long"
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        ts, raw, smooth, done = held.get if held.exists else ([], [], [], 0)
-        pdf = _gather(frames, order)
+        ts, raw, smooth, done, dropped = held.get if held.exists else ([], [], [], 0, 0)
+        pdf = _gather(frames, [order])
+        late = (pdf[order] < ts[-1]).to_numpy() if len(ts) else np.zeros(len(pdf), bool)
+        pdf, dropped = pdf[~late], dropped + int(late.sum())
+        if not len(pdf):
+            held.update((ts, raw, smooth, done, dropped))
+            return
         t = np.concatenate([np.array(ts, dtype=np.int64), pdf[order].to_numpy(dtype=np.int64)])
         r = np.concatenate([np.array(raw, dtype=float), pdf[value].to_numpy(dtype=float)])
         f = np.concatenate([np.array(smooth, dtype=float), pdf[filtered].to_numpy(dtype=float)])
         at = np.arange(len(ts), len(t))
         low = np.searchsorted(t, t[at] - width, side="left")
 
-        def mean(x: np.ndarray) -> list[float]:
-            return [float(x[a:b + 1].mean()) for a, b in zip(low, at)]
+        ends = np.searchsorted(t, t[at], side="right")         # rows of one instant are peers
+
+        def mean(x: np.ndarray) -> np.ndarray:
+            upto = np.concatenate([[0.0], np.cumsum(x)])
+            return (upto[ends] - upto[low]) / (ends - low)
 
         yield pdf.assign(
             raw_power=mean(r * r), filtered_power=mean(f * f), residual_power=mean((r - f) ** 2),
-            n=at - low + 1, processed=done + 1 + np.arange(len(at)))
+            n=ends - low, processed=done + 1 + np.arange(len(at)), dropped=dropped)
         keep = t >= t[-1] - width
-        held.update((t[keep].tolist(), r[keep].tolist(), f[keep].tolist(), done + len(at)))
+        held.update((t[keep].tolist(), r[keep].tolist(), f[keep].tolist(), done + len(at), dropped))
 
     return df.groupBy(*keys).applyInPandasWithState(advance, out, state, "append", GroupStateTimeout.NoTimeout)
 
@@ -168,7 +184,7 @@ def throttle_stream(df: DataFrame, keys: Sequence[str], order: str, width: int)
     state = "last long"
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = _gather(frames, order)
+        pdf = _gather(frames, [order])
         t = pdf[order].to_numpy(dtype=np.int64)
         last, picked, i = (held.get[0] if held.exists else None), [], 0
         while i < len(t):

@@ -88,3 +88,13 @@ def test_sine_with_spikes_scenario(spark):
     df = spark.createDataFrame(pd.DataFrame({"dev": 1, "t": np.arange(100), "value": v}))
     rows = {r.t for r in detect.three_sigma(df, KEYS, sigmas=2.0).collect()}
     assert rows == set(range(20, 25)) | set(range(50, 55))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_butterworth_response(order):
+    """Unit gain at rest, half the power at the cutoff, nothing at the Nyquist frequency."""
+    def gain(w: float) -> float:
+        z = np.exp(-1j * np.pi * w) ** np.arange(3)
+        return abs(np.prod([(b @ z) / (a @ z) for b, a in design.butterworth(order, 0.2)]))
+
+    assert np.allclose([gain(0.0), gain(0.2), gain(1.0)], [1.0, np.sqrt(0.5), 0.0], atol=1e-9)
