@@ -31,15 +31,17 @@ from sigspark.llm.common import arrow_map, field, present, stored, words
 
 @dataclass(frozen=True)
 class Plan:
-    """``width``: words of a shingle; ``bits``: a multiple of 64; ``blocks`` / ``agree``: see above; ``chunk``: rows
-    of a block group that one task compares. The default finds every pair; with ``blocks < distance + agree`` the
-    search is probabilistic."""
+    """``width``: words of a shingle; ``bits``: a multiple of 64; ``blocks`` / ``agree``: see above; ``rounds``: how
+    often the bits are split, each time in another order; ``chunk``: rows of a block group that one task compares. The
+    default finds every pair; with ``blocks < distance + agree`` the search is probabilistic and more rounds miss
+    fewer."""
 
     width: int = 3
     bits: int = 64
     distance: int = 3
     blocks: int = 5
     agree: int = 2
+    rounds: int = 1
     chunk: int = 4096
 
 
@@ -92,19 +94,20 @@ def fingerprints(docs: DataFrame, text: Column | str = "text", plan: Plan = Plan
 
 
 def block_keys(fps: np.ndarray, plan: Plan) -> np.ndarray:
-    """A column of keys for each choice of ``agree`` blocks; ``fps`` holds the bits, a row each."""
+    """A column of keys for each round and choice of ``agree`` blocks; ``fps`` holds the bits, a row each."""
     edges = np.linspace(0, plan.bits, plan.blocks + 1).round().astype(int)
-    values = []
-    for a, b in itertools.pairwise(edges):
-        weights = 1 << np.arange(b - a, dtype=np.int64)
-        values.append(fps[:, a:b].astype(np.int64) @ weights)
-    size = int(np.diff(edges).max())
-    out = []
-    for n, chosen in enumerate(itertools.combinations(range(plan.blocks), plan.agree)):
-        key = np.full(len(fps), n, np.int64)
-        for c in chosen:
-            key = key << size | values[c]
-        out.append(key)
+    size, out = int(np.diff(edges).max()), []
+    for turn in range(plan.rounds):
+        mixed_bits = fps[:, np.random.default_rng(turn).permutation(plan.bits)] if turn else fps
+        values = []
+        for a, b in itertools.pairwise(edges):
+            weights = 1 << np.arange(b - a, dtype=np.int64)
+            values.append(mixed_bits[:, a:b].astype(np.int64) @ weights)
+        for chosen in itertools.combinations(range(plan.blocks), plan.agree):
+            key = np.full(len(fps), len(out), np.int64)
+            for c in chosen:
+                key = key << size | values[c]
+            out.append(key)
     return np.stack(out, axis=1)
 
 
