@@ -141,6 +141,18 @@ def test_large_block_groups_are_cut(spark):
         assert roots.count() + roots.select("root").distinct().count() == len(fps) - alone
 
 
+@pytest.mark.parametrize(("similarity", "least"), [(0.8, 0.93), (0.9, 0.985), (0.95, 0.999)])
+def test_rounds_of_blocks_meet(similarity, least):
+    rng, plan = np.random.default_rng(3), corpus_pipeline.NEAR
+    flips = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    left = rng.integers(0, 2, (20_000, plan.bits)).astype(np.uint8)
+    right = left ^ (rng.random(left.shape) < flips)
+    near = (left != right).sum(1) <= plan.distance
+    keys = [simhash.block_keys(x[near], plan) for x in (left, right)]
+    assert keys[0].shape[1] == plan.blocks * plan.rounds
+    assert (keys[0] == keys[1]).any(1).mean() >= least
+
+
 def test_span_equality_and_extension():
     random.seed(4)
     a = "".join(random.choice("ab é日") for _ in range(300))
