@@ -4,22 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.operators.restart import restart_windows
-from sigspark.operators.series import Layout, measure, null_safe_join, positions, relayout, running, with_range, with_rows
+from sigspark.operators.series import Layout, measure, null_safe_join, positions, relayout, running, with_rows
+
+
+def trailing_totals(df: DataFrame, keys, order: str, width: int, **values: Column) -> DataFrame:
+    """``df`` with ``<name>_sum`` (null if there is no value) and ``<name>_n`` of each value over ``[t - width, t]``.
+
+    Time is tiled by ``width``: a frame is the part of its own tile up to t and the part of the tile before from
+    t - width on, both running sums. So the cost does not depend on the width, tiles of one key spread over the
+    cluster at any length, and nothing is subtracted. A task holds the rows of one tile of a key. ``order`` is an integer
+    column; rows of equal time are peers; rows without a time make up a frame of their own.
+    """
+    t, size = F.col(order).cast("long"), max(int(width), 1)
+    sums = {f"__s_{n}": F.sum for n in values} | {f"__c_{n}": F.count for n in values}
+    staged = df.select("*", (t - F.pmod(t, F.lit(size))).alias("__tile"), *[c.alias(f"__v_{n}") for n, c in values.items()])
+    upto = Window.partitionBy(*keys, "__tile").orderBy(order)
+    own = staged.select("*", *[f(f"__v_{n[4:]}").over(upto).alias(f"{n}_own") for n, f in sums.items()])
+
+    both = own.withColumn("__probe", F.explode(F.array(F.lit(False), F.lit(True))))
+    rest = [c for c in [*df.columns, *[f"{n}_own" for n in sums]] if c not in keys]
+    lent = ~F.col("__probe") & t.isNotNull()
+    placed = both.select(
+        *keys, "__probe",
+        F.when(F.col("__probe"), F.col("__tile") - size).otherwise(F.col("__tile")).alias("__tile"),
+        F.when(F.col("__probe"), t - int(width)).otherwise(t).alias("__at"),
+        *[F.when(F.col("__probe"), F.col(c)).alias(c) for c in rest],
+        *[F.when(lent, F.col(f"__v_{n}")).alias(f"__v_{n}") for n in values],
+    )
+    back = Window.partitionBy(*keys, "__tile").orderBy(F.col("__at").desc())
+    met = placed.select("*", *[f(f"__v_{n[4:]}").over(back).alias(f"{n}_old") for n, f in sums.items()]).filter("__probe")
+    added = lambda n: F.coalesce(F.col(f"{n}_old") + F.col(f"{n}_own"), f"{n}_own", f"{n}_old")
+    return met.select(
+        *df.columns, *[added(f"__s_{n}").alias(f"{n}_sum") for n in values], *[added(f"__c_{n}").alias(f"{n}_n") for n in values],
+    )
 
 
-def trailing_power(df: DataFrame, keys, order: str, width: int, raw="value", filtered="filtered", layout: Layout | None = None) -> DataFrame:
+def trailing_power(df: DataFrame, keys, order: str, width: int, raw="value", filtered="filtered") -> DataFrame:
     """Mean power of raw, filtered and residual over ``[t - width, t]`` plus the row count."""
-    sq = lambda c: c * c
-    return with_range(df, keys, order, width, lambda w: {
-        "raw_power": F.avg(sq(F.col(raw))).over(w),
-        "filtered_power": F.avg(sq(F.col(filtered))).over(w),
-        "residual_power": F.avg(sq(F.col(raw) - F.col(filtered))).over(w),
-        "n": F.count(F.lit(1)).over(w),
-    }, layout)
+    sq = lambda c: (c * c).cast("double")
+    parts = {"raw": F.col(raw), "filtered": F.col(filtered), "residual": F.col(raw) - F.col(filtered)}
+    totals = trailing_totals(df, keys, order, width, **{f"__{n}": sq(c) for n, c in parts.items()}, __rows=F.lit(1))
+    mean = lambda n: F.when(F.col(f"__{n}_n") > 0, F.col(f"__{n}_sum") / F.col(f"__{n}_n"))
+    return totals.select(*df.columns, *[mean(n).alias(f"{n}_power") for n in parts], F.col("__rows_n").alias("n"))
 
 
 def successive_difference(df: DataFrame, keys, order, value="value") -> DataFrame:

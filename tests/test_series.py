@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sigspark.operators import filters, series
+from sigspark.operators import filters, series, windows
 from sigspark.operators.aggregates import exact_percentile
 from sigspark.operators.restart import restart_windows
 from sigspark.operators.series import measure
@@ -62,6 +62,24 @@ def test_range_frames(skewed, width):
     same(plain, cut, ["s", "n"])
 
 
+@pytest.mark.parametrize("width", [0, 1, 60, 6000, 10**9])
+def test_trailing_power_equals_range_frame(skewed, width):
+    odd = F.when(F.col("tie") % 11 == 0, None).when(F.col("tie") == 77, float("inf")).when(F.col("tie") == 150, float("nan"))
+    df = skewed.withColumn("value", F.when(F.col("tie") % 11 == 0, None).otherwise(F.coalesce(odd, "value")))
+    df = df.withColumn("filtered", F.col("value") * 0.5 + 1).withColumn("t", F.when(F.col("tie") != 5, F.col("t") - 4000))
+    frame = lambda w: {
+        "raw_power": F.avg(F.col("value") * F.col("value")).over(w), "filtered_power": F.avg(F.col("filtered") * F.col("filtered")).over(w),
+        "residual_power": F.avg((F.col("value") - F.col("filtered")) * (F.col("value") - F.col("filtered"))).over(w),
+        "n": F.count(F.lit(1)).over(w),
+    }
+    plain = series.with_range(df, KEYS, "t", width, frame)
+    made = windows.trailing_power(df, KEYS, "t", width)
+    assert made.columns == plain.columns
+    cols = ["raw_power", "filtered_power", "residual_power", "n"]
+    left, right = (x.select("dev", "tie", *cols).toPandas().sort_values(["dev", "tie"]).reset_index(drop=True) for x in (plain, made))
+    pd.testing.assert_frame_equal(left, right, check_exact=False, rtol=1e-9, atol=1e-9)
+
+
 def test_running_and_positions(skewed):
     lay = measure(skewed, KEYS, ORDER, 40)
     aggs = dict(total=("sum", "value"), top=("max", "value"), low=("min", "value"), n=("count", "value"))
