@@ -75,12 +75,20 @@ def a10(spark, sf):
 
 
 @query("a11_anomaly_record", f"""WITH RECURSIVE {FRAGMENTS}, {_IIR}, b AS (SELECT frag, avg(v - y) AS mu, stddev_pop(v - y) AS sd, count(*) AS n FROM f GROUP BY frag),
-r AS (SELECT f.frag, count(*) FILTER (WHERE abs(v - y - mu) > 2 * sd) AS k, max(n) AS n FROM f JOIN b USING (frag) GROUP BY f.frag)
-SELECT frag, 'RESIDUAL_ANOMALY' AS anomaly_type, round(least(1.0, k / n * 50), 6) AS anomaly_score, CASE WHEN k / n < 0.01 THEN 'WARN' ELSE 'ERROR' END AS alert_level,
- '{{"points":' || k || ',"level":"' || CASE WHEN k / n < 0.01 THEN 'WARN' ELSE 'ERROR' END || '"}}' AS context_data FROM r WHERE k / n > 0.002""")
+r AS (SELECT f.frag, count(*) FILTER (WHERE abs(v - y - mu) > 2 * sd) AS k, max(n) AS n FROM f JOIN b USING (frag) WHERE sd >= 1e-10 GROUP BY f.frag),
+j AS (SELECT frag, v - lag(v) OVER (PARTITION BY frag ORDER BY i) AS d FROM x),
+s AS (SELECT frag, avg(d) AS mu, stddev_pop(d) AS sd, count(d) AS n FROM j GROUP BY frag),
+c AS (SELECT j.frag, count(*) AS k, max(abs(d)) AS top, max(sd) AS sd FROM j JOIN s USING (frag) WHERE abs(d - mu) > 3.5 * sd AND sd >= 1e-10 AND n >= 9 GROUP BY j.frag),
+m AS (SELECT frag, avg(v) AS mu, stddev_pop(v) AS sd, min(v) AS lo, max(v) AS hi, count(*) AS n FROM x GROUP BY frag),
+z AS (SELECT frag, greatest((hi - mu) / sd, (mu - lo) / sd) AS z FROM m WHERE n >= 10 AND sd > 1e-10),
+found AS (
+ SELECT frag, 'RESIDUAL_ANOMALY' AS anomaly_type, least(1.0, k / n * 50) AS score, CASE WHEN k / n < 0.01 THEN 'WARN' ELSE 'ERROR' END AS alert_level, k FROM r WHERE k / n > 0.002
+ UNION ALL SELECT frag, 'SUDDEN_CHANGE', least(1.0, top / (3.5 * sd * 2)), CASE WHEN k < 3 THEN 'WARN' ELSE 'ERROR' END, k FROM c
+ UNION ALL SELECT frag, 'EXTREME_VALUE', least(1.0, z / 9), 'WARN', 1 FROM z WHERE z > 4.5)
+SELECT frag, anomaly_type, round(score, 6) AS anomaly_score, alert_level, '{{"points":' || k || ',"level":"' || alert_level || '"}}' AS context_data FROM found""")
 def a11(spark, sf):
     found = detect.fragment_findings(filters.filter_fragments(fragments(spark, sf), "IIR")).select("frag", "findings")
-    out = sinks.build_anomaly_record(found).filter("anomaly_type = 'RESIDUAL_ANOMALY'")
+    out = sinks.build_anomaly_record(found)
     return out.select("frag", "anomaly_type", F.col("anomaly_score").cast("double").alias("anomaly_score"), "alert_level", "context_data")
 
 
