@@ -3,9 +3,10 @@
 Texts are dealt into blocks of some megabytes whose tokens are numbered within the block. Exact unigram counts of the
 training texts are added up over words and sent back to every block that holds the word. Bigram counts are added up
 over hashes and kept in a Bloom filter: an n-gram with count c is inserted once for each level up to
-1 + log_b(c), and reading a count probes level after level until one is missing. The filter has ``filter_bits`` bits
-whatever the input, so it is broadcast. Each slice of the hash space takes n-grams in falling order of count while
-they fit at half load; what is left out backs off to the exact unigram counts.
+1 + log_b(c), and reading a count probes level after level until one is missing. Every training bigram enters. The
+hash space is cut into slices, as many as the tokens need; a slice's filter has ``spare`` bits for each bit set, so
+that it grows with its bigrams. Every block sends its keys to their slices and gets their levels back; no task holds
+the whole filter.
 
 p(w | v) = a(v) c(v, w) / c(v) + (1 - a(v)) (c(w) + 1) / (N + V + 1), where a(v) = c(v) / (c(v) + k c(v) ** 0.8) and k
 makes the expected number of distinct successors add up to that of all bigrams (Witten-Bell smoothing with a power law
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +41,15 @@ MADE = [
 
 @dataclass(frozen=True)
 class Settings:
-    """``block``: bytes of text in a block; ``filter_bits``: size of the broadcast filter; ``hashes``: bits per level;
-    ``base``: step between levels; ``power``: growth of a word's distinct successors with its count; ``shard_words``
-    and ``shard_bigrams``: compressed bytes and entries that one task adds up."""
+    """``block``: bytes of text in a block; ``filter_bits``: size of a ``Filter`` (``score`` sets it for each slice);
+    ``hashes``: bits per level; ``spare``: bits of a slice for each bit that its n-grams set; ``base``: step between
+    levels; ``power``: growth of a word's distinct successors with its count; ``shard_words`` and ``shard_bigrams``:
+    compressed bytes and entries that one task adds up."""
 
     block: int = 4 << 20
     filter_bits: int = 1 << 29
     hashes: int = 4
+    spare: int = 8
     base: float = 1.5
     power: float = 0.8
     shard_words: int = 4 << 20
@@ -203,15 +206,18 @@ def place(first: np.ndarray, step: np.ndarray, nth: int, places: int) -> np.ndar
     return (first + np.uint64(nth) * step) % np.uint64(places)
 
 
+def levels_of(counts: np.ndarray, s: Settings) -> np.ndarray:
+    return 1 + np.floor(np.log(counts) / math.log(s.base) + 1e-9).astype(np.int64)
+
+
+def bits_for(counts: np.ndarray, s: Settings) -> int:
+    """Bits of a slice in which all these n-grams enter."""
+    return max(1, -(-int(levels_of(counts, s).sum()) * s.hashes * s.spare // 64)) * 64
+
+
 def build_slice(keys: np.ndarray, counts: np.ndarray, slice_bits: int, s: Settings) -> np.ndarray:
-    """Bits of one slice; n-grams enter in falling order of count while the slice stays at half load."""
-    level = 1 + np.floor(np.log(counts) / math.log(s.base) + 1e-9).astype(np.int64)
-    each = np.bincount(level, minlength=2)
-    load = np.cumsum((each * np.arange(len(each)) * s.hashes)[::-1])[::-1]
-    fits = np.flatnonzero(load <= slice_bits * math.log(2))
-    least = int(fits[0]) if len(fits) else len(each)
-    chosen = level >= max(1, least)
-    (first, step), level = probes(keys[chosen]), level[chosen]
+    """Bits of one slice with all n-grams."""
+    (first, step), level = probes(keys), levels_of(counts, s)
     bits, places = np.zeros(slice_bits, bool), prime_under(slice_bits)
     for q in range(1, int(level.max(initial=0)) + 1):
         on = level >= q
@@ -220,45 +226,6 @@ def build_slice(keys: np.ndarray, counts: np.ndarray, slice_bits: int, s: Settin
     return np.packbits(bits, bitorder="little")
 
 
-def bigram_slices(blocks: DataFrame, shards: int, s: Settings) -> DataFrame:
-    """``shard``, its ``bits`` and the number of distinct training bigrams in it."""
-    slice_bits = s.filter_bits // shards // 64 * 64
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ids, vocabulary, held, sizes in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                keys = bigram_keys(word_hashes(expand(vocabulary).split(b" ")), np.frombuffer(expand(ids), "<i4"))
-                keys, counts = np.unique(keys[np.repeat(~np.array(held, bool), sizes)], return_counts=True)
-                cuts = np.searchsorted(keys, np.arange(1, shards, dtype=np.uint64) * np.uint64(width_of(shards)))
-                rows = [
-                    (i, pack_keys(k), c.astype("<u4").tobytes())
-                    for i, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)) if len(k)
-                ]
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()), strict=True)],
-                        names=["shard", "keys", "counts"],
-                    )
-
-    def add(rows: pa.Table) -> pa.Table:
-        keys = np.concatenate([unpack_keys(k) for k in rows.column("keys").to_pylist()])
-        counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<u4")
-        order = np.argsort(keys)
-        keys = keys[order]
-        heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        sums = np.add.reduceat(counts[order].astype(np.int64), heads)
-        bits = build_slice(keys[heads], sums, slice_bits, s)
-        return pa.table({
-            "shard": rows.column("shard").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary()),
-            "distinct": pa.array([len(heads)], pa.int64()),
-        })
-
-    dealt = blocks.select("ids", "vocabulary", "held", "sizes").mapInArrow(
-        deal, T.StructType([field("shard", "long"), field("keys", "binary"), field("counts", "binary")]))
-    return dealt.groupBy("shard").applyInArrow(
-        add, T.StructType([field("shard", "long"), field("bits", "binary"), field("distinct", "long")]))
-
-
 @dataclass
 class Filter:
     bits: np.ndarray
@@ -266,22 +233,82 @@ class Filter:
     levels: int
     settings: Settings
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Lower edge of the highest level found for each key, 0 if it is not there."""
+    def found(self, keys: np.ndarray) -> np.ndarray:
+        """Number of the highest level found for each key, 0 if it is not there."""
         s = self.settings
         slice_bits = s.filter_bits // self.shards // 64 * 64
         base = (keys // np.uint64(width_of(self.shards))) * np.uint64(slice_bits)
         places = prime_under(slice_bits)
         first, step = probes(keys)
-        out, live, q = np.zeros(len(keys)), np.arange(len(keys)), 0
+        out, live, q = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 0
         while len(live) and q < self.levels:
             for h in range(s.hashes):
                 bit = base[live] + place(first[live], step[live], q * s.hashes + h, places)
                 live = live[self.bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1]
-            out[live] = math.ceil(s.base ** q - 1e-9)
             q += 1
+            out[live] = q
         return out
 
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Lower edge of the highest level found for each key, 0 if it is not there."""
+        return edges(self.levels, self.settings)[self.found(keys)]
+
+
+def edges(levels: int, s: Settings) -> np.ndarray:
+    """Lower edge of each level, 0 for none."""
+    return np.array([0, *(math.ceil(s.base ** q - 1e-9) for q in range(levels))], np.float64)
+
+
+def bigram_levels(blocks: DataFrame, shards: int, levels: int, s: Settings) -> DataFrame:
+    """``block``, ``shard`` and the filter's ``levels`` of the block's distinct keys there, in ascending order;
+    ``distinct`` adds up to the number of distinct training bigrams."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, ids, vocabulary, held, sizes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                keys = bigram_keys(word_hashes(expand(vocabulary).split(b" ")), np.frombuffer(expand(ids), "<i4"))
+                train = np.repeat(~np.array(held, bool), sizes)
+                keys, at = np.unique(keys, return_inverse=True)
+                counts = np.bincount(at[train], minlength=len(keys))
+                cuts = np.searchsorted(keys, np.arange(1, shards, dtype=np.uint64) * np.uint64(width_of(shards)))
+                rows = [
+                    (i, block, pack_keys(k), c.astype("<u4").tobytes())
+                    for i, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)) if len(k)
+                ]
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(),) * 2 + (pa.binary(),) * 2, strict=True)],
+                        names=["shard", "block", "keys", "counts"],
+                    )
+
+    def add(rows: pa.Table) -> pa.Table:
+        lists = [unpack_keys(k) for k in rows.column("keys").to_pylist()]
+        keys = np.concatenate(lists)
+        counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<u4")
+        order = np.argsort(keys)
+        ordered = keys[order]
+        first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        heads = np.flatnonzero(first)
+        one, sums = ordered[heads], np.add.reduceat(counts[order].astype(np.int64), heads)
+        known = sums > 0
+        size = bits_for(sums[known], s)
+        model = Filter(build_slice(one[known], sums[known], size, s), 1, levels, replace(s, filter_bits=size))
+        got = np.empty(len(keys), np.uint8)
+        got[order] = model.found(one)[np.cumsum(first) - 1]
+        cuts = np.cumsum([len(k) for k in lists])[:-1]
+        return pa.table({
+            "block": rows.column("block"), "shard": rows.column("shard"),
+            "levels": pa.array([squeeze(x.tobytes()) for x in np.split(got, cuts)], pa.binary()),
+            "distinct": pa.array([int(known.sum())] + [0] * (len(lists) - 1), pa.int64()),
+        })
+
+    dealt = blocks.select("block", "ids", "vocabulary", "held", "sizes").mapInArrow(deal, T.StructType([
+        field("shard", "long"), field("block", "long"), field("keys", "binary"), field("counts", "binary"),
+    ]))
+    return dealt.groupBy("shard").applyInArrow(add, T.StructType([
+        field("block", "long"), field("shard", "long"), field("levels", "binary"), field("distinct", "long"),
+    ]))
+
 
 def score(
     docs: DataFrame, held_out: Column, key: str = "doc_id", text: Column | str = "text", settings: Settings = Settings(),
@@ -295,18 +322,14 @@ def score(
         F.coalesce(F.sum(F.octet_length("vocabulary")), F.lit(0)), F.coalesce(F.sum(trained), F.lit(0))).first()
     totals = stored(word_totals(blocks, max(1, -(-size // s.shard_words)), s), "lm-totals")
     known, spread = totals.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("spread"), F.lit(0.0))).first()
-    shards = min(max(2, -(-tokens // s.shard_bigrams)), s.filter_bits // 64)
-    slice_bytes = s.filter_bits // shards // 64 * 8
-    bits, distinct = np.zeros(slice_bytes * shards, np.uint8), 0
-    for row in bigram_slices(blocks, shards, s).toLocalIterator():          # filter_bits in all, whatever the input
-        bits[row["shard"] * slice_bytes:(row["shard"] + 1) * slice_bytes] = np.frombuffer(row["bits"], np.uint8)
-        distinct += row["distinct"]
-    shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
-    rate, levels = distinct / max(spread, 1.0), 1 + int(math.log(max(tokens, 1)) / math.log(s.base))
+    shards, levels = max(2, -(-tokens // s.shard_bigrams)), 1 + int(math.log(max(tokens, 1)) / math.log(s.base))
+    found = stored(bigram_levels(blocks, shards, levels, s), "lm-bigrams")
+    rate = found.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0] / max(spread, 1.0)
     gathered = totals.groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("totals").alias("totals"))
+    answers = found.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "levels")))["levels"].alias("levels"))
+    edge = edges(levels, s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Filter(np.frombuffer(shared.value, np.uint8), shards, levels, s)
         for b in batches:
             for i in range(b.num_rows):
                 keys, held, sizes = (b.column(c)[i].values for c in range(3))
@@ -318,7 +341,9 @@ def score(
                 before = np.concatenate([np.zeros(1, ids.dtype), ids[:-1]])
                 context = count[before].astype(np.float64)
                 trust = np.where(context > 0, 1 / (1 + rate * np.maximum(context, 1) ** (s.power - 1)), 0)
-                pairs = np.minimum(model.counts(bigram_keys(word_hashes(vocabulary), ids)), np.minimum(context, count[ids]))
+                _, nth = np.unique(bigram_keys(word_hashes(vocabulary), ids), return_inverse=True)
+                level = np.frombuffer(b"".join(map(expand, b.column(7)[i].as_py())), np.uint8)
+                pairs = np.minimum(edge[level][nth], np.minimum(context, count[ids]))
                 p = trust * pairs / np.maximum(context, 1) + (1 - trust) * plain[ids]
                 n = sizes.to_numpy()
                 starts = np.cumsum(n) - n
@@ -329,6 +354,6 @@ def score(
                     names=[key, "held_out", *[f.name for f in MADE]],
                 )
 
-    rows = blocks.select("keys", "held", "sizes", "ids", "vocabulary", "block").join(gathered, "block").drop("block")
+    rows = blocks.select("keys", "held", "sizes", "ids", "vocabulary", "block").join(gathered, "block").join(answers, "block").drop("block")
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), field("held_out", "boolean"), *MADE])
     return rows.mapInArrow(run, schema)
