@@ -306,3 +306,12 @@ def test_pipeline(spark, sf001, odd, empty, tmp_path):
     near = corpus_pipeline.near(spark, odd, sf001).collect()
     assert sorted(r.doc_id for r in near if (r.text or "").strip() == "") == [0]
     assert remainder("doc_id", 5) is not None
+
+
+def test_near_keeps_clean_texts_of_tied_and_null_ids(spark, sf001):
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(f"{k}{rng.randrange(10 ** 6)}" for _ in range(400)) for k in "abcd")
+    rows = [(3, a), (5, b), (5, a + " end"), (5, b), (None, c), (None, d), (None, d + " end"), (7, c + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = [(r.doc_id, r.text[0]) for r in corpus_pipeline.near(spark, docs, sf001).collect()]
+    assert sorted(got, key=str) == [(3, "a"), (5, "b"), (7, "c"), (None, "d")]
