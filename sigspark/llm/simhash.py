@@ -252,12 +252,3 @@ def components(docs: DataFrame, key: str = "doc_id", text: Column | str = "text"
     dealt_ = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(F.col(key)), F.lit(salts)).cast("int"))
     return salted.join(dealt_, ["fp", "salt"], "left").select(key, "fp", F.coalesce("component_id", key).alias("component_id"))
-
-
-def firsts(docs: DataFrame, first: Column, text: Column | str = "text", plan: Plan = Plan()) -> DataFrame:
-    """``first``: the least value of each component, for a value that tells rows apart."""
-    rows = stored(fingerprints(docs.withColumn("first", first), text, plan, ["first"]), "fingerprints")
-    distinct = stored(rows.groupBy("fp").agg(F.min("first").alias("first")), "distinct")
-    roots = contract(links(distinct, plan))
-    of = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    return of.groupBy("root").agg(F.min("first").alias("first")).select("first")

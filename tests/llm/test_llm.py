@@ -315,3 +315,19 @@ def test_near_keeps_clean_texts_of_tied_and_null_ids(spark, sf001):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
     got = [(r.doc_id, r.text[0]) for r in corpus_pipeline.near(spark, docs, sf001).collect()]
     assert sorted(got, key=str) == [(3, "a"), (5, "b"), (7, "c"), (None, "d")]
+
+
+def test_near_finds_pairs_from_the_least_similarity_on(spark, sf001):
+    """Half of the pairs are just over 0.8, half just under it."""
+    rng, rows = random.Random(8), []
+    for i in range(120):
+        n = 356 if i % 2 else 350                                      # shingles in common: similarity 0.80 or 0.776
+        same = [f"w{rng.randrange(10 ** 6)}" for _ in range(n + 4)]
+        for side in range(2):
+            rows.append((2 * i + side, " ".join(same + [f"x{rng.randrange(10 ** 6)}" for _ in range(400 - n)])))
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t in rows}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = {r.doc_id for r in corpus_pipeline.near(spark, docs, sf001).collect()}
+    alike = [i for i in range(0, 240, 2) if len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8]
+    assert len(alike) == 60
+    assert got == set(sets) - {i + 1 for i in alike}
