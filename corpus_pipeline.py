@@ -1,8 +1,9 @@
 """Corpus pipeline: quality classifier, quality rules, line dedup, near-dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each as Parquet in the shared folder and
-reads it as the next stage's documents. All but the last keep the columns of ``documents``. Null texts count as empty;
-empty tables pass through.
+reads it as the next stage's documents. All but the last keep every column of their input, whatever its name or type (a
+stage carries them in one struct, so none can clash with what it computes). Null texts count as empty; very long texts
+take part whole; empty tables pass through.
 """
 
 from __future__ import annotations
@@ -10,23 +11,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import classifier, line_dedup, near_pairs, packing, quality_rules, simhash
+from sigspark.llm import classifier, line_dedup, packing, quality_rules, simhash
 from sigspark.llm.common import remainder, stored, table
 from sigspark.llm.queries import WORD_TOKENIZER
 
-#: Pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. All but 1 in 4,600 of the pairs at 0.8
-#: meet in one of the bands, and fewer are missed above.
-SIMILAR = near_pairs.Plan(width=5, least=0.8, bands=16, rows=4)
-#: The search by fingerprints that ``SIMILAR`` replaced; 40 bits and these blocks lose pairs of 0.8 and more.
-NEAR = simhash.Plan(width=5, bits=256, distance=40, blocks=16, agree=1, rounds=2)
+#: 54 of 256 bits is three deviations beyond the mean distance (39) of texts whose five-word shingles have a Jaccard
+#: similarity of 0.8; 7 splits into 14 blocks of 18 bits let 97 in 100 of the pairs at 0.8 that lie within it meet.
+NEAR = simhash.Plan(width=5, bits=256, distance=54, blocks=14, agree=1, rounds=7)
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and the whole row as ``__row``."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the neighbours of a sample of labelled documents vote for."""
     labels = table(spark, sf_dir, "labels").filter(F.coalesce(remainder("doc_id", 5), F.lit(0)) != 0)
     raw = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = classifier.score(docs, classifier.fit(raw, labels))
-    return scored.filter("predicted = 1").select(*docs.columns)
+    scored = classifier.score(wrapped(docs), classifier.fit(raw, labels), carry=["__row"])
+    return scored.filter("predicted = 1").select("__row.*")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,18 +39,28 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without runs of 50 words or more that stand earlier."""
-    cleaned = line_dedup.strip_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cleaned.select(*docs.columns)
+    """Texts without runs of 50 words or more that stand earlier; ``n_chars``, where there is one, follows the text."""
+    cleaned = line_dedup.strip_repeats(wrapped(docs))
+    now = {"text": F.col("text"), "n_chars": F.length("text")}
+    kinds = dict(docs.dtypes)
+    return cleaned.select(*[
+        now[c].cast(kinds[c]).alias(c) if c in now else F.col("__row").getField(c).alias(c) for c in docs.columns
+    ])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of smallest id (null last), then of smallest hash, of each group of near-duplicates; one of equal rows."""
-    marked = docs.withColumn("__row", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "__row")
-    found = near_pairs.firsts(marked, first, plan=SIMILAR).select(F.when(~F.col("first.none"), F.col("first.id")).alias("__id"), F.col("first.__row").alias("__hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__hash"))
-    return marked.join(found, same, "left_semi").dropDuplicates(["doc_id", "__row"]).drop("__row")
+    """One row of each group of texts linked by fingerprints ``NEAR.distance`` bits apart or less.
+
+    The row of smallest id stays (null last), of tied ids that of the smallest hash of its text, of equal rows any one.
+    Rows are told apart by a number written once beside them, not by their ids."""
+    numbered = wrapped(docs).withColumn("uid", F.monotonically_increasing_id())
+    rows = stored(simhash.fingerprints(numbered, plan=NEAR, carry=["doc_id", "uid", "__row"]), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("__row.text").alias("same"), "uid")
+    distinct = stored(rows.groupBy("fp").agg(F.min(place).alias("first")), "distinct")
+    roots = simhash.contract(simhash.links(distinct, NEAR))
+    of = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = of.groupBy("root").agg(F.min("first").alias("first")).select("first.uid")
+    return rows.join(kept, "uid", "left_semi").select("__row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
