@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import bpe, chat, classifier, line_dedup, lm_scoring, packing, quality_rules, simhash, span_hash, warc
+from sigspark.llm import (
+    alignment, bpe, chat, classifier, importance, line_dedup, lm_scoring, minmax, packing, quality_rules, simhash, span_hash,
+    warc,
+)
 from sigspark.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +20,8 @@ ORACLES: dict[str, str] = {}
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -102,3 +107,20 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_compression_bands")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.measure(documents(spark, sf), carry=["doc_id"])
+
+
+@query("op11_minmax_components")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return minmax.components(documents(spark, sf))
+
+
+@query("op12_importance_resampling", importance.sql())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return importance.resample(documents(spark, sf), table(spark, sf, "benchmark"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    found = alignment.align(documents(spark, sf), BYTE_TOKENIZER, PIECE_MODEL)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
