@@ -278,7 +278,7 @@ WITH steps AS (
 ), hashed AS (
   SELECT w, xor(list_reduce(list_concat([4294967295::UBIGINT],
     list_transform(range(strlen(w)), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::UBIGINT)),
-    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) % 256)])), 4294967295::UBIGINT) % {plan.buckets} AS bucket FROM vocabulary, steps
+    lambda c, b: xor(c >> 8, t[(1 + xor(c, b) % 256)::BIGINT])), 4294967295::UBIGINT) % {plan.buckets} AS bucket FROM vocabulary, steps
 ), s AS (SELECT bucket, sum(n) AS s FROM dc JOIN hashed USING (w) GROUP BY bucket
 ), t AS (SELECT bucket, sum(n) AS t FROM bc JOIN hashed USING (w) GROUP BY bucket
 ), gain AS (
