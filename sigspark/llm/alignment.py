@@ -12,9 +12,6 @@ a block's keys are looked up in their shards, each verified against the key at i
 holds more than one shard; there is one for every 4 million pairs that can differ (fewer than the links, and than the product of the vocabularies).
 The highest count per id of the second tokenizer (one number per vocabulary entry) is the only thing broadcast.
 
-Words are remembered: a piece from a blank or line feed behind a character that is not white space up to the next such place is tokenized by itself, as
-neither tokenizer joins anything across it; this is checked on both tokenizers, else whole texts are encoded.
-
 Null or empty text, and text that the two tokenizers do not both write back byte for byte: no tokens, zeros, no groups.
 Null ids and repeated rows are aligned and counted each by itself. Very long texts are aligned whole. An empty table gives no rows. Only the id and the
 text are read, so other columns cannot clash.
@@ -26,10 +23,11 @@ import itertools
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -41,18 +39,15 @@ from sigspark.llm.common import field, present, stored
 from sigspark.llm.packing import byte_letters
 from sigspark.llm.simhash import mixed
 
-PLACES = re.compile(r"(?<=\S)(?=[ \n])")
-
 
 @dataclass(frozen=True)
 class Plan:
     """``block``: tokens aligned at once; ``shard``: pairs that may share a shard; ``lanes``: groups of blocks that a shard adds
-    up apart; ``cache``: pieces a worker remembers."""
+    up apart."""
 
     block: int = 1_000_000
     shard: int = 1 << 22
     lanes: int = 4
-    cache: int = 400_000
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -64,77 +59,50 @@ def expand(data: bytes, kind: str = "<i8") -> np.ndarray:
 
 
 class Tokenizers:
-    """A byte-level tokenizer file (``first``) and a piece model (``second``) with the bytes of each of their entries."""
+    """A byte-level tokenizer file (``first``) and a piece model (``second``) with the bytes of each of their entries.
+
+    Where the file splits by the ``pattern`` named and its ids rise in the order of its merges, a merge of lowest id is the first of
+    the file's merges, and tiktoken, which works by ids, encodes in its place; else the file's own library does."""
 
-    def __init__(self, first: str, second: str, cache: int = 400_000) -> None:
+    def __init__(self, first: str, second: str, pattern: str | None = None) -> None:
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.first, self.second = Tokenizer.from_file(first), sentencepiece.SentencePieceProcessor(model_file=second)
-        self.first.encode_special_tokens = True
+        own, self.second = Tokenizer.from_file(first), sentencepiece.SentencePieceProcessor(model_file=second)
+        own.encode_special_tokens = True
         letters = {chr(v): k for k, v in byte_letters().items()}
-        words = {i: bytes(letters[c] for c in w) if set(w) <= letters.keys() else w.encode() for w, i in self.first.get_vocab().items()}
+        words = {i: bytes(letters[c] for c in w) if set(w) <= letters.keys() else w.encode() for w, i in own.get_vocab().items()}
         pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         single = re.compile(r"<0x([0-9A-F]{2})>$")
-        blank = [p.replace("▁", " ") for p in pieces]
         self.entries = (
             [words.get(i, b"") for i in range(max(words) + 1)],
-            [bytes([int(m[1], 16)]) if (m := single.match(p)) and self.second.is_byte(i) else p.encode() for i, p in enumerate(blank)],
+            [bytes([int(m[1], 16)]) if (m := single.match(p)) and self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)],
         )
         self.sizes = tuple(np.array([len(w) for w in e], np.int64) for e in self.entries)
         if max(map(len, self.entries)) > 1 << 16:
             raise ValueError("ids are packed in 16 bits")
-        file = json.loads(self.first.to_str())
+        file = json.loads(own.to_str())
         plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-        marks = ["a  b", " a", "a ", "a\nb", "ﬁéé"]
-        self.by_piece = (
-            not file["normalizer"] and {k: (file["pre_tokenizer"] or {}).get(k) for k in plain} == plain
-            and not any("\n" in b or re.search("[^ ] ", b) for b in blank)
-            and all(self.written(1, self.second.encode(m)) == b" " + m.encode() for m in marks)
-            and self.second.encode("\na")[0] == self.second.piece_to_id("▁")
-        )
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-        self.cache = cache
-
-    def written(self, side: int, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.entries[side].__getitem__, ids))
-
-    def whole(self, texts: list[str], drop: list[bool]) -> list[tuple[bytes, bytes] | None]:
-        """Ids of both sides of each text with its leading blank (a piece of ``drop`` has none); None where the bytes differ."""
-        lead = [t if d else " " + t for t, d in zip(texts, drop, strict=True)]
-        out: list[tuple[bytes, bytes] | None] = []
-        left = self.first.encode_batch_fast(lead, add_special_tokens=False)
-        right = self.second.encode(texts, num_threads=1)
-        for text, d, a, b in zip(lead, drop, left, right, strict=True):
-            ids, other, data = a.ids, b[1:] if d else b, text.encode()
-            same = self.written(0, ids) == data and self.written(1, other) == data
-            out.append((np.array(ids, "<u2").tobytes(), np.array(other, "<u2").tobytes()) if same else None)
-        return out
+        vocabulary = file["model"].get("vocab", {})
+        made = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1), -1) for m in file["model"].get("merges", [])]
+        bytes_first = len(made) + 256 <= len(vocabulary) and all(len(words[i]) == 1 for i in range(256))
+        if (pattern and not file["normalizer"] and {k: (file["pre_tokenizer"] or {}).get(k) for k in plain} == plain
+                and bytes_first and made == list(range(256, 256 + len(made)))):
+            ranks = {words[i]: i for i in range(256 + len(made))}
+            self.encode_first = tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            self.encode_first = lambda text: own.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Packed ids of both sides; none for an empty text or one that is not written back."""
-        none = (b"", b"")
-        if not self.by_piece:
-            return [(e or none) if t else none for t, e in zip(texts, self.whole(texts, [False] * len(texts)), strict=True)]
-        cut = [PLACES.split(" " + t) if t else [] for t in texts]
-        new = list({p for pieces in cut for p in pieces if p not in self.known})
-        if len(self.known) + len(new) > self.cache:
-            self.known, new = {}, list({p for pieces in cut for p in pieces})
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            drop = [p[0] != " " for p in part]
-            got = self.whole([p if d else p[1:] for p, d in zip(part, drop, strict=True)], drop)
-            self.known.update(zip(part, got, strict=True))
+        """Packed ids of both sides; none for an empty text or one that the two do not write back alike."""
         out = []
-        for t, pieces in zip(texts, cut, strict=True):
-            found = list(map(self.known.__getitem__, pieces))
-            if None in found:
-                found = self.whole([t], [False])
-            out.append((b"".join([f[0] for f in found]), b"".join([f[1] for f in found])) if None not in found else none)
-        for p in new:
-            if len(p) > 64:
-                del self.known[p]
+        for text, right in zip(texts, self.second.encode(texts, num_threads=1), strict=True):
+            data = b" " + text.encode()
+            left = self.encode_first(" " + text) if text else []
+            same = text and all(b"".join(map(e.__getitem__, ids)) == data for e, ids in zip(self.entries, (left, right), strict=True))
+            out.append((np.array(left, "<u2").tobytes(), np.array(right, "<u2").tobytes()) if same else (b"", b""))
         return out
 
 
@@ -198,40 +166,65 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return (mixed(keys.astype(np.uint64), 1) % np.uint64(shards)).astype(np.int64)
 
 
+class Labels:
+    """Ids as decimal text with each of two signs behind, eight bytes each, to be joined without a loop."""
+
+    def __init__(self, sizes: tuple[np.ndarray, np.ndarray]) -> None:
+        text = [f"{i}{sign}".encode() for n, signs in zip(map(len, sizes), (",|", ",;"), strict=True) for i in range(n) for sign in signs]
+        self.signed, self.bare = (np.array(t, "S8").view("<u8") for t in (text, [t[:-1] for t in text]))
+        self.size, self.first = np.array([len(t) for t in text], np.int64), len(sizes[0])
+
+    def joined(self, codes: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """A string for each run of codes up to ``ends``, without its last sign."""
+        last = ends[np.diff(ends, prepend=0) > 0] - 1
+        wide, size = self.signed[codes], self.size[codes]
+        wide[last] = self.bare[codes[last]]
+        size[last] -= 1
+        edges = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], ends))]
+        data = wide.view(np.uint8)
+        return pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(edges), pa.py_buffer(data[data != 0])).cast(pa.string())
+
+
 class Alignment:
-    """Links and groups of the texts of a block; ``a`` and ``b`` hold their ids, ``na`` and ``nb`` their numbers of ids."""
+    """Links and groups of the texts of a block; ``a`` and ``b`` hold their ids, ``na`` and ``nb`` their numbers of ids.
+
+    The token ends of both sides are marked on the block's bytes; what lies before a byte is counted by running sums."""
 
     def __init__(self, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, sizes: tuple[np.ndarray, np.ndarray]) -> None:
         self.a, self.b, self.na, self.nb = a.astype(np.int64), b.astype(np.int64), na, nb
-        self.ends = np.cumsum(sizes[0][self.a]), np.cumsum(sizes[1][self.b])
-        cuts = np.union1d(*self.ends)                                   # one link ends at each
-        self.left, self.right = (np.searchsorted(e, cuts) for e in self.ends)
-        self.keys = self.a[self.left] * len(sizes[1]) + self.b[self.right]
-        self.shared = np.intersect1d(*self.ends, assume_unique=True)    # one group ends at each
+        self.ends = [np.cumsum(s[x]) for s, x in zip(sizes, (self.a, self.b), strict=True)]
+        n = int(self.ends[0][-1]) + 1 if len(a) else 1
+        marks = [np.zeros(n, bool) for _ in self.ends]
+        for m, e in zip(marks, self.ends, strict=True):
+            m[e] = True
+        self.shared, either = marks[0] & marks[1], marks[0] | marks[1]
+        cuts = np.flatnonzero(either)                                   # one link ends at each
+        left, self.right = ((np.cumsum(m, dtype=np.int32) - m)[cuts] for m in marks)
+        self.keys = self.a[left] * len(sizes[1]) + self.b[self.right]
+        self.before = np.cumsum(self.shared, dtype=np.int32)            # one group ends at each shared mark
         stops = np.concatenate(([0], self.ends[0]))[np.cumsum(na)]
-        self.links = np.diff(np.searchsorted(cuts, stops, side="right"), prepend=0)
-        self.groups = np.diff(np.searchsorted(self.shared, stops, side="right"), prepend=0)
-
-    def written(self, strings: tuple[list[str], int]) -> list[str]:
-        """``a1,a2|b1;a3|b2,b3`` of each text; ``strings``: each id of a side with each of its two signs behind, entries of the first."""
-        table, first = strings
-        of = [np.searchsorted(self.shared, e) for e in self.ends]       # group of each token
-        last = [e == self.shared[g] for e, g in zip(self.ends, of, strict=True)]
-        behind = np.arange(len(self.a)) + np.searchsorted(of[1], of[0])
-        code = np.zeros(len(self.a) + len(self.b), np.int64)
-        code[behind] = 2 * self.a + last[0]
-        code[np.arange(len(self.b)) + np.searchsorted(of[0], of[1], side="right")] = 2 * (first + self.b) + last[1]
-        stops = np.cumsum(self.na + self.nb).tolist()
-        return ["".join([table[c] for c in code[i:j].tolist()])[:-1] for i, j in zip([0, *stops], stops, strict=False)]
-
-
-def in_blocks(docs: DataFrame, key: str, text: Column | str, first: str, second: str, plan: Plan) -> DataFrame:
+        self.links = np.diff(np.cumsum(either, dtype=np.int32)[stops].astype(np.int64), prepend=0)
+        self.groups = np.diff(self.before[stops].astype(np.int64), prepend=0)
+
+    def written(self, labels: Labels) -> pa.Array:
+        """``a1,a2|b1;a3|b2,b3`` of each text."""
+        last = [self.shared[e] for e in self.ends]
+        of = [self.before[e] - x for e, x in zip(self.ends, last, strict=True)]      # group of each token
+        codes = np.zeros(len(self.a) + len(self.b), np.int64)
+        groups = int(self.before[-1]) + 1
+        upto = [np.cumsum(np.bincount(g, minlength=groups)) for g in of]                 # tokens of a side up to each group
+        codes[np.arange(len(self.a)) + (upto[1] - np.bincount(of[1], minlength=groups))[of[0]]] = 2 * self.a + last[0]
+        codes[np.arange(len(self.b)) + upto[0][of[1]]] = 2 * (labels.first + self.b) + last[1]
+        return labels.joined(codes, np.cumsum(self.na + self.nb))
+
+
+def in_blocks(docs: DataFrame, key: str, text: Column | str, files: tuple[str, str, str | None], plan: Plan) -> DataFrame:
     """``block``, the ``keys`` of its texts, their ids on both sides (``a``, ``b``, 16 bits each) and how many each has (``na``, ``nb``)."""
     source = docs.select(F.col(key).alias("id"), present(text).alias("text"))
     names = ["block", "keys", "a", "b", "na", "nb"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, n, part = Tokenizers(first, second, plan.cache), 0, TaskContext.get().partitionId()
+        both, n, part = Tokenizers(*files), 0, TaskContext.get().partitionId()
         held: list[tuple[bytes, bytes]] = []
         ids: list[pa.Array] = []
         size = 0
@@ -270,6 +263,15 @@ def aligned(row: dict, sizes: tuple[np.ndarray, np.ndarray]) -> Alignment:
     )
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of each key among the distinct ones in ascending order, these, how often each occurs."""
+    codes, found = pd.factorize(keys)
+    order = np.argsort(found)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return place[codes], found[order], np.bincount(codes, minlength=len(found))[order]
+
+
 def sharded(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of distinct ascending keys by shard, end of each shard in it."""
     shard = shard_of(keys, shards)
@@ -284,7 +286,7 @@ def pair_counts(blocks: DataFrame, shards: int, sizes: tuple[np.ndarray, np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, counts = np.unique(aligned(row, sizes).keys, return_counts=True)
+                _, keys, counts = distinct(aligned(row, sizes).keys)
                 order, stops = sharded(keys, shards)
                 rows = [
                     (row["block"], s, ((row["block"] >> 32) + row["block"]) % plan.lanes, squeeze(keys[order[i:j]]), squeeze(counts[order[i:j]]))
@@ -413,13 +415,14 @@ ALIGNED = [field(c, "long") for c in ("n_a", "n_b", "n_groups", "n_links", "n_be
 
 
 def align(
-    docs: DataFrame, first: str, second: str, key: str = "doc_id", text: Column | str = "text", plan: Plan = Plan(),
+    docs: DataFrame, first: str, second: str, key: str = "doc_id", text: Column | str = "text", pattern: str | None = None, plan: Plan = Plan(),
 ) -> DataFrame:
     """Per text: numbers of tokens, groups and links, links of the highest count of their second id (``n_best``), the sum of the
-    links' counts, and ``groups``, the aligned ids. ``first`` and ``second`` are tokenizer files that every worker reads."""
-    local = Tokenizers(first, second)
+    links' counts, and ``groups``, the aligned ids. ``first`` and ``second`` are tokenizer files that every worker reads, ``pattern`` the
+    split of the first, if known."""
+    local = Tokenizers(first, second, pattern)
     sizes, vocabulary = local.sizes, len(local.entries[1])
-    blocks = stored(in_blocks(docs, key, text, first, second, plan), "blocks")
+    blocks = stored(in_blocks(docs, key, text, (first, second, pattern), plan), "blocks")
     tokens = blocks.agg(F.sum(F.octet_length("a") + F.octet_length("b")) / 2).first()[0] or 0
     shards = max(1, -(-int(min(tokens, len(local.entries[0]) * vocabulary)) // plan.shard))
     pairs = stored(pair_counts(blocks, shards, sizes, plan), "pairs")
@@ -430,12 +433,12 @@ def align(
     kept = blocks.schema["keys"].dataType.elementType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [f"{i}{sign}" for n, signs in ((len(sizes[0]), ",|"), (vocabulary, ",;")) for i in range(n) for sign in signs]
+        labels = Labels(sizes)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 found = aligned(row, sizes)
-                keys, at = np.unique(found.keys, return_inverse=True)
+                at, keys, _ = distinct(found.keys)
                 order, _ = sharded(keys, shards)
                 counts = np.zeros(len(keys), np.int64)
                 got = sorted(row["answers"] or [], key=lambda x: x["shard"])
@@ -446,7 +449,7 @@ def align(
                 sums = [np.concatenate(([0], np.cumsum(x)))[stops] for x in (tops, of)]
                 values = [found.na, found.nb, found.groups, found.links, *[np.diff(x, prepend=0) for x in sums]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1).flatten(), *[pa.array(v, pa.int64()) for v in values], pa.array(found.written((table, len(sizes[0]))), pa.string())],
+                    [batch.column(0).slice(i, 1).flatten(), *[pa.array(v, pa.int64()) for v in values], found.written(labels)],
                     names=[key, *[f.name for f in ALIGNED]],
                 )
 

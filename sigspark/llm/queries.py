@@ -121,6 +121,6 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op13_token_alignment")
 def op13(spark: SparkSession, sf: str) -> DataFrame:
-    found = alignment.align(documents(spark, sf), BYTE_TOKENIZER, PIECE_MODEL)
+    found = alignment.align(documents(spark, sf), BYTE_TOKENIZER, PIECE_MODEL, pattern=public_tokenizers.PATTERN)
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))

@@ -7,6 +7,7 @@ from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -122,18 +123,17 @@ def test_alignment_against_plain_loops(spark, sf001, odd):
     rng = random.Random(5)
     docs += [(1000 + i, "".join(rng.choice(" \n\t'sé日🙂aAbB12#$… \x1c ") for _ in range(rng.randrange(60)))) for i in range(300)]
     rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(4).withColumn("groups", F.lit(1))
-    got = alignment.align(rows, queries.BYTE_TOKENIZER, queries.PIECE_MODEL, plan=alignment.Plan(block=5000, shard=4000, lanes=3, cache=500)).collect()
+    got = alignment.align(
+        rows, queries.BYTE_TOKENIZER, queries.PIECE_MODEL, pattern=public_tokenizers.PATTERN, plan=alignment.Plan(block=5000, shard=4000, lanes=3)).collect()
     found = [(r.doc_id, *[r[c.name] for c in alignment.ALIGNED[:6]], sha256(r.groups.encode()).hexdigest() if r.n_a else r.groups) for r in got]
     key = lambda r: tuple((x is None, x or 0) if not isinstance(x, str) else (False, x) for x in r)
     assert sorted(found, key=key) == sorted(plain_alignment(docs), key=key)
 
 
 def test_alignment_whole_texts_and_query(spark, sf001):
-    both = alignment.Tokenizers(queries.BYTE_TOKENIZER, queries.PIECE_MODEL)
-    assert both.by_piece
-    texts = [r.text or "" for r in table(spark, sf001, "documents").collect()][:60]
-    by_piece, both.by_piece = both.encode(texts), False
-    assert by_piece == both.encode(texts)
+    texts = [r.text or "" for r in table(spark, sf001, "documents").collect()][:40]
+    by_ids, by_file = (alignment.Tokenizers(queries.BYTE_TOKENIZER, queries.PIECE_MODEL, p) for p in (public_tokenizers.PATTERN, None))
+    assert by_ids.encode_first.__name__ == "encode_ordinary" and by_ids.encode(texts) == by_file.encode(texts)
     got = queries.op13(spark, sf001)
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert got.count() == table(spark, sf001, "documents").count()
