@@ -119,40 +119,41 @@ def fingerprints(docs: DataFrame, text: Column | str = "text", carry: list[str]
     return arrow_map(docs, [present(text)], [field("fingerprint", "string")], make, carry)
 
 
-def dealt(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` with ``bucket``, a stretch of neighbouring keys (of ``ids``), and ``ahead``: the first rows of a bucket
-    are also sent to the bucket before it in descending order, and those of the first bucket to the last.
+def dealt(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (``key``, ``text``) with ``bucket``, a stretch of neighbours in descending (key, hash of the text); and the first row of each
+    bucket, labelled with the bucket before it (that of the first bucket with the last).
 
-    The cut points steer the dealing only; no result depends on them."""
-    spark = ids.sparkSession
+    Null keys come last; they and tied keys are spread by their hashes. The cut points steer the dealing only; no result depends on them."""
+    spark = docs.sparkSession
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    double = F.col(key).cast("double")
-    cuts = ids.select(double.alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.1 / n)
+    same, known = F.xxhash64("text"), F.col(key).isNotNull()
+    low = docs.agg(F.min(key)).first()[0]
+    share = F.lit(0.5) - same.cast("double") / float(1 << 64)    # 1 for the smallest hash, 0 for the largest
+    along = F.coalesce(F.col(key).cast("double"), F.lit(float(low or 0) - 2.0)) + share
+    cuts = docs.select(along.alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.1 / n)
     splits = [-np.inf, *(sorted(set(cuts)) or [0.0]), np.inf]
     by = Bucketizer(splits=splits, inputCol="double", outputCol="at", handleInvalid="keep")
+    placed = by.transform(docs.withColumn("double", along)).drop("double").withColumn("bucket", F.col("at").cast("int")).drop("at")
 
-    def bucketed(df: DataFrame) -> DataFrame:
-        placed = by.transform(df.withColumn("double", F.coalesce(double, F.lit(0.0)))).drop("double")
-        return placed.withColumn("at", F.when(F.col(key).isNull(), -1).otherwise(F.col("at")).cast("int"))
-
-    heads = bucketed(ids).groupBy("at").agg(F.max(key).alias("head")).collect()      # at most n + 1 rows
-    order = sorted(heads, key=lambda r: -r["at"])
-    before = [(r["at"], r["head"], order[i - 1]["at"]) for i, r in enumerate(order)]
-    schema = f"at int, head {rows.schema[key].dataType.simpleString()}, before int"
-    known = F.broadcast(spark.createDataFrame(before, schema))
-    own = F.struct(F.col("at").alias("bucket"), F.lit(False).alias("ahead"))
-    also = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("ahead"))
-    to = F.explode(F.when(F.col(key).eqNullSafe(F.col("head")), F.array(own, also)).otherwise(F.array(own)))
-    return bucketed(rows).join(known, "at").withColumn("to", to).select(*rows.columns, "to.bucket", "to.ahead")
+    first = F.max(F.struct(known.alias("known"), F.col(key).alias("k"), F.bitwise_not(same).alias("rest")))
+    heads = placed.groupBy("bucket").agg(first.alias("head")).collect()               # at most n rows
+    order = sorted(heads, key=lambda r: -r["bucket"])
+    before = [(r["bucket"], r["head"]["k"], ~r["head"]["rest"], order[i - 1]["bucket"]) for i, r in enumerate(order)]
+    schema = f"__at int, __k {docs.schema[key].dataType.simpleString()}, __same long, __to int"
+    table = F.broadcast(spark.createDataFrame(before, schema))                        # at most n rows
+    hit = (F.col("bucket") == F.col("__at")) & F.col(key).eqNullSafe(F.col("__k")) & (same == F.col("__same"))
+    lent = placed.join(table, hit).dropDuplicates(["__at"]).select(*docs.columns, F.col("__to").alias("bucket"))
+    return placed, lent
 
 
 def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: Column | str = "text") -> DataFrame:
     """Per document: ``n_chars``, its edited text's digest, both fingerprints, their likeness, that to the next document,
     and ``common``, the longest common prefix of text and edited text."""
-    rows = fingerprints(docs.select(key, present(text).alias("text")))
+    own, lent = dealt(docs.select(key, present(text).alias("text")), key)
+    rows = fingerprints(own.withColumn("ahead", F.lit(False)).unionByName(lent.withColumn("ahead", F.lit(True))))
     window = Window.partitionBy("bucket").orderBy("ahead", F.col(key).desc_nulls_last(), F.xxhash64("text"))
     following = [F.lead(c).over(window).alias(f"next_{c}") for c in ("text", "fingerprint")]
-    paired = dealt(docs.select(key), rows, key).select("*", *following).filter("not ahead")
+    paired = rows.select("*", *following).filter("not ahead")
     n = F.length("text")
     kept, tail = F.substr("text", F.lit(1), n - F.floor(n / 3)), F.substr("next_text", F.lit(1), F.floor(n / 3).cast("int"))
     edited = paired.select(

@@ -164,7 +164,9 @@ def read(index: DataFrame, payloads: bool = True, gap: int = 64 << 10, most: int
                 arrays = [pa.array(c, k) for c, k in zip(zip(*got), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in made])
 
-    return ranges(index, gap, most).repartition("file", "start").mapInArrow(run, T.StructType(made))
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(1, -(-total // most))                           # by the bytes to read, not by the few rows of the ranges
+    return ranges(index, gap, most).repartition(tasks, "file", "start").mapInArrow(run, T.StructType(made))
 
 
 #: What the registered query returns, in SQL over a table ``pages``.

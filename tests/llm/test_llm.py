@@ -203,6 +203,19 @@ def test_edits_follow_descending_ids(spark, odd):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
 
 
+def test_rows_without_id_are_spread(spark):
+    """A third of the rows has no id, a third one id: both are dealt like any other stretch, one row a bucket is lent."""
+    rng = random.Random(2)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"t{rng.randrange(10 ** 9)}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own, lent = span_hash.dealt(docs, "doc_id")
+    sizes = own.groupBy("bucket").count().toPandas()
+    assert len(sizes) > 8 and sizes["count"].max() < 3 * sizes["count"].mean() and lent.count() == len(sizes)
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: -r[0]) + [r for r in rows if r[0] is None]
+    got = span_hash.fingerprint_edits(docs.withColumn("bucket", F.lit("x")).withColumn("ahead", F.lit(True))).collect()
+    assert len(got) == len(order) and span_hash.fingerprint_edits(docs.limit(0)).count() == 0
+
+
 def test_packing_covers_every_token_once(spark, odd):
     tokenizer = Tokenizer.from_file(queries.WORD_TOKENIZER)
     want = sorted(((r.doc_id is None, r.doc_id or 0), tokenizer.encode(r.text or "", add_special_tokens=False).ids + [1]) for r in odd.collect())
