@@ -1,4 +1,4 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS], then one key that holds every row; prints one JSON line."""
 
 import json
 import os
@@ -13,6 +13,23 @@ HEADLINE = [
     "g26_overall_score", "a14_fragment_series", "c05_match_rules", "c08_overlap_count", "c13_vector_topk", "d06_percentile_95",
     "d16_daily_facts", "d21_product_daily", "d30_rank_receivable_price", "d42_stock_ledger", "l08_apportion", "j16_split_text",
 ]
+COPIES = 10
+
+
+def long_key(spark, sf):
+    """Operators along one key that holds the order lines ``COPIES`` times, as functions without argument."""
+    from pyspark.sql import functions as F
+
+    from sigspark.operators import filters, windows
+    from sigspark.plans.windowing import DAY, ONE_ORDER, one_key
+
+    order = [*ONE_ORDER, "copy"]
+    series = one_key(spark, sf).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(COPIES)))).withColumn("filtered", F.lit(0.0))
+    return series.count(), {
+        "mean": lambda: filters.apply_filter(series, "MEAN", ["dev"], order),
+        "kalman": lambda: filters.apply_filter(series, "KALMAN", ["dev"], order),
+        "trailing_power": lambda: windows.trailing_power(series, ["dev"], "us", 30 * DAY),
+    }
 
 
 def main() -> None:
@@ -21,20 +38,27 @@ def main() -> None:
 
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "sigspark-bench")
-    run = lambda name: catalog.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+
+    def timed(make) -> float:
+        start = time.perf_counter()
+        make().write.format("noop").mode("overwrite").save()
+        return round(time.perf_counter() - start, 3)
+
+    run = lambda name: timed(lambda: catalog.QUERIES[name](spark, sf))
     spark.read.parquet(f"{sf}/events.parquet").count()
     run("f11_kalman")                                     # starts the Python workers
-    times = {}
-    for name in sys.argv[1:] or HEADLINE:
-        start = time.perf_counter()
-        run(name)
-        times[name] = round(time.perf_counter() - start, 3)
+    times = {name: run(name) for name in sys.argv[1:] or HEADLINE}
     events = spark.read.parquet(f"{sf}/events.parquet").count()
     rates = {n: round(events / times[n]) for n in ("device_health", "f11_kalman", "f17_lms") if n in times}
-    print(json.dumps({
+    out = {
         "metric": "headline queries, total time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": os.path.basename(sf.rstrip("/")).replace("sf", ""), "samples_per_second": rates,
-    }))
+    }
+    if not sys.argv[1:]:
+        rows, makes = long_key(spark, sf)
+        took = {n: timed(make) for n, make in makes.items()}
+        out["one_key"] = {"rows": rows, "seconds": took, "samples_per_second": {n: round(rows / t) for n, t in took.items()}}
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":

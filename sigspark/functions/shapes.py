@@ -91,7 +91,7 @@ def split_text(df: DataFrame, text: str, budget: int) -> DataFrame:
     """
     words = F.filter(F.split(F.col(text), r"\s+"), lambda x: x != "")
     starts = F.when(F.size("__w") > 0, F.sequence(F.lit(0), F.floor((F.size("__w") - 1) / budget).cast("int"))).otherwise(F.array().cast("array<int>"))
+    cut = F.transform(starts, lambda p: F.slice("__w", p * budget + 1, budget))        # each word goes into one piece
     rest = [c for c in df.columns if c != text]
-    pieces = df.withColumn("__w", words).withColumn("piece", F.explode(starts))
-    held = F.slice("__w", (F.col("piece") * budget + 1).cast("int"), budget)
-    return pieces.select(*rest, "piece", F.array_join(held, " ").alias("content"), F.size(held).alias("tokens")).withColumn("content_length", F.length("content"))
+    pieces = df.withColumn("__w", words).select(*rest, F.posexplode(cut).alias("piece", "__p"))
+    return pieces.select(*rest, "piece", F.array_join("__p", " ").alias("content"), F.size("__p").alias("tokens")).withColumn("content_length", F.length("content"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigspark.functions import burst
 from sigspark.operators.filters import REGISTRY
 from sigspark.operators.scan import Scan, run_block
 from sigspark.operators.predicates import not_deleted
@@ -52,20 +53,14 @@ def fragment_filter(name: str, **params):
     return smooth
 
 
-class ExplodeSamples:
-    """Table function: one row per sample with its time."""
-
-    def eval(self, base: int, rate: float, samples: list[float]):
-        step = int(1e9 / rate)
-        for i, v in enumerate(samples or []):
-            yield i, base + i * step, float(v)
-
-
 def register_all(spark: SparkSession, rate: float = 2e6) -> None:
     """Make the functions callable from SQL."""
     spark.udf.register("burst_summary", burst_summary(rate))
     spark.udf.register("kalman_fragment", fragment_filter("KALMAN_LEVEL"))
-    spark.udtf.register("explode_samples", F.udtf(ExplodeSamples, returnType="sample_index int, ts_ns bigint, voltage double"))
+    burst.register(spark)
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION explode_samples(base BIGINT, rate DOUBLE, samples ARRAY<DOUBLE>)
+        RETURNS TABLE (sample_index INT, ts_ns BIGINT, voltage DOUBLE)
+        RETURN SELECT s.pos, base + s.pos * CAST(1e9D / rate AS BIGINT), s.col FROM posexplode(samples) AS s(pos, col)""")
 
 
 def register_permission(table: str, rule: Callable[[], Column]) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.functions.dates import spine
-from sigspark.operators.joins import ancestor_of_type, bucket_join, enrich, hinted
+from sigspark.operators.joins import ancestor_of_type, bucket_join, enrich
 from sigspark.operators.series import running
 
 
@@ -73,7 +73,7 @@ def daily_facts(parts: Mapping[str, tuple[DataFrame, str, Mapping[str, Column]]]
     daily = None
     for facts, time, measures in parts.values():
         if done is not None:
-            facts = facts.join(hinted(done.select(F.col("day").alias("__d"))), F.date_trunc("day", time) == F.col("__d"), "left_anti")
+            facts = facts.join(done.select(F.col("day").alias("__d")), F.date_trunc("day", time) == F.col("__d"), "left_anti")
         one = facts.groupBy(F.date_trunc("day", time).alias("day")).agg(*[c.alias(m) for m, c in measures.items()])
         daily = one if daily is None else daily.unionByName(one, allowMissingColumns=True)
     return daily.groupBy("day").agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in names])

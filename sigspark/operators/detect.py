@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sigspark.operators import features as fx
 from sigspark.operators import filters, windows
 from sigspark.operators.aggregates import exact_percentile
-from sigspark.operators.series import Layout, measure, null_safe_join, positions, relayout, running, with_rows
+from sigspark.operators.series import null_safe_join, on_slices, positions, running, sliced, with_rows
 
 # Severity weights used by the overall score.
 SEVERITY = {"CRITICAL": 1.0, "ERROR": 0.8, "WARNING": 0.5, "INFO": 0.2}
@@ -81,10 +81,9 @@ def drift_findings(df: DataFrame, keys, order, samples: str = "samples", alpha:
         *dict.fromkeys([*keys, *order]), F.size(samples).alias("__size"), fx.array_mean(F.col(samples)).alias("current_mean"), std.alias("current_std"),
         F.when(std < 1e-10, 1.0).otherwise(std).alias("__hist_std"),
     )
-    lay = measure(stats, keys, order)
-    one = filters.apply_filter(stats, "IIR", keys, order, "current_mean", layout=lay, alpha=alpha).withColumnRenamed("filtered", "history_mean").drop("residual")
-    two = filters.apply_filter(one, "IIR", keys, order, "__hist_std", layout=lay, alpha=alpha).withColumnRenamed("filtered", "history_std").drop("residual")
-    seen = positions(two, keys, order, "__i", lay)
+    one = filters.apply_filter(sliced(stats, keys, order), "IIR", keys, order, "current_mean", alpha=alpha).withColumnRenamed("filtered", "history_mean").drop("residual")
+    two = filters.apply_filter(one, "IIR", keys, order, "__hist_std", alpha=alpha).withColumnRenamed("filtered", "history_std").drop("residual")
+    seen = positions(two, keys, order, "__i")
     mean_dev = F.abs(F.col("current_mean") - F.col("history_mean")) / F.col("history_std")
     std_dev = F.abs(F.col("current_std") - F.col("history_std")) / F.col("history_std")
     ready = (F.col("__i") + 1 > 10) & (F.col("__size") >= 10)
@@ -129,12 +128,12 @@ def amplitude_findings(df: DataFrame, keys, value="value") -> DataFrame:
     return null_safe_join(out, stats, keys, "inner").select(*keys, F.lit("AMPLITUDE").alias("type"), level.alias("severity"), "points")
 
 
-def trend_breaks(df: DataFrame, keys, order, value="value", layout: Layout | None = None) -> DataFrame:
+def trend_breaks(df: DataFrame, keys, order, value="value") -> DataFrame:
     """Jumps of the moving average (min(10, n / 4) samples) above mean + 2 std of all its jumps."""
     sizes = df.groupBy(*keys).agg(F.count(value).alias("__n"))
     sizes = sizes.withColumn("__w", F.least(F.lit(10), F.floor(F.col("__n") / 4)).cast("int")).filter(F.col("__n") >= 10)
-    lay = relayout(df, layout, keys, order)
-    placed = positions(null_safe_join(df, sizes, keys, "inner"), keys, order, "i", lay)
+    cut, done = on_slices(df, keys, order)
+    placed = positions(null_safe_join(cut, sizes, keys, "inner"), keys, order, "i")
 
     def frame(w):
         avg = F.lit(None).cast("double")
@@ -142,29 +141,27 @@ def trend_breaks(df: DataFrame, keys, order, value="value", layout: Layout | Non
             avg = F.when(F.col("__w") == k, F.avg(value).over(w.rowsBetween(1 - k, 0))).otherwise(avg)
         return {"__ma": F.when(F.col("i") >= F.col("__w") - 1, avg)}
 
-    averaged = with_rows(placed, keys, order, frame, before=9, layout=lay)
-    moved = with_rows(averaged, keys, order, lambda w: {"change": F.abs(F.col("__ma") - F.lag("__ma").over(w))}, before=1, layout=lay)
+    averaged = with_rows(placed, keys, order, frame, before=9)
+    moved = with_rows(averaged, keys, order, lambda w: {"change": F.abs(F.col("__ma") - F.lag("__ma").over(w))}, before=1)
     limits = moved.groupBy(*keys).agg((F.avg("change") + 2 * F.stddev_pop("change")).alias("threshold"))
     hit = null_safe_join(moved, limits, keys, "inner").filter(F.col("change") > F.col("threshold"))
     at = F.col("i") - F.col("__w") + 1 + F.floor(F.col("__w") / 2)
-    return hit.withColumn("at", at.cast("long")).drop("__n", "__w", "__ma", "i")
+    return done(hit.withColumn("at", at.cast("long")).drop("__n", "__w", "__ma", "i"))
 
 
-def trend_findings(df: DataFrame, keys, order, value="value", layout: Layout | None = None) -> DataFrame:
-    out = trend_breaks(df, keys, order, value, layout).groupBy(*keys).agg(F.count(F.lit(1)).alias("points"))
+def trend_findings(df: DataFrame, keys, order, value="value") -> DataFrame:
+    out = trend_breaks(df, keys, order, value).groupBy(*keys).agg(F.count(F.lit(1)).alias("points"))
     level = F.when(F.col("points") > 3, "WARNING").otherwise("INFO")
     return out.select(*keys, F.lit("TREND").alias("type"), level.alias("severity"), "points")
 
 
-def crossing_rate(df: DataFrame, keys, order, value="value", layout: Layout | None = None) -> DataFrame:
-    marked = with_rows(df, keys, order, lambda w: {"__x": ((F.col(value) >= 0) != (F.lag(value).over(w) >= 0)).cast("int")}, before=1, layout=layout)
+def crossing_rate(df: DataFrame, keys, order, value="value") -> DataFrame:
+    marked = with_rows(df, keys, order, lambda w: {"__x": ((F.col(value) >= 0) != (F.lag(value).over(w) >= 0)).cast("int")}, before=1)
     return marked.groupBy(*keys).agg((F.coalesce(F.sum("__x"), F.lit(0)) / F.count(F.lit(1))).alias("crossing_rate"))
 
 
-def frequency_findings(
-    df: DataFrame, keys, order, value="value", low: float = 0.01, high: float = 0.5, layout: Layout | None = None,
-) -> DataFrame:
-    out = crossing_rate(df, keys, order, value, layout).filter((F.col("crossing_rate") > high) | (F.col("crossing_rate") < low))
+def frequency_findings(df: DataFrame, keys, order, value="value", low: float = 0.01, high: float = 0.5) -> DataFrame:
+    out = crossing_rate(df, keys, order, value).filter((F.col("crossing_rate") > high) | (F.col("crossing_rate") < low))
     return out.select(*keys, F.lit("FREQUENCY").alias("type"), F.lit("INFO").alias("severity"), F.lit(1).cast("long").alias("points"))
 
 
@@ -182,11 +179,11 @@ def overall(findings: DataFrame, keys) -> DataFrame:
     )
 
 
-def health_check(df: DataFrame, keys, order, raw="value", filtered="filtered", layout: Layout | None = None) -> DataFrame:
+def health_check(df: DataFrame, keys, order, raw="value", filtered="filtered") -> DataFrame:
     """All series-level findings with their overall score."""
-    lay = relayout(df, layout, keys, order)
-    found = amplitude_findings(df, keys, raw)
-    for part in (trend_findings(df, keys, order, raw, lay), frequency_findings(df, keys, order, raw, layout=lay), quality_findings(df, keys, raw, filtered)):
+    cut = sliced(df, keys, order)
+    found = amplitude_findings(cut, keys, raw)
+    for part in (trend_findings(cut, keys, order, raw), frequency_findings(cut, keys, order, raw), quality_findings(cut, keys, raw, filtered)):
         found = found.unionByName(part)
     return overall(found, keys)
 
@@ -194,19 +191,19 @@ def health_check(df: DataFrame, keys, order, raw="value", filtered="filtered", l
 # ---- samples --------------------------------------------------------------------------------
 
 def energy_threshold(
-    df: DataFrame, keys, order: Sequence[str], width: int, threshold: float, mode: str = "residual", layout: Layout | None = None,
+    df: DataFrame, keys, order: Sequence[str], width: int, threshold: float, mode: str = "residual",
 ) -> DataFrame:
     """Trailing-window energy against a threshold with a running anomaly count.
 
     ``residual`` and ``raw`` sum the squares in the window, ``raw_mean`` averages them.
     """
-    lay = relayout(df, layout, keys, order)
-    powers = windows.trailing_power(df, keys, order[0], width)
+    cut, done = on_slices(df, keys, order)
+    powers = windows.trailing_power(cut, keys, order[0], width)
     energy = {
         "residual": F.col("residual_power") * F.col("n"), "raw": F.col("raw_power") * F.col("n"), "raw_mean": F.col("raw_power"),
     }[mode]
     flagged = powers.withColumn("energy", energy).withColumn("anomaly", F.col("energy") > threshold)
-    return running(flagged, keys, order, anomaly_count=("sum", F.col("anomaly").cast("int")), layout=lay)
+    return done(running(flagged, keys, order, anomaly_count=("sum", F.col("anomaly").cast("int"))))
 
 
 def automatic_threshold(df: DataFrame, keys, value="value", factor: float = 5.0) -> DataFrame:
@@ -218,18 +215,18 @@ def history_analysis(
     max_points: int | None = None, filter_name: str = "KALMAN_MEAN",
 ) -> DataFrame:
     """Filter, energy in restarting windows, percentile threshold; with ``max_points`` thinned but for the anomalies."""
-    lay = measure(df, keys, order)
-    smooth = filters.apply_filter(df, filter_name, keys, order, layout=lay)
-    energy = windows.resetting_energy(smooth, keys, order, width, layout=lay)
-    limits = exact_percentile(energy, keys, "energy", percent, order, lay).withColumn("threshold", F.col("percentile") * factor).drop("percentile")
+    cut, done = on_slices(df, keys, order)
+    smooth = filters.apply_filter(cut, filter_name, keys, order)
+    energy = windows.resetting_energy(smooth, keys, order, width)
+    limits = exact_percentile(energy, keys, "energy", percent, order).withColumn("threshold", F.col("percentile") * factor).drop("percentile")
     starts = df.groupBy(*keys).agg(F.min(order[0]).alias("__t0"))
     judged = null_safe_join(null_safe_join(energy, limits, keys, "left"), starts, keys, "left")
     judged = judged.withColumn("anomaly", F.col("energy") > F.col("threshold"))
     judged = judged.withColumn("seconds", (F.col(order[0]) - F.col("__t0")) / 1e6)
     judged = judged.withColumn("anomaly_type", F.when(F.col("anomaly"), "energy_spike"))
     if max_points is not None:
-        judged = windows.decimate(judged, keys, order, max_points, F.col("anomaly"), lay)
-    return judged.drop("__t0", "window_start")
+        judged = windows.decimate(judged, keys, order, max_points, F.col("anomaly"))
+    return done(judged.drop("__t0", "window_start"))
 
 
 def residual_zscore(df: DataFrame, keys, order, size: int = 50, least: int = 20, sigmas: float = 3.0, reset: bool = False) -> DataFrame:
@@ -238,10 +235,10 @@ def residual_zscore(df: DataFrame, keys, order, size: int = 50, least: int = 20,
     ``consecutive`` counts alarms since the start of the series; with ``reset`` it counts since the
     last quiet sample and the uncertainty test is reachable.
     """
-    lay = measure(df, keys, order)
-    track = filters.apply_filter(df, "KALMAN_VELOCITY", keys, order, layout=lay, predict=False)
+    cut, done = on_slices(df, keys, order)
+    track = filters.apply_filter(cut, "KALMAN_VELOCITY", keys, order, predict=False)
     mag = F.abs(F.col("innovation"))
-    track = with_rows(track, keys, order, lambda w: {"jump": F.abs(F.col("filtered") - F.lag("filtered").over(w))}, before=1, layout=lay)
+    track = with_rows(track, keys, order, lambda w: {"jump": F.abs(F.col("filtered") - F.lag("filtered").over(w))}, before=1)
 
     def frame(w):
         f = w.rowsBetween(1 - size, 0)
@@ -250,7 +247,7 @@ def residual_zscore(df: DataFrame, keys, order, size: int = 50, least: int = 20,
             "__j": F.avg("jump").over(w.rowsBetween(2 - size, 0)),
         }
 
-    rolled = with_rows(track, keys, order, frame, before=size - 1, layout=lay)
+    rolled = with_rows(track, keys, order, frame, before=size - 1)
     z = (mag - F.col("__m")) / (F.col("__s") + 1e-10)
     high, leap, vague = z > sigmas, F.col("jump") > F.col("__j") * 4, F.col("uncertainty") > F.col("__m") * 2
     kind = F.when(high, "RESIDUAL_ANOMALY").when(leap, "SUDDEN_CHANGE")
@@ -261,11 +258,11 @@ def residual_zscore(df: DataFrame, keys, order, size: int = 50, least: int = 20,
     enough = F.col("__n") >= least
     judged = rolled.withColumn("z", z).withColumn("type", F.when(enough, kind)).withColumn("score", F.when(enough, score))
     if reset:
-        judged = windows.streak(judged, keys, order, F.col("type").isNotNull(), lay).withColumnRenamed("streak", "consecutive")
+        judged = windows.streak(judged, keys, order, F.col("type").isNotNull()).withColumnRenamed("streak", "consecutive")
     else:
-        judged = running(judged, keys, order, consecutive=("count", F.col("type")), layout=lay)
+        judged = running(judged, keys, order, consecutive=("count", F.col("type")))
     level = F.when(F.col("consecutive") >= 3, "ERROR").when(F.col("score") > 0.7, "WARN").otherwise("INFO")
-    return judged.filter(F.col("type").isNotNull()).withColumn("level", level).drop("__n", "__m", "__s", "__j")
+    return done(judged.filter(F.col("type").isNotNull()).withColumn("level", level).drop("__n", "__m", "__s", "__j"))
 
 
 def capped(df: DataFrame, keys, order: Sequence[Column], cap: int) -> DataFrame:

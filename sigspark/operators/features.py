@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigspark.operators.series import Layout, null_safe_join, relayout, with_rows
+from sigspark.operators.series import null_safe_join, with_rows
 
 
 # ---- array expressions ----------------------------------------------------------------------
@@ -124,21 +124,20 @@ def burst_features_array(df: DataFrame, samples: str = "samples", rate: float =
 
 def burst_features(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], index: str, value: str = "value",
-    rate: float = 2e6, ratio: float = 0.25, layout: Layout | None = None,
+    rate: float = 2e6, ratio: float = 0.25,
 ) -> DataFrame:
     """The same features for series of any length: two aggregations and one edge window.
 
     ``index`` is the 0-based sample number (see ``series.positions``).
     """
     v, mag = F.col(value), F.abs(F.col(value))
-    lay = relayout(df, layout, keys, order)
     base = df.groupBy(*keys).agg(
         F.max(mag).alias("__amp"), F.avg(v).alias("__mean"), F.min_by(F.col(index), F.struct(-mag, F.col(index))).alias("__peak"),
     )
     joined = null_safe_join(df, base, keys, "left").withColumn("__above", mag >= F.col("__amp") * ratio)
     marked = with_rows(
         joined, keys, order,
-        lambda w: {"__edge": F.col("__above") & ~F.coalesce(F.lag("__above").over(w), F.lit(False))}, before=1, layout=lay,
+        lambda w: {"__edge": F.col("__above") & ~F.coalesce(F.lag("__above").over(w), F.lit(False))}, before=1,
     )
     sums = marked.groupBy(*keys).agg(
         F.count(v).alias("__n"), F.first("__amp").alias("__amp"), F.first("__peak").alias("__peak"),

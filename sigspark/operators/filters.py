@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from sigspark.operators import design
 from sigspark.operators.scan import AffineMaps, ClipMaps, Fold, Scan, run_block, run_scan
-from sigspark.operators.series import Layout, relayout, with_rows
+from sigspark.operators.series import on_slices, running, with_rows
 
 # Filter taps and biquad coefficients.
 FIR_TAPS = (0.05, 0.1, 0.2, 0.3, 0.2, 0.1, 0.05)
@@ -474,26 +474,48 @@ def register_filter(name: str, build: Callable[..., Filter]) -> None:
     REGISTRY[name.upper()] = build
 
 
-def with_taps(df: DataFrame, keys, order, value: str, count: int, layout: Layout | None = None) -> DataFrame:
+def rising(df: DataFrame, keys: Sequence[str], order: Sequence[str], sequence: str) -> DataFrame:
+    """Rows whose sequence number is above all earlier ones of their key, with ``dropped``, how many were left out so far.
+
+    A null number does not rise."""
+    cut, done = on_slices(df, keys, order)
+    seen = running(cut, keys, order, __top=("max", sequence))
+    before = with_rows(seen, keys, order, lambda w: {"__before": F.lag("__top").over(w)}, before=1)
+    up = F.col(sequence).isNotNull() & (F.col("__before").isNull() | (F.col(sequence) > F.col("__before")))
+    counted = running(before.withColumn("__up", up), keys, order, dropped=("sum", F.when(F.col("__up"), 0).otherwise(1)))
+    return done(counted.filter("__up").drop("__top", "__before", "__up"))
+
+
+def repeated_single(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "value", stages: int = 2, **band: float,
+) -> DataFrame:
+    """``BIQUAD_REPEATED`` in single precision: each stage is a scan of its own whose output is rounded."""
+    cut, done = on_slices(df, keys, order)
+    out = cut.withColumn("__raw", F.col(value)).withColumn("value", F.col(value))
+    for _ in range(stages):
+        out = run_scan(out, biquad_repeated(order=2, **band), keys, order)
+        out = out.withColumn("filtered", F.col("filtered").cast("float").cast("double")).withColumn("value", F.col("filtered"))
+    kept = out.withColumn("residual", F.col("__raw") - F.col("filtered")).withColumn("value", F.col("__raw")).drop("__raw")
+    return done(kept if value == "value" else kept.drop("value"))
+
+
+def with_taps(df: DataFrame, keys, order, value: str, count: int) -> DataFrame:
     """Add ``taps``: the newest ``count`` samples, newest first, zeros before the start."""
     def frame(w):
         past = [F.coalesce(F.lag(value, i).over(w), F.lit(0.0)) for i in range(1, count)]
         return {"taps": F.array(F.col(value), *past)}
 
-    return with_rows(df, keys, order, frame, before=count - 1, layout=layout)
+    return with_rows(df, keys, order, frame, before=count - 1)
 
 
-def with_delayed(df: DataFrame, keys, order, value: str, k: int, layout: Layout | None = None) -> DataFrame:
+def with_delayed(df: DataFrame, keys, order, value: str, k: int) -> DataFrame:
     """Add ``desired``: the signal k samples ago, zeros before the start."""
-    return with_rows(
-        df, keys, order, lambda w: {"desired": F.coalesce(F.lag(value, k).over(w), F.lit(0.0))},
-        before=k, layout=layout,
-    )
+    return with_rows(df, keys, order, lambda w: {"desired": F.coalesce(F.lag(value, k).over(w), F.lit(0.0))}, before=k)
 
 
 def apply_filter(
     df: DataFrame, name: str, keys: Sequence[str], order: Sequence[str], value: str = "value",
-    unknown: str = "pass", layout: Layout | None = None, **params,
+    unknown: str = "pass", **params,
 ) -> DataFrame:
     """Run the named filter along every series; unknown names pass through or use ``unknown``."""
     name = name.upper()
@@ -502,19 +524,17 @@ def apply_filter(
             return df.withColumn("filtered", F.col(value)).withColumn("residual", F.lit(0.0))
         name = unknown.upper()
     chosen = REGISTRY[name](**params)
-    lay = relayout(df, layout, keys, order)
+    cut, done = on_slices(df, keys, order)
     if isinstance(chosen, FrameFilter):
-        out = with_rows(
-            df, keys, order, lambda w: {"filtered": chosen.column(value, w)}, chosen.before, chosen.after, lay,
-        )
-        return out.withColumn("residual", F.col(value) - F.col("filtered"))
+        out = with_rows(cut, keys, order, lambda w: {"filtered": chosen.column(value, w)}, chosen.before, chosen.after)
+        return done(out.withColumn("residual", F.col(value) - F.col("filtered")))
     renamed = value != "value"
-    ready = df.withColumn("value", F.col(value)) if renamed else df
+    ready = cut.withColumn("value", F.col(value)) if renamed else cut
     if name in _TAPPED:
-        ready = with_taps(ready, keys, order, "value", params.get("order", 8), lay)
-    out = run_scan(ready, chosen, keys, order, lay).withColumn("residual", F.col("value") - F.col("filtered"))
+        ready = with_taps(ready, keys, order, "value", params.get("order", 8))
+    out = run_scan(ready, chosen, keys, order).withColumn("residual", F.col("value") - F.col("filtered"))
     drop = (["taps"] if name in _TAPPED else []) + (["value"] if renamed else [])
-    return out.drop(*drop)
+    return done(out.drop(*drop))
 
 
 # ---- fragments ------------------------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Joins and lookups. Small sides are broadcast only after their row count is checked."""
+"""Joins and lookups. No side is forced: the planner broadcasts what its statistics, or the bytes of a finished stage, show to be small."""
 
 from __future__ import annotations
 
@@ -11,22 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.functions.dates import range_key
-from sigspark.operators.series import measure, running, with_rows
+from sigspark.operators.series import on_slices, running, with_rows
 from sigspark.session import cut_lineage
 
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``rows`` rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint when the table is small, the plain table (shuffle join) otherwise."""
-    return F.broadcast(df) if small(df, rows) else df
-
-
 def join_on(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     return left.join(right, list(on), how)
 
@@ -34,7 +21,7 @@ def join_on(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "in
 def enrich(df: DataFrame, key: str, dim: DataFrame, dim_key: str, **columns: str) -> DataFrame:
     """Left lookup of dimension columns, ``new=old``."""
     narrow = dim.select(F.col(dim_key).alias("__k"), *[F.col(old).alias(new) for new, old in columns.items()])
-    return df.join(hinted(narrow), df[key] == F.col("__k"), "left").drop("__k")
+    return df.join(narrow, df[key] == F.col("__k"), "left").drop("__k")
 
 
 def _step(df: DataFrame) -> DataFrame | None:
@@ -115,39 +102,42 @@ def tier_match(df: DataFrame, value: str, tiers: DataFrame, threshold: str, labe
     parts = [F.col(threshold).cast("double").alias("t"), *([F.col(tie).alias("tie")] if tie else []), F.col(label).cast("string").alias("l")]
     steps = known.select(F.col(threshold).cast("double").alias("__v"), F.lit(0).alias("__side"), F.lit(-1).cast("long").alias("__id"), F.struct(*parts).alias("__tier"))
     marked = df.withColumn("__v", F.col(value).cast("double")).withColumn("__id", F.monotonically_increasing_id()).withColumn("__side", F.lit(1))
-    merged = marked.unionByName(steps, allowMissingColumns=True).withColumn("__all", F.lit(1))
-    placed = running(merged, ["__all"], ["__v", "__side", "__id"], __best=("max", "__tier"))
+    merged = marked.unionByName(steps, allowMissingColumns=True)
+    placed = running(merged, [], ["__v", "__side", "__id"], __best=("max", "__tier"))
     return placed.filter(F.col("__side") == 1).withColumn("tier", F.col("__best.l")).select(*df.columns, "tier")
 
 
 def conflicts(df: DataFrame, keys: Sequence[str], start: str, end: str, tie: str) -> DataFrame:
     """Whether each interval overlaps another of its key, without forming pairs."""
-    lay = measure(df, keys, [start, tie])
-    seen = running(df, keys, [start, tie], __top=("max", end), layout=lay)
+    cut, done = on_slices(df, keys, [start, tie])
+    seen = running(cut, keys, [start, tie], __top=("max", end))
     near = with_rows(seen, keys, [start, tie], lambda w: {
-        "__before": F.lag("__top").over(w), "__next": F.lead(start).over(w)}, before=1, after=1, layout=lay)
-    hit = (F.col("__before") > F.col(start)) | (F.col("__next") < F.col(end))
-    return near.withColumn("conflict", F.coalesce(hit, F.lit(False))).drop("__top", "__before", "__next")
+        "__before": F.lag("__top").over(w), "__after": F.lead(start).over(w)}, before=1, after=1)
+    hit = (F.col("__before") > F.col(start)) | (F.col("__after") < F.col(end))
+    return done(near.withColumn("conflict", F.coalesce(hit, F.lit(False))).drop("__top", "__before", "__after"))
 
 
 def overlap_count(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str, end: str, row_id: str) -> DataFrame:
     """Number of intervals of ``b`` that overlap each interval of ``a`` (same key), by counting ends.
 
-    ``row_id`` is a non-negative integer key of ``a``. Overlaps = begins of b before a's end, minus ends of b at or before a's start.
+    ``row_id`` is a non-negative integer key of ``a``. Overlaps = begins of b before a's end, minus ends of b at or before a's start:
+    one line of signed marks, in which an end of b stands before a start of a at the same time, and an end of a before a begin of b.
+    A null end of b never ends, a null start never begins; a row of a without start or end has null overlaps.
     """
     rows = a.withColumn("__id", F.col(row_id).cast("long"))
-    marks = lambda at, side: b.select(*keys, F.col(at).alias("__t"), F.lit(side).alias("__side"), F.lit(-1).cast("long").alias("__id"))
-    # At equal times a begin must not count for a's end (0 = probe first), an end must count for a's start (1 = mark first).
-    begins = marks(start, 1).unionByName(rows.select(*keys, F.col(end).alias("__t"), F.lit(0).alias("__side"), "__id"))
-    ends = marks(end, 0).unionByName(rows.select(*keys, F.col(start).alias("__t"), F.lit(1).alias("__side"), "__id"))
-
-    def counted(df: DataFrame, mark: int, name: str) -> DataFrame:
-        order = ["__t", "__side", "__id"]
-        out = running(df, keys, order, **{name: ("sum", F.when(F.col("__side") == mark, 1).otherwise(0))})
-        return out.filter(F.col("__id") >= 0).select("__id", name)
-
-    out = rows.join(counted(begins, 1, "__b"), "__id").join(counted(ends, 0, "__e"), "__id")
-    return out.withColumn("overlaps", F.col("__b") - F.col("__e")).drop("__id", "__b", "__e")
+
+    def marks(df: DataFrame, row: Column, *sides: tuple[str, int, int]) -> DataFrame:
+        line = F.array(*[F.struct(F.col(at).alias("__t"), F.lit(side).alias("__side"), F.lit(sign).alias("__sign")) for at, side, sign in sides])
+        return df.select(*keys, row.cast("long").alias("__id"), F.explode(line).alias("__m")).select(*keys, "__id", "__m.*")
+
+    # Order at equal times: end of b, start of a, end of a, begin of b.
+    known = b.filter(F.col(start).isNotNull())
+    line = marks(known, F.lit(-1), (end, 0, -1), (start, 3, 1)).unionByName(marks(rows, F.col("__id"), (start, 1, 0), (end, 2, 0)))
+    order = ["__t", "__side", "__id"]
+    seen = running(line.filter(F.col("__t").isNotNull()), keys, order, __b=("sum", F.when(F.col("__sign") > 0, 1).otherwise(0)), __e=("sum", F.when(F.col("__sign") < 0, 1).otherwise(0)))
+    at = seen.filter(F.col("__id") >= 0).groupBy("__id").agg(
+        (F.max(F.when(F.col("__side") == 2, F.col("__b"))) - F.max(F.when(F.col("__side") == 1, F.col("__e")))).alias("overlaps"))
+    return rows.join(at, "__id", "left").drop("__id")
 
 
 def inside_now(df: DataFrame, start: str, end: str, now: Column) -> DataFrame:

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.functions.money import rate_price_floor
-from sigspark.operators.joins import hinted
-from sigspark.operators.series import Layout, null_safe_join, relayout
+from sigspark.operators.series import null_safe_join
 
 
 def retain(df: DataFrame, time: str, now: Column, days: int = 14) -> DataFrame:
@@ -50,35 +49,24 @@ def release_reminders(df: DataFrame, now: Column, deal_days: int, contact_days:
 
 
 def apportion(
-    lines: DataFrame, key: str, order: Sequence[str], weight: str, amounts: DataFrame, amount: str, name: str,
-    selected: str | None = None, layout: Layout | None = None,
+    lines: DataFrame, key: str, order: Sequence[str], weight: str, amounts: DataFrame, amount: str, name: str, selected: str | None = None,
 ) -> DataFrame:
     """Split an amount per order over its (selected) lines by weight, rounding down; the last selected
     line takes the rest, other lines get 0.
 
-    Orders of ordinary size use windows over the order: one shuffle. When some order exceeds the
-    group limit its sums come from two aggregations instead, so its lines stay spread over tasks.
+    Sums per order come from two map-side-combined aggregations, so the lines of an order of any length stay spread over tasks.
     """
-    lay = relayout(lines, layout, [key], order)
     on = F.col(selected) if selected else F.lit(True)
     tagged = lines.withColumn("__on", on).withColumn("__o", F.struct(*order))
-    wide = tagged.join(amounts.select(key, F.col(amount).alias("__amount")), key, "left")
-    total = F.sum(F.when(F.col("__on"), F.col(weight)))
-    last = F.max(F.when(F.col("__on"), F.col("__o")))
-    if lay.hot:
-        wide = wide.join(tagged.groupBy(key).agg(total.alias("__total"), last.alias("__last")), key, "left")
-    else:
-        over = Window.partitionBy(key)
-        wide = wide.select("*", total.over(over).alias("__total"), last.over(over).alias("__last"))
+    sums = tagged.filter("__on").groupBy(key).agg(F.sum(weight).alias("__total"), F.max("__o").alias("__last"))
+    told = amounts.select(key, F.col(amount).alias("__amount")).join(sums, key)
+    wide = tagged.join(told, key, "left")
     is_last = F.col("__on") & (F.col("__o") == F.col("__last"))
     part = F.floor(F.col("__amount") * (F.col(weight).cast("double") / F.col("__total"))).cast("long")
     wide = wide.withColumn("__part", F.when(F.col("__on") & ~is_last, part).otherwise(0))
-    if lay.hot:
-        wide = wide.join(wide.groupBy(key).agg(F.sum("__part").alias("__given")), key, "left")
-    else:
-        wide = wide.select("*", F.sum("__part").over(Window.partitionBy(key)).alias("__given"))
+    given = wide.groupBy(key).agg(F.sum("__part").alias("__given"))
     value = F.when(is_last, F.col("__amount") - F.col("__given")).otherwise(F.col("__part"))
-    return wide.select(*lines.columns, F.coalesce(value, F.lit(0)).cast("long").alias(name))
+    return wide.join(given, key, "left").select(*lines.columns, F.coalesce(value, F.lit(0)).cast("long").alias(name))
 
 
 def freight(lines: DataFrame, key: str, order: Sequence[str], charge: str, templates: DataFrame, zone: str) -> DataFrame:
@@ -86,7 +74,8 @@ def freight(lines: DataFrame, key: str, order: Sequence[str], charge: str, templ
 
     ``templates``: zone, start_count, start_price, extra_count, extra_price.
     """
-    totals = lines.groupBy(key).agg(F.sum(charge).alias("__v"), F.first(zone).alias(zone)).join(hinted(templates), zone)
+    first = F.min_by(zone, F.struct(*order))                       # the zone of the first line
+    totals = lines.groupBy(key).agg(F.sum(charge).alias("__v"), first.alias(zone)).join(templates, zone)
     extra = F.ceil((F.col("__v") - F.col("start_count")) / F.col("extra_count")) * F.col("extra_price")
     price = F.col("start_price") + F.when(F.col("__v") <= F.col("start_count"), 0).otherwise(extra)
     return apportion(lines, key, order, charge, totals.select(key, price.cast("long").alias("__f")), "__f", "freight")
@@ -98,9 +87,8 @@ def tiered_reward(lines: DataFrame, key: str, order: Sequence[str], price: str,
     ranked = sorted(tiers, key=lambda t: -t["limit"])
     pick = lambda field: F.coalesce(*[F.when(F.col("__v") >= t["limit"], F.lit(t.get(field, 0))) for t in ranked], F.lit(0))
     won = sums.select(key, pick("discount").alias("__d"), pick("points").alias("__p"))
-    lay = relayout(lines, None, [key], order)
-    out = apportion(lines, key, order, price, won, "__d", "reward_discount", layout=lay)
-    return apportion(out, key, order, price, won, "__p", "reward_points", layout=lay)
+    out = apportion(lines, key, order, price, won, "__d", "reward_discount")
+    return apportion(out, key, order, price, won, "__p", "reward_points")
 
 
 def line_brokerage(base: Column, percent: Column, fixed: Column) -> Column:

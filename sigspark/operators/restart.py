@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigspark.operators.scan import fresh_rows, key_at, sorted_tasks, with_columns
-from sigspark.operators.series import HOT, SLICE, Layout, assign, null_safe_join, relayout
+from sigspark.operators.series import SLICE, key_struct, on_slices, resumed, stretches
 
 
 def _next_open(ts: np.ndarray, start: int, width: int, closed: bool) -> int:
@@ -81,47 +81,40 @@ def _outcomes(ts: np.ndarray, width: int, closed: bool) -> tuple[list[int], list
     return limits[keep].tolist(), ends[keep].tolist()
 
 
-def restart_windows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], width: int,
-    closed: bool = False, layout: Layout | None = None,
-) -> DataFrame:
+def restart_windows(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: int, closed: bool = False) -> DataFrame:
     """Add ``window_start``: the order value of the row that opened the row's window.
 
     A new window opens when ``order - start > width`` (``closed``: ``>= width``). ``order[0]``
     must be an integer; rows with equal values share a window.
     """
     keys, order = list(keys), list(order)
-    lay = relayout(df, layout, keys, order)
-    t = order[0]
-    base = T.StructType([*df.schema.fields, T.StructField("window_start", T.LongType())])
-    if not lay.hot:
-        ready = df.withColumn("__s0", F.lit(None).cast("long"))
-        return sorted_tasks(ready, keys, order).mapInArrow(_marker(keys, t, width, closed, ["__s0"]), base)
-    cut = assign(df, lay)
-    by = [*keys, SLICE]
-    key_fields = [cut.schema[k] for k in by]
-    ends = T.StructType([*key_fields, *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("limits", "ends")], T.StructField("first", T.LongType())])
+    cut, done = on_slices(df, keys, order)
+    t, by = order[0], [SLICE, *keys]
+    parts = stretches(cut, keys).withColumn("__k", key_struct(keys))
+    ends = f"{SLICE} int, __next int, limits array<long>, ends array<long>, first long"
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         ts = np.sort(pdf[t].to_numpy(dtype=np.int64))
         limits, final = _outcomes(ts, width, closed)
-        return pdf[by].head(1).assign(limits=[limits], ends=[final], first=int(ts[0]))
+        return pd.DataFrame({SLICE: [pdf[SLICE].iloc[0]], "__next": [pdf["__next"].iloc[0]], "limits": [limits], "ends": [final], "first": [int(ts[0])]})
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(SLICE)
         start, out = None, []
         for limits, final, first in zip(pdf["limits"], pdf["ends"], pdf["first"]):
-            out.append(start)
             if start is None:
                 start = int(first)
             k = int(np.searchsorted(limits, start, side="left"))
             if k < len(limits):
                 start = int(final[k])
-        return pdf[by].assign(__s0=pd.array(out, dtype="Int64"))
-
-    tables = cut.filter(HOT).select(*by, t).groupBy(*by).applyInPandas(summarise, ends)
-    starts = tables.groupBy(*keys).applyInPandas(chain, T.StructType([*key_fields, T.StructField("__s0", T.LongType())]))
-    ready = null_safe_join(cut, F.broadcast(starts), by, "left")
-    extra = [SLICE, HOT, "__s0"]
-    kept = T.StructType([f for f in ready.schema.fields if f.name not in extra] + [T.StructField("window_start", T.LongType())])
-    return sorted_tasks(ready, by, order).mapInArrow(_marker(by, t, width, closed, extra), kept)
+            out.append(start)
+        return pd.DataFrame({SLICE: pdf["__next"], "__s0": pd.array(out, dtype="Int64")})
+
+    going = resumed(cut.select(*dict.fromkeys([SLICE, *keys, t])), parts.filter(F.col("__next").isNotNull()), keys, __next="__next")
+    tables = going.filter(F.col("__next").isNotNull()).groupBy(SLICE).applyInPandas(summarise, ends)
+    named = parts.select(SLICE, *keys, F.col("__next").alias("__to")).join(tables, SLICE).filter(F.col("__to") == F.col("__next"))
+    states = named.groupBy(*keys).applyInPandas(chain, f"{SLICE} int, __s0 long")
+    starts = parts.filter(F.col("__pos0") > 0).join(states, SLICE)
+    ready = resumed(cut, starts, keys, __s0="__s0")
+    kept = T.StructType([*cut.schema.fields, T.StructField("window_start", T.LongType())])
+    return done(sorted_tasks(ready, by, order).mapInArrow(_marker(by, t, width, closed, ["__s0"]), kept))

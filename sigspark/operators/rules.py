@@ -7,14 +7,15 @@ state, report_time``. Rules: ``rule_id, triggers ARRAY<STRUCT>, actions ARRAY<ST
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.operators.joins import hinted
 from sigspark.operators.predicates import match_dnf, rule_op_by
-from sigspark.operators.series import running
+from sigspark.operators.series import positions, running
+from sigspark.session import written
 
 RULES = (
     "rule_id long, triggers array<struct<type:string,device_id:long,product_id:long,identifier:string,operator:string,value:string,"
@@ -82,32 +83,125 @@ def _by_type(kinds: dict[str, Matcher], item: Column) -> Column:
     return F.coalesce(chosen.otherwise(False), F.lit(False))
 
 
-def match_rules(msgs: DataFrame, rules: DataFrame) -> DataFrame:
-    """(message_id, rule_id) for every rule with at least one trigger whose groups hold.
+# ---- index ----------------------------------------------------------------------------------
 
-    Triggers become rows and meet messages on the method they listen to, so this stays an equi-join;
-    device and product scope (null = any) and the operators are tested on the joined rows.
+PAGE = 128
+_KEY = ["code", "method", "identifier", "scope_id", "text"]
+
+
+@dataclass(frozen=True)
+class RuleIndex:
+    """Rules by what a message must bring to fire them.
+
+    ``codes`` (at most a few dozen) name the kinds of keys in use: whether a method and an identifier are asked for, the scope (device,
+    product or any) and how the operand is met: ``eq`` by its text, ``up`` / ``down`` by thresholds in ascending / descending
+    order, ``all`` not at all. ``pages`` holds the triggers of a key in pages of ``PAGE``, sorted by threshold; ``heads`` each key's
+    number and the first threshold of each of its pages.
     """
+
+    codes: tuple[tuple[bool, bool, str, str, str], ...]
+    heads: DataFrame
+    pages: DataFrame
+
+
+def _flat(rules: DataFrame) -> DataFrame:
+    """One row per trigger and key it is found by: parsed operand, threshold, the triggers of its rule before it."""
     kinds = sorted(TRIGGERS.items(), key=lambda kv: kv[1][0])
     listens = reduce(lambda acc, k: acc.when(F.col("t.type") == k, METHODS[k]), [k for k, _ in kinds if k in METHODS], F.when(F.lit(False), ""))
-    flat = rules.select("rule_id", F.explode("triggers").alias("t")).withColumn("__method", listens)
-    bound = flat.filter(F.col("__method").isNotNull())
-    joined = msgs.join(hinted(bound), F.col("method") == F.col("__method"))
-    free = [k for k, _ in kinds if k not in METHODS]
-    if free:
-        wide = flat.filter(F.col("t.type").isin(free)).withColumn("__any", F.lit(1))
-        joined = joined.unionByName(msgs.withColumn("__any", F.lit(1)).join(hinted(wide), "__any").drop("__any"))
     t = F.col("t")
-    scope = (t["device_id"].isNull() | (t["device_id"] == F.col("device_id"))) & (t["product_id"].isNull() | (t["product_id"] == F.col("product_id")))
-    fires = _by_type({k: m for k, (_, m) in kinds}, t)
-    holds = match_dnf(t["groups"], lambda c: _by_type(CONDITIONS, c))
-    return joined.filter(scope & fires & holds).select("message_id", "device_id", "report_time", "rule_id").distinct()
+    rows = rules.select("rule_id", "triggers", F.posexplode("triggers").alias("__at", "t")).filter(t["type"].isin(list(TRIGGERS)))
+    rows = rows.withColumn("method", listens).withColumn("earlier", F.slice("triggers", 1, F.col("__at"))).drop("triggers")
+    source = F.when(t["type"].isin("property", "event"), "param").when(t["type"] == "state", "state").otherwise("none")
+    named = t["type"].isin("property", "event", "service")
+    op, one = F.coalesce(t["operator"], F.lit("")), t["value"]
+    items = F.transform(F.split(one, ","), lambda x: F.trim(x))
+    nums = F.transform(items, lambda x: x.try_cast("double"))
+    whole, low = one.try_cast("double"), F.get(nums, F.lit(0))
+    spread = (op == "between") & (F.size(nums) >= 2) & F.forall(nums, lambda x: x.isNotNull())
+    tested = (source != "none") & one.isNotNull() & ((t["type"] != "event") | (one != ""))
+    met = (
+        F.when(~tested, "all").when(op == "=", "eq").when(op == "in", "eq").when(op.isin(">", ">=") & whole.isNotNull(), "up")
+        .when(op.isin("<", "<=") & whole.isNotNull(), "down").when(spread, "up").otherwise("all")
+    )
+    scope = F.when(t["device_id"].isNotNull(), "device").when(t["product_id"].isNotNull(), "product").otherwise("any")
+    keyed = rows.filter(~named | t["identifier"].isNotNull()).select(
+        "rule_id", "t", "earlier", F.coalesce("method", F.lit("")).alias("method"), F.col("method").isNotNull().alias("listens"),
+        F.when(named, t["identifier"]).otherwise("").alias("identifier"), source.alias("source"),
+        named.alias("named"), scope.alias("scope"),
+        F.coalesce(F.when(scope == "device", t["device_id"]).when(scope == "product", t["product_id"]), F.lit(0)).alias("scope_id"), met.alias("met"),
+        F.when(met == "up", F.coalesce(F.when(spread, low), whole)).when(met == "down", -whole).alias("__x"),
+        F.when(met == "eq", F.when(op == "in", F.array_distinct(items)).otherwise(F.array(one))).otherwise(F.array(F.lit(""))).alias("__texts"),
+    )
+    return keyed.withColumn("text", F.explode("__texts")).drop("__texts")
+
+
+def index_rules(rules: DataFrame) -> RuleIndex:
+    """Flatten, parse and sort the triggers once and write them; the index serves any number of batches."""
+    flat = written(_flat(rules), "rules")
+    kind = ["listens", "named", "source", "scope", "met"]
+    codes = sorted(tuple(r) for r in flat.select(*kind).distinct().collect())          # at most 2 x 2 x 3 x 3 x 4 rows
+    code = reduce(lambda acc, ic: acc.when(
+        reduce(lambda a, b: a & b, [F.col(k) == v for k, v in zip(kind, ic[1], strict=True)]), F.lit(ic[0])), enumerate(codes), F.when(F.lit(False), F.lit(0)))
+    keyed = flat.select(code.cast("int").alias("code"), "method", "identifier", "scope_id", "text", F.coalesce("__x", F.lit(0.0)).alias("x"), "rule_id", "t", "earlier")
+    placed = positions(keyed, _KEY, ["x", "rule_id"], "__p").withColumn("page", F.floor(F.col("__p") / PAGE).cast("int"))
+    pages = placed.groupBy(*_KEY, "page").agg(F.min("x").alias("low"), F.collect_list(F.struct("x", "rule_id", "t", "earlier")).alias("entries"))
+    pages = written(pages, "rule-pages")
+    lows = F.transform(F.array_sort(F.collect_list(F.struct("page", "low"))), lambda x: x["low"])
+    return RuleIndex(tuple(codes), written(pages.groupBy(*_KEY).agg(lows.alias("lows")), "rule-heads"), pages)
+
+
+def match_rules(msgs: DataFrame, rules: DataFrame | RuleIndex) -> DataFrame:
+    """(message_id, device_id, report_time, rule_id), once per message row, for every rule with a trigger whose groups hold.
+
+    A message asks the index for the keys that it can fire, at most one per code; of sorted thresholds it takes the pages that begin on
+    its side of its value, so the rows met follow the hits, not the number of rules. Triggers met are then tested
+    exactly. Of a rule's triggers the first that fires counts.
+    """
+    index = rules if isinstance(rules, RuleIndex) else index_rules(rules)
+    source = _source(F.col("identifier")).cast("string")
+
+    def probe(i: int, code: tuple) -> Column:
+        listens, named, kind, scope, met = code
+        said = {"param": source, "state": F.col("state").cast("string")}.get(kind, F.lit(None).cast("string"))
+        number = said.try_cast("double")
+        limit = {"up": number, "down": -number}.get(met, F.lit(None).cast("double"))
+        return F.struct(
+            F.lit(i).alias("code"), (F.col("method") if listens else F.lit("")).alias("method"), (F.col("identifier") if named else F.lit("")).alias("identifier"),
+            {"device": F.col("device_id"), "product": F.col("product_id")}.get(scope, F.lit(0)).cast("long").alias("scope_id"),
+            (said if met == "eq" else F.lit("")).alias("text"), limit.alias("limit"),
+        )
+
+    if not index.codes:
+        return msgs.select("message_id", "device_id", "report_time", F.lit(None).cast("long").alias("rule_id")).limit(0)
+    asked = msgs.withColumn("__q", F.explode(F.array(*[probe(i, c) for i, c in enumerate(index.codes)])))
+    keyed = asked.select("*", *[F.col(f"__q.{c}").alias(f"__{c}") for c in [*_KEY, "limit"]]).drop("__q")
+
+    def same(side: str, names: list[str]) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(f"__{c}") == F.col(f"__{side}_{c}") for c in names])
+
+    open_ = F.when(F.col("__limit").isNull() | F.isnan("__limit"), F.size("lows")).otherwise(F.size(F.filter("lows", lambda x: x <= F.col("__limit"))))
+    heads = index.heads.select(*[F.col(c).alias(f"__h_{c}") for c in _KEY], "lows")
+    found = keyed.join(heads, same("h", _KEY))
+    turned = found.withColumn("__pages", open_).filter("__pages > 0").withColumn("__page", F.explode(F.sequence(F.lit(0), F.col("__pages") - 1)))
+    page = index.pages.select(*[F.col(c).alias(f"__p_{c}") for c in _KEY], F.col("page").alias("__p_page"), "entries")
+    met = turned.join(page, same("p", [*_KEY, "page"]))
+    near = F.filter("entries", lambda e: F.col("__limit").isNull() | F.isnan("__limit") | (e["x"] <= F.col("__limit")))
+    rows = met.withColumn("__e", F.explode(near)).select(*msgs.columns, F.col("__e.rule_id").alias("rule_id"), F.col("__e.t").alias("t"), F.col("__e.earlier").alias("__earlier"))
+    kinds = {k: m for k, (_, m) in sorted(TRIGGERS.items(), key=lambda kv: kv[1][0])}
+
+    def fires(t: Column) -> Column:
+        scope = (t["device_id"].isNull() | (t["device_id"] == F.col("device_id"))) & (t["product_id"].isNull() | (t["product_id"] == F.col("product_id")))
+        heard = reduce(lambda acc, k: acc.when(t["type"] == k, F.col("method") == METHODS[k]), [k for k in kinds if k in METHODS], F.when(F.lit(False), F.lit(True))).otherwise(True)
+        return F.coalesce(scope & heard & _by_type(kinds, t) & match_dnf(t["groups"], lambda c: _by_type(CONDITIONS, c)), F.lit(False))
+
+    hits = rows.filter(fires(F.col("t"))).filter((F.size("__earlier") == 0) | ~F.exists("__earlier", fires))
+    return hits.select("message_id", "device_id", "report_time", "rule_id")
 
 
 def scene_actions(matches: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per (message, rule, action)."""
     acts = rules.select("rule_id", F.explode("actions").alias("a")).select("rule_id", F.col("a.kind").alias("kind"), F.col("a.target").alias("target"))
-    return matches.join(hinted(acts), "rule_id")
+    return matches.join(acts, "rule_id")
 
 
 def alert_records(events: DataFrame, keys, time: str, tie: str, opens: Column, recovers: Column) -> DataFrame:

@@ -7,25 +7,27 @@ same rule works on three levels: numpy blocks inside an Arrow batch, batches of
 slices of one long key spread over the cluster.
 
 Steps that do not compose (``Fold``) run in order; for a long key they are relayed slice after
-slice through the shared checkpoint folder.
+slice through the shared folder, which holds the slices one folder per turn.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sigspark.operators.series import HOT, SLICE, Layout, assign, null_safe_join, relayout
-from sigspark.session import cut_lineage
+from sigspark.operators.series import SLICE, key_struct, null_safe_join, on_slices, resumed, stretches
+from sigspark.session import written
 
 Cols = dict[str, np.ndarray]
 
@@ -210,13 +212,14 @@ def with_columns(batch: pa.RecordBatch, drop: Sequence[str], added: dict[str, pa
 
 
 def _schema(df: DataFrame, drop: Sequence[str], outputs: Sequence[str]) -> T.StructType:
-    kept = [f for f in df.schema.fields if f.name not in drop]
+    kept = [f for f in df.schema.fields if f.name not in (*drop, *outputs)]
     return T.StructType(kept + [T.StructField(o, T.DoubleType()) for o in outputs])
 
 
-def _replay(scan: Scan, by: Sequence[str], drop: Sequence[str]):
-    """Batch iterator: scan the rows of a sorted task from their start states."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _replay(scan: Scan, by: Sequence[str], drop: Sequence[str], ends: bool = False):
+    """Batch iterator: scan the rows of a sorted task from their start states; with ``ends`` the last row of each slice of a key
+    carries its state in ``__state``."""
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         last, state, pos = None, np.zeros(scan.maps.dim), 0
         for batch in batches:
             n = batch.num_rows
@@ -225,32 +228,43 @@ def _replay(scan: Scan, by: Sequence[str], drop: Sequence[str]):
             fresh = fresh_rows(batch, by, last)
             at = _positions(fresh, _whole(batch, "__pos0"), pos)
             cols = {**{c: numbers(batch.column(c)) for c in scan.inputs}, "pos": at}
-            resumed = fresh & (at > 0)
+            begun = fresh & (at > 0)
             prev, cur = np.empty((n, scan.maps.dim)), np.empty((n, scan.maps.dim))
-            edges = [0, *[i for i in np.flatnonzero(resumed) if i], n]
+            edges = [0, *[i for i in np.flatnonzero(begun) if i], n]
             for a, b in zip(edges, edges[1:]):
-                if resumed[a]:
+                if begun[a]:
                     state = np.array(batch.column("__s0")[int(a)].as_py(), dtype=float)
                 part = {k: v[a:b] for k, v in cols.items()}
                 prev[a:b], cur[a:b], _ = run_block(scan, part, fresh[a:b] & (at[a:b] == 0), state)
                 state = cur[b - 1]
             last, pos = key_at(batch, by, n - 1), int(at[-1]) + 1
             out = scan.emit(prev, cur, cols)
-            yield with_columns(batch, [*drop, *scan.outputs], {c: pa.array(out[c], pa.float64()) for c in scan.outputs})
+            yield with_columns(batch, [*drop, *scan.outputs], {c: pa.array(out[c], pa.float64()) for c in scan.outputs}), fresh, cur
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not ends:
+            yield from (batch for batch, _, _ in scanned(batches))
+            return
+        held = None
+        for now in itertools.chain(scanned(batches), [None]):
+            if held is not None:
+                batch, fresh, cur = held
+                closes = np.append(fresh[1:], now is None or now[1][0])
+                states = pa.array([s.tolist() if c else None for s, c in zip(cur, closes)], pa.list_(pa.float64()))
+                yield with_columns(batch, ["__state"], {"__state": states})
+            held = now
 
+    return run
 
-def _compose(scan: Scan, keys: Sequence[str], schema: pa.Schema):
-    """Batch iterator: one composed map per slice of a sorted task."""
-    by = [*keys, SLICE]
 
-    def row(key: tuple, total) -> pa.RecordBatch:
-        values = [pa.array([k], schema.field(c).type) for k, c in zip(key, by)]
-        return pa.RecordBatch.from_arrays([*values, pa.array([scan.maps.pack(total)], pa.list_(pa.float64()))], names=[*by, "__map"])
+def _compose(scan: Scan, by: Sequence[str]):
+    """Batch iterator: the composed map of each slice of a sorted task, and the key's next slice."""
+    def row(at: int, after: int, total) -> pa.RecordBatch:
+        values = [pa.array([at], pa.int32()), pa.array([after], pa.int32()), pa.array([scan.maps.pack(total)], pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays(values, names=[SLICE, "__next", "__map"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total, pos = None, None, 0
+        last, total, pos, place = None, None, 0, (0, 0)
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -262,15 +276,16 @@ def _compose(scan: Scan, keys: Sequence[str], schema: pa.Schema):
             for a, b in zip(edges, edges[1:]):
                 if fresh[a]:
                     if total is not None:
-                        yield row(last, total)
+                        yield row(*place, total)
                     total = scan.maps.identity(1)
+                    place = (batch.column(SLICE)[a].as_py(), batch.column("__next")[a].as_py())
                 part = {k: v[a:b] for k, v in cols.items()}
                 _, _, piece = run_block(scan, part, at[a:b] == 0, np.zeros(scan.maps.dim))
                 total = scan.maps.then(total, piece)
                 last = key_at(batch, by, b - 1)
             pos = int(at[-1]) + 1
         if total is not None:
-            yield row(last, total)
+            yield row(*place, total)
 
     return run
 
@@ -279,42 +294,43 @@ def sorted_tasks(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> Data
     return df.repartition(*by).sortWithinPartitions(*by, *order)
 
 
-def _offsets(cut: DataFrame, lay: Layout) -> DataFrame:
-    past = Window.partitionBy(*lay.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        cut.filter(HOT).groupBy(*lay.keys, SLICE).agg(F.count(F.lit(1)).alias("__n"))
-        .select(*lay.keys, SLICE, F.coalesce(F.sum("__n").over(past), F.lit(0)).alias("__pos0"))
-    )
+def _stretches(cut: DataFrame, keys: Sequence[str], saved: DataFrame | None) -> DataFrame:
+    """``stretches`` with the key as ``__k`` and the state ``__init`` that an earlier run left; its rows count as positions."""
+    parts = stretches(cut, keys).withColumn("__k", key_struct(keys))
+    if saved is None:
+        return parts.withColumn("__init", F.lit(None).cast("array<double>"))
+    known = null_safe_join(parts, saved.select(*keys, F.col("pos").alias("__done"), F.col("state").alias("__init")), keys, "left")
+    return known.withColumn("__pos0", F.col("__pos0") + F.coalesce("__done", F.lit(0))).drop("__done")
 
 
-def _starts(scan: Scan, cut: DataFrame, lay: Layout) -> DataFrame:
-    """Start state and position of every slice of the long keys (one small row per slice)."""
-    by = [*lay.keys, SLICE]
-    placed = null_safe_join(cut.filter(HOT), F.broadcast(_offsets(cut, lay)), by, "inner")
-    key_fields = [f for f in cut.schema.fields if f.name in by]
-    key_fields = sorted(key_fields, key=lambda f: by.index(f.name))
-    map_schema = T.StructType(key_fields + [T.StructField("__map", T.ArrayType(T.DoubleType()))])
-    narrow = placed.select(*dict.fromkeys([*by, *lay.order, *scan.inputs, "__pos0"]))
-    composed = sorted_tasks(narrow, by, lay.order).mapInArrow(_compose(scan, lay.keys, to_arrow_schema(map_schema)), map_schema)
+def _starts(scan: Scan, cut: DataFrame, keys: Sequence[str], order: Sequence[str], parts: DataFrame) -> DataFrame:
+    """Start state and position of the key that each slice goes on with (at most one row per slice)."""
+    by = [SLICE, *keys]
+    narrow = cut.select(*dict.fromkeys([*by, *order, *scan.inputs]))
+    ending = resumed(narrow, parts.filter(F.col("__next").isNotNull()), keys, __pos0="__pos0", __next="__next")
+    map_schema = T.StructType([
+        T.StructField(SLICE, T.IntegerType()), T.StructField("__next", T.IntegerType()), T.StructField("__map", T.ArrayType(T.DoubleType()))])
+    composed = sorted_tasks(ending.filter(F.col("__next").isNotNull()), by, order).mapInArrow(_compose(scan, by), map_schema)
+    named = parts.select(SLICE, *keys, "__init", F.col("__next").alias("__to")).join(composed, SLICE).filter(F.col("__to") == F.col("__next"))
 
     def carry(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(SLICE)
-        state, out = np.zeros((1, scan.maps.dim)), []
+        begin = pdf["__init"].iloc[0]
+        state, out = np.zeros((1, scan.maps.dim)) if begin is None else np.array([begin], dtype=float), []
         for flat in pdf["__map"]:
-            out.append(state[0].tolist())
             state = scan.maps.apply(scan.maps.unpack(flat), state)
-        return pdf[by].assign(__s0=out)
+            out.append(state[0].tolist())
+        return pd.DataFrame({SLICE: pdf["__next"], "__s0": out})
 
-    start_schema = T.StructType(key_fields + [T.StructField("__s0", T.ArrayType(T.DoubleType()))])
-    states = composed.groupBy(*lay.keys).applyInPandas(carry, start_schema)
-    return null_safe_join(_offsets(cut, lay), states, by, "inner")
+    states = named.groupBy(*keys).applyInPandas(carry, f"{SLICE} int, __s0 array<double>")
+    return parts.filter(F.col("__nth") > 0).join(states, SLICE)
 
 
 def _relay(fold: Fold, by: Sequence[str], drop: Sequence[str]):
     """Batch iterator for folds; the last row of each slice also carries the state onward."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state, pos, held = None, [], 0, None
-        named = len(by) - (by[-1] == SLICE)
+        named = by[1:]                                          # without the slice
 
         def done(final: bool) -> pa.RecordBatch:
             batch, results, states = held
@@ -338,7 +354,7 @@ def _relay(fold: Fold, by: Sequence[str], drop: Sequence[str]):
                     if i:
                         states[i - 1] = state
                     resumed = batch.column("__s0")[i].as_py() if at[i] > 0 else None
-                    state = resumed if resumed is not None else fold.initial(key_at(batch, by[:named], i))
+                    state = resumed if resumed is not None else fold.initial(key_at(batch, named, i))
                 state, out = fold.step(state, row, int(at[i]))
                 results.append(out)
             last, pos = key_at(batch, by, n - 1), int(at[-1]) + 1
@@ -349,49 +365,58 @@ def _relay(fold: Fold, by: Sequence[str], drop: Sequence[str]):
     return run
 
 
+def _begun(cut: DataFrame, keys: Sequence[str], saved: DataFrame | None) -> DataFrame:
+    """``cut`` with the position and state where each key's first slice begins."""
+    if saved is None:
+        return cut.withColumn("__done", F.lit(0).cast("long")).withColumn("__init", F.lit(None).cast("array<double>"))
+    known = saved.select(*keys, F.col("pos").alias("__done"), F.col("state").alias("__init"))
+    return null_safe_join(cut, known, keys, "left").withColumn("__done", F.coalesce("__done", F.lit(0).cast("long")))
+
+
 def run_scan(
-    df: DataFrame, scan: Scan | Fold, keys: Sequence[str], order: Sequence[str], layout: Layout | None = None,
+    df: DataFrame, scan: Scan | Fold, keys: Sequence[str], order: Sequence[str], saved: DataFrame | None = None, ends: bool = False,
 ) -> DataFrame:
-    """Add the outputs of a recursive filter to every row of the series."""
-    lay = relayout(df, layout, keys, order)
+    """Add the outputs of a recursive filter to every row of the series.
+
+    ``saved`` (keys, ``pos``, ``state``) makes a series go on where an earlier run ended; with ``ends`` the last row of each key has
+    its state in ``__state``.
+    """
+    cut, done = on_slices(df, keys, order)
+    by, extra = [SLICE, *keys], ["__pos0", "__s0", "__done", "__init", "__next"]
+    parts = _stretches(cut, keys, saved)
     if isinstance(scan, Fold):
-        return _run_fold(df, scan, lay)
-    if not lay.hot:
-        ready = df.withColumn("__pos0", F.lit(0).cast("long"))
-        schema = _schema(ready, ["__pos0"], scan.outputs)
-        return sorted_tasks(ready, lay.keys, lay.order).mapInArrow(_replay(scan, lay.keys, ["__pos0"]), schema)
-    cut = assign(df, lay)
-    by, extra = [*lay.keys, SLICE], [SLICE, HOT, "__pos0", "__s0"]
-    ready = null_safe_join(cut, F.broadcast(_starts(scan, cut, lay)), by, "left")
-    ready = ready.withColumn("__pos0", F.coalesce("__pos0", F.lit(0)))
-    schema = _schema(ready, extra, scan.outputs)
-    return sorted_tasks(ready, by, lay.order).mapInArrow(_replay(scan, by, extra), schema)
-
-
-def _run_fold(df: DataFrame, fold: Fold, lay: Layout) -> DataFrame:
-    extra = ["__pos0", "__s0"]
-
-    def stage(part: DataFrame, by: Sequence[str]) -> DataFrame:
-        schema = _schema(part, extra, fold.outputs).add("__state", T.ArrayType(T.DoubleType()))
-        return sorted_tasks(part, by, lay.order).mapInArrow(_relay(fold, by, extra), schema)
-
-    nothing = F.lit(None).cast("array<double>")
-    if not lay.hot:
-        ready = df.withColumn("__pos0", F.lit(0).cast("long")).withColumn("__s0", nothing)
-        return stage(ready, lay.keys).drop("__state")
-    cut = cut_lineage(assign(df, lay))
-    placed = null_safe_join(cut, F.broadcast(_offsets(cut, lay)), [*lay.keys, SLICE], "left")
-    placed = placed.withColumn("__pos0", F.coalesce("__pos0", F.lit(0)))
-    done = [stage(placed.filter(F.col(SLICE) == 0).withColumn("__s0", nothing), lay.keys)]
-    for i in range(1, lay.meta["slices"]):
-        done[-1] = cut_lineage(done[-1])
-        states = (
-            done[-1].filter(HOT).filter(F.col("__state").isNotNull())
-            .select(*lay.keys, F.col("__state").alias("__s0"))
-        )
-        part = null_safe_join(placed.filter(F.col(SLICE) == i), F.broadcast(states), lay.keys, "left")
-        done.append(stage(part, lay.keys))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.drop(SLICE, HOT, "__state")
+        out = _run_fold(cut, scan, keys, order, parts, saved)
+    else:
+        ready = resumed(_begun(cut, keys, saved), _starts(scan, cut, keys, order, parts), keys, __pos0="__pos0", __s0="__s0")
+        ready = ready.withColumn("__pos0", F.coalesce("__pos0", "__done")).withColumn("__s0", F.coalesce("__s0", "__init"))
+        if ends:
+            ready = resumed(ready, parts.filter(F.col("__next").isNotNull()), keys, __next="__next")
+            ready = ready.withColumn("__to", F.col("__next")).withColumn("__state", F.lit(None).cast("array<double>"))
+        schema = _schema(ready.drop("__state"), extra, scan.outputs)
+        out = sorted_tasks(ready, by, order).mapInArrow(_replay(scan, by, extra, ends), schema.add("__state", T.ArrayType(T.DoubleType())) if ends else schema)
+    if not ends:
+        return done(out.drop("__to", "__state"))
+    return done(out.withColumn("__state", F.when(F.col("__to").isNull(), F.col("__state"))).drop("__to"))
+
+
+def _run_fold(
+    cut: DataFrame, fold: Fold, keys: Sequence[str], order: Sequence[str], parts: DataFrame, saved: DataFrame | None,
+) -> DataFrame:
+    """Turn 0 runs every key's first slice, turn n its n-th one, from the states that turn n - 1 has written."""
+    by, extra = [SLICE, *keys], ["__pos0", "__s0", "__next", "__nth", "__done", "__init"]
+    placed = resumed(_begun(cut, keys, saved), parts.filter(F.col("__nth") > 0), keys, __pos0="__pos0", __nth="__nth")
+    placed = resumed(placed, parts.filter(F.col("__next").isNotNull()), keys, __next="__next")
+    placed = placed.withColumn("__pos0", F.coalesce("__pos0", "__done")).withColumn("__nth", F.coalesce("__nth", F.lit(0)))
+    placed = written(placed, "turns", "__nth")
+
+    def stage(part: DataFrame) -> DataFrame:
+        moved = part.withColumn("__to", F.col("__next"))
+        schema = _schema(moved, extra, fold.outputs).add("__state", T.ArrayType(T.DoubleType()))
+        return sorted_tasks(moved, by, order).mapInArrow(_relay(fold, by, extra), schema)
+
+    turns = parts.agg(F.max("__nth")).first()[0] or 0
+    done = [written(stage(placed.filter(F.col("__nth") == 0).withColumn("__s0", F.col("__init"))), "turn")]
+    for turn in range(1, turns + 1):
+        states = done[-1].filter(F.col("__state").isNotNull() & F.col("__to").isNotNull()).select(F.col("__to").alias(SLICE), F.col("__state").alias("__s0"))
+        done.append(written(stage(placed.filter(F.col("__nth") == turn).join(states, SLICE, "left")), "turn"))
+    return reduce(DataFrame.unionByName, done)

@@ -1,46 +1,30 @@
-"""Keyed, ordered series that stay balanced when one key holds most of the rows.
-
-A plain ``Window.partitionBy(device)`` sends a device to one task. Here the row count of
-every key is measured first (one map-side-combined aggregate). Keys under the limit use the
-plain window. Longer keys are cut into slices at order values taken from a small sample, the
-slices are spread over the cluster, and each slice borrows exactly the neighbouring rows its
-frame needs (a halo), or the running totals of the slices before it. Results are identical
-either way; only the cut points come from the sample.
+"""Keyed, ordered series of any length.
+
+A series is written once, range-partitioned by key and order. Each range is a slice: rows next to each other, about
+as many in every slice, so a key that holds a third of all rows goes on from slice to slice while a slice may
+hold many short keys. Operators work inside slices. What crosses an edge comes from tables with a few rows per slice:
+the rows beside the edge for row frames, running totals of the key that goes on, composed states (``scan``) and
+window starts (``restart``). There is one plan for every size.
+
+A frame that already has the column ``SLICE`` is used as it stands and keeps it; else the operator writes the
+slices and drops the column at its end. So operators in a row share one layout: slice first, drop last.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from sigspark.session import max_group_rows
+from sigspark.session import written
 
-SLICE, HALO, HOT = "__slice", "__halo", "__hot"
-MAX_SLICES = 200_000          # bound on the broadcast cut-point table
-_POINTS_PER_SLICE = 20        # sampled rows behind each cut point
+SLICE, HALO = "__slice", "__halo"
 
 Frame = Callable[[WindowSpec], dict[str, Column]]
 
 
-@dataclass(frozen=True)
-class Layout:
-    """Where the long keys of a series are cut; ``cuts`` is None when no key is long."""
-
-    keys: tuple[str, ...]
-    order: tuple[str, ...]
-    cuts: DataFrame | None = None
-    steps: int = 0
-    meta: dict = field(default_factory=dict)
-
-    @property
-    def hot(self) -> bool:
-        return self.cuts is not None
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi-join on ``keys`` that also matches null keys and keeps the left key columns."""
     renamed = reduce(lambda d, k: d.withColumnRenamed(k, f"__r_{k}"), keys, right)
@@ -48,198 +32,99 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def measure(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int | None = None) -> Layout:
-    """Count rows per key and choose cut points for the keys over the limit."""
-    keys, order = tuple(keys), tuple(order)
-    limit = max_rows or max_group_rows(df.sparkSession)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    top = counts.agg(F.sum("__n").alias("total"), F.max("__n").alias("longest")).first()
-    if top["longest"] is None or top["longest"] <= limit:
-        return Layout(keys, order)
-    limit = max(limit, top["total"] // MAX_SLICES)
-    heavy = counts.filter(F.col("__n") > limit)               # at most total/limit rows
-    narrow = null_safe_join(df.select(*keys, *order), F.broadcast(heavy), keys, "left_semi")
-    fraction = min(1.0, _POINTS_PER_SLICE / limit)
-    point = Window.partitionBy(*keys).orderBy(*order)
-    cuts = (
-        narrow.sample(fraction, seed=17)
-        .withColumn("__i", F.row_number().over(point))
-        .filter(F.col("__i") % max(1, round(limit * fraction)) == 0)
-        .select(*keys, F.struct(*order).alias("__cut"))
-    )
-    rows = cuts.collect()                                      # at most MAX_SLICES small rows
-    if not rows:
-        return Layout(keys, order)
-    fixed = df.sparkSession.createDataFrame(rows, cuts.schema)
-    table = fixed.groupBy(*keys).agg(F.array_sort(F.collect_set("__cut")).alias("__cuts"))
-    per_key: dict[tuple, int] = {}
-    for r in rows:
-        k = tuple(r[c] for c in keys)
-        per_key[k] = per_key.get(k, 0) + 1
-    return Layout(keys, order, table, max(per_key.values()).bit_length() + 1, {"slices": max(per_key.values()) + 1})
-
-
-def relayout(df: DataFrame, known: Layout | None, keys: Sequence[str], order: Sequence[str]) -> Layout:
-    """Reuse a layout measured earlier on the same rows (or more), else measure.
-
-    The same keys and order fit as they are; when no key was long, no finer key is long either.
-    """
-    keys, order = tuple(keys), tuple(order)
-    if known is not None:
-        if known.keys == keys and known.order[: len(order)] == order:
-            return known
-        if not known.hot and set(known.keys) <= set(keys):
-            return Layout(keys, order)
-    return measure(df, keys, order)
-
-
-def _slice_of(point: Column, steps: int) -> Column:
-    """Number of cut points at or before ``point`` by binary search in the key's cut array."""
-    def probe(acc: Column, _: Column) -> Column:
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        below = (acc["lo"] < acc["hi"]) & (F.get(F.col("__cuts"), mid) <= point)
-        return F.struct(
-            F.when(below, mid + 1).otherwise(acc["lo"]).alias("lo"),
-            F.when(below | (acc["lo"] >= acc["hi"]), acc["hi"]).otherwise(mid).alias("hi"),
-        )
-
-    start = F.struct(F.lit(0).alias("lo"), F.size("__cuts").alias("hi"))
-    search = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, probe, lambda acc: acc["lo"])
-    return F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(search)
-
-
-def _with_cuts(df: DataFrame, lay: Layout) -> DataFrame:
-    return null_safe_join(df, F.broadcast(lay.cuts), lay.keys, "left")
-
-
-def assign(df: DataFrame, lay: Layout) -> DataFrame:
-    """Add the slice number (0 for short keys) and whether the key was sliced."""
-    if not lay.hot:
-        return df.withColumn(SLICE, F.lit(0)).withColumn(HOT, F.lit(False))
-    return (
-        _with_cuts(df, lay)
-        .withColumn(SLICE, _slice_of(F.struct(*lay.order), lay.steps))
-        .withColumn(HOT, F.col("__cuts").isNotNull())
-        .drop("__cuts")
-    )
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` with the number of each row's slice; later slices hold later (keys, order)."""
+    if SLICE in df.columns:
+        return df
+    ranged = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]])
+    return written(ranged.withColumn(SLICE, F.spark_partition_id()), "series")
+
+
+def on_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The sliced series, and what hides the slices again if the caller had none."""
+    own = SLICE in df.columns
+    return sliced(df, keys, order), (lambda out: out if own else out.drop(SLICE))
 
 
-def _plain(lay: Layout) -> WindowSpec:
-    return Window.partitionBy(*lay.keys).orderBy(*lay.order)
+def key_struct(keys: Sequence[str]) -> Column:
+    return F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
 
 
-def _sliced(lay: Layout) -> WindowSpec:
-    return Window.partitionBy(*lay.keys, SLICE).orderBy(*lay.order)
+def within(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(SLICE, *keys).orderBy(*order)
 
 
-def _borrow(cut: DataFrame, lay: Layout, n: int, from_past: bool) -> DataFrame:
-    """The ``n`` rows next to every slice, relabelled to the slice that needs them."""
-    edge_order = [F.col(c).desc() if from_past else F.col(c).asc() for c in lay.order]
-    edge = Window.partitionBy(*lay.keys, SLICE).orderBy(*edge_order)
-    chain = Window.partitionBy(*lay.keys).orderBy(*lay.order)
-    reach = chain.rowsBetween(1, n) if from_past else chain.rowsBetween(-n, -1)
-    return (
-        cut.filter(HOT)
-        .withColumn("__e", F.row_number().over(edge))
-        .filter(F.col("__e") <= n)
-        .withColumn("__to", F.array_distinct(F.collect_list(SLICE).over(reach)))
-        .withColumn("__to", F.explode(F.array_remove("__to", F.col(SLICE))))
-        .withColumn(SLICE, F.col("__to"))
-        .withColumn(HALO, F.lit(True))
-        .drop("__e", "__to")
+def stretches(cut: DataFrame, keys: Sequence[str], **totals: Column) -> DataFrame:
+    """A row for each slice of each key: how many rows, how many before (``__pos0``), the key's next slice (``__next``), its
+    number among the key's slices (``__nth``, from 0), and the given totals."""
+    sums = cut.groupBy(SLICE, *keys).agg(F.count(F.lit(1)).alias("__n"), *[c.alias(n) for n, c in totals.items()])
+    chain = Window.partitionBy(*keys).orderBy(SLICE)
+    before = F.sum("__n").over(chain.rowsBetween(Window.unboundedPreceding, -1))
+    return sums.select(
+        "*", F.coalesce(before, F.lit(0)).alias("__pos0"), F.lead(SLICE).over(chain).alias("__next"),
+        (F.row_number().over(chain) - 1).alias("__nth"),
     )
 
 
-def with_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], frame: Frame,
-    before: int = 0, after: int = 0, layout: Layout | None = None,
-) -> DataFrame:
+def resumed(cut: DataFrame, starts: DataFrame, keys: Sequence[str], **columns: str) -> DataFrame:
+    """``cut`` with columns of ``starts``, which has at most one row per slice: for its key ``__k``; null for other keys."""
+    small = starts.select(SLICE, "__k", *[F.col(c).alias(f"__r_{n}") for n, c in columns.items()])
+    mine = F.col("__k").isNotNull() & F.col("__k").eqNullSafe(key_struct(keys))
+    out = cut.join(small, SLICE, "left")
+    return out.select(*[F.col(f"`{c}`") for c in cut.columns], *[F.when(mine, F.col(f"__r_{n}")).alias(n) for n in columns])
+
+
+def _neighbours(cut: DataFrame, order: Sequence[Column], n: int, ahead: bool) -> DataFrame:
+    """The last ``n`` rows of each slice (``ahead``: the first), relabelled to the later (earlier) slices that they reach."""
+    near = cut.withColumn("__e", F.row_number().over(Window.partitionBy(SLICE).orderBy(*order))).filter(F.col("__e") <= n)
+    sizes = cut.groupBy(SLICE).agg(F.count(F.lit(1)).alias("__n"))             # a row per slice
+    line = Window.orderBy(F.col(SLICE).desc() if ahead else F.col(SLICE))
+    upto = sizes.withColumn("__end", F.sum("__n").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    later = F.collect_list(F.struct(F.col(SLICE).alias("to"), (F.col("__end") - F.col("__n")).alias("at"))).over(line.rowsBetween(1, n))
+    reach = upto.withColumn("__later", later).select(F.col(SLICE).alias("__from"), "__end", F.explode("__later").alias("__l")).select(
+        "__from", F.col("__l.to").alias("__to"), (F.col("__l.at") - F.col("__end")).alias("__gap")).filter(F.col("__gap") < n)
+    lent = near.join(reach, F.col(SLICE) == F.col("__from")).filter(F.col("__gap") + F.col("__e") <= n)
+    return lent.withColumn(SLICE, F.col("__to")).withColumn(HALO, F.lit(True)).select(*[F.col(f"`{c}`") for c in cut.columns], HALO)
+
+
+def with_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], frame: Frame, before: int = 0, after: int = 0) -> DataFrame:
     """Add window columns whose frames reach ``before`` rows back and ``after`` rows ahead.
 
     ``frame`` gets the window (partitioned and ordered) and returns the new columns.
     """
-    lay = relayout(df, layout, keys, order)
-    if not lay.hot:
-        return df.select("*", *[c.alias(n) for n, c in frame(_plain(lay)).items()])
-    cut = assign(df, lay).withColumn(HALO, F.lit(False))
-    full = cut
+    cut, done = on_slices(df, keys, order)
+    full = cut.withColumn(HALO, F.lit(False))
+    line = [*keys, *order]
     if before:
-        full = full.unionByName(_borrow(cut, lay, before, True))
+        full = full.unionByName(_neighbours(cut, [F.col(c).desc() for c in line], before, False))
     if after:
-        full = full.unionByName(_borrow(cut, lay, after, False))
-    added = frame(_sliced(lay))
-    return (
-        full.select("*", *[c.alias(n) for n, c in added.items()])
-        .filter(~F.col(HALO))
-        .drop(SLICE, HALO, HOT)
-    )
+        full = full.unionByName(_neighbours(cut, [F.col(c).asc() for c in line], after, True))
+    added = frame(within(keys, order))
+    return done(full.select("*", *[c.alias(n) for n, c in added.items()]).filter(~F.col(HALO)).drop(HALO))
 
 
-def with_range(
-    df: DataFrame, keys: Sequence[str], order: str, width: int, frame: Frame, layout: Layout | None = None,
-) -> DataFrame:
-    """Add columns over the value frame ``[order - width, order]``; ``order`` is an integer column."""
-    lay = relayout(df, layout, keys, [order])
-    if not lay.hot:
-        w = Window.partitionBy(*lay.keys).orderBy(order).rangeBetween(-width, 0)
-        return df.select("*", *[c.alias(n) for n, c in frame(w).items()])
-    rest = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in lay.order[1:]]
-    edge = lambda shift: F.struct((F.col(order) + shift).cast(df.schema[order].dataType).alias(order), *rest)
-    own = _slice_of(F.struct(*lay.order), lay.steps)
-    cut = (
-        _with_cuts(df, lay)
-        .withColumn("__own", own)
-        .withColumn(
-            SLICE,
-            F.explode(F.sequence(_slice_of(edge(0), lay.steps), _slice_of(edge(width + 1), lay.steps))),
-        )
-        .drop("__cuts")
-    )
-    w = Window.partitionBy(*lay.keys, SLICE).orderBy(order).rangeBetween(-width, 0)
-    return (
-        cut.select("*", *[c.alias(n) for n, c in frame(w).items()])
-        .filter(F.col(SLICE) == F.col("__own"))
-        .drop(SLICE, "__own")
-    )
-
-
-_COMBINE = {
-    "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + b),
-    "count": (F.count, lambda a, b: F.coalesce(a, F.lit(0)) + b),
-    "max": (F.max, lambda a, b: F.greatest(a, b)),
-    "min": (F.min, lambda a, b: F.least(a, b)),
-}
+_TOTAL = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
+_ROLL = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
+_BOTH = {"sum": lambda a, b: F.coalesce(a + b, a, b), "max": F.greatest, "min": F.least}
+_BOTH["count"] = _BOTH["sum"]
 
 
-def running(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], **aggs: tuple[str, Column | str],
-) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], **aggs: tuple[str, Column | str]) -> DataFrame:
     """Running aggregates from the start of the series: ``name=("sum" | "count" | "max" | "min", column)``."""
-    lay = relayout(df, aggs.pop("layout", None), keys, order)
     exprs = {n: (f, c if isinstance(c, Column) else F.col(c)) for n, (f, c) in aggs.items()}
-    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    if not lay.hot:
-        w = upto(_plain(lay))
-        return df.select("*", *[_COMBINE[f][0](c).over(w).alias(n) for n, (f, c) in exprs.items()])
-    cut = assign(df, lay)
-    totals = (
-        cut.filter(HOT).groupBy(*lay.keys, SLICE)
-        .agg(*[_COMBINE[f][0](c).alias(f"__t_{n}") for n, (f, c) in exprs.items()])
-    )
-    past = Window.partitionBy(*lay.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    roll = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
-    carried = totals.select(
-        *lay.keys, SLICE, *[roll[f](f"__t_{n}").over(past).alias(f"__c_{n}") for n, (f, _) in exprs.items()]
-    )
-    w = upto(_sliced(lay))
-    out = null_safe_join(cut, F.broadcast(carried), [*lay.keys, SLICE], "left")
-    return out.select(
-        *[c for c in df.columns],
-        *[_COMBINE[f][1](F.col(f"__c_{n}"), _COMBINE[f][0](c).over(w)).alias(n) for n, (f, c) in exprs.items()],
+    cut, done = on_slices(df, keys, order)
+    totals = stretches(cut, keys, **{f"__t_{n}": _TOTAL[f](c) for n, (f, c) in exprs.items()})
+    past = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    rolled = totals.select(
+        SLICE, key_struct(keys).alias("__k"), "__pos0", *[_ROLL[f](f"__t_{n}").over(past).alias(f"__c_{n}") for n, (f, _) in exprs.items()],
     )
+    held = resumed(cut, rolled.filter(F.col("__pos0") > 0), keys, **{f"__c_{n}": f"__c_{n}" for n in exprs})
+    upto = within(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    return done(held.select(
+        *[F.col(f"`{c}`") for c in cut.columns], *[_BOTH[f](F.col(f"__c_{n}"), _TOTAL[f](c).over(upto)).alias(n) for n, (f, c) in exprs.items()],
+    ))
 
 
-def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos", layout: Layout | None = None) -> DataFrame:
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos") -> DataFrame:
     """0-based exact position of every row in its series."""
-    extra = {"layout": layout} if layout else {}
-    return running(df, keys, order, **{name: ("count", F.lit(1))}, **extra).withColumn(name, F.col(name) - 1)
+    return running(df, keys, order, **{name: ("count", F.lit(1))}).withColumn(name, F.col(name) - 1)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sigspark.operators import filters
-from sigspark.plans.registry import FRAGMENTS, NUMBERED, SIGNAL, fragments, query, rnd, signal
+from sigspark.operators import filters, resume
+from sigspark.plans.registry import FRAGMENTS, NUMBERED, ORACLES, SIGNAL, fragments, query, rnd, signal
+from sigspark.session import fresh_dir
 
 KEYS, ORDER = ["dev"], ["us", "id"]
 W = "PARTITION BY dev ORDER BY us, id"
@@ -210,16 +211,24 @@ def f24_level(spark, sf):
     return out.select("dev", rnd("level").alias("level"), "trend")
 
 
-def _biquad_sql(stages: int, coeffs: str, digits: int = 6, scale: str = "1.0") -> str:
-    """Direct-form sections in series; ``coeffs`` is a one-row CTE k with b{s}0 .. a{s}2 per stage s."""
+def _biquad_sql(stages: int, coeffs: str, digits: int = 6, scale: str = "1.0", steady: bool = False, single: bool = False) -> str:
+    """Direct-form sections in series; ``coeffs`` is a one-row CTE k with b{s}0 .. a{s}2 per stage s.
+
+    ``steady``: low-pass sections of unit gain that have seen the first sample for ever; ``single``: rounded to float32 between stages."""
     first, then, prev_first, prev_then = [], [], "value", "n.value"
     for s in range(stages):
         y0 = f"k.b{s}0 * {prev_first}"
+        if steady:
+            first += [f"value::DOUBLE AS {c}" for c in (f"x{s}1", f"x{s}2", f"y{s}1", f"y{s}2")]
+            y = f"(k.b{s}0 * {prev_then} + k.b{s}1 * f.x{s}1 + k.b{s}2 * f.x{s}2 - k.a{s}1 * f.y{s}1 - k.a{s}2 * f.y{s}2)"
+            then += [prev_then, f"f.x{s}1", y, f"f.y{s}1"]
+            prev_then = y
+            continue
         y = f"(k.b{s}0 * {prev_then} + k.b{s}1 * f.x{s}1 + k.b{s}2 * f.x{s}2 - k.a{s}1 * f.y{s}1 - k.a{s}2 * f.y{s}2)"
         first += [f"({prev_first})::DOUBLE AS x{s}1", f"0.0::DOUBLE AS x{s}2", f"({y0})::DOUBLE AS y{s}1", f"0.0::DOUBLE AS y{s}2"]
         then += [prev_then, f"f.x{s}1", y, f"f.y{s}1"]
-        prev_first, prev_then = f"({y0})", y
-    last = f"y{stages - 1}1"
+        prev_first, prev_then = (f"({y0})::FLOAT::DOUBLE", f"{y}::FLOAT::DOUBLE") if single else (f"({y0})", y)
+    last = f"y{stages - 1}1" + ("::FLOAT::DOUBLE" if single else "")
     return f"""WITH RECURSIVE {NUMBERED}, k AS ({coeffs}), g AS (SELECT * REPLACE (value * {scale} AS value) FROM n),
 f AS (SELECT dev, i, id, value, {", ".join(first)} FROM g n, k WHERE i = 0
   UNION ALL SELECT n.dev, n.i, n.id, n.value, {", ".join(then)} FROM f JOIN g n ON n.dev = f.dev AND n.i = f.i + 1 JOIN k ON true)
@@ -235,12 +244,54 @@ query("f27_bandpass_sections", _biquad_sql(2, """SELECT (1 + c0) / 2 / (1 + s0)
   -2 * c1 / (1 + s1) AS a11, (1 - s1) / (1 + s1) AS a12
   FROM (SELECT cos(2 * pi() * 1e5 / 2e6) AS c0, sin(2 * pi() * 1e5 / 2e6) / sqrt(2) AS s0, cos(2 * pi() * 9e5 / 2e6) AS c1, sin(2 * pi() * 9e5 / 2e6) / sqrt(2) AS s1)"""))(
     _filtered("BANDPASS_SECTIONS"))
+
+
+def _resumed(name: str, digits: int = 6, scale: float = 1.0):
+    """The series in two batches, the second one from the state that the first one has written."""
+    def run(spark, sf):
+        df, path = signal(spark, sf).drop("ch").withColumn("value", F.col("value") * scale), fresh_dir(spark, "filter-state")
+        early = F.col("us") < F.unix_micros(F.lit("2024-01-12").cast("timestamp"))
+        parts = [resume.resume_filter(df.filter(t), name, KEYS, ORDER, path, i) for i, t in enumerate((early, ~early))]
+        return parts[0].unionByName(parts[1]).select("id", rnd("filtered", digits).alias("filtered"), rnd("residual", digits).alias("residual"))
+
+    return run
+
+
+def _single_precision(spark, sf):
+    out = filters.repeated_single(signal(spark, sf).drop("ch"), KEYS, ORDER)
+    return out.select("id", rnd("filtered", 4).alias("filtered"), rnd("residual", 4).alias("residual"))
+
+
+@query("f15_rising_sequence", f"WITH {SIGNAL}, q AS (SELECT *, id % 37 AS seq FROM s), t AS (SELECT *, coalesce(max(seq) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS top FROM q), d AS (SELECT *, count(*) FILTER (WHERE seq <= top) OVER ({W}) AS dropped FROM t) SELECT id, dropped FROM d WHERE seq > top")
+def f15_rising(spark, sf):
+    """Rows whose number does not rise are left out and counted before the velocity filter sees them."""
+    s = signal(spark, sf).withColumn("seq", F.col("id") % 37)
+    kept = filters.rising(s, KEYS, ORDER, "seq")
+    return filters.apply_filter(kept, "KALMAN_VELOCITY", KEYS, ORDER).select("id", "dropped")
+
+
+query("f27_resumed_batches", ORACLES["f27_bandpass_sections"])(_resumed("BANDPASS_SECTIONS"))
+query("f17_resumed_batches", ORACLES["f17_lms"])(_resumed("LMS", scale=0.002))
 _STAGE = ", ".join(
     f"(1 - c) / 2 / (1 + a) AS b{s}0, (1 - c) / (1 + a) AS b{s}1, (1 - c) / 2 / (1 + a) AS b{s}2, -2 * c / (1 + a) AS a{s}1, (1 - a) / (1 + a) AS a{s}2"
     for s in (0, 1))
 query("f28_biquad_repeated", _biquad_sql(2, f"""SELECT {_STAGE} FROM (SELECT cos(w) AS c, sin(w) * (hi - lo) / (2 * w) AS a
   FROM (SELECT sqrt(lo * hi) AS w, lo, hi FROM (SELECT 2 * pi() * 1e4 / 1e6 AS lo, 2 * pi() * 5e5 / 1e6 AS hi)))"""))(_filtered("BIQUAD_REPEATED"))
-query("f29_lowpass")(_filtered("LOWPASS"))
+query("f28_biquad_single_precision", _biquad_sql(2, f"""SELECT {_STAGE} FROM (SELECT cos(w) AS c, sin(w) * (hi - lo) / (2 * w) AS a
+  FROM (SELECT sqrt(lo * hi) AS w, lo, hi FROM (SELECT 2 * pi() * 1e4 / 1e6 AS lo, 2 * pi() * 5e5 / 1e6 AS hi)))""", digits=4, single=True))(
+    _single_precision)
+
+
+def _butterworth_sql(order: int, cutoff: float) -> str:
+    """Low-pass sections of unit gain by the bilinear transform, ``cutoff`` as a fraction of Nyquist."""
+    cols = ", ".join(
+        f"t * t / (1 + t * q{s} + t * t) AS b{s}0, 2 * t * t / (1 + t * q{s} + t * t) AS b{s}1, t * t / (1 + t * q{s} + t * t) AS b{s}2, "
+        f"2 * (t * t - 1) / (1 + t * q{s} + t * t) AS a{s}1, (1 - t * q{s} + t * t) / (1 + t * q{s} + t * t) AS a{s}2" for s in range(order // 2))
+    damping = ", ".join(f"2 * cos(pi() * {2 * s + 1} / {2 * order}) AS q{s}" for s in range(order // 2))
+    return f"SELECT {cols} FROM (SELECT tan(pi() * {cutoff} / 2) AS t, {damping})"
+
+
+query("f29_lowpass", _biquad_sql(2, _butterworth_sql(4, 0.04), steady=True))(_filtered("LOWPASS"))
 query("f30_bandpass")(_filtered("BANDPASS"))
 
 
@@ -250,7 +301,7 @@ def f31(spark, sf):
     return out.select("frag", F.posexplode("filtered").alias("i", "y")).select("frag", "i", rnd("y").alias("filtered"))
 
 
-query("f32_lowpass_sections")(_filtered("LOWPASS_SOS"))
+query("f32_lowpass_sections", _biquad_sql(3, _butterworth_sql(6, 0.2)))(_filtered("LOWPASS_SOS"))
 query("f33_moving_average", _frame_sql(f"sum(value) OVER ({W} ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) / 20"))(_filtered("MOVING_AVERAGE"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sigspark.functions import burst
 from sigspark.operators import detect, filters, windows
 from sigspark.operators import features as fx
 from sigspark.operators.series import positions
@@ -56,6 +57,14 @@ def g01_series(spark, sf):
     return _burst_out(fx.burst_features(placed, KEYS, ORDER, "i", rate=1000.0), "dev")
 
 
+@query("m02_burst_aggregate", _burst_sql(SIGNAL + f", x AS (SELECT dev, value, row_number() OVER ({W}) - 1 AS i FROM s)", "dev", "value"))
+def m02_aggregate(spark, sf):
+    burst.register(spark)
+    positions(signal(spark, sf), KEYS, ORDER, "i").createOrReplaceTempView("m02_samples")
+    parts = "SELECT dev, burst_partial(i, value) AS part FROM m02_samples GROUP BY dev, i DIV 20"
+    return _burst_out(spark.sql(f"SELECT dev, b.* FROM (SELECT dev, burst_final(burst_merge(part), 1000D) AS b FROM ({parts}) GROUP BY dev)"), "dev")
+
+
 @query("e14_threshold_edges", f"""WITH {FRAGMENTS}, t AS (SELECT frag, i, v >= 0.1 AS above FROM x),
 u AS (SELECT *, above AND NOT coalesce(lag(above) OVER (PARTITION BY frag ORDER BY i), false) AS edge FROM t)
 SELECT frag, min(CASE WHEN above THEN i END) AS first_above, max(CASE WHEN above THEN i END) AS last_above, count(*) FILTER (WHERE edge) AS rising FROM u GROUP BY frag""")

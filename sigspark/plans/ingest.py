@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sigspark.operators import detect, filters
 from sigspark.operators import features as fx
+from sigspark.session import fresh_dir
 from sigspark.plans.registry import FRAGMENTS, SIGNAL, fragments, query, rnd, signal, table
 from sigspark.sources import fragments as fr
 from sigspark.sources import sheets, sinks
@@ -151,6 +152,8 @@ def a17(spark, sf):
     from sigspark.functions.money import to_cents
 
     base = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", to_cents(F.col("o_totalprice")).alias("price"))
-    sheet = sheets.to_sheet(base, _LABELS, ["price"])
-    back = sheets.from_sheet(sheet.withColumn("label", F.col("o_orderstatus")).withColumn("text", F.col("price")), _LABELS, ["price"])
-    return back.select("o_orderkey", "label", "text", F.col("o_orderstatus").alias("code"), F.col("price").alias("cents"))
+    path, schema = fresh_dir(spark, "sheet"), "o_orderkey long, o_orderstatus string, price string"
+    sheets.export_table(base, path, _LABELS, ["price"])
+    shown = spark.read.option("header", True).schema(schema).csv(path).select("o_orderkey", F.col("o_orderstatus").alias("label"), F.col("price").alias("text"))
+    back = sheets.import_table(spark, path, schema, _LABELS, ["price"])
+    return back.join(shown, "o_orderkey").select("o_orderkey", "label", "text", F.col("o_orderstatus").alias("code"), F.col("price").alias("cents"))

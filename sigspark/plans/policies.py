@@ -58,6 +58,31 @@ def l02(spark, sf):
     return rules.match_rules(messages(spark, sf), rule_table(spark)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.min("message_id").alias("first"))
 
 
+_MANY = """SELECT p_partkey AS rule_id, CASE WHEN p_partkey % 5 = 0 THEN p_partkey // 5 % 50 END AS device, CASE WHEN p_partkey % 5 = 1 THEN p_partkey % 4 END AS product,
+ CASE p_partkey % 4 WHEN 0 THEN '>' WHEN 1 THEN '<' WHEN 2 THEN '=' ELSE 'between' END AS op, p_partkey % 1009 / 4.0 AS x, p_size AS w FROM part"""
+
+
+def many_rules(spark, sf):
+    """A rule per part: thresholds, exact values and ranges on the value, for a device, a product or all."""
+    k = F.col("p_partkey")
+    x = (k % 1009) / 4.0
+    op = F.element_at(F.array(*[F.lit(o) for o in (">", "<", "=", "between")]), (k % 4 + 1).cast("int"))
+    far = F.when(op == ">", 300 + x).when(op == "<", x / 100)
+    text = F.when(op == "between", F.concat_ws(", ", x.cast("string"), (x + F.col("p_size") / 1000).cast("string"))).when(op == "=", x.cast("string")).otherwise(far.cast("string"))
+    trigger = F.struct(
+        F.lit("property").alias("type"), F.when(k % 5 == 0, F.floor(k / 5) % 50).alias("device_id"), F.when(k % 5 == 1, k % 4).alias("product_id"), F.lit("value").alias("identifier"),
+        op.alias("operator"), text.alias("value"), F.lit(None).cast("array<array<struct<type:string,identifier:string,operator:string,param:string>>>").alias("groups"))
+    return table(spark, sf, "part").select(k.alias("rule_id"), F.array(trigger).alias("triggers"), F.array(F.struct(F.lit("alert").alias("kind"), k.alias("target"))).alias("actions"))
+
+
+@query("c05_many_rules", f"""WITH {MSG}, r AS ({_MANY}) SELECT rule_id, count(*) AS n, min(message_id) AS first FROM r JOIN m ON m.method = 'thing.property.post'
+ AND (device IS NULL OR device = device_id) AND (product IS NULL OR product = product_id)
+ AND CASE op WHEN '>' THEN value > 300 + x WHEN '<' THEN value < x / 100 WHEN '=' THEN value = x ELSE value BETWEEN x AND x + w / 1000 END GROUP BY 1""")
+def c05_many(spark, sf):
+    m = messages(spark, sf).withColumn("identifier", F.lit("value"))
+    return rules.match_rules(m, many_rules(spark, sf)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.min("message_id").alias("first"))
+
+
 @query("l03_scene_actions", f"WITH {HITS}, a AS (SELECT * FROM (VALUES (1, 'alert', 11), (1, 'device', 12), (2, 'alert', 21), (3, 'notify', 31), (4, 'notify', 41)) t(rule_id, kind, target)) SELECT message_id, rule_id, kind, target FROM h JOIN a USING (rule_id)")
 def l03(spark, sf):
     r = rule_table(spark)

@@ -30,29 +30,32 @@ def folder(spark) -> str:
     return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def arriving(spark, df, parts):
-    """A stream of one file group per condition of ``parts``, in that order, a file per micro-batch."""
-    path = f"{folder(spark)}/in"
-    for part in parts:
-        df.filter(part).coalesce(1).write.mode("append").parquet(path)
-    return read_fragments_stream(spark, "parquet", path, df.schema, {"maxFilesPerTrigger": "1"})
+def fed(spark, df, part, n, job):
+    """What a stream job gives when the rows of part 0, 1, ... ``n`` - 1 (null: 0) arrive one after another.
 
+    Each part is written with its own partitions; the job runs to the end of what is there and goes on from its checkpoint."""
+    base = folder(spark)
+    number = F.coalesce(part, F.lit(0))
+    for i in range(n):
+        df.filter(number == i).write.mode("append").parquet(f"{base}/in")
+        out = jobs.drain(spark, job(read_fragments_stream(spark, "parquet", f"{base}/in", df.schema)), base)
+    return out
 
-def by_time(spark, sf):
-    """The signal in three files of rising time."""
-    s = signal(spark, sf)
-    low, high = s.agg(F.min("us"), F.max("us")).first()
-    a, b = low + (high - low) // 3, low + 2 * (high - low) // 3
-    us = F.col("us")
-    return arriving(spark, s, [us <= a, (us > a) & (us <= b), us > b])
+
+def thirds(df, time):
+    """Number of the third of the table's time span that a row lies in; rows without a time are in the first."""
+    low, high = df.agg(F.min(time), F.max(time)).first()
+    span = max(1, -(-(high - low + 1) // 3)) if low is not None else 1
+    return F.least(F.floor((F.col(time) - F.lit(low or 0)) / span), F.lit(2))
 
 
 @query("k02_keyed_filter", f"""WITH RECURSIVE {NUMBERED}, f AS (SELECT dev, i, id, value, value AS y, 1.0::DOUBLE AS p FROM n WHERE i = 0
  UNION ALL SELECT n.dev, n.i, n.id, n.value, f.y + (f.p + 1e-5) / (f.p + 1e-5 + 0.1) * (n.value - f.y), (1 - (f.p + 1e-5) / (f.p + 1e-5 + 0.1)) * (f.p + 1e-5) FROM f JOIN n ON n.dev = f.dev AND n.i = f.i + 1)
 SELECT id, round(y, 6) + 0.0 AS filtered FROM f""")
 def k02(spark, sf):
-    out = stateful.filter_stream(by_time(spark, sf), "KALMAN", ["dev"], ["us", "id"])
-    return jobs.drain(spark, out, folder(spark)).select("id", rnd("filtered").alias("filtered"))
+    s = signal(spark, sf)
+    done = fed(spark, s, thirds(s, "us"), 3, lambda df: stateful.filter_stream(df, "KALMAN", ["dev"], ["us", "id"], span=DAY))
+    return done.select("id", rnd("filtered").alias("filtered"))
 
 
 @query("k03_sliding_window", """SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 2 HOUR, ts), time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL 2 HOUR]) AS s FROM events) GROUP BY 1, 2""")
@@ -71,23 +74,23 @@ def k04(spark, sf):
 
 @query("k05_trailing_window", f"""WITH {SIGNAL} SELECT id, round(avg(value * value) OVER w + 1.3e-6, 4) AS raw_power, count(*) OVER w AS n, row_number() OVER (PARTITION BY dev ORDER BY us) AS processed FROM s WINDOW w AS (PARTITION BY dev ORDER BY us RANGE BETWEEN {3 * DAY} PRECEDING AND CURRENT ROW)""")
 def k05(spark, sf):
-    df = by_time(spark, sf).withColumn("filtered", F.col("value"))
-    done = jobs.drain(spark, stateful.trailing_stream(df, ["dev"], "us", 3 * DAY), folder(spark))
+    s = signal(spark, sf).withColumn("filtered", F.col("value"))
+    done = fed(spark, s, thirds(s, "us"), 3, lambda df: stateful.trailing_stream(df, ["dev"], "us", 3 * DAY))
     return done.select("id", rnd(F.col("raw_power") + 1.3e-6, 4).alias("raw_power"), "n", "processed")
 
 
 @query("k06_reorder", "SELECT conv_id, turn AS seq, md5(text) AS digest, 0::BIGINT AS skipped FROM conversations")
 def k06(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("seq"), F.col("text").alias("body"))
-    mixed = arriving(spark, c, ["seq % 2 = 1", "seq % 4 = 2", "seq % 4 = 0"])
-    done = jobs.drain(spark, stateful.reorder_stream(mixed, ["conv_id"], "seq", "body", wait_ms=3_600_000, timer=False), folder(spark))
+    part = F.when(F.col("seq") % 2 == 1, 0).when(F.col("seq") % 4 == 2, 1).otherwise(2)
+    done = fed(spark, c, part, 3, lambda df: stateful.reorder_stream(df, ["conv_id"], "seq", "body", wait_ms=3_600_000, timer=False))
     return done.select("conv_id", "seq", F.md5("body").alias("digest"), "skipped")
 
 
 @query("k07_late_rows", f"WITH {SIGNAL}, t AS (SELECT dev, max((us, id)) AS newest FROM s WHERE id % 10 <> 0 GROUP BY dev) SELECT id FROM s LEFT JOIN t USING (dev) WHERE id % 10 <> 0 OR newest IS NULL OR (us, id) > newest")
 def k07(spark, sf):
-    late = arriving(spark, signal(spark, sf), ["id % 10 <> 0", "id % 10 = 0"])
-    return jobs.drain(spark, stateful.filter_stream(late, "IIR", ["dev"], ["us", "id"]), folder(spark)).select("id")
+    part = (F.col("id") % 10 == 0).cast("int")
+    return fed(spark, signal(spark, sf), part, 2, lambda df: stateful.filter_stream(df, "IIR", ["dev"], ["us", "id"], span=DAY)).select("id")
 
 
 @query("k08_side_outputs", "SELECT event_id, 'main' AS sink FROM events UNION ALL SELECT event_id, 'anomaly' FROM events WHERE value > 150 UNION ALL SELECT event_id, 'error' FROM events WHERE event_type = 'error'")
@@ -105,10 +108,21 @@ f AS (SELECT dev, ch, i, id, us, us AS st FROM n WHERE i = 0
   UNION ALL SELECT n.dev, n.ch, n.i, n.id, n.us, CASE WHEN n.us - f.st >= {3 * DAY} THEN n.us ELSE f.st END FROM f JOIN n ON n.dev = f.dev AND n.ch = f.ch AND n.i = f.i + 1)
 SELECT id, dev, ch FROM f WHERE st = us""")
 def k11(spark, sf):
-    done = jobs.drain(spark, stateful.throttle_stream(by_time(spark, sf), ["dev", "ch"], "us", 3 * DAY), folder(spark))
+    s = signal(spark, sf)
+    done = fed(spark, s, thirds(s, "us"), 3, lambda df: stateful.throttle_stream(df, ["dev", "ch"], "us", 3 * DAY))
     return done.select("id", "dev", "ch")
 
 
+@query("k13_offline_stream", """WITH e AS (SELECT DISTINCT user_id AS device_id, ts FROM events), g AS (SELECT *, lead(ts) OVER (PARTITION BY device_id ORDER BY ts) AS later FROM e)
+SELECT device_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS last_report FROM g WHERE coalesce(later, (SELECT max(ts) FROM events)) > ts + INTERVAL 900 MINUTE""")
+def k13_stream(spark, sf):
+    """Silences that a later report ended and those that the last watermark has found."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("device_id"), F.col("ts").cast("timestamp").alias("report_time"))
+    us = e.withColumn("us", F.unix_micros("report_time"))
+    done = fed(spark, us, thirds(us, "us"), 3, lambda df: stateful.offline_stream(df, ["device_id"], "report_time", 36_000, 1.5))
+    return done.select("device_id", F.date_format("last_report", "yyyy-MM-dd HH:mm:ss").alias("last_report")).distinct()
+
+
 @query("k12_live_parameters", "SELECT event_id, value > CASE event_type WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 50 ELSE 20 END WHEN 'click' THEN 100 END AS anomaly FROM events")
 def k12(spark, sf):
     base = folder(spark)

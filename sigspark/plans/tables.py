@@ -250,6 +250,20 @@ def c13_filtered(spark, sf):
     return out.select("query_id", "segment_id", "place", rnd("score").alias("score"))
 
 
+@query("c13_second_pass", f"""WITH {FRAGMENTS}, c AS (SELECT e.label AS query_id, x.i, avg(x.v) AS q FROM x JOIN e ON e.frag = x.frag GROUP BY 1, 2),
+d AS (SELECT c.query_id, x.frag AS segment_id, sum(q * v) / sqrt(sum(q * q)) / sqrt(sum(v * v)) AS score FROM c JOIN x ON x.i = c.i GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_id) AS place FROM d), r AS (SELECT query_id, segment_id, score - 0.1 * (segment_id % 7) AS score FROM k WHERE place <= 20),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_id) AS place FROM r) SELECT query_id, segment_id, place, round(score, 6) AS score FROM p WHERE place <= 5""")
+def c13_second(spark, sf):
+    """Four times as many candidates as asked for, scored again by another measure."""
+    seg = fragments(spark, sf)
+    means = seg.select("label", F.posexplode("samples").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("v"))
+    q = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("vector")).select(F.col("label").cast("long").alias("query_id"), "vector")
+    again = lambda found: found.withColumn("score", F.col("score") - 0.1 * (F.col("segment_id") % 7))
+    out = joins.vector_topk(q, seg.select(F.col("frag").alias("segment_id"), F.col("samples").alias("vector")), 5, -1.0, factor=4, second=again)
+    return out.select("query_id", "segment_id", "place", rnd("score").alias("score"))
+
+
 # ---- D1-D8: generic aggregates --------------------------------------------------------------
 
 
@@ -410,7 +424,7 @@ def _ranges(unit: str):
     return run
 
 
-for _unit, _step in (("day", "1 DAY"), ("week", "7 DAY"), ("month", "1 MONTH"), ("quarter", "3 MONTH"), ("year", "1 YEAR")):
+for _unit, _step in (("hour", "1 HOUR"), ("day", "1 DAY"), ("week", "7 DAY"), ("month", "1 MONTH"), ("quarter", "3 MONTH"), ("year", "1 YEAR")):
     query(f"j02_ranges_{_unit}", _ranges_sql(_unit, _step))(_ranges(_unit))
 
 

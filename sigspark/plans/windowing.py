@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigspark.operators import filters, windows
+from sigspark.operators.aggregates import exact_percentile
 from sigspark.operators.restart import restart_windows
+from sigspark.operators.series import running
 from sigspark.plans.registry import NUMBERED, SIGNAL, query, rnd, signal, table
 
 KEYS, ORDER = ["dev"], ["us", "id"]
@@ -138,3 +140,47 @@ SELECT id, dev, ch FROM f WHERE st = us""")
 def k11(spark, sf):
     out = restart_windows(signal(spark, sf), ["dev", "ch"], ORDER, 3 * DAY, closed=True)
     return out.filter(F.col("window_start") == F.col("us")).select("id", "dev", "ch")
+
+
+# ---- one key that holds every row -----------------------------------------------------------
+
+ONE = "q AS (SELECT 0 AS dev, epoch_us(l_shipdate) AS us, l_orderkey AS o, l_linenumber AS ln, l_partkey AS p, l_suppkey AS sk, l_quantity AS value FROM lineitem)"
+ONE_ORDER = ["us", "o", "ln", "p", "sk"]
+_ONE_W = "ORDER BY us, o, ln, p, sk"
+_ONE_ID = ["o", "ln", "p", "sk"]
+
+
+def one_key(spark, sf):
+    us = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
+    return table(spark, sf, "lineitem").select(
+        F.lit(0).alias("dev"), us.alias("us"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("p"),
+        F.col("l_suppkey").alias("sk"), F.col("l_quantity").alias("value"))
+
+
+@query("f01_mean_one_key", f"WITH {ONE} SELECT o, ln, p, sk, round(avg(value) OVER ({_ONE_W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS filtered FROM q")
+def f01_one(spark, sf):
+    return filters.apply_filter(one_key(spark, sf), "MEAN", ["dev"], ONE_ORDER).select(*_ONE_ID, rnd("filtered").alias("filtered"))
+
+
+@query("f05_iir_one_key", f"""WITH {ONE} SELECT o, ln, p, sk, round(list_reduce(list(value) OVER ({_ONE_W} ROWS BETWEEN 300 PRECEDING AND CURRENT ROW), lambda a, x: 0.9 * a + 0.1 * x) + 1.3e-9, 6) AS filtered FROM q""")
+def f05_one(spark, sf):
+    """After 300 samples the start weighs less than 1e-13."""
+    return filters.apply_filter(one_key(spark, sf), "IIR", ["dev"], ONE_ORDER).select(*_ONE_ID, rnd(F.col("filtered") + 1.3e-9).alias("filtered"))
+
+
+@query("e01_trailing_power_one_key", f"WITH {ONE} SELECT o, ln, p, sk, round(avg(value * value) OVER (ORDER BY us RANGE BETWEEN {30 * DAY} PRECEDING AND CURRENT ROW), 4) AS raw_power, count(*) OVER (ORDER BY us RANGE BETWEEN {30 * DAY} PRECEDING AND CURRENT ROW) AS n FROM q")
+def e01_one(spark, sf):
+    out = windows.trailing_power(one_key(spark, sf).withColumn("filtered", F.lit(0.0)), ["dev"], "us", 30 * DAY)
+    return out.select(*_ONE_ID, rnd("raw_power", 4).alias("raw_power"), "n")
+
+
+@query("e06_running_one_key", f"WITH {ONE} SELECT o, ln, p, sk, row_number() OVER w AS processed, sum(value) OVER w AS total FROM q WINDOW w AS ({_ONE_W} ROWS UNBOUNDED PRECEDING)")
+def e06_one(spark, sf):
+    return running(one_key(spark, sf), ["dev"], ONE_ORDER, processed=("count", F.lit(1)), total=("sum", "value")).select(*_ONE_ID, "processed", "total")
+
+
+@query("d06_percentile_one_key", f"""WITH {ONE}, n AS (SELECT value, row_number() OVER (ORDER BY value) AS i, count(*) OVER () AS n FROM q), a AS (SELECT *, 0.95 * (n + 1) AS spot FROM n),
+b AS (SELECT max(CASE WHEN i = floor(spot) THEN value END) AS lo, max(CASE WHEN i = floor(spot) + 1 THEN value END) AS hi, max(spot - floor(spot)) AS f FROM a) SELECT 0 AS dev, round(lo + f * (hi - lo), 6) AS percentile FROM b""")
+def d06_one(spark, sf):
+    out = exact_percentile(one_key(spark, sf), ["dev"], "value", 95.0, ONE_ORDER)
+    return out.select("dev", rnd("percentile").alias("percentile"))

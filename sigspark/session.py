@@ -9,7 +9,6 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-MAX_GROUP_ROWS = "sigspark.maxGroupRows"
 _SHIPPED: set[str] = set()                                     # applications whose workers have the package
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -38,11 +37,6 @@ def local_session(cpus: str | int = "*", app: str = "sigspark", **conf: str) ->
     return spark
 
 
-def max_group_rows(spark: SparkSession) -> int:
-    """Rows of one key that a single task may hold before the key is sliced."""
-    return int(spark.conf.get(MAX_GROUP_ROWS, "2000000"))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints, else one beside the tables of the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -54,6 +48,13 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder or file is there, in whatever store."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()).exists(at)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers, once per application, so that jobs run from any working folder."""
     sc = spark.sparkContext
@@ -73,6 +74,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def written(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """The rows written to the shared folder, a folder for each value of ``by``, and read again: cuts the lineage and survives
+    lost executors."""
+    path = fresh_dir(df.sparkSession, label)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark.operators.features import array_mean, minus, rms
-from sigspark.operators.joins import hinted
 
 TAGS = ("device_id", "channel_id")
 
@@ -114,18 +113,23 @@ def build_anomaly_record(df: DataFrame, findings: str = "findings", algorithm: s
 
 
 def route_to_sinks(msgs: DataFrame, rules: DataFrame, sinks: DataFrame) -> DataFrame:
-    """(message, sink) pairs for every rule whose method, device (null = all) and identifier (empty = any) fit.
+    """(message, sink) pairs for every rule whose method, device (null = all) and identifier (empty = any) fit, once per message row.
 
-    ``rules``: method, device_id, identifier, sink_ids; ``sinks``: sink_id, kind, enabled. The join is
-    an equi-join on the method; rule tables within the row bound are broadcast.
+    ``rules``: method, device_id, identifier, sink_ids; ``sinks``: sink_id, kind, enabled. The live sinks of all rules of the same
+    method, device and identifier are one row, so a message meets at most four of them by equality.
     """
-    r = rules.select("method", F.col("device_id").alias("__d"), F.col("identifier").alias("__i"), F.col("sink_ids"))
-    fits = (F.col("__d").isNull() | (F.col("__d") == F.col("device_id"))) & (
-        F.col("__i").isNull() | (F.col("__i") == "") | (F.col("__i") == F.col("identifier")))
-    hit = msgs.join(hinted(r), "method").filter(fits).drop("__d", "__i")
-    live = sinks.filter("enabled").select("sink_id", "kind")
-    spread = hit.withColumn("sink_id", F.explode("sink_ids")).drop("sink_ids")
-    return spread.join(hinted(live), "sink_id").distinct()
+    live = F.struct(F.col("sink_id").alias("sink_id"), F.col("kind").alias("kind"))
+    flat = rules.select("method", "device_id", F.coalesce("identifier", F.lit("")).alias("identifier"), F.explode("sink_ids").alias("sink_id"))
+    open_ = flat.join(sinks.filter("enabled").select("sink_id", "kind"), "sink_id")
+    out, found = msgs, []
+    for device in (True, False):
+        for named in (True, False):
+            own = open_.filter((F.col("device_id").isNotNull() if device else F.col("device_id").isNull()) & ((F.col("identifier") != "") if named else (F.col("identifier") == "")))
+            keys = ["method", *(["device_id"] if device else []), *(["identifier"] if named else [])]
+            found.append(f"__sinks{len(found)}")
+            out = out.join(own.groupBy(*keys).agg(F.collect_set(live).alias(found[-1])), keys, "left")
+    every = F.flatten(F.array_compact(F.array(*found)))
+    return out.withColumn("__s", F.explode(F.array_distinct(every))).select(*msgs.columns, "__s.sink_id", "__s.kind")
 
 
 def write_routed(df: DataFrame, writers: dict[str, Callable[[DataFrame], None]]) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sigspark.operators import features as fx
 from sigspark.operators import filters
+from sigspark.session import exists
 from sigspark.sources import fragments as fr
 from sigspark.sources import sinks
 
@@ -101,6 +102,8 @@ def drain(spark: SparkSession, df: DataFrame, folder: str, mode: str = "append")
     """
     path = f"{folder}/out"
     start(df, f"{folder}/checkpoint", to_parquet(path), None, mode).awaitTermination()
+    if not exists(spark, path):                             # no batch had rows
+        return spark.createDataFrame([], df.schema)
     out = spark.read.parquet(path)
     if mode == "complete":
         out = out.filter(F.col("batch_id") == F.lit(out.agg(F.max("batch_id")).first()[0]))

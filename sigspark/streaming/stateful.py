@@ -1,35 +1,73 @@
 """Keyed state on streams: the same filters and windows as in batch, kept alive between micro-batches.
 
-Rows of one key inside a micro-batch are put in order before they are used; rows at or before the
-last order already processed are dropped and counted. An order may be several columns, so that samples
-of one instant stay apart. How many rows a key can bring per
-batch is bounded by the source options (``maxOffsetsPerTrigger``, ``maxFilesPerTrigger``).
+Every operator is a state processor with value, list and map state and timers (RocksDB state store). The rows of a key
+inside a micro-batch come frame by frame and in any order, so they are first laid into a map state by span of their order (``span``
+units each), then taken out span by span in ascending order: memory holds one span of a key, whatever the batch
+brings. Rows at or before the last order already processed are dropped and counted. An order may be several
+columns, so that samples of one instant stay apart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import time
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sigspark.operators.filters import REGISTRY
 from sigspark.operators.scan import Fold, Scan, run_block
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def with_event_time(df: DataFrame, time: str, delay: str | None = "0 seconds") -> DataFrame:
     """Watermark for a stream whose time never runs backwards by more than ``delay``; None for no watermark."""
     return df if delay is None else df.withWatermark(time, delay)
 
 
-def _gather(frames: Iterable[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
-    return pd.concat(list(frames), ignore_index=True).sort_values(list(order), kind="stable")
+def transform(df: DataFrame, keys: Sequence[str], processor: StatefulProcessor, out: T.StructType, time: str = "None") -> DataFrame:
+    """Run a state processor over the keys of a stream (``time``: None, ProcessingTime or EventTime for its timers)."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return df.groupBy(*keys).transformWithStateInPandas(processor, out, "Append", time)
+
+
+class Spans:
+    """Rows of a key that wait in a map state, by span of their first order column; a span of many rows has several pages."""
+
+    def __init__(self, handle: StatefulProcessorHandle, schema: T.StructType, order: Sequence[str], span: int) -> None:
+        self.names, self.order, self.span = schema.names, list(order), span
+        self.pages = handle.getMapState("pages", "span long, page int", T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in schema.fields]))
+        self.known = handle.getMapState("known", "span long", "pages int")
+
+    def put(self, rows: pd.DataFrame) -> None:
+        for span, part in rows.groupby(rows[self.order[0]].to_numpy(dtype=np.int64) // self.span):
+            n = self.known.getValue((int(span),))[0] if self.known.containsKey((int(span),)) else 0
+            self.pages.updateValue((int(span), n), tuple([plain(v) for v in part[c].tolist()] for c in self.names))
+            self.known.updateValue((int(span),), (n + 1,))
+
+    def take(self) -> Iterator[pd.DataFrame]:
+        """Span by span in ascending order, sorted; what is taken leaves the state."""
+        spans = sorted((k[0], v[0]) for k, v in self.known.iterator())
+        for span, n in spans:
+            parts = [pd.DataFrame(dict(zip(self.names, self.pages.getValue((span, i))))) for i in range(n)]
+            for i in range(n):
+                self.pages.removeKey((span, i))
+            self.known.removeKey((span,))
+            yield pd.concat(parts, ignore_index=True).sort_values(self.order, kind="stable", ignore_index=True)
+
+
+def plain(v):
+    """A value as state takes it."""
+    if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+        return None if not isinstance(v, float) else v
+    return v.to_pydatetime() if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") else v
 
 
-def _fresh_rows(pdf: pd.DataFrame, order: Sequence[str], last: Sequence[int] | None) -> tuple[pd.DataFrame, int]:
+def fresh_rows(pdf: pd.DataFrame, order: Sequence[str], last: Sequence[int] | None) -> tuple[pd.DataFrame, int]:
     """Of sorted rows those after ``last``, the first of each order, and how many were dropped."""
     after = np.full(len(pdf), last is None)
     level = ~after                                             # equal to ``last`` so far
@@ -41,101 +79,214 @@ def _fresh_rows(pdf: pd.DataFrame, order: Sequence[str], last: Sequence[int] | N
     return pdf[keep], int((~keep).sum())
 
 
+class FilterProcessor(StatefulProcessor):
+    """One filter state per key; null orders are dropped and counted as late."""
+
+    def __init__(self, name: str, params: dict, schema: T.StructType, order: Sequence[str], value: str, span: int) -> None:
+        self.name, self.params, self.schema, self.order, self.value, self.span = name, params, schema, list(order), value, span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.filter = REGISTRY[self.name](**self.params)
+        self.taps = self.params.get("order", 8) if "taps" in self.filter.inputs else 0
+        self.state = handle.getValueState("state", "s array<double>, tail array<double>, pos long, last array<long>, dropped long")
+        self.spans = Spans(handle, self.schema, self.order, self.span)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        s, tail, pos, last, dropped = self.state.get() if self.state.exists() else ([], [], 0, None, 0)
+        for frame in rows:
+            whole = frame[self.order].notna().all(axis=1)
+            dropped += int((~whole).sum())
+            self.spans.put(frame[whole])
+        for part in self.spans.take():
+            pdf, late = fresh_rows(part, self.order, last)
+            dropped += late
+            if len(pdf):
+                s, tail, y = self.run(key, pdf, list(s), list(tail), pos)
+                v = pdf[self.value].to_numpy(dtype=float)
+                pos, last = pos + len(v), [int(x) for x in pdf[self.order].iloc[-1]]
+                yield pdf.assign(filtered=y, residual=v - y, dropped=dropped)
+        self.state.update((list(s), list(tail), pos, last, dropped))
+
+    def run(self, key, pdf: pd.DataFrame, s: list, tail: list, pos: int) -> tuple[list, list, np.ndarray]:
+        v, chosen = pdf[self.value].to_numpy(dtype=float), self.filter
+        cols = {"value": v, "pos": pos + np.arange(len(v))}
+        for c in chosen.inputs:
+            if c not in ("value", "taps"):
+                cols[c] = pdf[c].to_numpy(dtype=float)
+        if self.taps:
+            padded = np.concatenate([np.zeros(self.taps - 1 - len(tail)), tail, v])
+            cols["taps"] = np.lib.stride_tricks.sliding_window_view(padded, self.taps)[:, ::-1]
+            tail = padded[-(self.taps - 1):].tolist()
+        if isinstance(chosen, Scan):
+            start = np.array(s, dtype=float) if len(s) else np.zeros(chosen.maps.dim)
+            prev, cur, _ = run_block(chosen, cols, cols["pos"] == 0, start)
+            return cur[-1].tolist(), tail, chosen.emit(prev, cur, cols)["filtered"]
+        y = np.empty(len(v))
+        s = s if len(s) else chosen.initial(key)
+        for i, row in enumerate(zip(*[cols[c] for c in chosen.inputs])):
+            s, result = chosen.step(s, row, pos + i)
+            y[i] = result[0]
+        return [float(x) for x in s], tail, y
+
+    def close(self) -> None:
+        pass
+
+
 def filter_stream(
-    df: DataFrame, name: str, keys: Sequence[str], order: str | Sequence[str], value: str = "value", **params,
+    df: DataFrame, name: str, keys: Sequence[str], order: str | Sequence[str], value: str = "value", span: int = 3_600_000_000, **params,
 ) -> DataFrame:
     """Run a registered filter with one state per key that survives micro-batches.
 
     Adds ``filtered``, ``residual`` and ``dropped`` (late rows of the key so far). ``order`` is one
-    integer column, or several, that together rise within a key.
+    integer column, or several, that together rise within a key; ``span``: units of the first one that are held at a time.
     """
     order = [order] if isinstance(order, str) else list(order)
-    chosen = REGISTRY[name.upper()](**params)
-    if not isinstance(chosen, (Scan, Fold)):
+    if not isinstance(REGISTRY[name.upper()](**params), (Scan, Fold)):
         raise ValueError(f"{name} is a window filter; run it with trailing_stream or in batch")
-    taps = params.get("order", 8) if "taps" in chosen.inputs else 0
     out = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("filtered", "residual")], T.StructField("dropped", T.LongType())])
-    state = "s array<double>, tail array<double>, pos long, last array<long>, dropped long"
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        s, tail, pos, last, dropped = held.get if held.exists else ([], [], 0, None, 0)
-        pdf, late = _fresh_rows(_gather(frames, order), order, last)
-        dropped += late
-        if len(pdf):
-            v = pdf[value].to_numpy(dtype=float)
-            cols = {"value": v, "pos": pos + np.arange(len(v))}
-            for c in chosen.inputs:
-                if c not in ("value", "taps"):
-                    cols[c] = pdf[c].to_numpy(dtype=float)
-            if taps:
-                padded = np.concatenate([np.zeros(taps - 1 - len(tail)), tail, v])
-                cols["taps"] = np.lib.stride_tricks.sliding_window_view(padded, taps)[:, ::-1]
-                tail = padded[-(taps - 1):].tolist()
-            if isinstance(chosen, Scan):
-                start = np.array(s, dtype=float) if len(s) else np.zeros(chosen.maps.dim)
-                prev, cur, _ = run_block(chosen, cols, cols["pos"] == 0, start)
-                y = chosen.emit(prev, cur, cols)["filtered"]
-                s = cur[-1].tolist()
-            else:
-                y = np.empty(len(v))
-                s = list(s) if len(s) else chosen.initial(key)
-                for i, row in enumerate(zip(*[cols[c] for c in chosen.inputs])):
-                    s, result = chosen.step(s, row, pos + i)
-                    y[i] = result[0]
-            pos, last = pos + len(v), [int(x) for x in pdf[order].iloc[-1]]
-            yield pdf.assign(filtered=y, residual=v - y, dropped=dropped)
-        held.update((s, tail, pos, last, dropped))
-
-    return df.groupBy(*keys).applyInPandasWithState(advance, out, state, "append", GroupStateTimeout.NoTimeout)
+    return transform(df, keys, FilterProcessor(name.upper(), params, df.schema, order, value, span), out)
+
+
+class TrailingProcessor(StatefulProcessor):
+    """Powers over ``[t - width, t]`` from tiles of the width: the sums of the own tile up to t, and of the tile before from t - width on.
+
+    The samples wait in a list of small pages per tile (map state); tiles that no frame reaches any more are evicted.
+    """
+
+    def __init__(self, schema: T.StructType, order: str, width: int, value: str, filtered: str) -> None:
+        self.schema, self.order, self.width, self.value, self.filtered = schema, order, int(width), value, filtered
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.size = max(self.width, 1)
+        self.done = handle.getValueState("done", "newest long, processed long, dropped long, tile long")
+        self.pages = handle.getMapState("tiles", "tile long, page int", "t array<long>, raw array<double>, smooth array<double>")
+        self.sizes = handle.getMapState("sizes", "tile long", "pages int")
+        self.spans = Spans(handle, self.schema, [self.order], self.size)
+
+    def held(self, tile: int) -> list[np.ndarray]:
+        n = self.sizes.getValue((tile,))[0] if self.sizes.containsKey((tile,)) else 0
+        parts = [self.pages.getValue((tile, i)) for i in range(n)]
+        return [np.array([x for p in parts for x in p[c]], dtype=k) for c, k in enumerate((np.int64, float, float))]
+
+    def keep(self, tile: int, t: np.ndarray, raw: np.ndarray, smooth: np.ndarray) -> None:
+        n = self.sizes.getValue((tile,))[0] if self.sizes.containsKey((tile,)) else 0
+        self.pages.updateValue((tile, n), (t.tolist(), raw.tolist(), smooth.tolist()))
+        self.sizes.updateValue((tile,), (n + 1,))
+
+    def evict(self, below: int) -> None:
+        for (tile,), (n,) in list(self.sizes.iterator()):
+            if tile < below:
+                for i in range(n):
+                    self.pages.removeKey((tile, i))
+                self.sizes.removeKey((tile,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        newest, processed, dropped, _ = self.done.get() if self.done.exists() else (None, 0, 0, 0)
+        before = newest                                        # rows of one instant may come in several frames, not in several batches
+        for frame in rows:
+            known = frame[self.order].notna()
+            known &= (frame[self.order] >= before) if before is not None else True
+            dropped += int((~known).sum())
+            self.spans.put(frame[known])
+        for pdf in self.spans.take():
+            t = pdf[self.order].to_numpy(dtype=np.int64)
+            tile = int(t[0] // self.size)
+            own, old = self.held(tile), self.held(tile - 1)
+            new = [t, pdf[self.value].to_numpy(dtype=float), pdf[self.filtered].to_numpy(dtype=float)]
+            whole = [np.concatenate([a, b]) for a, b in zip(own, new)]
+            ends = np.searchsorted(whole[0], t, side="right")          # rows of one instant are peers
+            low = np.searchsorted(old[0], t - self.width, side="left")
+
+            def mean(f) -> np.ndarray:
+                upto = np.concatenate([[0.0], np.cumsum(f(*whole[1:]))])
+                since = np.concatenate([np.cumsum(f(*old[1:])[::-1])[::-1], [0.0]])
+                return (upto[ends] + since[low]) / n
+
+            n = ends + len(old[0]) - low
+            yield pdf.assign(
+                raw_power=mean(lambda r, s: r * r), filtered_power=mean(lambda r, s: s * s), residual_power=mean(lambda r, s: (r - s) ** 2),
+                n=n, processed=processed + 1 + np.arange(len(t)), dropped=dropped)
+            self.keep(tile, *new)
+            self.evict(tile - 1)
+            processed, newest = processed + len(t), int(t[-1])
+        self.done.update((newest, processed, dropped, 0))
+
+    def close(self) -> None:
+        pass
 
 
 def trailing_stream(df: DataFrame, keys: Sequence[str], order: str, width: int, value: str = "value", filtered: str = "filtered") -> DataFrame:
-    """Mean powers over ``[t - width, t]`` and the running row count, from a buffer of the window's rows.
+    """Mean powers over ``[t - width, t]`` and the running row count, nothing subtracted.
 
     Rows older than the newest one of an earlier batch are dropped and counted (``dropped``, of the key so far).
-    Sums are differences of running sums over the buffer, so the work does not grow with the width.
     """
     out = T.StructType([
         *df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("raw_power", "filtered_power", "residual_power")],
         T.StructField("n", T.LongType()), T.StructField("processed", T.LongType()), T.StructField("dropped", T.LongType())])
-    state = "ts array<long>, raw array<double>, smooth array<double>, processed long, dropped long"
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        ts, raw, smooth, done, dropped = held.get if held.exists else ([], [], [], 0, 0)
-        pdf = _gather(frames, [order])
-        late = (pdf[order] < ts[-1]).to_numpy() if len(ts) else np.zeros(len(pdf), bool)
-        pdf, dropped = pdf[~late], dropped + int(late.sum())
-        if not len(pdf):
-            held.update((ts, raw, smooth, done, dropped))
-            return
-        t = np.concatenate([np.array(ts, dtype=np.int64), pdf[order].to_numpy(dtype=np.int64)])
-        r = np.concatenate([np.array(raw, dtype=float), pdf[value].to_numpy(dtype=float)])
-        f = np.concatenate([np.array(smooth, dtype=float), pdf[filtered].to_numpy(dtype=float)])
-        at = np.arange(len(ts), len(t))
-        low = np.searchsorted(t, t[at] - width, side="left")
-
-        ends = np.searchsorted(t, t[at], side="right")         # rows of one instant are peers
-
-        def mean(x: np.ndarray) -> np.ndarray:
-            upto = np.concatenate([[0.0], np.cumsum(x)])
-            return (upto[ends] - upto[low]) / (ends - low)
-
-        yield pdf.assign(
-            raw_power=mean(r * r), filtered_power=mean(f * f), residual_power=mean((r - f) ** 2),
-            n=ends - low, processed=done + 1 + np.arange(len(at)), dropped=dropped)
-        keep = t >= t[-1] - width
-        held.update((t[keep].tolist(), r[keep].tolist(), f[keep].tolist(), done + len(at), dropped))
-
-    return df.groupBy(*keys).applyInPandasWithState(advance, out, state, "append", GroupStateTimeout.NoTimeout)
-
-
-def releasable(seqs: np.ndarray, due: int, overdue: bool, most: int | None = None) -> int:
-    """How many of the ascending, distinct numbers may go out: the run from ``due`` on; all once the wait is over; and,
-    with ``most``, so many that half of ``most`` stay when more are held."""
-    if overdue:
-        return len(seqs)
-    run = int(np.logical_and.accumulate(seqs == due + np.arange(len(seqs))).sum())
-    return run if most is None or len(seqs) - run <= most else len(seqs) - most // 2
+    return transform(df, keys, TrailingProcessor(df.schema, order, width, value, filtered), out)
+
+
+class ReorderProcessor(StatefulProcessor):
+    """Rows wait in a map state by number; a timer per open gap lets the rows behind it go."""
+
+    def __init__(self, keys: Sequence[str], seq: str, body: str, wait_ms: int, most: int | None, timer: bool) -> None:
+        self.keys, self.seq, self.body, self.wait_ms, self.most, self.timer = list(keys), seq, body, wait_ms, most, timer
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "seq long", "body string")
+        self.state = handle.getValueState("state", "due long, held long, moved_ms long, skipped long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs() if self.timer else int(time.time() * 1000)
+        due, held, moved, skipped = self.state.get() if self.state.exists() else (0, 0, now, 0)
+        for frame in rows:
+            for s, b in zip(frame[self.seq].tolist(), frame[self.body].tolist()):
+                if s is None or s != s or s < due:
+                    skipped += 1
+                    continue
+                held += not self.waiting.containsKey((int(s),))
+                self.waiting.updateValue((int(s),), (b,))          # of equal numbers the newest stays
+        yield from self.release(key, due, held, moved, skipped, now, now - moved > self.wait_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        due, held, moved, skipped = self.state.get()
+        yield from self.release(key, due, held, moved, skipped, now, now - moved > self.wait_ms)
+
+    def release(self, key, due: int, held: int, moved: int, skipped: int, now: int, overdue: bool) -> Iterator[pd.DataFrame]:
+        """The run from ``due`` on; all once the wait is over; with ``most`` so many that half of ``most`` stay when more are held."""
+        out: list[tuple[int, str]] = []
+
+        def pop(s: int) -> None:
+            out.append((s, self.waiting.getValue((s,))[0]))
+            self.waiting.removeKey((s,))
+
+        while held > len(out) and self.waiting.containsKey((due,)):
+            pop(due)
+            due += 1
+        left = held - len(out)
+        more = left if overdue else left - self.most // 2 if self.most is not None and left > self.most else 0
+        if more:
+            for s in sorted(k[0] for k in self.waiting.keys())[:more]:
+                skipped += s - due
+                pop(s)
+                due = s + 1
+            while self.waiting.containsKey((due,)):
+                pop(due)
+                due += 1
+        held -= len(out)
+        moved = now if out else moved
+        self.state.update((due, held, moved, skipped))
+        if self.timer and held:
+            self.handle.registerTimer(now + self.wait_ms + 1)
+        for i in range(0, len(out), 10_000):
+            part = out[i:i + 10_000]
+            yield pd.DataFrame({
+                **{k: [v] * len(part) for k, v in zip(self.keys, key)}, self.seq: [s for s, _ in part], self.body: [b for _, b in part], "skipped": skipped})
+
+    def close(self) -> None:
+        pass
 
 
 def reorder_stream(
@@ -143,60 +294,97 @@ def reorder_stream(
 ) -> DataFrame:
     """Rows of each key in sequence order; a processing-time timer skips gaps that stay open.
 
-    A batch is sorted together with the rows held back and its run without gaps is released; of equal numbers the
+    Only the rows that wait are in the state, one entry each; a batch touches what it brings and what it releases. Of equal numbers the
     newest row stays. Numbers that went by are not released any more; ``skipped`` counts them and the missing ones.
-    Nothing is let out early unless ``most`` is given.
-
-    Spark keeps running empty batches while timers are in use, so a run that should end by itself
-    (``availableNow``) needs ``timer=False``: gaps are then judged when the key's next row arrives.
+    Nothing is let out early unless ``most`` is given. A run that should end by itself (``availableNow``) needs ``timer=False``: gaps
+    are then judged when the key's next row arrives.
     """
-    fields = [df.schema[k] for k in keys]
-    out = T.StructType([*fields, T.StructField(seq, T.LongType()), T.StructField(body, T.StringType()), T.StructField("skipped", T.LongType())])
-    state = "due long, seqs array<long>, bodies array<string>, moved_ms long, skipped long"
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        now = held.getCurrentProcessingTimeMs()
-        due, seqs, bodies, moved, skipped = held.get if held.exists else (0, [], [], now, 0)
-        rows = [pd.DataFrame({seq: np.array(seqs, np.int64), body: np.array(bodies, object)})]
-        if not held.hasTimedOut:
-            rows += [f[[seq, body]] for f in frames]
-        rows = pd.concat(rows, ignore_index=True).astype({seq: np.int64})
-        late = int((rows[seq] < due).sum())
-        rows = rows[rows[seq] >= due].drop_duplicates(seq, keep="last").sort_values(seq, ignore_index=True)
-        n = releasable(rows[seq].to_numpy(), due, now - moved > wait_ms, most)
-        done, rest = rows[:n], rows[n:]
-        skipped += late
-        if n:
-            after = int(done[seq].iloc[-1]) + 1
-            skipped, due, moved = skipped + after - due - n, after, now
-        held.update((due, rest[seq].tolist(), rest[body].tolist(), moved, skipped))
-        if timer and len(rest):
-            held.setTimeoutDuration(wait_ms + 1)
-        if n:
-            yield done.assign(**dict(zip(keys, key)), skipped=skipped)[[*keys, seq, body, "skipped"]]
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if timer else GroupStateTimeout.NoTimeout
-    return df.groupBy(*keys).applyInPandasWithState(advance, out, state, "append", timeout)
+    out = T.StructType([
+        *[df.schema[k] for k in keys], T.StructField(seq, T.LongType()), T.StructField(body, T.StringType()), T.StructField("skipped", T.LongType())])
+    return transform(df, keys, ReorderProcessor(keys, seq, body, wait_ms, most, timer), out, "ProcessingTime" if timer else "None")
+
+
+class ThrottleProcessor(StatefulProcessor):
+    def __init__(self, schema: T.StructType, order: str, width: int) -> None:
+        self.schema, self.order, self.width = schema, order, width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "t long")
+        self.spans = Spans(handle, self.schema, [self.order], max(self.width, 1))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else None
+        for frame in rows:
+            self.spans.put(frame[frame[self.order].notna()])
+        for pdf in self.spans.take():
+            t, picked, i = pdf[self.order].to_numpy(dtype=np.int64), [], 0
+            while i < len(t):
+                if last is not None:
+                    i = max(i, int(np.searchsorted(t, last + self.width, side="left")))
+                    if i >= len(t):
+                        break
+                picked.append(i)
+                last = int(t[i])
+                i += 1
+            if picked:
+                yield pdf.iloc[picked]
+        if last is not None:
+            self.last.update((last,))
+
+    def close(self) -> None:
+        pass
 
 
 def throttle_stream(df: DataFrame, keys: Sequence[str], order: str, width: int) -> DataFrame:
-    """At most one row per key per ``width``: a row passes when the last sent one is that old (cool-down)."""
-    state = "last long"
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = _gather(frames, [order])
-        t = pdf[order].to_numpy(dtype=np.int64)
-        last, picked, i = (held.get[0] if held.exists else None), [], 0
-        while i < len(t):
-            if last is not None:
-                i = max(i, int(np.searchsorted(t, last + width, side="left")))
-                if i >= len(t):
-                    break
-            picked.append(i)
-            last = int(t[i])
-            i += 1
-        held.update((last,))
-        if picked:
-            yield pdf.iloc[picked]
-
-    return df.groupBy(*keys).applyInPandasWithState(advance, df.schema, state, "append", GroupStateTimeout.NoTimeout)
+    """At most one row per key per ``width``: a row passes when the last sent one is that old (cool-down). Null orders do not pass."""
+    return transform(df, keys, ThrottleProcessor(df.schema, order, width), df.schema)
+
+
+class OfflineProcessor(StatefulProcessor):
+    """An event-time timer runs ``limit`` after each key's newest report."""
+
+    def __init__(self, keys: Sequence[str], time: str, limit_ms: int) -> None:
+        self.keys, self.time, self.limit = list(keys), time, limit_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "us long, told boolean")
+
+    def told(self, key, last: list[int], back: list[int | None]) -> pd.DataFrame:
+        frame = pd.DataFrame({k: [v] * len(last) for k, v in zip(self.keys, key)})
+        return frame.assign(last_report=pd.to_datetime(last, unit="us"), back_at=pd.to_datetime(pd.Series(back, dtype="Int64"), unit="us"))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        newest, told = self.newest.get() if self.newest.exists() else (None, False)
+        seen = [frame[self.time].dropna().astype("datetime64[us]").astype(np.int64).to_numpy() for frame in rows]
+        times = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
+        times = times[times > newest] if newest is not None else times
+        if not len(times):
+            return
+        line = times if newest is None else np.concatenate([[newest], times])
+        gaps = np.flatnonzero(np.diff(line) > self.limit * 1000)
+        if len(gaps):
+            yield self.told(key, line[gaps].tolist(), line[gaps + 1].tolist())
+        if newest is not None:
+            self.handle.deleteTimer(newest // 1000 + self.limit)
+        newest = int(times[-1])
+        self.handle.registerTimer(newest // 1000 + self.limit)
+        self.newest.update((newest, False))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        newest, told = self.newest.get()
+        if not told and expiredTimerInfo.getExpiryTimeInMs() == newest // 1000 + self.limit:
+            self.newest.update((newest, True))
+            yield self.told(key, [newest], [None])
+
+    def close(self) -> None:
+        pass
+
+
+def offline_stream(df: DataFrame, keys: Sequence[str], time: str, keep_alive_seconds: int, factor: float = 1.5, delay: str = "0 seconds") -> DataFrame:
+    """Keys that fall silent: ``last_report``, and ``back_at`` once a report ends the silence (null while the watermark has passed the
+    limit and none has come). A silence that ends within one batch gives only the row with ``back_at``."""
+    kind = df.schema[time].dataType
+    marked = df.select(*keys, time).withWatermark(time, delay)
+    out = T.StructType([*[df.schema[k] for k in keys], T.StructField("last_report", kind), T.StructField("back_at", kind)])
+    return transform(marked, keys, OfflineProcessor(keys, time, int(keep_alive_seconds * factor * 1000)), out, "EventTime")

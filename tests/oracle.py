@@ -61,8 +61,9 @@ def main() -> int:
     args = sys.argv[1:]
     sf = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     spark, con = local_session(8), connect(sf)
-    if "SIGSPARK_MAX_GROUP_ROWS" in os.environ:            # small limits slice every key
-        spark.conf.set("sigspark.maxGroupRows", os.environ["SIGSPARK_MAX_GROUP_ROWS"])
+    if "SIGSPARK_SLICES" in os.environ:                    # many slices cut every key
+        spark.conf.set("spark.sql.shuffle.partitions", os.environ["SIGSPARK_SLICES"])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     sqls, bad = oracle_sql(), 0
     for name, q in queries().items():
         if args and not any(name.startswith(a) for a in args):

@@ -1,14 +1,17 @@
-"""Slicing a long key must not change any result."""
+"""The number of slices must not change any result."""
+
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sigspark.operators import filters, series, windows
+from pyspark.sql import Window
+
+from sigspark.operators import filters, resume, series, windows
 from sigspark.operators.aggregates import exact_percentile
 from sigspark.operators.restart import restart_windows
-from sigspark.operators.series import measure
 
 KEYS, ORDER = ["dev"], ["t", "tie"]
 
@@ -35,31 +38,51 @@ def same(a, b, cols):
     pd.testing.assert_frame_equal(left, right, check_exact=False, rtol=1e-9, atol=1e-9)
 
 
-def test_layout_splits_only_long_keys(skewed):
-    lay = measure(skewed, KEYS, ORDER, 60)
-    assert lay.hot and lay.meta["slices"] > 8
-    sizes = series.assign(skewed, lay).groupBy("dev", series.SLICE).count().toPandas()
-    assert sizes["count"].max() < 200
-    assert set(sizes[sizes["dev"].isin([1, 2, 3])][series.SLICE]) == {0}
-    assert not measure(skewed, KEYS, ORDER).hot
+@contextmanager
+def slices(spark, n):
+    """Series are cut into about ``n`` slices of equal size."""
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"]
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in zip(names, (str(n), "false")):
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def both(spark, make, n=24):
+    """The same result over one slice and over many."""
+    out = []
+    for k in (1, n):
+        with slices(spark, k):
+            df = make()
+            out.append(spark.createDataFrame(df.toPandas().convert_dtypes(dtype_backend="pyarrow"), df.schema))
+    return out
+
+
+def test_layout_splits_long_keys(spark, skewed):
+    with slices(spark, 24):
+        cut = series.sliced(skewed, KEYS, ORDER)
+        sizes = cut.groupBy(series.SLICE).count().toPandas()
+        assert len(sizes) > 16 and sizes["count"].max() < 200
+        assert cut.filter("dev = 0").select(series.SLICE).distinct().count() > 8
+        assert series.sliced(cut, KEYS, ORDER) is cut
+    ends = cut.groupBy(series.SLICE).agg(F.min(F.struct("dev", "t", "tie")).alias("a"), F.max(F.struct("dev", "t", "tie")).alias("b"))
+    rows = [(r.a, r.b) for r in ends.orderBy(series.SLICE).collect()]
+    key = lambda r: (r.dev is not None, r.dev or 0, r.t, r.tie)
+    assert all(key(x[1]) < key(y[0]) for x, y in zip(rows, rows[1:]))
 
 
 @pytest.mark.parametrize("before,after", [(3, 0), (0, 4), (70, 0), (10, 9)])
-def test_row_frames(skewed, before, after):
+def test_row_frames(spark, skewed, before, after):
     def frame(w):
         return {"s": F.sum("value").over(w.rowsBetween(-before, after)), "n": F.count("value").over(w.rowsBetween(-before, after))}
 
-    plain = series.with_rows(skewed, KEYS, ORDER, frame, before, after)
-    cut = series.with_rows(skewed, KEYS, ORDER, frame, before, after, measure(skewed, KEYS, ORDER, 40))
-    same(plain, cut, ["s", "n"])
-
-
-@pytest.mark.parametrize("width", [0, 25, 900])
-def test_range_frames(skewed, width):
-    frame = lambda w: {"s": F.sum("value").over(w), "n": F.count("value").over(w)}
-    plain = series.with_range(skewed, KEYS, "t", width, frame)
-    cut = series.with_range(skewed, KEYS, "t", width, frame, measure(skewed, KEYS, ORDER, 40))
-    same(plain, cut, ["s", "n"])
+    plain = skewed.select("*", *[c.alias(n) for n, c in frame(Window.partitionBy(*KEYS).orderBy(*ORDER)).items()])
+    for cut in both(spark, lambda: series.with_rows(skewed, KEYS, ORDER, frame, before, after)):
+        same(plain, cut, ["s", "n"])
 
 
 @pytest.mark.parametrize("width", [0, 1, 60, 6000, 10**9])
@@ -72,7 +95,7 @@ def test_trailing_power_equals_range_frame(skewed, width):
         "residual_power": F.avg((F.col("value") - F.col("filtered")) * (F.col("value") - F.col("filtered"))).over(w),
         "n": F.count(F.lit(1)).over(w),
     }
-    plain = series.with_range(df, KEYS, "t", width, frame)
+    plain = df.select("*", *[c.alias(n) for n, c in frame(Window.partitionBy(*KEYS).orderBy("t").rangeBetween(-width, 0)).items()])
     made = windows.trailing_power(df, KEYS, "t", width)
     assert made.columns == plain.columns
     cols = ["raw_power", "filtered_power", "residual_power", "n"]
@@ -80,36 +103,46 @@ def test_trailing_power_equals_range_frame(skewed, width):
     pd.testing.assert_frame_equal(left, right, check_exact=False, rtol=1e-9, atol=1e-9)
 
 
-def test_running_and_positions(skewed):
-    lay = measure(skewed, KEYS, ORDER, 40)
+def test_running_and_positions(spark, skewed):
+    odd = skewed.withColumn("value", F.when(F.col("tie") > 7, F.col("value")))      # the first rows have no value
     aggs = dict(total=("sum", "value"), top=("max", "value"), low=("min", "value"), n=("count", "value"))
-    same(series.running(skewed, KEYS, ORDER, **aggs), series.running(skewed, KEYS, ORDER, layout=lay, **aggs), list(aggs))
-    same(series.positions(skewed, KEYS, ORDER), series.positions(skewed, KEYS, ORDER, layout=lay), ["pos"])
+    upto = Window.partitionBy(*KEYS).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    plain = odd.select("*", F.sum("value").over(upto).alias("total"), F.max("value").over(upto).alias("top"), F.min("value").over(upto).alias("low"),
+                       F.count("value").over(upto).alias("n"), (F.count(F.lit(1)).over(upto) - 1).alias("pos"))
+    for cut in both(spark, lambda: series.positions(series.running(odd, KEYS, ORDER, **aggs), KEYS, ORDER), 40):
+        same(plain, cut, [*aggs, "pos"])
+    whole = both(spark, lambda: series.positions(skewed, [], ["t", "tie", "dev"]))
+    same(*whole, ["pos"])
+    assert sorted(r.pos for r in whole[1].collect()) == list(range(skewed.count()))
 
 
 SCANS = ["IIR", "KALMAN_MEAN", "KALMAN_VELOCITY", "LMS", "RLS_TREND", "BANDPASS", "WAVELET", "MEDIAN", "PARTICLE"]
 
 
 @pytest.mark.parametrize("name", SCANS)
-def test_filters_agree_across_layouts(skewed, name):
-    lay = measure(skewed, KEYS, ORDER, 150)
-    same(
-        filters.apply_filter(skewed, name, KEYS, ORDER),
-        filters.apply_filter(skewed, name, KEYS, ORDER, layout=lay), ["filtered", "residual"],
-    )
+def test_filters_agree_across_layouts(spark, skewed, name):
+    one, many = both(spark, lambda: filters.apply_filter(skewed, name, KEYS, ORDER), 12)
+    same(one, many, ["filtered", "residual"])
+
+
+def test_operators_in_a_row_share_slices(spark, skewed):
+    def made():
+        cut = series.sliced(skewed, KEYS, ORDER)
+        smooth = filters.apply_filter(filters.apply_filter(cut, "KALMAN", KEYS, ORDER).withColumnRenamed("filtered", "value2"), "MEAN", KEYS, ORDER, "value2")
+        return windows.resetting_energy(smooth, KEYS, ORDER, 60).drop(series.SLICE)
+
+    same(*both(spark, made), ["filtered", "residual", "window_start", "energy"])
 
 
 @pytest.mark.parametrize("closed", [False, True])
 @pytest.mark.parametrize("width", [15, 60, 5000])
-def test_restarting_windows(skewed, width, closed):
-    lay = measure(skewed, KEYS, ORDER, 60)
-    plain = restart_windows(skewed, KEYS, ORDER, width, closed)
-    same(plain, restart_windows(skewed, KEYS, ORDER, width, closed, lay), ["window_start"])
+def test_restarting_windows(spark, skewed, width, closed):
+    same(*both(spark, lambda: restart_windows(skewed, KEYS, ORDER, width, closed)), ["window_start"])
 
 
-def test_percentile_of_a_sliced_key(skewed):
-    lay = measure(skewed.select("dev", "value", "tie"), KEYS, ["value", "tie"], 60)
-    got = {r.dev: r.percentile for r in exact_percentile(skewed, KEYS, "value", 95.0, ["tie"], lay).collect()}
+def test_percentile_of_a_sliced_key(spark, skewed):
+    with slices(spark, 24):
+        got = {r.dev: r.percentile for r in exact_percentile(skewed, KEYS, "value", 95.0, ["tie"]).collect()}
     pdf = skewed.toPandas()
     for dev, part in pdf.groupby("dev"):
         v = np.sort(part["value"].to_numpy())
@@ -122,15 +155,45 @@ def test_percentile_of_a_sliced_key(skewed):
 def test_small_arrow_batches_carry_state(spark, skewed):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
     try:
-        cut = filters.apply_filter(skewed, "KALMAN", KEYS, ORDER, layout=measure(skewed, KEYS, ORDER, 150))
-        plain = filters.apply_filter(skewed, "KALMAN", KEYS, ORDER)
-        got, small = cut.toPandas(), plain.toPandas()
+        small = both(spark, lambda: filters.apply_filter(skewed, "KALMAN", KEYS, ORDER))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    whole = filters.apply_filter(skewed, "KALMAN", KEYS, ORDER).toPandas()
-    for other in (got, small):
-        m = whole.merge(other, on=["dev", "t", "tie"], suffixes=("", "_o"))
-        assert len(m) == len(whole) and np.allclose(m["filtered"], m["filtered_o"])
+    whole = filters.apply_filter(skewed, "KALMAN", KEYS, ORDER)
+    for other in small:
+        same(whole, other, ["filtered"])
+
+
+RESUMED = [n for n, make in sorted(filters.REGISTRY.items()) if not isinstance(make(), filters.FrameFilter) and n not in ("EKF", "UKF")]
+
+
+@pytest.mark.parametrize("name", RESUMED)
+def test_two_batches_equal_the_whole(spark, skewed, tmp_path, name):
+    """Every filter with a state: batches before and after an instant give what one run over all rows gives, at a replay too."""
+    df = skewed.withColumn("desired", F.col("value") * 0.5)
+    want = filters.apply_filter(df, name, KEYS, ORDER)
+    parts = [df.filter("t < 3000 and (dev is null or dev <> 5)"), df.filter("t >= 3000 or dev = 5")]
+    path = str(tmp_path / "state")
+    with slices(spark, 8):
+        got = [resume.resume_filter(p, name, KEYS, ORDER, path, i) for i, p in enumerate(parts)]
+        again = resume.resume_filter(parts[1], name, KEYS, ORDER, path, 1)
+    same(want, got[0].unionByName(got[1]), ["filtered", "residual"])
+    same(got[1], again, ["filtered", "residual"])
+    assert resume.versions(spark, path) == [0, 1]
+    state = {r.dev: (r.pos, r.late) for r in resume.read_state(spark, path).collect()}
+    assert state == {r.dev: (r["count"], 0) for r in df.groupBy("dev").count().collect()}
+
+
+def test_late_rows_of_a_batch_are_counted(spark, tmp_path):
+    df = spark.range(40).selectExpr("id % 2 as dev", "id as t", "0 as tie", "cast(id as double) as value")
+    path = str(tmp_path / "state")
+    resume.resume_filter(df.filter("t < 30"), "IIR", KEYS, ORDER, path, 7)
+    second = resume.resume_filter(df.filter("t >= 26 or t = 3"), "IIR", KEYS, ORDER, path, 8)
+    same(filters.apply_filter(df, "IIR", KEYS, ORDER).filter("t >= 30"), second, ["filtered"])
+    assert [(r.pos, r.late) for r in resume.read_state(spark, path).orderBy("dev").collect()] == [(20, 2), (20, 3)]
+    third = resume.resume_filter(df.limit(0), "IIR", KEYS, ORDER, path, 9)
+    assert third.count() == 0 and resume.read_state(spark, path).count() == 2
+    with pytest.raises(ValueError):
+        resume.resume_filter(df, "MEAN", KEYS, ORDER, path, 10)
 
 
 def test_constant_signal_is_a_fixed_point(spark):

@@ -71,14 +71,64 @@ def test_restart_continues_from_checkpoint(spark, tmp_path):
     same(got, filters.apply_filter(spark.createDataFrame(rows, schema), "IIR", KEYS, ORDER), ["dev", "us"], ["filtered"])
 
 
-def test_reorder_rules():
-    held = lambda *n: np.array(n, np.int64)
-    assert stateful.releasable(held(0, 1, 2, 5), 0, False) == 3
-    assert stateful.releasable(held(3, 4), 2, False) == 0
-    assert stateful.releasable(held(3, 4, 9), 2, True) == 3
-    assert stateful.releasable(held(), 2, False) == 0
-    assert stateful.releasable(held(3, 5, 7, 9, 11), 2, False, most=4) == 3
-    assert stateful.releasable(held(3, 5, 7, 9), 2, False, most=4) == 0
+def test_reorder_holds_gaps_and_counts_late(spark, tmp_path):
+    src, schema = str(tmp_path / "src"), "dev int, seq long, body string"
+
+    def run(rows, **params):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        df = stateful.reorder_stream(spark.readStream.schema(schema).parquet(src), KEYS, "seq", "body", timer=False, **params)
+        return jobs.drain(spark, df, str(tmp_path))
+
+    wait = {"wait_ms": 3_600_000}
+    assert sorted(r.seq for r in run([(1, s, "x") for s in (5, 2, 0, 1)], **wait).collect()) == [0, 1, 2]
+    assert sorted(r.seq for r in run([(1, 1, "late"), (1, 4, "y"), (1, None, "?")], **wait).collect()) == [0, 1, 2]
+    done = run([(1, 3, "z")], **wait)
+    assert sorted(r.seq for r in done.collect()) == [0, 1, 2, 3, 4, 5] and done.agg(F.max("skipped")).first()[0] == 2
+    done = run([(1, s, "w") for s in (7, 9, 11, 13, 15)], most=4, **wait)
+    assert sorted(r.seq for r in done.collect())[6:] == [7, 9, 11] and done.agg(F.max("skipped")).first()[0] == 5
+
+
+def test_rows_of_many_frames_and_spans(spark, parts, tmp_path):
+    """Frames of seven rows in any order, spans of a few rows, several pages a span: the same result."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        src = str(tmp_path / "src")
+        parts[1].orderBy(F.rand(3)).withColumn("filtered", F.col("value") * 0.5).coalesce(2).write.parquet(src)
+        read = lambda: spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+        smooth = jobs.drain(spark, stateful.filter_stream(read().drop("filtered"), "LMS", KEYS, "us", span=900), str(tmp_path / "a"))
+        power = jobs.drain(spark, stateful.trailing_stream(read(), KEYS, "us", 700), str(tmp_path / "b"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    same(smooth, filters.apply_filter(parts[1], "LMS", KEYS, ORDER), ["dev", "us"], ["filtered"])
+    whole = windows.trailing_power(parts[1].withColumn("filtered", F.col("value") * 0.5), KEYS, "us", 700)
+    same(power, whole, ["dev", "us"], ["raw_power", "residual_power", "n"])
+
+
+def test_small_powers_after_a_large_sample(spark, tmp_path):
+    """Nothing is subtracted, so small powers keep their digits and none is negative."""
+    src = str(tmp_path / "src")
+    rows = [(1, i * 10, 1e9 if i == 5 else 1e-4, 0.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "dev int, us long, value double, filtered double")
+    df.coalesce(1).write.parquet(src)
+    got = jobs.drain(spark, stateful.trailing_stream(spark.readStream.schema(df.schema).parquet(src), KEYS, "us", 100), str(tmp_path / "a"))
+    late = got.filter("us > 200").agg(F.min("raw_power"), F.max("raw_power")).first()
+    assert abs(late[0] - 1e-8) < 1e-20 and abs(late[1] - 1e-8) < 1e-20
+
+
+def test_silent_devices(spark, tmp_path):
+    src, schema = str(tmp_path / "src"), "dev int, at timestamp"
+
+    def run(rows):
+        spark.createDataFrame([(d, pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=m) if m is not None else None) for d, m in rows], schema).write.mode("append").parquet(src)
+        return jobs.drain(spark, stateful.offline_stream(spark.readStream.schema(schema).parquet(src), KEYS, "at", 600, 1.0), str(tmp_path))
+
+    run([(1, 0), (2, 0), (1, 5), (3, None)])
+    told = run([(1, 8), (1, 30), (2, 12)]).collect()
+    minute = lambda t: None if t is None else (t.hour * 60 + t.minute)
+    assert {(r.dev, minute(r.last_report), minute(r.back_at)) for r in told} >= {(1, 8, 30), (2, 0, 12), (2, 12, None)}
+    told = run([(4, 45), (2, 35)]).collect()
+    assert (2, 12, 35) in {(r.dev, minute(r.last_report), minute(r.back_at)) for r in told}
+    assert (1, 30, None) in {(r.dev, minute(r.last_report), minute(r.back_at)) for r in told}
 
 
 def test_fragment_job_and_messages(spark, tmp_path):
