@@ -119,7 +119,7 @@ def test_silent_devices(spark, tmp_path):
     src, schema = str(tmp_path / "src"), "dev int, at timestamp"
 
     def run(rows):
-        spark.createDataFrame([(d, pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=m) if m is not None else None) for d, m in rows], schema).write.mode("append").parquet(src)
+        spark.createDataFrame([(d, (pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=m)).to_pydatetime() if m is not None else None) for d, m in rows], schema).write.mode("append").parquet(src)
         return jobs.drain(spark, stateful.offline_stream(spark.readStream.schema(schema).parquet(src), KEYS, "at", 600, 1.0), str(tmp_path))
 
     run([(1, 0), (2, 0), (1, 5), (3, None)])
