@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigspark.operators.scan import fresh_rows, key_at, sorted_tasks, with_columns
-from sigspark.operators.series import SLICE, key_struct, on_slices, resumed, stretches
+from sigspark.operators.series import SLICE, edgeless, key_struct, on_slices, resumed, stretches
 
 
 def _next_open(ts: np.ndarray, start: int, width: int, closed: bool) -> int:
@@ -90,6 +90,10 @@ def restart_windows(df: DataFrame, keys: Sequence[str], order: Sequence[str], wi
     keys, order = list(keys), list(order)
     cut, done = on_slices(df, keys, order)
     t, by = order[0], [SLICE, *keys]
+    kept = T.StructType([*cut.schema.fields, T.StructField("window_start", T.LongType())])
+    if edgeless(cut):
+        ready = cut.withColumn("__s0", F.lit(None).cast("long"))
+        return done(sorted_tasks(ready, by, order).mapInArrow(_marker(by, t, width, closed, ["__s0"]), kept))
     parts = stretches(cut, keys).withColumn("__k", key_struct(keys))
     ends = f"{SLICE} int, __next int, limits array<long>, ends array<long>, first long"
 
@@ -116,5 +120,4 @@ def restart_windows(df: DataFrame, keys: Sequence[str], order: Sequence[str], wi
     states = named.groupBy(*keys).applyInPandas(chain, f"{SLICE} int, __s0 long")
     starts = parts.filter(F.col("__pos0") > 0).join(states, SLICE)
     ready = resumed(cut, starts, keys, __s0="__s0")
-    kept = T.StructType([*cut.schema.fields, T.StructField("window_start", T.LongType())])
     return done(sorted_tasks(ready, by, order).mapInArrow(_marker(by, t, width, closed, ["__s0"]), kept))

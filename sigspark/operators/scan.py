@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sigspark.operators.series import SLICE, key_struct, null_safe_join, on_slices, resumed, stretches
+from sigspark.operators.series import SLICE, edgeless, key_struct, null_safe_join, on_slices, resumed, stretches
 from sigspark.session import written
 
 Cols = dict[str, np.ndarray]
@@ -383,10 +383,16 @@ def run_scan(
     """
     cut, done = on_slices(df, keys, order)
     by, extra = [SLICE, *keys], ["__pos0", "__s0", "__done", "__init", "__next"]
-    parts = _stretches(cut, keys, saved)
     if isinstance(scan, Fold):
-        out = _run_fold(cut, scan, keys, order, parts, saved)
+        out = _run_fold(cut, scan, keys, order, saved)
+    elif edgeless(cut):
+        ready = _begun(cut, keys, saved).withColumnsRenamed({"__done": "__pos0", "__init": "__s0"})
+        if ends:
+            ready = ready.withColumn("__to", F.lit(None).cast("int")).withColumn("__state", F.lit(None).cast("array<double>"))
+        schema = _schema(ready.drop("__state"), extra, scan.outputs)
+        out = sorted_tasks(ready, by, order).mapInArrow(_replay(scan, by, extra, ends), schema.add("__state", T.ArrayType(T.DoubleType())) if ends else schema)
     else:
+        parts = _stretches(cut, keys, saved)
         ready = resumed(_begun(cut, keys, saved), _starts(scan, cut, keys, order, parts), keys, __pos0="__pos0", __s0="__s0")
         ready = ready.withColumn("__pos0", F.coalesce("__pos0", "__done")).withColumn("__s0", F.coalesce("__s0", "__init"))
         if ends:
@@ -399,21 +405,23 @@ def run_scan(
     return done(out.withColumn("__state", F.when(F.col("__to").isNull(), F.col("__state"))).drop("__to"))
 
 
-def _run_fold(
-    cut: DataFrame, fold: Fold, keys: Sequence[str], order: Sequence[str], parts: DataFrame, saved: DataFrame | None,
-) -> DataFrame:
+def _run_fold(cut: DataFrame, fold: Fold, keys: Sequence[str], order: Sequence[str], saved: DataFrame | None) -> DataFrame:
     """Turn 0 runs every key's first slice, turn n its n-th one, from the states that turn n - 1 has written."""
     by, extra = [SLICE, *keys], ["__pos0", "__s0", "__next", "__nth", "__done", "__init"]
-    placed = resumed(_begun(cut, keys, saved), parts.filter(F.col("__nth") > 0), keys, __pos0="__pos0", __nth="__nth")
-    placed = resumed(placed, parts.filter(F.col("__next").isNotNull()), keys, __next="__next")
-    placed = placed.withColumn("__pos0", F.coalesce("__pos0", "__done")).withColumn("__nth", F.coalesce("__nth", F.lit(0)))
-    placed = written(placed, "turns", "__nth")
 
     def stage(part: DataFrame) -> DataFrame:
         moved = part.withColumn("__to", F.col("__next"))
         schema = _schema(moved, extra, fold.outputs).add("__state", T.ArrayType(T.DoubleType()))
         return sorted_tasks(moved, by, order).mapInArrow(_relay(fold, by, extra), schema)
 
+    if edgeless(cut):
+        whole = _begun(cut, keys, saved).withColumnsRenamed({"__done": "__pos0", "__init": "__s0"})
+        return stage(whole.withColumn("__next", F.lit(None).cast("int")))
+    parts = _stretches(cut, keys, saved)
+    placed = resumed(_begun(cut, keys, saved), parts.filter(F.col("__nth") > 0), keys, __pos0="__pos0", __nth="__nth")
+    placed = resumed(placed, parts.filter(F.col("__next").isNotNull()), keys, __next="__next")
+    placed = placed.withColumn("__pos0", F.coalesce("__pos0", "__done")).withColumn("__nth", F.coalesce("__nth", F.lit(0)))
+    placed = written(placed, "turns", "__nth")
     turns = parts.agg(F.max("__nth")).first()[0] or 0
     done = [written(stage(placed.filter(F.col("__nth") == 0).withColumn("__s0", F.col("__init"))), "turn")]
     for turn in range(1, turns + 1):

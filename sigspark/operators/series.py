@@ -2,7 +2,8 @@
 
 A series is written once, range-partitioned by key and order. Each range is a slice: rows next to each other, about
 as many in every slice, so a key that holds a third of all rows goes on from slice to slice while a slice may
-hold many short keys. Operators work inside slices. What crosses an edge comes from tables with a few rows per slice:
+hold many short keys. A slice holds about ``sigspark.sliceBytes`` (64 MB); a table that fits one is one slice and is not
+written, as it has no edges. Operators work inside slices. What crosses an edge comes from tables with a few rows per slice:
 the rows beside the edge for row frames, running totals of the key that goes on, composed states (``scan``) and
 window starts (``restart``). There is one plan for every size.
 
@@ -32,11 +33,21 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def slices_for(df: DataFrame) -> int:
+    """Slices of about ``sigspark.sliceBytes`` by the planner's estimate, at most as many as a shuffle has partitions."""
+    conf = df.sparkSession.conf
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(1, min(-(-size // int(conf.get("sigspark.sliceBytes", str(64 << 20)))), int(conf.get("spark.sql.shuffle.partitions"))))
+
+
 def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """``df`` with the number of each row's slice; later slices hold later (keys, order)."""
     if SLICE in df.columns:
         return df
-    ranged = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]])
+    n = slices_for(df)
+    if n == 1:
+        return df.withColumn(SLICE, F.lit(0)).withMetadata(SLICE, {"slices": 1})
+    ranged = df.repartitionByRange(n, *[F.col(c) for c in [*keys, *order]])
     return written(ranged.withColumn(SLICE, F.spark_partition_id()), "series")
 
 
@@ -46,6 +57,11 @@ def on_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple
     return sliced(df, keys, order), (lambda out: out if own else out.drop(SLICE))
 
 
+def edgeless(cut: DataFrame) -> bool:
+    """Whether the whole series is one slice."""
+    return cut.schema[SLICE].metadata.get("slices") == 1
+
+
 def key_struct(keys: Sequence[str]) -> Column:
     return F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
 
@@ -93,6 +109,8 @@ def with_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], frame: F
     ``frame`` gets the window (partitioned and ordered) and returns the new columns.
     """
     cut, done = on_slices(df, keys, order)
+    if edgeless(cut):
+        return done(cut.select("*", *[c.alias(n) for n, c in frame(within(keys, order)).items()]))
     full = cut.withColumn(HALO, F.lit(False))
     line = [*keys, *order]
     if before:
@@ -113,13 +131,15 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], **aggs: tu
     """Running aggregates from the start of the series: ``name=("sum" | "count" | "max" | "min", column)``."""
     exprs = {n: (f, c if isinstance(c, Column) else F.col(c)) for n, (f, c) in aggs.items()}
     cut, done = on_slices(df, keys, order)
+    upto = within(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    if edgeless(cut):
+        return done(cut.select("*", *[_TOTAL[f](c).over(upto).alias(n) for n, (f, c) in exprs.items()]))
     totals = stretches(cut, keys, **{f"__t_{n}": _TOTAL[f](c) for n, (f, c) in exprs.items()})
     past = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     rolled = totals.select(
         SLICE, key_struct(keys).alias("__k"), "__pos0", *[_ROLL[f](f"__t_{n}").over(past).alias(f"__c_{n}") for n, (f, _) in exprs.items()],
     )
     held = resumed(cut, rolled.filter(F.col("__pos0") > 0), keys, **{f"__c_{n}": f"__c_{n}" for n in exprs})
-    upto = within(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     return done(held.select(
         *[F.col(f"`{c}`") for c in cut.columns], *[_BOTH[f](F.col(f"__c_{n}"), _TOTAL[f](c).over(upto)).alias(n) for n, (f, c) in exprs.items()],
     ))

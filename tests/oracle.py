@@ -63,7 +63,7 @@ def main() -> int:
     spark, con = local_session(8), connect(sf)
     if "SIGSPARK_SLICES" in os.environ:                    # many slices cut every key
         spark.conf.set("spark.sql.shuffle.partitions", os.environ["SIGSPARK_SLICES"])
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("sigspark.sliceBytes", "1")
     sqls, bad = oracle_sql(), 0
     for name, q in queries().items():
         if args and not any(name.startswith(a) for a in args):

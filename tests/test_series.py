@@ -41,15 +41,14 @@ def same(a, b, cols):
 @contextmanager
 def slices(spark, n):
     """Series are cut into about ``n`` slices of equal size."""
-    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"]
-    before = {k: spark.conf.get(k) for k in names}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        for k, v in zip(names, (str(n), "false")):
-            spark.conf.set(k, v)
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        spark.conf.set("sigspark.sliceBytes", "1")
         yield
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("sigspark.sliceBytes")
 
 
 def both(spark, make, n=24):
