@@ -73,10 +73,10 @@ def rule_op(op: str, source: Column, param: Column) -> Column:
     return F.coalesce(let(_operands(source, param), lambda b: _decide(op, b)), F.lit(False))
 
 
-def rule_op_by(op: Column, source: Column, param: Column) -> Column:
-    """``rule_op`` with the operation in a column."""
+def rule_op_by(op: Column, source: Column, param: Column, ops: Sequence[str] = RULE_OPS) -> Column:
+    """``rule_op`` with the operation in a column that holds some of ``ops``."""
     def choose(b: Column) -> Column:
-        return reduce(lambda acc, o: acc.when(op == o, _decide(o, b)), RULE_OPS, F.when(F.lit(False), F.lit(False))).otherwise(False)
+        return reduce(lambda acc, o: acc.when(op == o, _decide(o, b)), ops, F.when(F.lit(False), F.lit(False))).otherwise(False)
 
     return F.coalesce(let(_operands(source, param), choose), F.lit(False))
 

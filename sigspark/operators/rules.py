@@ -7,13 +7,14 @@ state, report_time``. Rules: ``rule_id, triggers ARRAY<STRUCT>, actions ARRAY<ST
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.operators.predicates import match_dnf, rule_op_by
+from sigspark.operators.predicates import RULE_OPS, match_dnf, rule_op_by
 from sigspark.operators.series import positions, running
 from sigspark.session import written
 
@@ -28,6 +29,12 @@ METHODS = {
 }
 
 Matcher = Callable[[Column], Column]
+#: Operators that the rules at hand use; the others need not be tried.
+_IN_USE: ContextVar[tuple[str, ...]] = ContextVar("in_use", default=RULE_OPS)
+
+
+def _compare(op: Column, source: Column, param: Column) -> Column:
+    return rule_op_by(op, source, param, _IN_USE.get())
 
 
 def _source(identifier: Column) -> Column:
@@ -36,12 +43,12 @@ def _source(identifier: Column) -> Column:
 
 
 def _property(t: Column) -> Column:
-    return (t["identifier"] == F.col("identifier")) & rule_op_by(t["operator"], _source(t["identifier"]), t["value"])
+    return (t["identifier"] == F.col("identifier")) & _compare(t["operator"], _source(t["identifier"]), t["value"])
 
 
 def _event(t: Column) -> Column:
     tested = (F.coalesce(t["operator"], F.lit("")) != "") & (F.coalesce(t["value"], F.lit("")) != "")
-    return (t["identifier"] == F.col("identifier")) & (~tested | rule_op_by(t["operator"], _source(t["identifier"]), t["value"]))
+    return (t["identifier"] == F.col("identifier")) & (~tested | _compare(t["operator"], _source(t["identifier"]), t["value"]))
 
 
 def _service(t: Column) -> Column:
@@ -49,20 +56,20 @@ def _service(t: Column) -> Column:
 
 
 def _state(t: Column) -> Column:
-    return rule_op_by(t["operator"], F.col("state"), t["value"])
+    return _compare(t["operator"], F.col("state"), t["value"])
 
 
 def _condition_time(c: Column) -> Column:
     clock = F.date_format("report_time", "HH:mm:ss")
-    return rule_op_by(c["operator"], clock, c["param"])
+    return _compare(c["operator"], clock, c["param"])
 
 
 TRIGGERS: dict[str, tuple[int, Matcher]] = {
     "property": (10, _property), "event": (20, _event), "service": (30, _service), "state": (40, _state),
 }
 CONDITIONS: dict[str, Matcher] = {
-    "property": lambda c: rule_op_by(c["operator"], _source(c["identifier"]), c["param"]),
-    "state": lambda c: rule_op_by(c["operator"], F.col("state"), c["param"]),
+    "property": lambda c: _compare(c["operator"], _source(c["identifier"]), c["param"]),
+    "state": lambda c: _compare(c["operator"], F.col("state"), c["param"]),
     "time": _condition_time,
 }
 
@@ -95,13 +102,18 @@ class RuleIndex:
 
     ``codes`` (at most a few dozen) name the kinds of keys in use: whether a method and an identifier are asked for, the scope (device,
     product or any) and how the operand is met: ``eq`` by its text, ``up`` / ``down`` by thresholds in ascending / descending
-    order, ``all`` not at all. ``pages`` holds the triggers of a key in pages of ``PAGE``, sorted by threshold; ``heads`` each key's
+    order, ``all`` not at all. ``ops``, ``kinds`` and ``conditions`` are the operators and types in use, ``several`` whether a rule has more
+    than one trigger. ``pages`` holds the triggers of a key in pages of ``PAGE``, sorted by threshold; ``heads`` each key's
     number and the first threshold of each of its pages.
     """
 
     codes: tuple[tuple[bool, bool, str, str, str], ...]
     heads: DataFrame
     pages: DataFrame
+    ops: tuple[str, ...] = RULE_OPS
+    kinds: tuple[str, ...] = ()
+    conditions: tuple[str, ...] = ()
+    several: bool = True
 
 
 def _flat(rules: DataFrame) -> DataFrame:
@@ -139,7 +151,14 @@ def index_rules(rules: DataFrame) -> RuleIndex:
     """Flatten, parse and sort the triggers once and write them; the index serves any number of batches."""
     flat = written(_flat(rules), "rules")
     kind = ["listens", "named", "source", "scope", "met"]
-    codes = sorted(tuple(r) for r in flat.select(*kind).distinct().collect())          # at most 2 x 2 x 3 x 3 x 4 rows
+    tests = F.flatten(F.coalesce(F.col("t.groups"), F.array()))
+    used = flat.agg(                                           # sets of a few dozen values at most
+        F.collect_set(F.struct(*kind)).alias("codes"), F.collect_set("t.type").alias("kinds"), F.max(F.size("earlier") > 0).alias("several"),
+        F.array_distinct(F.flatten(F.collect_set(F.array_intersect(
+            F.concat(F.array("t.operator"), tests["operator"]), F.array(*map(F.lit, RULE_OPS)))))).alias("ops"),
+        F.array_distinct(F.flatten(F.collect_set(F.array_distinct(tests["type"])))).alias("conditions"),
+    ).first()
+    codes = sorted(tuple(r) for r in used["codes"])
     code = reduce(lambda acc, ic: acc.when(
         reduce(lambda a, b: a & b, [F.col(k) == v for k, v in zip(kind, ic[1], strict=True)]), F.lit(ic[0])), enumerate(codes), F.when(F.lit(False), F.lit(0)))
     keyed = flat.select(code.cast("int").alias("code"), "method", "identifier", "scope_id", "text", F.coalesce("__x", F.lit(0.0)).alias("x"), "rule_id", "t", "earlier")
@@ -147,7 +166,9 @@ def index_rules(rules: DataFrame) -> RuleIndex:
     pages = placed.groupBy(*_KEY, "page").agg(F.min("x").alias("low"), F.collect_list(F.struct("x", "rule_id", "t", "earlier")).alias("entries"))
     pages = written(pages, "rule-pages")
     lows = F.transform(F.array_sort(F.collect_list(F.struct("page", "low"))), lambda x: x["low"])
-    return RuleIndex(tuple(codes), written(pages.groupBy(*_KEY).agg(lows.alias("lows")), "rule-heads"), pages)
+    heads = written(pages.groupBy(*_KEY).agg(lows.alias("lows")), "rule-heads")
+    return RuleIndex(
+        tuple(codes), heads, pages, tuple(o for o in RULE_OPS if o in used["ops"]), tuple(used["kinds"]), tuple(used["conditions"]), bool(used["several"]))
 
 
 def match_rules(msgs: DataFrame, rules: DataFrame | RuleIndex) -> DataFrame:
@@ -187,14 +208,20 @@ def match_rules(msgs: DataFrame, rules: DataFrame | RuleIndex) -> DataFrame:
     met = turned.join(page, same("p", [*_KEY, "page"]))
     near = F.filter("entries", lambda e: F.col("__limit").isNull() | F.isnan("__limit") | (e["x"] <= F.col("__limit")))
     rows = met.withColumn("__e", F.explode(near)).select(*msgs.columns, F.col("__e.rule_id").alias("rule_id"), F.col("__e.t").alias("t"), F.col("__e.earlier").alias("__earlier"))
-    kinds = {k: m for k, (_, m) in sorted(TRIGGERS.items(), key=lambda kv: kv[1][0])}
+    kinds = {k: m for k, (_, m) in sorted(TRIGGERS.items(), key=lambda kv: kv[1][0]) if k in index.kinds}
+    conditions = {k: m for k, m in CONDITIONS.items() if k in index.conditions}
 
     def fires(t: Column) -> Column:
         scope = (t["device_id"].isNull() | (t["device_id"] == F.col("device_id"))) & (t["product_id"].isNull() | (t["product_id"] == F.col("product_id")))
         heard = reduce(lambda acc, k: acc.when(t["type"] == k, F.col("method") == METHODS[k]), [k for k in kinds if k in METHODS], F.when(F.lit(False), F.lit(True))).otherwise(True)
-        return F.coalesce(scope & heard & _by_type(kinds, t) & match_dnf(t["groups"], lambda c: _by_type(CONDITIONS, c)), F.lit(False))
-
-    hits = rows.filter(fires(F.col("t"))).filter((F.size("__earlier") == 0) | ~F.exists("__earlier", fires))
+        return F.coalesce(scope & heard & _by_type(kinds, t) & match_dnf(t["groups"], lambda c: _by_type(conditions, c)), F.lit(False))
+
+    token = _IN_USE.set(index.ops)
+    try:
+        hits = rows.filter(fires(F.col("t")))
+        hits = hits.filter((F.size("__earlier") == 0) | ~F.exists("__earlier", fires)) if index.several else hits
+    finally:
+        _IN_USE.reset(token)
     return hits.select("message_id", "device_id", "report_time", "rule_id")
 
 
