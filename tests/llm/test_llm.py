@@ -264,6 +264,20 @@ def test_classifier_on_held_out(spark, sf01):
     assert right > 0.95
 
 
+def test_votes_equal_a_plain_loop():
+    """Every document against every labelled vector, the nearest ones by cosine, their labels weighted by similarity."""
+    rng, s = np.random.default_rng(9), classifier.Settings()
+    known = classifier.unit(rng.normal(size=(300, 12)).astype(np.float32))
+    model = classifier.Model(np.zeros(0), np.zeros((0, 0)), known, rng.integers(0, 2, 300).astype(np.float32))
+    asked = classifier.unit(np.concatenate([rng.normal(size=(60, 12)), known[:5], np.zeros((2, 12))]).astype(np.float32))
+    got = classifier.votes(model, asked, s)
+    for row, share in zip(asked, got, strict=True):
+        near = sorted(((float(row @ k), float(y)) for k, y in zip(known, model.labels, strict=True)), reverse=True)[:s.neighbours]
+        weight = [max(c, 0.0) ** s.power for c, _ in near]
+        want = sum(w * y for w, (_, y) in zip(weight, near, strict=True)) / sum(weight) if sum(weight) > 0 else float(model.labels.mean())
+        assert share == pytest.approx(want, abs=1e-5)
+
+
 def test_classifier_odd_cases(spark, odd, empty):
     labels = spark.createDataFrame([(4, 0), (8, 1), (None, 1), (9, None)], "doc_id long, quality int")
     rows = classifier.score(odd, classifier.fit(odd, labels)).collect()
