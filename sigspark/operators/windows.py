@@ -16,8 +16,8 @@ def trailing_totals(df: DataFrame, keys, order: str, width: int, **values: Colum
 
     Time is tiled by ``width``: a frame is the part of its own tile up to t and the part of the tile before from t - width on. Every
     row is dealt twice, to its own tile and, at the time t + width when it leaves the frames, to the next one. So both parts
-    are running sums of one window in one order, forwards over own and backwards over lent rows: one shuffle, a cost that
-    does not depend on the width, and nothing is subtracted. ``order`` is an integer column; rows of equal
+    are running sums, forwards over own and backwards over lent rows, each in its own order: one shuffle, a cost that does
+    not depend on the width, and nothing is subtracted. ``order`` is an integer column; rows of equal
     time are peers; rows without a time make up a frame of their own.
     """
     t, size = F.col(order).cast("long"), max(int(width), 1)
@@ -31,7 +31,7 @@ def trailing_totals(df: DataFrame, keys, order: str, width: int, **values: Colum
         *[F.when(F.col("__p.own"), F.col(f"`{c}`")).alias(c) for c in keep], *[f"__v_{n}" for n in values],
     )
     upto = Window.partitionBy(*keys, "__tile").orderBy("__at")
-    ahead = upto.rangeBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*keys, "__tile").orderBy(F.col("__at").desc())      # from the far end: a frame that only shrinks is summed anew for every row
     mine = lambda n, own: F.when(F.col("__own") if own else ~F.col("__own"), F.col(f"__v_{n}"))
     met = dealt.select(
         "*", *[f(mine(n, True)).over(upto).alias(f"__{a}_{n}_own") for n in values for a, f in (("s", F.sum), ("c", F.count))],
