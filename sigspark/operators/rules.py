@@ -102,9 +102,9 @@ class RuleIndex:
 
     ``codes`` (at most a few dozen) name the kinds of keys in use: whether a method and an identifier are asked for, the scope (device,
     product or any) and how the operand is met: ``eq`` by its text, ``up`` / ``down`` by thresholds in ascending / descending
-    order, ``all`` not at all. ``ops``, ``kinds`` and ``conditions`` are the operators and types in use, ``several`` whether a rule has more
-    than one trigger. ``pages`` holds the triggers of a key in pages of ``PAGE``, sorted by threshold; ``heads`` each key's
-    number and the first threshold of each of its pages.
+    order, ``span`` by both ends of a range, ``all`` not at all. ``ops``, ``kinds`` and ``conditions`` are the operators and types in use, ``several`` whether a rule has more
+    than one trigger. ``pages`` holds the triggers of a key in pages of ``PAGE``, sorted by threshold; ``heads`` the
+    first threshold and the greatest upper end of each of a key's pages.
     """
 
     codes: tuple[tuple[bool, bool, str, str, str], ...]
@@ -133,7 +133,7 @@ def _flat(rules: DataFrame) -> DataFrame:
     tested = (source != "none") & one.isNotNull() & ((t["type"] != "event") | (one != ""))
     met = (
         F.when(~tested, "all").when(op == "=", "eq").when(op == "in", "eq").when(op.isin(">", ">=") & whole.isNotNull(), "up")
-        .when(op.isin("<", "<=") & whole.isNotNull(), "down").when(spread, "up").otherwise("all")
+        .when(op.isin("<", "<=") & whole.isNotNull(), "down").when(spread, "span").otherwise("all")
     )
     scope = F.when(t["device_id"].isNotNull(), "device").when(t["product_id"].isNotNull(), "product").otherwise("any")
     keyed = rows.filter(~named | t["identifier"].isNotNull()).select(
@@ -141,7 +141,7 @@ def _flat(rules: DataFrame) -> DataFrame:
         F.when(named, t["identifier"]).otherwise("").alias("identifier"), source.alias("source"),
         named.alias("named"), scope.alias("scope"),
         F.coalesce(F.when(scope == "device", t["device_id"]).when(scope == "product", t["product_id"]), F.lit(0)).alias("scope_id"), met.alias("met"),
-        F.when(met == "up", F.coalesce(F.when(spread, low), whole)).when(met == "down", -whole).alias("__x"),
+        F.when(met == "span", low).when(met == "up", whole).when(met == "down", -whole).alias("__x"), F.when(met == "span", F.get(nums, F.lit(1))).alias("__y"),
         F.when(met == "eq", F.when(op == "in", F.array_distinct(items)).otherwise(F.array(one))).otherwise(F.array(F.lit(""))).alias("__texts"),
     )
     return keyed.withColumn("text", F.explode("__texts")).drop("__texts")
@@ -161,12 +161,13 @@ def index_rules(rules: DataFrame) -> RuleIndex:
     codes = sorted(tuple(r) for r in used["codes"])
     code = reduce(lambda acc, ic: acc.when(
         reduce(lambda a, b: a & b, [F.col(k) == v for k, v in zip(kind, ic[1], strict=True)]), F.lit(ic[0])), enumerate(codes), F.when(F.lit(False), F.lit(0)))
-    keyed = flat.select(code.cast("int").alias("code"), "method", "identifier", "scope_id", "text", F.coalesce("__x", F.lit(0.0)).alias("x"), "rule_id", "t", "earlier")
+    keyed = flat.select(code.cast("int").alias("code"), "method", "identifier", "scope_id", "text", F.coalesce("__x", F.lit(0.0)).alias("x"), F.coalesce("__y", F.lit(float("inf"))).alias("y"), "rule_id", "t", "earlier")
     placed = positions(keyed, _KEY, ["x", "rule_id"], "__p").withColumn("page", F.floor(F.col("__p") / PAGE).cast("int"))
-    pages = placed.groupBy(*_KEY, "page").agg(F.min("x").alias("low"), F.collect_list(F.struct("x", "rule_id", "t", "earlier")).alias("entries"))
+    pages = placed.groupBy(*_KEY, "page").agg(
+        F.min("x").alias("low"), F.max("y").alias("high"), F.collect_list(F.struct("x", "y", "rule_id", "t", "earlier")).alias("entries"))
     pages = written(pages, "rule-pages")
-    lows = F.transform(F.array_sort(F.collect_list(F.struct("page", "low"))), lambda x: x["low"])
-    heads = written(pages.groupBy(*_KEY).agg(lows.alias("lows")), "rule-heads")
+    ends = pages.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("page", "low", "high"))).alias("__ends"))
+    heads = written(ends.select(*_KEY, F.col("__ends.low").alias("lows"), F.col("__ends.high").alias("highs")), "rule-heads")
     return RuleIndex(
         tuple(codes), heads, pages, tuple(o for o in RULE_OPS if o in used["ops"]), tuple(used["kinds"]), tuple(used["conditions"]), bool(used["several"]))
 
@@ -175,7 +176,7 @@ def match_rules(msgs: DataFrame, rules: DataFrame | RuleIndex) -> DataFrame:
     """(message_id, device_id, report_time, rule_id), once per message row, for every rule with a trigger whose groups hold.
 
     A message asks the index for the keys that it can fire, at most one per code; of sorted thresholds it takes the pages that begin on
-    its side of its value, so the rows met follow the hits, not the number of rules. Triggers met are then tested
+    its side of its value, of ranges those that may reach it, so the rows met follow the hits, not the number of rules. Triggers met are then tested
     exactly. Of a rule's triggers the first that fires counts.
     """
     index = rules if isinstance(rules, RuleIndex) else index_rules(rules)
@@ -185,7 +186,7 @@ def match_rules(msgs: DataFrame, rules: DataFrame | RuleIndex) -> DataFrame:
         listens, named, kind, scope, met = code
         said = {"param": source, "state": F.col("state").cast("string")}.get(kind, F.lit(None).cast("string"))
         number = said.try_cast("double")
-        limit = {"up": number, "down": -number}.get(met, F.lit(None).cast("double"))
+        limit = {"up": number, "span": number, "down": -number}.get(met, F.lit(None).cast("double"))
         return F.struct(
             F.lit(i).alias("code"), (F.col("method") if listens else F.lit("")).alias("method"), (F.col("identifier") if named else F.lit("")).alias("identifier"),
             {"device": F.col("device_id"), "product": F.col("product_id")}.get(scope, F.lit(0)).cast("long").alias("scope_id"),
@@ -194,19 +195,21 @@ def match_rules(msgs: DataFrame, rules: DataFrame | RuleIndex) -> DataFrame:
 
     if not index.codes:
         return msgs.select("message_id", "device_id", "report_time", F.lit(None).cast("long").alias("rule_id")).limit(0)
-    asked = msgs.withColumn("__q", F.explode(F.array(*[probe(i, c) for i, c in enumerate(index.codes)])))
+    spread = msgs.repartition(int(msgs.sparkSession.conf.get("spark.sql.shuffle.partitions")))      # a small file of messages may fire many rules
+    asked = spread.withColumn("__q", F.explode(F.array(*[probe(i, c) for i, c in enumerate(index.codes)])))
     keyed = asked.select("*", *[F.col(f"__q.{c}").alias(f"__{c}") for c in [*_KEY, "limit"]]).drop("__q")
 
     def same(side: str, names: list[str]) -> Column:
         return reduce(lambda a, b: a & b, [F.col(f"__{c}") == F.col(f"__{side}_{c}") for c in names])
 
-    open_ = F.when(F.col("__limit").isNull() | F.isnan("__limit"), F.size("lows")).otherwise(F.size(F.filter("lows", lambda x: x <= F.col("__limit"))))
-    heads = index.heads.select(*[F.col(c).alias(f"__h_{c}") for c in _KEY], "lows")
+    anywhere = F.col("__limit").isNull() | F.isnan("__limit")
+    heads = index.heads.select(*[F.col(c).alias(f"__h_{c}") for c in _KEY], "lows", "highs")
     found = keyed.join(heads, same("h", _KEY))
-    turned = found.withColumn("__pages", open_).filter("__pages > 0").withColumn("__page", F.explode(F.sequence(F.lit(0), F.col("__pages") - 1)))
+    pages = F.filter(F.sequence(F.lit(0), F.size("lows") - 1), lambda i: anywhere | ((F.get("lows", i) <= F.col("__limit")) & (F.get("highs", i) >= F.col("__limit"))))
+    turned = found.withColumn("__page", F.explode(pages))
     page = index.pages.select(*[F.col(c).alias(f"__p_{c}") for c in _KEY], F.col("page").alias("__p_page"), "entries")
     met = turned.join(page, same("p", [*_KEY, "page"]))
-    near = F.filter("entries", lambda e: F.col("__limit").isNull() | F.isnan("__limit") | (e["x"] <= F.col("__limit")))
+    near = F.filter("entries", lambda e: anywhere | ((e["x"] <= F.col("__limit")) & (e["y"] >= F.col("__limit"))))
     rows = met.withColumn("__e", F.explode(near)).select(*msgs.columns, F.col("__e.rule_id").alias("rule_id"), F.col("__e.t").alias("t"), F.col("__e.earlier").alias("__earlier"))
     kinds = {k: m for k, (_, m) in sorted(TRIGGERS.items(), key=lambda kv: kv[1][0]) if k in index.kinds}
     conditions = {k: m for k, m in CONDITIONS.items() if k in index.conditions}
