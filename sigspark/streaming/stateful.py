@@ -1,9 +1,9 @@
 """Keyed state on streams: the same filters and windows as in batch, kept alive between micro-batches.
 
 Every operator is a state processor with value, list and map state and timers (RocksDB state store). The rows of a key
-inside a micro-batch come frame by frame and in any order, so they are first laid into a map state by span of their order (``span``
-units each), then taken out span by span in ascending order: memory holds one span of a key, whatever the batch
-brings. Rows at or before the last order already processed are dropped and counted. An order may be several
+inside a micro-batch come frame by frame and in any order. Up to ``MOST`` of them are held and sorted in memory; more are laid into
+a map state by span of their order (``span`` units each), then taken out span by span in ascending order: memory holds
+so many rows or one span of a key, whatever the batch brings. Rows at or before the last order already processed are dropped and counted. An order may be several
 columns, so that samples of one instant stay apart.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from sigspark.operators.filters import REGISTRY
 from sigspark.operators.scan import Fold, Scan, run_block
 
+MOST = 65_536                                                  # rows of a key and micro-batch that are held without the state store
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -36,21 +38,51 @@ def transform(df: DataFrame, keys: Sequence[str], processor: StatefulProcessor,
 
 
 class Spans:
-    """Rows of a key that wait in a map state, by span of their first order column; a span of many rows has several pages."""
+    """Rows of a key and micro-batch: in memory up to ``MOST``, beyond that in a map state by span of their first order column; a
+    span of many rows has several pages. A call to the state store costs about as much as sorting some hundred rows."""
 
     def __init__(self, handle: StatefulProcessorHandle, schema: T.StructType, order: Sequence[str], span: int) -> None:
         self.names, self.order, self.span = schema.names, list(order), span
         self.pages = handle.getMapState("pages", "span long, page int", T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in schema.fields]))
         self.known = handle.getMapState("known", "span long", "pages int")
-
-    def put(self, rows: pd.DataFrame) -> None:
+        self.frames, self.rows, self.laid = [], 0, False
+
+    def put(self, rows: pd.DataFrame) -> int:
+        """Take in the rows whose order has no null; the number of the others."""
+        known = rows
+        if any(rows[c].dtype != np.int64 for c in self.order):
+            known = rows.dropna(subset=self.order).astype({c: np.int64 for c in self.order})
+        if len(known):
+            self.frames.append(known)
+            self.rows += len(known)
+        if self.rows > MOST:
+            self.lay(pd.concat(self.frames, ignore_index=True))
+            self.frames, self.rows, self.laid = [], 0, True
+        return len(rows) - len(known)
+
+    def lay(self, rows: pd.DataFrame) -> None:
         for span, part in rows.groupby(rows[self.order[0]].to_numpy(dtype=np.int64) // self.span):
             n = self.known.getValue((int(span),))[0] if self.known.containsKey((int(span),)) else 0
             self.pages.updateValue((int(span), n), tuple([plain(v) for v in part[c].tolist()] for c in self.names))
             self.known.updateValue((int(span),), (n + 1,))
 
-    def take(self) -> Iterator[pd.DataFrame]:
-        """Span by span in ascending order, sorted; what is taken leaves the state."""
+    def take(self, whole: bool = False) -> Iterator[pd.DataFrame]:
+        """Span by span in ascending order, sorted (``whole``: at once, if all are in memory); what is taken is not held any more."""
+        frames, laid = self.frames, self.laid
+        self.frames, self.rows, self.laid = [], 0, False
+        if laid:
+            if frames:
+                self.lay(pd.concat(frames, ignore_index=True))
+            yield from self.laid_out()
+        elif frames:
+            rows = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
+            rows = rows.take(np.lexsort([rows[c].to_numpy() for c in reversed(self.order)])).reset_index(drop=True)
+            span = rows[self.order[0]].to_numpy() // self.span
+            edges = [0, *([] if whole else (np.flatnonzero(np.diff(span)) + 1).tolist()), len(rows)]
+            for a, b in zip(edges, edges[1:]):
+                yield rows.iloc[a:b]
+
+    def laid_out(self) -> Iterator[pd.DataFrame]:
         spans = sorted((k[0], v[0]) for k, v in self.known.iterator())
         for span, n in spans:
             parts = [pd.DataFrame(dict(zip(self.names, self.pages.getValue((span, i))))) for i in range(n)]
@@ -71,12 +103,14 @@ def fresh_rows(pdf: pd.DataFrame, order: Sequence[str], last: Sequence[int] | No
     """Of sorted rows those after ``last``, the first of each order, and how many were dropped."""
     after = np.full(len(pdf), last is None)
     level = ~after                                             # equal to ``last`` so far
-    for c, bound in zip(order, last or []):
-        v = pdf[c].to_numpy(dtype=np.int64)
+    cols = [pdf[c].to_numpy(dtype=np.int64) for c in order]
+    for v, bound in zip(cols, last or []):
         after |= level & (v > bound)
         level &= v == bound
-    keep = after & ~pdf.duplicated(list(order)).to_numpy()
-    return pdf[keep], int((~keep).sum())
+    first = np.ones(len(pdf), dtype=bool)
+    first[1:] = reduce(np.logical_or, [v[1:] != v[:-1] for v in cols])
+    keep = after & first
+    return (pdf, 0) if keep.all() else (pdf[keep], int((~keep).sum()))
 
 
 class FilterProcessor(StatefulProcessor):
@@ -92,12 +126,10 @@ class FilterProcessor(StatefulProcessor):
         self.spans = Spans(handle, self.schema, self.order, self.span)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        s, tail, pos, last, dropped = self.state.get() if self.state.exists() else ([], [], 0, None, 0)
+        s, tail, pos, last, dropped = self.state.get() or ([], [], 0, None, 0)
         for frame in rows:
-            whole = frame[self.order].notna().all(axis=1)
-            dropped += int((~whole).sum())
-            self.spans.put(frame[whole])
-        for part in self.spans.take():
+            dropped += self.spans.put(frame)
+        for part in self.spans.take(whole=True):
             pdf, late = fresh_rows(part, self.order, last)
             dropped += late
             if len(pdf):
@@ -163,35 +195,36 @@ class TrailingProcessor(StatefulProcessor):
         self.sizes = handle.getMapState("sizes", "tile long", "pages int")
         self.spans = Spans(handle, self.schema, [self.order], self.size)
 
-    def held(self, tile: int) -> list[np.ndarray]:
-        n = self.sizes.getValue((tile,))[0] if self.sizes.containsKey((tile,)) else 0
+    def held(self, tile: int, n: int) -> list[np.ndarray]:
         parts = [self.pages.getValue((tile, i)) for i in range(n)]
         return [np.array([x for p in parts for x in p[c]], dtype=k) for c, k in enumerate((np.int64, float, float))]
 
-    def keep(self, tile: int, t: np.ndarray, raw: np.ndarray, smooth: np.ndarray) -> None:
-        n = self.sizes.getValue((tile,))[0] if self.sizes.containsKey((tile,)) else 0
-        self.pages.updateValue((tile, n), (t.tolist(), raw.tolist(), smooth.tolist()))
-        self.sizes.updateValue((tile,), (n + 1,))
-
-    def evict(self, below: int) -> None:
-        for (tile,), (n,) in list(self.sizes.iterator()):
+    def store(self, fresh: dict[int, list[np.ndarray]], sizes: dict[int, int], below: int) -> None:
+        """The new samples, a page for each tile; tiles before ``below`` leave the state."""
+        for tile, n in sizes.items():
             if tile < below:
                 for i in range(n):
                     self.pages.removeKey((tile, i))
                 self.sizes.removeKey((tile,))
+        for tile, new in fresh.items():
+            n = sizes.get(tile, 0)
+            self.pages.updateValue((tile, n), tuple(x.tolist() for x in new))
+            self.sizes.updateValue((tile,), (n + 1,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest, processed, dropped, _ = self.done.get() if self.done.exists() else (None, 0, 0, 0)
+        done = self.done.get()
+        newest, processed, dropped, _ = done or (None, 0, 0, 0)
+        sizes = {tile: n for (tile,), (n,) in self.sizes.iterator()} if done else {}
+        tiles, fresh = {}, {}                                  # samples of the tile at hand and the one before; those of this batch
         before = newest                                        # rows of one instant may come in several frames, not in several batches
         for frame in rows:
-            known = frame[self.order].notna()
-            known &= (frame[self.order] >= before) if before is not None else True
-            dropped += int((~known).sum())
-            self.spans.put(frame[known])
+            late = frame[self.order].to_numpy() < before if before is not None else np.zeros(len(frame), dtype=bool)
+            dropped += int(late.sum()) + self.spans.put(frame[~late] if late.any() else frame)
         for pdf in self.spans.take():
             t = pdf[self.order].to_numpy(dtype=np.int64)
             tile = int(t[0] // self.size)
-            own, old = self.held(tile), self.held(tile - 1)
+            tiles, fresh = [{k: v for k, v in held.items() if k >= tile - 1} for held in (tiles, fresh)]
+            own, old = [tiles[k] if k in tiles else self.held(k, sizes.get(k, 0)) for k in (tile, tile - 1)]
             new = [t, pdf[self.value].to_numpy(dtype=float), pdf[self.filtered].to_numpy(dtype=float)]
             whole = [np.concatenate([a, b]) for a, b in zip(own, new)]
             ends = np.searchsorted(whole[0], t, side="right")          # rows of one instant are peers
@@ -206,9 +239,10 @@ class TrailingProcessor(StatefulProcessor):
             yield pdf.assign(
                 raw_power=mean(lambda r, s: r * r), filtered_power=mean(lambda r, s: s * s), residual_power=mean(lambda r, s: (r - s) ** 2),
                 n=n, processed=processed + 1 + np.arange(len(t)), dropped=dropped)
-            self.keep(tile, *new)
-            self.evict(tile - 1)
+            tiles, fresh[tile] = {tile - 1: old, tile: whole}, new
             processed, newest = processed + len(t), int(t[-1])
+        if fresh:
+            self.store(fresh, sizes, newest // self.size - 1)
         self.done.update((newest, processed, dropped, 0))
 
     def close(self) -> None:
@@ -313,10 +347,10 @@ class ThrottleProcessor(StatefulProcessor):
         self.spans = Spans(handle, self.schema, [self.order], max(self.width, 1))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
+        last, = self.last.get() or (None,)
         for frame in rows:
-            self.spans.put(frame[frame[self.order].notna()])
-        for pdf in self.spans.take():
+            self.spans.put(frame)
+        for pdf in self.spans.take(whole=True):
             t, picked, i = pdf[self.order].to_numpy(dtype=np.int64), [], 0
             while i < len(t):
                 if last is not None:
@@ -351,11 +385,11 @@ class OfflineProcessor(StatefulProcessor):
         self.newest = handle.getValueState("newest", "us long, told boolean")
 
     def told(self, key, last: list[int], back: list[int | None]) -> pd.DataFrame:
-        frame = pd.DataFrame({k: [v] * len(last) for k, v in zip(self.keys, key)})
-        return frame.assign(last_report=pd.to_datetime(last, unit="us"), back_at=pd.to_datetime(pd.Series(back, dtype="Int64"), unit="us"))
+        at = lambda us: np.array(us, dtype="datetime64[us]")
+        return pd.DataFrame({**{k: [v] * len(last) for k, v in zip(self.keys, key)}, "last_report": at(last), "back_at": at(back)})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest, told = self.newest.get() if self.newest.exists() else (None, False)
+        newest, told = self.newest.get() or (None, False)
         seen = [frame[self.time].dropna().astype("datetime64[us]").astype(np.int64).to_numpy() for frame in rows]
         times = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
         times = times[times > newest] if newest is not None else times
@@ -365,7 +399,7 @@ class OfflineProcessor(StatefulProcessor):
         gaps = np.flatnonzero(np.diff(line) > self.limit * 1000)
         if len(gaps):
             yield self.told(key, line[gaps].tolist(), line[gaps + 1].tolist())
-        if newest is not None:
+        if newest is not None and not told:
             self.handle.deleteTimer(newest // 1000 + self.limit)
         newest = int(times[-1])
         self.handle.registerTimer(newest // 1000 + self.limit)
