@@ -34,10 +34,14 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def slices_for(df: DataFrame) -> int:
-    """Slices of about ``sigspark.sliceBytes`` by the planner's estimate, at most as many as a shuffle has partitions."""
+    """Slices of about ``sigspark.sliceBytes``, at most as many as a shuffle has partitions.
+
+    The planner's estimate is that of compressed files, so unless it is far below a slice, rows are counted."""
     conf = df.sparkSession.conf
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(1, min(-(-size // int(conf.get("sigspark.sliceBytes", str(64 << 20)))), int(conf.get("spark.sql.shuffle.partitions"))))
+    size, most = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), int(conf.get("sigspark.sliceBytes", str(64 << 20)))
+    if size * 256 > most:
+        size = df.count() * (16 + df._jdf.schema().defaultSize())
+    return max(1, min(-(-size // most), int(conf.get("spark.sql.shuffle.partitions"))))
 
 
 def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
