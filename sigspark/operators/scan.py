@@ -21,12 +21,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sigspark.operators.series import SLICE, edgeless, key_struct, null_safe_join, on_slices, resumed, stretches
+from sigspark.operators.series import SLICE, edgeless, key_struct, null_safe_join, on_slices, resumed, settled, stretches
 from sigspark.session import written
 
 Cols = dict[str, np.ndarray]
@@ -126,25 +126,15 @@ def run_block(scan: Scan, cols: Cols, first: np.ndarray, start: np.ndarray) -> t
     blocks = -(-n // length)
     pad = blocks * length - n
 
-    def grid(a: np.ndarray) -> np.ndarray:
-        if pad:
-            a = np.concatenate([a, np.repeat(a[-1:], pad, axis=0)])
-        return a.reshape(blocks, length, *a.shape[1:])
-
-    tables = {k: grid(v) for k, v in cols.items()}
-    firsts = grid(first)
-    real = grid(np.ones(n, dtype=bool))
+    steps = scan.step(cols)
+    if first.any():
+        steps = maps.constant(steps, first, scan.first(cols))
     if pad:
-        real.reshape(-1)[n:] = False
+        steps = tuple(np.concatenate(both) for both in zip(steps, maps.identity(pad)))
+    table = [np.ascontiguousarray(a.reshape(blocks, length, *a.shape[1:]).swapaxes(0, 1)) for a in steps]
 
     def at(i: int):
-        row = {k: v[:, i] for k, v in tables.items()}
-        m = scan.step(row)
-        if firsts[:, i].any():
-            m = maps.constant(m, firsts[:, i], scan.first(row))
-        if pad and not real[:, i].all():
-            m = maps.pick(real[:, i], m, maps.identity(blocks))
-        return m
+        return table[0][i], table[1][i]
 
     total = maps.identity(blocks)
     for i in range(length):
@@ -354,7 +344,7 @@ def _relay(fold: Fold, by: Sequence[str], drop: Sequence[str]):
                     if i:
                         states[i - 1] = state
                     resumed = batch.column("__s0")[i].as_py() if at[i] > 0 else None
-                    state = resumed if resumed is not None else fold.initial(key_at(batch, named, i))
+                    state = resumed or fold.initial(key_at(batch, named, i))
                 state, out = fold.step(state, row, int(at[i]))
                 results.append(out)
             last, pos = key_at(batch, by, n - 1), int(at[-1]) + 1
@@ -365,6 +355,11 @@ def _relay(fold: Fold, by: Sequence[str], drop: Sequence[str]):
     return run
 
 
+def _no_state() -> Column:
+    """No state as an empty list: Spark's Arrow writer looks at its size row by row, and for null lists each look starts at the batch's begin."""
+    return F.array().cast("array<double>")
+
+
 def _begun(cut: DataFrame, keys: Sequence[str], saved: DataFrame | None) -> DataFrame:
     """``cut`` with the position and state where each key's first slice begins."""
     if saved is None:
@@ -382,23 +377,21 @@ def run_scan(
     its state in ``__state``.
     """
     cut, done = on_slices(df, keys, order)
-    by, extra = [SLICE, *keys], ["__pos0", "__s0", "__done", "__init", "__next"]
+    cut, by, extra = settled(cut), [SLICE, *keys], ["__pos0", "__s0"]
     if isinstance(scan, Fold):
         out = _run_fold(cut, scan, keys, order, saved)
-    elif edgeless(cut):
-        ready = _begun(cut, keys, saved).withColumnsRenamed({"__done": "__pos0", "__init": "__s0"})
-        if ends:
-            ready = ready.withColumn("__to", F.lit(None).cast("int")).withColumn("__state", F.lit(None).cast("array<double>"))
-        schema = _schema(ready.drop("__state"), extra, scan.outputs)
-        out = sorted_tasks(ready, by, order).mapInArrow(_replay(scan, by, extra, ends), schema.add("__state", T.ArrayType(T.DoubleType())) if ends else schema)
     else:
-        parts = _stretches(cut, keys, saved)
-        ready = resumed(_begun(cut, keys, saved), _starts(scan, cut, keys, order, parts), keys, __pos0="__pos0", __s0="__s0")
-        ready = ready.withColumn("__pos0", F.coalesce("__pos0", "__done")).withColumn("__s0", F.coalesce("__s0", "__init"))
-        if ends:
-            ready = resumed(ready, parts.filter(F.col("__next").isNotNull()), keys, __next="__next")
-            ready = ready.withColumn("__to", F.col("__next")).withColumn("__state", F.lit(None).cast("array<double>"))
-        schema = _schema(ready.drop("__state"), extra, scan.outputs)
+        ready, to = _begun(cut, keys, saved), F.lit(None).cast("int")
+        if edgeless(cut):
+            ready = ready.withColumns({"__pos0": F.col("__done"), "__s0": F.coalesce("__init", _no_state())})
+        else:
+            parts = _stretches(cut, keys, saved)
+            ready = resumed(ready, _starts(scan, cut, keys, order, parts), keys, __pos0="__pos0", __s0="__s0")
+            ready = ready.withColumns({"__pos0": F.coalesce("__pos0", "__done"), "__s0": F.coalesce("__s0", "__init", _no_state())})
+            if ends:
+                ready, to = resumed(ready, parts.filter(F.col("__next").isNotNull()), keys, __next="__next"), F.col("__next")
+        ready = (ready.withColumn("__to", to) if ends else ready).drop("__done", "__init", "__next")
+        schema = _schema(ready, extra, scan.outputs)
         out = sorted_tasks(ready, by, order).mapInArrow(_replay(scan, by, extra, ends), schema.add("__state", T.ArrayType(T.DoubleType())) if ends else schema)
     if not ends:
         return done(out.drop("__to", "__state"))
@@ -407,10 +400,10 @@ def run_scan(
 
 def _run_fold(cut: DataFrame, fold: Fold, keys: Sequence[str], order: Sequence[str], saved: DataFrame | None) -> DataFrame:
     """Turn 0 runs every key's first slice, turn n its n-th one, from the states that turn n - 1 has written."""
-    by, extra = [SLICE, *keys], ["__pos0", "__s0", "__next", "__nth", "__done", "__init"]
+    by, extra = [SLICE, *keys], ["__pos0", "__s0"]
 
     def stage(part: DataFrame) -> DataFrame:
-        moved = part.withColumn("__to", F.col("__next"))
+        moved = part.withColumn("__s0", F.coalesce("__s0", _no_state())).withColumnRenamed("__next", "__to").drop("__nth", "__done", "__init")
         schema = _schema(moved, extra, fold.outputs).add("__state", T.ArrayType(T.DoubleType()))
         return sorted_tasks(moved, by, order).mapInArrow(_relay(fold, by, extra), schema)
 

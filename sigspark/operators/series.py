@@ -66,6 +66,18 @@ def edgeless(cut: DataFrame) -> bool:
     return cut.schema[SLICE].metadata.get("slices") == 1
 
 
+def settled(cut: DataFrame) -> DataFrame:
+    """The series as a stored table, for operators that read it more than once: what made it runs once, not once a reading.
+
+    One slice, a frame without slices and columns taken or filtered from a stored table stay as they are."""
+    if SLICE not in cut.columns or edgeless(cut):
+        return cut
+    plan = cut._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return written(cut, "series") if plan.children().nonEmpty() else cut
+
+
 def key_struct(keys: Sequence[str]) -> Column:
     return F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
 
@@ -87,10 +99,12 @@ def stretches(cut: DataFrame, keys: Sequence[str], **totals: Column) -> DataFram
 
 
 def resumed(cut: DataFrame, starts: DataFrame, keys: Sequence[str], **columns: str) -> DataFrame:
-    """``cut`` with columns of ``starts``, which has at most one row per slice: for its key ``__k``; null for other keys."""
+    """``cut`` with columns of ``starts``, which has at most one row per slice: for its key ``__k``; null for other keys.
+
+    There are at most as many slices as a shuffle has partitions, so these rows are broadcast and the series is not dealt anew."""
     small = starts.select(SLICE, "__k", *[F.col(c).alias(f"__r_{n}") for n, c in columns.items()])
     mine = F.col("__k").isNotNull() & F.col("__k").eqNullSafe(key_struct(keys))
-    out = cut.join(small, SLICE, "left")
+    out = cut.join(F.broadcast(small), SLICE, "left")
     return out.select(*[F.col(f"`{c}`") for c in cut.columns], *[F.when(mine, F.col(f"__r_{n}")).alias(n) for n in columns])
 
 
@@ -115,6 +129,7 @@ def with_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], frame: F
     cut, done = on_slices(df, keys, order)
     if edgeless(cut):
         return done(cut.select("*", *[c.alias(n) for n, c in frame(within(keys, order)).items()]))
+    cut = settled(cut)
     full = cut.withColumn(HALO, F.lit(False))
     line = [*keys, *order]
     if before:
@@ -138,6 +153,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], **aggs: tu
     upto = within(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     if edgeless(cut):
         return done(cut.select("*", *[_TOTAL[f](c).over(upto).alias(n) for n, (f, c) in exprs.items()]))
+    cut = settled(cut)
     totals = stretches(cut, keys, **{f"__t_{n}": _TOTAL[f](c) for n, (f, c) in exprs.items()})
     past = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     rolled = totals.select(

@@ -329,7 +329,8 @@ def f36(spark, sf):
     from sigspark.plans.registry import table
 
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
-    wide = positions(table(spark, sf, "lineitem"), ["l_suppkey"], order, "i").select(
+    items = table(spark, sf, "lineitem").select("l_suppkey", *order, "l_discount", "l_tax")
+    wide = positions(items, ["l_suppkey"], order, "i").select(
         F.col("l_suppkey").alias("dev"), "i", F.col("l_quantity").alias("quantity"),
         F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
     long = filters.melt_channels(wide, ["quantity", "discount", "tax"])

@@ -5,7 +5,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigspark.operators import rules, series, windows
+from sigspark.operators import filters, rules, series, windows
+from sigspark.operators.scan import run_block
 from sigspark.streaming import stateful
 
 
@@ -98,3 +99,43 @@ def test_slices_follow_the_rows_not_the_compressed_files(spark, tmp_path):
         assert series.slices_for(spark.range(10)) == 1
     finally:
         spark.conf.unset("sigspark.sliceBytes")
+
+
+def test_no_row_carries_a_null_list_into_a_scan(spark, capsys):
+    """Spark's Arrow writer looks at its size row by row; with null lists each look costs the rows written before."""
+    df = spark.range(50).select(F.lit(0).alias("dev"), F.col("id").alias("t"), F.col("id").cast("double").alias("value"))
+    filters.apply_filter(df, "IIR", ["dev"], ["t"]).explain()
+    plan = capsys.readouterr().out
+    fed = next(line for line in plan.splitlines() if "MapInArrow" in line).split(")#")[0]
+    assert "__init" not in fed and "__done" not in fed and "null AS __s0" not in plan
+
+
+def test_a_block_asks_for_its_steps_once():
+    calls, scan = [], filters.REGISTRY["KALMAN"]()
+    step, scan.step = scan.step, lambda cols: calls.append(1) or step(cols)
+    pos, value = np.arange(1000) % 300, np.random.default_rng(1).normal(size=1000)
+    _, cur, _ = run_block(scan, {"value": value, "pos": pos}, pos == 0, np.zeros(1))
+    k, y = step({"value": np.ones(1000), "pos": pos})[1][:, 0], 0.0
+    for i in range(1000):
+        y = k[i] * value[i] + (1 - k[i]) * y * (pos[i] > 0)
+        assert abs(cur[i, 0] - y) < 1e-9
+    assert len(calls) == 1
+
+
+def test_a_computed_series_is_stored_before_it_is_read_again(spark, capsys):
+    df = spark.range(400).select(F.lit(0).alias("dev"), F.col("id").alias("t"), F.col("id").cast("double").alias("value"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("sigspark.sliceBytes", "1000")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        smooth = filters.apply_filter(series.sliced(df, ["dev"], ["t"]), "IIR", ["dev"], ["t"])
+        near = series.with_rows(smooth, ["dev"], ["t"], lambda w: {"n": F.lag("filtered").over(w)}, before=1)
+        near.explain()
+        assert "MapInArrow" not in capsys.readouterr().out
+        total = series.running(series.sliced(df, ["dev"], ["t"]), ["dev"], ["t"], total=("sum", "value"))
+        total.explain()
+        assert "SortMergeJoin" not in capsys.readouterr().out          # a row per slice is broadcast, the series stays where it is
+        assert total.agg(F.max("total")).first()[0] == 399 * 200
+    finally:
+        spark.conf.unset("sigspark.sliceBytes")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
