@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigspark.operators.scan import fresh_rows, key_at, sorted_tasks, with_columns
-from sigspark.operators.series import SLICE, edgeless, key_struct, on_slices, resumed, stretches
+from sigspark.operators.series import SLICE, edgeless, key_struct, on_slices, resumed, settled, stretches
 
 
 def _next_open(ts: np.ndarray, start: int, width: int, closed: bool) -> int:
@@ -94,6 +94,7 @@ def restart_windows(df: DataFrame, keys: Sequence[str], order: Sequence[str], wi
     if edgeless(cut):
         ready = cut.withColumn("__s0", F.lit(None).cast("long"))
         return done(sorted_tasks(ready, by, order).mapInArrow(_marker(by, t, width, closed, ["__s0"]), kept))
+    cut = settled(cut)
     parts = stretches(cut, keys).withColumn("__k", key_struct(keys))
     ends = f"{SLICE} int, __next int, limits array<long>, ends array<long>, first long"
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.operators.restart import restart_windows
-from sigspark.operators.series import null_safe_join, on_slices, positions, running, with_rows
+from sigspark.operators.series import null_safe_join, on_slices, positions, running, settled, with_rows
 
 
 def trailing_totals(df: DataFrame, keys, order: str, width: int, **values: Column) -> DataFrame:
@@ -129,6 +129,7 @@ def latest(df: DataFrame, keys, order: Sequence[str]) -> DataFrame:
 
 def decimate(df: DataFrame, keys, order, max_points: int, keep: Column | None = None) -> DataFrame:
     """Every k-th row with k = max(1, n / max_points), plus all rows where ``keep`` holds."""
+    df = settled(df)
     stride = df.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / max_points)).alias("__k"))
     placed = null_safe_join(positions(df, keys, order, "__pos"), stride, keys, "left")
     wanted = F.col("__pos") % F.col("__k") == 0
