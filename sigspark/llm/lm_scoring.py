@@ -77,6 +77,15 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """Whole numbers byte by byte of their planes: small ones leave the upper planes empty."""
+    return squeeze(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(expand(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def width_of(shards: int) -> int:
     """Keys that share a slice."""
     return -(-(1 << 48) // shards)
@@ -121,7 +130,7 @@ def in_blocks(docs: DataFrame, key: str, text: Column | str, held: Column, s: Se
             lists = [pa.ListArray.from_arrays(offsets, c) for c in (
                 whole.column(0).combine_chunks(), whole.column(1).combine_chunks(), pa.array(sizes))]
             one = [
-                squeeze(all_ids.tobytes()), squeeze(b" ".join(number)), np.bincount(train, minlength=len(number)).astype("<i4").tobytes(),
+                pack_numbers(all_ids), squeeze(b" ".join(number)), pack_numbers(np.bincount(train, minlength=len(number))),
             ]
             return pa.RecordBatch.from_arrays(
                 [pa.array([part << 32 | n], pa.int64()), *lists, *[pa.array([x], pa.binary()) for x in one]], names=names
@@ -151,47 +160,53 @@ def in_blocks(docs: DataFrame, key: str, text: Column | str, held: Column, s: Se
     return source.mapInArrow(run, schema)
 
 
+def dealt_words(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a vocabulary shard by shard, and the shard of each; whoever has the vocabulary knows them."""
+    shard = (hashes % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    return order, shard[order]
+
+
 def word_totals(blocks: DataFrame, shards: int, s: Settings) -> DataFrame:
-    """``block``, places in its vocabulary and the training counts of the words there; ``known`` and ``spread`` add up
-    to the number of distinct training words and the sum of their counts to the power."""
+    """``block``, ``shard`` and the training counts of the block's words there, in the order of ``dealt_words``; ``known`` and
+    ``spread`` add up to the number of distinct training words and the sum of their counts to the power."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, vocabulary, trained in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 tokens = np.array(expand(vocabulary).split(b" "), object)
-                counts = np.frombuffer(trained, "<i4")
-                shard = (word_hashes(tokens.tolist()) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.flatnonzero(np.diff(shard[order])) + 1
+                counts = unpack_numbers(trained)
+                order, shard = dealt_words(word_hashes(tokens.tolist()), shards)
+                cuts = np.flatnonzero(np.diff(shard)) + 1
                 rows = [
-                    (int(shard[p[0]]), block, p.astype("<i4").tobytes(), squeeze(b" ".join(tokens[p])), counts[p].tobytes())
-                    for p in np.split(order, cuts)
+                    (int(n[0]), block, squeeze(b" ".join(tokens[p])), pack_numbers(counts[p]))
+                    for n, p in zip(np.split(shard, cuts), np.split(order, cuts), strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(),) * 2 + (pa.binary(),) * 3, strict=True)],
-                    names=["shard", "block", "at", "words", "counts"],
+                    [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(),) * 2 + (pa.binary(),) * 2, strict=True)],
+                    names=["shard", "block", "words", "counts"],
                 )
 
     def add(rows: pa.Table) -> pa.Table:
         total: dict[bytes, int] = {}
         lists = [expand(w).split(b" ") for w in rows.column("words").to_pylist()]
         for tokens, counts in zip(lists, rows.column("counts").to_pylist(), strict=True):
-            for w, c in zip(tokens, np.frombuffer(counts, "<i4").tolist(), strict=True):
+            for w, c in zip(tokens, unpack_numbers(counts).tolist(), strict=True):
                 total[w] = total.get(w, 0) + c
         sums = np.array([c for c in total.values() if c], np.float64)
         first = [True] + [False] * (len(lists) - 1)
         return pa.table({
-            "block": rows.column("block"), "at": rows.column("at"),
-            "totals": pa.array([np.array([total[w] for w in tokens], "<i8").tobytes() for tokens in lists], pa.binary()),
+            "block": rows.column("block"), "shard": rows.column("shard"),
+            "totals": pa.array([pack_numbers(np.array([total[w] for w in tokens], "<i8")) for tokens in lists], pa.binary()),
             "known": pa.array([len(sums) * f for f in first], pa.int64()),
             "spread": pa.array([float((sums ** s.power).sum()) * f for f in first], pa.float64()),
         })
 
     dealt = blocks.select("block", "vocabulary", "trained").mapInArrow(deal, T.StructType([
-        field("shard", "long"), field("block", "long"), field("at", "binary"), field("words", "binary"), field("counts", "binary"),
+        field("shard", "long"), field("block", "long"), field("words", "binary"), field("counts", "binary"),
     ]))
     return dealt.groupBy("shard").applyInArrow(add, T.StructType([
-        field("block", "long"), field("at", "binary"), field("totals", "binary"), field("known", "long"), field("spread", "double"),
+        field("block", "long"), field("shard", "long"), field("totals", "binary"), field("known", "long"), field("spread", "double"),
     ]))
 
 
@@ -266,13 +281,13 @@ def bigram_levels(blocks: DataFrame, shards: int, levels: int, s: Settings) -> D
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, ids, vocabulary, held, sizes in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                keys = bigram_keys(word_hashes(expand(vocabulary).split(b" ")), np.frombuffer(expand(ids), "<i4"))
+                keys = bigram_keys(word_hashes(expand(vocabulary).split(b" ")), unpack_numbers(ids))
                 train = np.repeat(~np.array(held, bool), sizes)
                 keys, at = np.unique(keys, return_inverse=True)
                 counts = np.bincount(at[train], minlength=len(keys))
                 cuts = np.searchsorted(keys, np.arange(1, shards, dtype=np.uint64) * np.uint64(width_of(shards)))
                 rows = [
-                    (i, block, pack_keys(k), c.astype("<u4").tobytes())
+                    (i, block, pack_keys(k), pack_numbers(c))
                     for i, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)) if len(k)
                 ]
                 if rows:
@@ -284,12 +299,12 @@ def bigram_levels(blocks: DataFrame, shards: int, levels: int, s: Settings) -> D
     def add(rows: pa.Table) -> pa.Table:
         lists = [unpack_keys(k) for k in rows.column("keys").to_pylist()]
         keys = np.concatenate(lists)
-        counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<u4")
+        counts = np.concatenate([unpack_numbers(c) for c in rows.column("counts").to_pylist()])
         order = np.argsort(keys)
         ordered = keys[order]
         first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
         heads = np.flatnonzero(first)
-        one, sums = ordered[heads], np.add.reduceat(counts[order].astype(np.int64), heads)
+        one, sums = ordered[heads], np.add.reduceat(counts[order], heads)
         known = sums > 0
         size = bits_for(sums[known], s)
         model = Filter(build_slice(one[known], sums[known], size, s), 1, levels, replace(s, filter_bits=size))
@@ -320,12 +335,13 @@ def score(
         F.zip_with("held", "sizes", lambda h, n: F.when(h, 0).otherwise(n)), F.lit(0).cast("long"), lambda a, n: a + n)
     size, tokens = blocks.agg(
         F.coalesce(F.sum(F.octet_length("vocabulary")), F.lit(0)), F.coalesce(F.sum(trained), F.lit(0))).first()
-    totals = stored(word_totals(blocks, max(1, -(-size // s.shard_words)), s), "lm-totals")
+    word_shards = max(1, -(-size // s.shard_words))
+    totals = stored(word_totals(blocks, word_shards, s), "lm-totals")
     known, spread = totals.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("spread"), F.lit(0.0))).first()
     shards, levels = max(2, -(-tokens // s.shard_bigrams)), 1 + int(math.log(max(tokens, 1)) / math.log(s.base))
     found = stored(bigram_levels(blocks, shards, levels, s), "lm-bigrams")
     rate = found.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0] / max(spread, 1.0)
-    gathered = totals.groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("totals").alias("totals"))
+    gathered = totals.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "totals")))["totals"].alias("totals"))
     answers = found.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "levels")))["levels"].alias("levels"))
     edge = edges(levels, s)
 
@@ -333,16 +349,15 @@ def score(
         for b in batches:
             for i in range(b.num_rows):
                 keys, held, sizes = (b.column(c)[i].values for c in range(3))
-                ids, vocabulary = np.frombuffer(expand(b.column(3)[i].as_py()), "<i4"), expand(b.column(4)[i].as_py()).split(b" ")
-                count = np.zeros(len(vocabulary), np.int64)
-                for at, part in zip(b.column(5)[i].as_py(), b.column(6)[i].as_py(), strict=True):
-                    count[np.frombuffer(at, "<i4")] = np.frombuffer(part, "<i8")
+                ids, hashes = unpack_numbers(b.column(3)[i].as_py()), word_hashes(expand(b.column(4)[i].as_py()).split(b" "))
+                count = np.empty(len(hashes), np.int64)
+                count[dealt_words(hashes, word_shards)[0]] = np.concatenate([unpack_numbers(p) for p in b.column(5)[i].as_py()])
                 plain = (count + 1) / (tokens + known + 1)
                 before = np.concatenate([np.zeros(1, ids.dtype), ids[:-1]])
                 context = count[before].astype(np.float64)
                 trust = np.where(context > 0, 1 / (1 + rate * np.maximum(context, 1) ** (s.power - 1)), 0)
-                _, nth = np.unique(bigram_keys(word_hashes(vocabulary), ids), return_inverse=True)
-                level = np.frombuffer(b"".join(map(expand, b.column(7)[i].as_py())), np.uint8)
+                _, nth = np.unique(bigram_keys(hashes, ids), return_inverse=True)
+                level = np.frombuffer(b"".join(map(expand, b.column(6)[i].as_py())), np.uint8)
                 pairs = np.minimum(edge[level][nth], np.minimum(context, count[ids]))
                 p = trust * pairs / np.maximum(context, 1) + (1 - trust) * plain[ids]
                 n = sizes.to_numpy()

@@ -373,3 +373,20 @@ def test_stages_keep_every_column(spark, sf001):
         assert got.columns == wide.columns and got.count() > 0
         off = "not (score <=> doc_id and n_lines <=> doc_id and `a.b` <=> doc_id and tags['k'] <=> doc_id and predicted = 'p')"
         assert got.filter(off).count() == 0 and got.filter("fp <> 1 or uid <> 2 or n_chars <> length(text)").count() == 0
+
+
+def test_lm_exchanges_carry_numbers_in_planes_and_no_places(spark):
+    numbers = np.array([0, 1, 255, 256, 70_000, 5 << 40, 3] * 50)
+    assert np.array_equal(lm_scoring.unpack_numbers(lm_scoring.pack_numbers(numbers)), numbers)
+    assert len(lm_scoring.pack_numbers(np.ones(100_000, np.int64))) < 1000
+    s = lm_scoring.Settings(block=200)
+    docs = spark.createDataFrame([(i, f"one two w{i} one") for i in range(60)], "doc_id long, text string").coalesce(2)
+    blocks = lm_scoring.in_blocks(docs, "doc_id", "text", F.col("doc_id") < 0, s)
+    totals = lm_scoring.word_totals(blocks, 3, s)
+    assert "at" not in totals.columns
+    rows = {(r.block, r.shard): lm_scoring.unpack_numbers(r.totals) for r in totals.collect()}
+    for b in blocks.collect():
+        words = lm_scoring.expand(b.vocabulary).split(b" ")
+        places, shard = lm_scoring.dealt_words(lm_scoring.word_hashes(words), 3)
+        got = np.concatenate([rows[b.block, n] for n in np.unique(shard)])
+        assert [int(c) for c in got] == [{b"": 60, b"one": 120, b"two": 60}.get(words[p], 1) for p in places]
