@@ -14,7 +14,7 @@ from __future__ import annotations
 import functools
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,10 @@ from pyspark.sql import types as T
 from sigspark.llm.common import arrow_map, field, present, stored
 
 DIMS, BITS, BUCKETS = 4, 15, 256
+#: Words of more characters are not remembered.
+LONG = 64
+#: Signs that stay together after letters; the apostrophe, which may go with letters, is none of them.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def byte_letters() -> dict[int, int]:
@@ -47,7 +51,7 @@ class WordTokenizer:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.cache, self.known = Tokenizer.from_file(path), cache, {"": b""}
-        self.model, self.letters = self.tokenizer.model.tokenize, byte_letters()
+        self.model, self.letters, self.signs = self.tokenizer.model.tokenize, byte_letters(), {}
 
     def whole(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -61,29 +65,44 @@ class WordTokenizer:
         ids = [t.id for t in self.model(form)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def learn(self, words: set[str]) -> None:
-        known, other, ended = self.known, [], []
+    def sign(self, signs: str) -> bytes:
+        got = self.signs.get(signs)
+        if got is None:
+            got = self.whole([signs])[0]
+            if len(self.signs) < self.cache and len(signs) <= LONG:
+                self.signs[signs] = got
+        return got
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Ids of the words. Letters, and the signs after them, are pieces by themselves; letters are folded first."""
+        known, other = self.known, []
         for w in words:
-            if w.isalpha() and (w.isascii() or max(w) < "\u0250" and "\u0130" not in w):
-                known[w] = self.plain(w)
-            elif w[-1] in ".,;:!?" and w[:-1].isascii() and w[:-1].isalpha():
-                ended.append(w)
+            body = w.rstrip(SIGNS)
+            if body.isalpha() and (body.isascii() or max(body) < "\u0250" and "\u0130" not in body):
+                got = known.get(body)
+                if got is None:
+                    small = body.lower()
+                    got = known.get(small)
+                    if got is None:
+                        got = self.plain(small)
+                        if len(small) <= LONG:
+                            known[small] = got
+                known[w] = got if body is w else got + self.sign(w[len(body):])
             else:
                 other.append(w)
         known.update(zip(other, self.whole(other), strict=True))
-        for w in ended:
-            known[w] = (known.get(w[:-1]) or self.plain(w[:-1])) + (known.get(w[-1]) or self.whole([w[-1]])[0])
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         parted = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) >= self.cache:
-            self.known = {"": b""}
-        unknown = set().union(*parted).difference(self.known)
+        words = set().union(*parted)
+        if len(self.known) >= self.cache:                                    # words in use stay
+            self.known = {"": b""} | {w: self.known[w] for w in words & self.known.keys()}
+        unknown = words.difference(self.known)
         self.learn(unknown)
         get = self.known.__getitem__
         out = [b"".join(map(get, words)) + end for words in parted]
         for w in unknown:
-            if len(w) > 64:
+            if len(w) > LONG:
                 del self.known[w]
         return out
 

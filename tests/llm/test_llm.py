@@ -231,6 +231,22 @@ def test_packing_covers_every_token_once(spark, odd):
         assert sorted(by[None if k[0] else k[1]]) == sorted(x for j, i in want if j == k for x in i)
 
 
+def test_packing_tokenizes_a_word_once():
+    """Whatever its case and the signs after it."""
+    tokenizer, words = Tokenizer.from_file(queries.WORD_TOKENIZER), packing.WordTokenizer(queries.WORD_TOKENIZER)
+    few = packing.WordTokenizer(queries.WORD_TOKENIZER, cache=4)
+    asked, batches, model, batch = [], [], words.model, words.whole
+    words.model, words.whole = lambda form: asked.append(form) or model(form), lambda some: batches.append(list(some)) or batch(some)
+    texts = ["Stone, STONE stone.!! été$$$\nÉTÉ. stone,", "it's stone, " + "Long" * 50, "don't. a_b # stone#", ""]
+    for _ in range(3):
+        for t in texts:
+            ids = np.frombuffer(words.encode([t, t], b"")[1], "<u4").tolist()
+            assert ids == tokenizer.encode(t, add_special_tokens=False).ids
+            assert few.encode([t], b"") == [np.array(ids, "<u4").tobytes()]
+    assert asked.count("stone") == 1 and sum(b.count(",") for b in batches) == 1
+    assert max(map(len, words.known)) <= packing.LONG
+
+
 def test_hilbert_is_a_walk():
     points = np.array([[i, j, k] for i in range(8) for j in range(8) for k in range(8)])
     path = points[np.argsort(packing.hilbert(points, 3))]
