@@ -151,17 +151,39 @@ class PrefixTable:
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
+    @functools.cached_property
+    def entries(self) -> pa.Array:
+        """Bytes of each id, null for ids without a token."""
+        return pa.array(map(self.token.get, range(max(self.token, default=-1) + 1)), pa.large_binary())
+
+    def decode_all(self, packed: list[bytes]) -> pa.Array:
+        """Bytes of each packed id list."""
+        ids, ends = np.frombuffer(b"".join(packed), "<u4"), np.cumsum([0, *(len(i) // 4 for i in packed)])
+        tokens = self.entries.take(pa.array(ids))
+        if tokens.null_count:
+            raise KeyError("an id without a token")
+        _, places, data = tokens.buffers()
+        cuts = np.frombuffer(places, np.int64)[ends]                         # a list's tokens lie side by side
+        return pa.Array.from_buffers(pa.large_binary(), len(packed), [None, pa.py_buffer(cuts), data]).cast(pa.binary())
+
+
+#: Signs that the pattern takes together after letters; the apostrophe, which may go with letters, is none of them.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
 
 class Encoder:
-    """Texts to packed ids. Words between single blanks are remembered with their ids.
+    """Texts to packed ids. Words between single blanks or line ends are remembered with their ids.
 
-    A text is cut at its blanks; the pattern gives the same pieces for " word" alone as inside the text unless white
-    space meets the cut. Such texts are split whole.
+    A text is cut before its blanks and line ends; the pattern gives the same pieces for " word" and "\\nword" alone as
+    inside the text unless other white space meets the cut. Such texts are split whole. A word is held without its blank
+    or with its line end; the text's first word as if a line end came before, whose id (one: it is a single byte) is
+    taken off again. Letters and the signs after them are pieces by themselves and remembered so.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 300_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 400_000) -> None:
         self.table, self.split, self.cache = PrefixTable(ranks), regex.compile(pattern).findall, cache
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
+        self.signs: dict[str, bytes] = {"": b""}
 
     def piece(self, piece: str) -> bytes:
         got = self.known.get(piece[1:]) if piece[0] == " " else None
@@ -170,37 +192,51 @@ class Encoder:
     def pieces(self, text: str) -> bytes:
         return b"".join(map(self.piece, self.split(text)))
 
+    def sign(self, signs: str) -> bytes:
+        got = self.signs.get(signs)
+        if got is None:
+            got = packed(self.table.piece(signs.encode()))
+            if len(self.signs) < self.cache:                                 # words are short, so are their signs
+                self.signs[signs] = got
+        return got
+
     def learn(self, words: Iterable[str]) -> None:
-        """Ids of a blank and the word, in sorted order as neighbours share prefixes; None if it touches white space."""
+        """Ids of the words, those of letters in sorted order as neighbours share prefixes; None if they touch white space."""
         known, piece = self.known, self.table.piece
-        if len(known) >= self.cache:
-            known.clear()
         if len(self.table.pairs) >= 2 * self.cache:
             self.table.pairs.clear()
-        mixed = []
-        for word in sorted(words):
-            data = word.encode()
-            if word.isalpha() and len(data) <= 2 * len(word):                # letters below U+0800: one piece
-                known[word] = packed(piece(b" " + data))
+        line = packed(piece(b"\n"))
+        letters, ended, mixed = set(), [], []
+        for word in words:
+            body = word.rstrip(SIGNS)
+            bare = body[1:] if body[:1] == "\n" else body
+            if bare.isalpha() and (bare.isascii() or max(bare) < "\u0800"):      # one piece
+                if body not in known:
+                    letters.add(body)
+                if body is not word:
+                    ended.append((word, body))
             else:
                 mixed.append(word)
+        for body in sorted(letters):
+            known[body] = line + packed(piece(body[1:].encode())) if body[0] == "\n" else packed(piece(b" " + body.encode()))
+        for word, body in ended:
+            known[word] = known[body] + self.sign(word[len(body):])
         for word in mixed:
-            clean = word and not word[0].isspace() and not word[-1].isspace()
-            known[word] = self.pieces(" " + word) if clean else None
+            bare = word[1:] if word[:1] == "\n" else word
+            clean = bare and not bare[0].isspace() and not bare[-1].isspace()
+            known[word] = self.pieces(word if bare is not word else " " + word) if clean else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of a few texts."""
-        parted = [t.split(" ") for t in texts]
-        unknown = {w for _, *rest in parted for w in rest}.difference(self.known)
-        long = {w for w in unknown if len(w) > 64}
-        self.learn(unknown - long)
-        known, out = self.known, []
-        for text, (first, *rest) in zip(texts, parted, strict=True):
-            if not first or first[-1].isspace() or long and not long.isdisjoint(rest):
-                out.append(self.pieces(text))
-                continue
-            ids = [known[w] if w in known else None for w in rest]
-            out.append(self.pieces(text) if None in ids else self.pieces(first) + b"".join(ids))
+        parted = [f"\n{t.replace('\n', ' \n')}".split(" ") for t in texts]
+        words = set().union(*parted)
+        if len(self.known) >= self.cache:                                    # words in use stay
+            self.known = {w: self.known[w] for w in words & self.known.keys()}
+        self.learn(w for w in words.difference(self.known) if len(w) <= 64)
+        get, out = self.known.get, []
+        for text, part in zip(texts, parted, strict=True):
+            ids = [*map(get, part)]
+            out.append(self.pieces(text) if None in ids else b"".join(ids)[4:])
         return out
 
 
@@ -258,9 +294,12 @@ def round_trip(
         encoder = encoder_of(ranks, pattern)
 
         def step(texts: pa.Array):
-            ids = [i for n in range(0, len(texts), 400) for i in encoder.encode(texts.slice(n, 400).to_pylist())]
-            back = [encoder.table.decode(np.frombuffer(i, "<u4").tolist()) for i in ids]
-            return [pa.array(ids, pa.binary()), pa.array(back, pa.binary())]
+            ids, back = [], []
+            for n in range(0, len(texts), 400):
+                part = encoder.encode(texts.slice(n, 400).to_pylist())
+                ids += part
+                back.append(encoder.table.decode_all(part))
+            return [pa.array(ids, pa.binary()), pa.concat_arrays(back)]
 
         return step
 

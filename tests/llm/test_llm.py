@@ -265,6 +265,27 @@ def test_bpe_equals_the_library(spark, odd):
     assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode(many)] == [library.encode_ordinary(t) for t in many]
 
 
+def test_bpe_encodes_a_word_once():
+    """Whatever the signs after it; new words leave those in use remembered; all lists are decoded at once."""
+    ranks, asked = bpe.read_ranks(queries.BYTE_RANKS), []
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoder, few = bpe.Encoder(ranks, public_tokenizers.PATTERN), bpe.Encoder(ranks, public_tokenizers.PATTERN, cache=4)
+    piece = encoder.table.piece
+    encoder.table.piece = lambda data: asked.append(data) or piece(data)
+    texts = [
+        "Zanthe a zanthe, zanthe.!! zanthe$$$\nZanthe. zanthe\nZanthe,", "a\n zanthe \nzanthe\n\nzanthe\t\nb", "it's zanthe's", "", "\n", " b",
+        "\nb ", "Zanthe, b\u00a0c\u0301 a_b", "a " + "long" * 50 + " b\r\nc", "zanthe zanthe zanthe",
+    ]
+    for t in texts:
+        for each in (encoder, few):
+            ids, = each.encode([t])
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(t)
+    encoder.encode(texts[:1])
+    assert asked.count(b" zanthe") == 1 and asked.count(b",") == 1
+    assert encoder.table.decode_all(encoder.encode(texts)).to_pylist() == [t.encode() for t in texts]
+    assert encoder.table.decode_all([]).to_pylist() == []
+
+
 def test_bpe_append_and_edit():
     prefixes = bpe.PrefixTable(bpe.read_ranks(queries.BYTE_RANKS))
     piece, last = b"unbeliev", prefixes.extend(b"unbeliev", [])
