@@ -46,7 +46,7 @@ class WordTokenizer:
     Words of plain letters go straight to the tokenizer's model, all others through the whole tokenizer.
     """
 
-    def __init__(self, path: str, cache: int = 400_000) -> None:
+    def __init__(self, path: str, cache: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
