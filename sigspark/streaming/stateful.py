@@ -5,6 +5,9 @@ inside a micro-batch come frame by frame and in any order. Up to ``MOST`` of the
 a map state by span of their order (``span`` units each), then taken out span by span in ascending order: memory holds
 so many rows or one span of a key, whatever the batch brings. Rows at or before the last order already processed are dropped and counted. An order may be several
 columns, so that samples of one instant stay apart.
+
+Trailing windows serve many keys in a call: keys are dealt into ``LOTS`` lots, each with one state that names its keys. A
+call costs some milliseconds whatever it holds, so many keys of few rows each cost what their rows cost, not a call per key and batch.
 """
 
 from __future__ import annotations
@@ -15,14 +18,18 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sigspark.operators.filters import REGISTRY
 from sigspark.operators.scan import Fold, Scan, run_block
 
-MOST = 65_536                                                  # rows of a key and micro-batch that are held without the state store
+MOST = 65_536                                                  # rows of a key or lot and micro-batch that are held without the state store
+LOTS = 1024                                                    # groups of keys that share a state
+KEY, LOT = "key_text", "key_lot"                               # no underscore in front: rows come as named tuples
+NEVER = np.iinfo(np.int64).min
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -179,10 +186,59 @@ def filter_stream(
     return transform(df, keys, FilterProcessor(name.upper(), params, df.schema, order, value, span), out)
 
 
+def dealt(df: DataFrame, keys: Sequence[str], lots: int) -> DataFrame:
+    """``KEY``: the key as one text, lengths first, so that no two keys look alike; ``LOT``: which of ``lots`` groups of keys it is in."""
+    def told(k: str) -> Column:
+        kind = df.schema[k].dataType
+        if isinstance(kind, T.TimestampType):
+            return F.unix_micros(k).cast("string")
+        return F.to_json(F.struct(k)) if isinstance(kind, (T.StructType, T.ArrayType)) else F.hex(k) if isinstance(kind, T.BinaryType) else F.col(k).cast("string")
+
+    name = F.concat(*[F.coalesce(F.concat(F.length(told(k)), F.lit(":"), told(k)), F.lit("-")) for k in keys])
+    return df.withColumn(KEY, name).withColumn(LOT, F.pmod(F.hash(KEY), F.lit(lots)))
+
+
+def ranked(*pairs: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Pairs of a key's number and a time as integers that rise with both."""
+    known, place = np.unique(np.concatenate([t for _, t in pairs]), return_inverse=True)
+    ends = np.cumsum([len(t) for _, t in pairs])[:-1]
+    return [code * len(known) + at for (code, _), at in zip(pairs, np.split(place, ends))]
+
+
+def places(*cols: np.ndarray) -> np.ndarray:
+    """Position of each row in its run of equal values."""
+    at = np.arange(len(cols[0]))
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = reduce(np.logical_or, [c[1:] != c[:-1] for c in cols])
+    return at - np.maximum.accumulate(np.where(new, at, 0))
+
+
+def run_sums(values: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Running sums inside each run, by doubling; nothing is subtracted and nothing crosses a run."""
+    values, step, rows = values.copy(), 1, np.flatnonzero(place >= 1)
+    while len(rows):
+        values[rows] = values[rows] + values[rows - step]
+        step *= 2
+        rows = rows[place[rows] >= step]
+    return values
+
+
+def trailing(code: np.ndarray, t: np.ndarray, values: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of samples sorted by key and time: sums and number of those in ``[t - width, t]`` of the key, for ``rows``."""
+    size = max(width, 1)
+    tile = t // size
+    here, low = ranked((code, t), (code[rows], t[rows] - width))
+    since, upto = np.searchsorted(here, low, side="left"), np.searchsorted(here, here[rows], side="right")         # rows of one instant are peers
+    own = run_sums(values, places(code, tile))[upto - 1]
+    old = run_sums(values[::-1], places(code[::-1], tile[::-1]))[::-1][since]
+    return np.where((tile[since] < tile[rows])[:, None], own + old, own), upto - since
+
+
 class TrailingProcessor(StatefulProcessor):
     """Powers over ``[t - width, t]`` from tiles of the width: the sums of the own tile up to t, and of the tile before from t - width on.
 
-    The samples wait in a list of small pages per tile (map state); tiles that no frame reaches any more are evicted.
+    A call serves all keys of a lot. The samples that a later row may reach wait in pages of the lot (map state), one more for each
+    batch; the pages are written anew once half of their samples are out of reach.
     """
 
     def __init__(self, schema: T.StructType, order: str, width: int, value: str, filtered: str) -> None:
@@ -190,74 +246,87 @@ class TrailingProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.size = max(self.width, 1)
-        self.done = handle.getValueState("done", "newest long, processed long, dropped long, tile long")
-        self.pages = handle.getMapState("tiles", "tile long, page int", "t array<long>, raw array<double>, smooth array<double>")
-        self.sizes = handle.getMapState("sizes", "tile long", "pages int")
+        self.done = handle.getValueState("done", "names array<string>, newest array<long>, processed array<long>, dropped array<long>, pages int, rows long")
+        self.pages = handle.getMapState("samples", "page int", "key array<int>, t array<long>, raw array<double>, smooth array<double>")
         self.spans = Spans(handle, self.schema, [self.order], self.size)
 
-    def held(self, tile: int, n: int) -> list[np.ndarray]:
-        parts = [self.pages.getValue((tile, i)) for i in range(n)]
-        return [np.array([x for p in parts for x in p[c]], dtype=k) for c, k in enumerate((np.int64, float, float))]
-
-    def store(self, fresh: dict[int, list[np.ndarray]], sizes: dict[int, int], below: int) -> None:
-        """The new samples, a page for each tile; tiles before ``below`` leave the state."""
-        for tile, n in sizes.items():
-            if tile < below:
-                for i in range(n):
-                    self.pages.removeKey((tile, i))
-                self.sizes.removeKey((tile,))
-        for tile, new in fresh.items():
-            n = sizes.get(tile, 0)
-            self.pages.updateValue((tile, n), tuple(x.tolist() for x in new))
-            self.sizes.updateValue((tile,), (n + 1,))
+    def held(self, n: int) -> list[np.ndarray]:
+        """Number of the key, time and samples of ``n`` pages; none is new."""
+        parts = [self.pages.getValue((i,)) for i in range(n)]
+        cols = [np.array([x for p in parts for x in p[c]], dtype=k) for c, k in enumerate((np.int64, np.int64, float, float))]
+        return [*cols, np.zeros(len(cols[0]), dtype=bool)]
+
+    def store(self, held: list[np.ndarray], n: int, rows: int) -> tuple[int, int]:
+        """The new samples behind ``n`` pages of ``rows`` samples, or all samples anew; pages and samples then stored."""
+        *cols, fresh = held
+        if n >= 16 or rows + int(fresh.sum()) > 2 * len(fresh) + 1000:
+            for i in range(n):
+                self.pages.removeKey((i,))
+            n, rows, fresh = 0, 0, np.ones(len(fresh), dtype=bool)
+        kept = [x[fresh] for x in cols]
+        for a in range(0, len(kept[0]), MOST):
+            self.pages.updateValue((n,), tuple(x[a:a + MOST].tolist() for x in kept))
+            n += 1
+        return n, rows + len(kept[0])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        done = self.done.get()
-        newest, processed, dropped, _ = done or (None, 0, 0, 0)
-        sizes = {tile: n for (tile,), (n,) in self.sizes.iterator()} if done else {}
-        tiles, fresh = {}, {}                                  # samples of the tile at hand and the one before; those of this batch
-        before = newest                                        # rows of one instant may come in several frames, not in several batches
-        for frame in rows:
-            late = frame[self.order].to_numpy() < before if before is not None else np.zeros(len(frame), dtype=bool)
-            dropped += int(late.sum()) + self.spans.put(frame[~late] if late.any() else frame)
-        for pdf in self.spans.take():
-            t = pdf[self.order].to_numpy(dtype=np.int64)
-            tile = int(t[0] // self.size)
-            tiles, fresh = [{k: v for k, v in held.items() if k >= tile - 1} for held in (tiles, fresh)]
-            own, old = [tiles[k] if k in tiles else self.held(k, sizes.get(k, 0)) for k in (tile, tile - 1)]
-            new = [t, pdf[self.value].to_numpy(dtype=float), pdf[self.filtered].to_numpy(dtype=float)]
-            whole = [np.concatenate([a, b]) for a, b in zip(own, new)]
-            ends = np.searchsorted(whole[0], t, side="right")          # rows of one instant are peers
-            low = np.searchsorted(old[0], t - self.width, side="left")
-
-            def mean(f) -> np.ndarray:
-                upto = np.concatenate([[0.0], np.cumsum(f(*whole[1:]))])
-                since = np.concatenate([np.cumsum(f(*old[1:])[::-1])[::-1], [0.0]])
-                return (upto[ends] + since[low]) / n
-
-            n = ends + len(old[0]) - low
+        names, newest, processed, dropped, pages, stored = self.done.get() or ([], [], [], [], 0, 0)
+        number = {name: i for i, name in enumerate(names)}
+        newest, processed, dropped = [np.array(c, dtype=np.int64) for c in (newest, processed, dropped)]
+
+        def numbers(frame: pd.DataFrame) -> np.ndarray:
+            code, seen = pd.factorize(frame[KEY])
+            return np.array([number.setdefault(name, len(number)) for name in seen], dtype=np.int64)[code]
+
+        for frame in rows:                                     # rows of one instant may come in several frames, not in several batches
+            code, t = numbers(frame), frame[self.order].to_numpy()
+            more = len(number) - len(newest)
+            newest, processed, dropped = [np.append(c, np.full(more, none)) for c, none in ((newest, NEVER), (processed, 0), (dropped, 0))]
+            out = pd.isna(t) | (t < newest[code])
+            dropped += np.bincount(code[out], minlength=len(number))
+            self.spans.put(frame[~out] if out.any() else frame)
+        held = None
+        for pdf in self.spans.take(whole=True):
+            held = self.held(pages) if held is None else held
+            code, t = numbers(pdf), pdf[self.order].to_numpy(dtype=np.int64)
+            new = [code, t, pdf[self.value].to_numpy(dtype=float), pdf[self.filtered].to_numpy(dtype=float), np.ones(len(t), dtype=bool)]
+            whole = [np.concatenate([a, b]) for a, b in zip(held, new)]
+            at = np.lexsort([whole[1], whole[0]])
+            whole, mine = [x[at] for x in whole], np.flatnonzero(at >= len(held[0]))
+            pdf, (code, t, raw, smooth, _) = pdf.iloc[at[mine] - len(held[0])], whole
+            sums, n = trailing(code, t, np.stack([raw * raw, smooth * smooth, (raw - smooth) ** 2], axis=1), mine, self.width)
+            who = code[mine]
             yield pdf.assign(
-                raw_power=mean(lambda r, s: r * r), filtered_power=mean(lambda r, s: s * s), residual_power=mean(lambda r, s: (r - s) ** 2),
-                n=n, processed=processed + 1 + np.arange(len(t)), dropped=dropped)
-            tiles, fresh[tile] = {tile - 1: old, tile: whole}, new
-            processed, newest = processed + len(t), int(t[-1])
-        if fresh:
-            self.store(fresh, sizes, newest // self.size - 1)
-        self.done.update((newest, processed, dropped, 0))
+                **{c: sums[:, i] / n for i, c in enumerate(("raw_power", "filtered_power", "residual_power"))},
+                n=n, processed=processed[who] + 1 + places(who), dropped=dropped[who])[self.given]
+            processed += np.bincount(who, minlength=len(number))
+            np.maximum.at(newest, who, t[mine])
+            held = [x[t // self.size >= newest[code] // self.size - 1] for x in whole]
+        if held is not None:
+            pages, stored = self.store(held, pages, stored)
+        self.done.update((list(number), newest.tolist(), processed.tolist(), dropped.tolist(), pages, stored))
+
+    @property
+    def given(self) -> list[str]:
+        return [c for c in self.schema.names if c not in (KEY, LOT)] + ["raw_power", "filtered_power", "residual_power", "n", "processed", "dropped"]
 
     def close(self) -> None:
         pass
 
 
-def trailing_stream(df: DataFrame, keys: Sequence[str], order: str, width: int, value: str = "value", filtered: str = "filtered") -> DataFrame:
+def trailing_stream(
+    df: DataFrame, keys: Sequence[str], order: str, width: int, value: str = "value", filtered: str = "filtered", lots: int = LOTS,
+) -> DataFrame:
     """Mean powers over ``[t - width, t]`` and the running row count, nothing subtracted.
 
-    Rows older than the newest one of an earlier batch are dropped and counted (``dropped``, of the key so far).
+    Rows older than the newest one of an earlier batch are dropped and counted (``dropped``, of the key so far). ``lots``: groups of
+    keys with one state each; it must stay the same for the life of a checkpoint.
     """
     out = T.StructType([
         *df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("raw_power", "filtered_power", "residual_power")],
         T.StructField("n", T.LongType()), T.StructField("processed", T.LongType()), T.StructField("dropped", T.LongType())])
-    return transform(df, keys, TrailingProcessor(df.schema, order, width, value, filtered), out)
+    lot = dealt(df, keys, lots)
+    return transform(lot, [LOT], TrailingProcessor(lot.schema, order, width, value, filtered), out)
 
 
 class ReorderProcessor(StatefulProcessor):

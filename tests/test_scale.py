@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,3 +140,96 @@ def test_a_computed_series_is_stored_before_it_is_read_again(spark, capsys):
     finally:
         spark.conf.unset("sigspark.sliceBytes")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+class Memory(Store):
+    """A state handle with values too; what it holds must be plain."""
+
+    def getValueState(self, name, kind):
+        store = self
+
+        class Value:
+            held = None
+
+            def get(self):
+                store.calls += 1
+                return self.held
+
+            def update(self, value):
+                store.calls += 1
+                assert all(type(x) in (int, float, str) for part in value for x in (part if isinstance(part, list) else [part]))
+                self.held = value
+
+        return Value()
+
+
+LOT = T.StructType().add("dev", "long").add("us", "long").add("id", "long").add("value", "double").add("filtered", "double").add("key_text", "string").add("key_lot", "integer")
+
+
+def batches(keys, rows, n=4, seed=8):
+    """Rows of many keys, some late, some without a time, some of one instant, in no order; keys come and go."""
+    rng = np.random.default_rng(seed)
+    for b in range(n):
+        dev = rng.integers(0, keys * (b + 1) // n, rows)
+        us = rng.integers(b * 300 - 40, (b + 1) * 300, rows)
+        df = pd.DataFrame({"dev": dev, "us": np.where(rng.random(rows) < 0.05, np.nan, us), "id": b * rows + np.arange(rows), "value": rng.normal(size=rows)})
+        yield df.assign(filtered=df.value * 0.5, key_text=[f"2:{d}" for d in dev], key_lot=7)
+
+
+def served(processor, df, size):
+    out = list(processor.handleInputRows((7,), iter([df[i:i + size] for i in range(0, len(df), size)]), None))
+    return pd.concat(out, ignore_index=True) if out else None
+
+
+@pytest.mark.parametrize("most", [65_536, 150])
+@pytest.mark.parametrize("width", [70, 900, 0])
+def test_one_call_gives_the_trailing_windows_of_many_keys(monkeypatch, most, width):
+    """300 keys, 4 batches: calls to the state store do not grow with the keys, and the samples kept do not grow with the batches."""
+    monkeypatch.setattr(stateful, "MOST", most)
+    store = Memory()
+    processor = stateful.TrailingProcessor(LOT, "us", width, "value", "filtered")
+    processor.init(store)
+    seen, newest, dropped, count = {}, {}, {}, {}
+    for df in batches(300, 900):
+        got = served(processor, df, 128).set_index("id")
+        assert list(got) == ["dev", "us", "value", "filtered", "raw_power", "filtered_power", "residual_power", "n", "processed", "dropped"]
+        before = dict(newest)
+        taken = []
+        for r in df.itertuples():
+            if r.us != r.us or r.us < before.get(r.dev, -1e9):
+                dropped[r.dev] = dropped.get(r.dev, 0) + 1
+            else:
+                taken.append(r)
+                newest[r.dev] = max(newest.get(r.dev, -1e9), r.us)
+                seen.setdefault(r.dev, []).append((r.us, r.value))
+        assert len(got) == len(taken)
+        for r in taken:
+            near = [v * v for u, v in seen[r.dev] if r.us - width <= u <= r.us]
+            x = got.loc[r.id]
+            assert x.n == len(near) and abs(x.raw_power - sum(near) / len(near)) < 1e-12
+            assert abs(x.filtered_power - x.raw_power / 4) < 1e-12 and abs(x.residual_power - x.raw_power / 4) < 1e-12
+            assert x.dropped == dropped.get(r.dev, 0) and x.us == r.us
+        for dev, part in got.groupby("dev"):
+            assert part.sort_values(["us", "processed"]).processed.tolist() == [count.get(dev, 0) + 1 + i for i in range(len(part))]
+            count[dev] = count.get(dev, 0) + len(part)
+    assert most < 900 or store.calls < 60
+    kept = sum(len(p[0]) for p in store.maps["samples"].values())
+    assert kept <= 2 * sum(u // max(width, 1) >= newest[d] // max(width, 1) - 1 for d in seen for u, _ in seen[d]) + 1000
+
+
+def test_powers_stay_apart_from_large_samples_and_missing_ones():
+    """Nothing is subtracted: a large or a missing sample of a key touches neither its neighbour nor a window that has left it."""
+    processor = stateful.TrailingProcessor(LOT, "us", 10, "value", "filtered")
+    processor.init(Memory())
+    value = {1: [1e9] + [1e-4] * 59, 2: [1e-4] * 60, 3: [np.nan] + [1e-4] * 59, 4: [np.inf] + [1e-4] * 59}
+    df = pd.DataFrame([(d, u, 100 * d + u, v[u], 0.0, f"1:{d}", 7) for d, v in value.items() for u in range(60)], columns=LOT.names)
+    got = served(processor, df, 50)
+    assert (abs(got[(got.us > 25) | (got.dev == 2)].raw_power - 1e-8) < 1e-20).all()
+    assert got[(got.dev == 3) & (got.us <= 9)].raw_power.isna().all()
+
+
+def test_keys_that_look_alike_stay_apart(spark):
+    rows = [("a", "b:1"), ("a:1", "b"), (None, "-"), ("-", None), (None, None), ("", None), ("1", "1:b")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    got = stateful.dealt(df, ["x", "y"], 4).collect()
+    assert len({r.key_text for r in got}) == len(rows) and {r.key_lot for r in got} <= set(range(4))
