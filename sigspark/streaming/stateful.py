@@ -6,7 +6,7 @@ a map state by span of their order (``span`` units each), then taken out span by
 so many rows or one span of a key, whatever the batch brings. Rows at or before the last order already processed are dropped and counted. An order may be several
 columns, so that samples of one instant stay apart.
 
-Trailing windows serve many keys in a call: keys are dealt into ``LOTS`` lots, each with one state that names its keys. A
+Trailing windows and throttles serve many keys in a call: keys are dealt into ``LOTS`` lots, each with one state that names its keys. A
 call costs some milliseconds whatever it holds, so many keys of few rows each cost what their rows cost, not a call per key and batch.
 """
 
@@ -408,39 +408,46 @@ def reorder_stream(
 
 
 class ThrottleProcessor(StatefulProcessor):
+    """The last time sent of every key of a lot."""
+
     def __init__(self, schema: T.StructType, order: str, width: int) -> None:
         self.schema, self.order, self.width = schema, order, width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "t long")
+        self.last = handle.getValueState("last", "names array<string>, t array<long>")
         self.spans = Spans(handle, self.schema, [self.order], max(self.width, 1))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, = self.last.get() or (None,)
+        last = dict(zip(*(self.last.get() or ([], []))))
         for frame in rows:
             self.spans.put(frame)
         for pdf in self.spans.take(whole=True):
-            t, picked, i = pdf[self.order].to_numpy(dtype=np.int64), [], 0
-            while i < len(t):
-                if last is not None:
-                    i = max(i, int(np.searchsorted(t, last + self.width, side="left")))
-                    if i >= len(t):
-                        break
-                picked.append(i)
-                last = int(t[i])
-                i += 1
+            code, names = pd.factorize(pdf[KEY])
+            at = np.argsort(code, kind="stable")
+            code, t, n = code[at], pdf[self.order].to_numpy(dtype=np.int64)[at], len(names)
+            firsts = np.searchsorted(code, np.arange(n))
+            least = np.array([last[name] + self.width if name in last else int(t[i]) for name, i in zip(names, firsts)], dtype=np.int64)
+            here, after, begin = ranked((code, t), (code, t + self.width), (np.arange(n), least))
+            follow = np.maximum(np.searchsorted(here, after), np.arange(1, len(t) + 1)).tolist()
+            picked = []
+            for name, i, end in zip(names, np.searchsorted(here, begin).tolist(), [*firsts[1:].tolist(), len(t)]):
+                while i < end:
+                    picked.append(i)
+                    last[name], i = int(t[i]), follow[i]
             if picked:
-                yield pdf.iloc[picked]
-        if last is not None:
-            self.last.update((last,))
+                yield pdf.iloc[at[picked]].drop(columns=[KEY, LOT])
+        if last:
+            self.last.update((list(last), list(last.values())))
 
     def close(self) -> None:
         pass
 
 
-def throttle_stream(df: DataFrame, keys: Sequence[str], order: str, width: int) -> DataFrame:
-    """At most one row per key per ``width``: a row passes when the last sent one is that old (cool-down). Null orders do not pass."""
-    return transform(df, keys, ThrottleProcessor(df.schema, order, width), df.schema)
+def throttle_stream(df: DataFrame, keys: Sequence[str], order: str, width: int, lots: int = LOTS) -> DataFrame:
+    """At most one row per key per ``width``: a row passes when the last sent one is that old (cool-down). Null orders do not pass.
+    ``lots``: groups of keys with one state each; it must stay the same for the life of a checkpoint."""
+    lot = dealt(df, keys, lots)
+    return transform(lot, [LOT], ThrottleProcessor(lot.schema, order, width), df.schema)
 
 
 class OfflineProcessor(StatefulProcessor):

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from sigspark.operators import filters, rules, series, windows
 from sigspark.operators.scan import run_block
-from sigspark.streaming import stateful
+from sigspark.streaming import jobs, stateful
 
 
 class Store:
@@ -233,3 +233,53 @@ def test_keys_that_look_alike_stay_apart(spark):
     df = spark.createDataFrame(rows, "x string, y string")
     got = stateful.dealt(df, ["x", "y"], 4).collect()
     assert len({r.key_text for r in got}) == len(rows) and {r.key_lot for r in got} <= set(range(4))
+
+
+@pytest.mark.parametrize("most", [65_536, 150])
+@pytest.mark.parametrize("width", [70, 1, 0])
+def test_one_call_throttles_many_keys(monkeypatch, most, width):
+    monkeypatch.setattr(stateful, "MOST", most)
+    store = Memory()
+    processor = stateful.ThrottleProcessor(LOT, "us", width)
+    processor.init(store)
+    last = {}
+    for df in batches(300, 900):
+        want = []
+        for r in df.dropna(subset=["us"]).sort_values("us", kind="stable").itertuples():
+            if r.dev not in last or r.us >= last[r.dev] + width:
+                last[r.dev] = r.us
+                want.append(r.id)
+        got = served(processor, df, 128)
+        assert list(got) == ["dev", "us", "id", "value", "filtered"] and sorted(got.id) == sorted(want)
+    assert most < 900 or store.calls <= 8
+
+
+def test_streams_deal_their_keys_into_lots(spark, parts_of_keys, tmp_path):
+    """Null keys are one key, over two batches; the number of lots changes nothing."""
+    df, src = parts_of_keys
+    read = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = {}
+    for lots in (1, 5):
+        sent = jobs.drain(spark, stateful.throttle_stream(read(), ["dev", "ch"], "us", 25, lots), str(tmp_path / f"a{lots}"))
+        power = jobs.drain(spark, stateful.trailing_stream(read(), ["dev", "ch"], "us", 25, "value", "value", lots), str(tmp_path / f"b{lots}"))
+        assert sent.columns == df.columns and "key_lot" not in power.columns
+        got[lots] = sorted(r.id for r in sent.collect()), sorted((r.id, r.n, r.processed) for r in power.collect())
+    assert got[1] == got[5]
+    last, want = {}, []
+    rows = sorted(df.collect(), key=lambda r: r.us)
+    for r in rows:
+        if r.us - last.get((r.dev, r.ch), -99) >= 25:
+            last[r.dev, r.ch] = r.us
+            want.append(r.id)
+    assert got[1][0] == sorted(want)
+    assert [(i, n) for i, n, _ in got[1][1]] == sorted((r.id, sum(q.dev == r.dev and q.ch == r.ch and r.us - 25 <= q.us <= r.us for q in rows)) for r in rows)
+
+
+@pytest.fixture
+def parts_of_keys(spark, tmp_path):
+    src = str(tmp_path / "src")
+    rows = [([None, 1, 2, 2**52][i % 4], ["x", None, "y"][i % 3], i, i, float(i % 7)) for i in range(120)]
+    df = spark.createDataFrame(rows, "dev long, ch string, us long, id long, value double")
+    for half in ("us < 60", "us >= 60"):
+        df.filter(half).coalesce(1).write.mode("append").parquet(src)
+    return df, src
