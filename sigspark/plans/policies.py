@@ -80,7 +80,7 @@ def many_rules(spark, sf):
  AND CASE op WHEN '>' THEN value > 300 + x WHEN '<' THEN value < x / 100 WHEN '=' THEN value = x ELSE value BETWEEN x AND x + w / 1000 END GROUP BY 1""")
 def c05_many(spark, sf):
     m = messages(spark, sf).withColumn("identifier", F.lit("value"))
-    return rules.match_rules(m, many_rules(spark, sf)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.min("message_id").alias("first"))
+    return rules.match_rules(m, many_rules(spark, sf), first="message_id").groupBy("rule_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 @query("l03_scene_actions", f"WITH {HITS}, a AS (SELECT * FROM (VALUES (1, 'alert', 11), (1, 'device', 12), (2, 'alert', 21), (3, 'notify', 31), (4, 'notify', 41)) t(rule_id, kind, target)) SELECT message_id, rule_id, kind, target FROM h JOIN a USING (rule_id)")

@@ -107,3 +107,85 @@ def test_routing_by_equality(spark):
     kinds = spark.createDataFrame([(i, "x", i != 5) for i in range(1, 10)], "sink_id int, kind string, enabled boolean")
     got = sorted((x.id, x.sink_id) for x in sinks.route_to_sinks(msgs, r, kinds).collect())
     assert got == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (3, 9)]
+
+
+def folded(pairs):
+    out = {}
+    for message, rule in pairs:
+        n, first = out.get(rule, (0, message))
+        out[rule] = n + 1, min(first, message)
+    return out
+
+
+def got_folded(df):
+    out = {}
+    for r in df.collect():
+        assert r.n > 0
+        n, first = out.get(r.rule_id, (0, r.first))
+        out[r.rule_id] = n + r.n, min(first, r.first)
+    return out
+
+
+def rule_rows(spark, table):
+    return spark.createDataFrame([(r, [t[:6] + (None if t[6] is None else [[(c[0], c[1], c[2], c[3]) for c in g] for g in t[6]],) for t in ts], a) for r, ts, a in table], rules.RULES)
+
+
+def test_folded_matches_equal_plain_evaluation(spark, case):
+    """Counted along a line or by text, or tested one by one: the same matches of every rule, rules and messages that come twice too."""
+    messages, table = case
+    single = [(1000 + i, [t[:6] + (g,)], a) for i, (_, ts, a) in enumerate(table) for t, g in [(ts[0], None if i % 2 else [])]]
+    df = spark.createDataFrame([tuple(m.values()) for m in messages], MESSAGES)
+    twice = spark.createDataFrame([tuple(m.values()) for m in messages[:50]], MESSAGES)
+    index = rules.index_rules(rule_rows(spark, table + single))
+    assert {c[4] for c in index.codes if c[-1]} == {"up", "down", "eq", "span"} and not all(c[-1] for c in index.codes)
+    want = folded(plain(messages, table + single))
+    assert len(want) > 100 and got_folded(rules.match_rules(df, index, "message_id")) == want
+    both = got_folded(rules.match_rules(df.union(twice), rules.index_rules(rule_rows(spark, table + single + single)), "message_id"))
+    assert both == folded(plain(messages + messages[:50], table + single + single))
+    assert rules.match_rules(df, spark.createDataFrame([], rules.RULES), "message_id").columns == ["rule_id", "n", "first"]
+    assert rules.match_rules(df.limit(0), index, "message_id").count() == 0
+
+
+def test_folded_thresholds_at_the_value(spark):
+    values = ["5", "5.0", "-0.0", "0", "abc", "", None, "nan", "1e400", "-1e400", "7"]
+    messages = [dict(message_id=i, device_id=1, product_id=None, method=rules.METHODS["property"], identifier="k", params=None if v is None else {"k": v}, state=None, report_time=None) for i, v in enumerate(values)]
+    table = [(i, [("property", d, p, "k", op, x, g)], []) for i, (op, x, d, p, g) in enumerate(
+        (op, x, *where) for op in (">", ">=", "<", "between", "<=", "=", "in") for x in ("5", "0", "-0.0", "7,5", "abc", "0,6", "5, 5", "-1e500,7,1")
+        for where in ((None, None, None), (1, None, []), (1, 1, None), (2, None, None), (None, None, [[("property", "k", "<", "6")]])))]
+    df, r = spark.createDataFrame([tuple(m.values()) for m in messages], MESSAGES), rule_rows(spark, table)
+    each = folded(map(tuple, rules.match_rules(df, r).select("message_id", "rule_id").collect()))
+    assert len(each) > 40 and got_folded(rules.match_rules(df, r, "message_id")) == each
+
+
+def test_folded_ranges_of_any_width(spark):
+    """600 values, some equal, under ranges of no, few and all values: number and least id."""
+    rng = random.Random(9)
+    values = [rng.randrange(400) / 4 for _ in range(600)]
+    ids = rng.sample(range(1000), 600)
+    ends = [sorted((rng.randrange(-40, 440) / 4, rng.randrange(-40, 440) / 4)) for _ in range(150)] + [[x, x] for x in (5.0, 7.25, 7.3)] + [[50.0, 20.0], [-1.0, 500.0]]
+    df = spark.createDataFrame([(i, 1, 1, rules.METHODS["property"], "k", {"k": str(v)}, None, None) for i, v in zip(ids, values)], MESSAGES)
+    table = [(r, [("property", None, None, "k", "between", f"{a},{b}", None)], []) for r, (a, b) in enumerate(ends)]
+    for size in (str(64 << 20), "4000"):
+        spark.conf.set("sigspark.sliceBytes", size)
+        try:
+            got = got_folded(rules.match_rules(df, rule_rows(spark, table), "message_id"))
+        finally:
+            spark.conf.unset("sigspark.sliceBytes")
+        assert got == folded((i, r) for r, (a, b) in enumerate(ends) for i, v in zip(ids, values) if a <= v <= b)
+
+
+def test_folded_matches_are_not_made_one_by_one(spark):
+    """4,000 messages above 4,000 thresholds: the plan that folds them meets no page of thresholds, and any number of slices counts alike."""
+    table = [(r, [("property", None, None, "k", ">=" if r % 2 else "<", str(r), None)], []) for r in range(4_000)]
+    index = rules.index_rules(spark.createDataFrame(table, rules.RULES))
+    df = spark.range(4_000).selectExpr(
+        "id AS message_id", "1L AS device_id", "1L AS product_id", "'thing.property.post' AS method", "'k' AS identifier", "map('k', string(id)) AS params", "'' AS state", "timestamp'2024-01-01' AS report_time")
+    for size in (str(64 << 20), "20000"):
+        spark.conf.set("sigspark.sliceBytes", size)
+        try:
+            out = rules.match_rules(df, index, "message_id")
+            got = got_folded(out)
+        finally:
+            spark.conf.unset("sigspark.sliceBytes")
+        assert out.count() == 3_999                             # none is below 0
+        assert all(got[r] == ((4_000 - r, r) if r % 2 else (r, 0)) for r in range(1, 4_000))
